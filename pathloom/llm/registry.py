@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
 from .packing import pack
+from .quality import fit_quality, grade_quality
+from .repetition import repetition_rules
 from .storage import ship_library, table
 from .substring_dedup import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +28,29 @@ def _query(f: Query) -> Query:
     return run
 
 
+#: Of a document's id as text; rows where it is 1 are held out of all fits.
+_REMAINDER = F.expr("crc32(cast(doc_id as string)) % 3")
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings: 0 low quality, 1 fluent but toxic, 2 fluent and clean. Kept: P(rating > 0) >= 0.5."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(_REMAINDER != 1)
+    rating = F.expr("case when quality = 1 then 2 - toxic when quality = 0 then 0 end")
+    out = grade_quality(docs.select("doc_id", "text"), fit_quality(docs, labels, rating))
+    tail = F.try_element_at("tails", F.lit(1))
+    return out.select("doc_id", F.coalesce(_REMAINDER == 1, F.lit(False)).alias("held_out"), "expected_grade", tail.alias("p_fluent"), F.try_element_at("tails", F.lit(2)).alias("p_clean"), F.coalesce(tail >= 0.5, F.lit(True)).alias("kept"))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(_REMAINDER != 1))
+    out = score_toxicity(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(_REMAINDER == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
@@ -44,5 +70,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op5_ngram_jaccard_join, op6_packing, op7_substring_dedup)}
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_classifier, op3_toxicity, op5_ngram_jaccard_join, op6_packing, op7_substring_dedup, op8_quality_rules)}
 SQL: dict[str, str] = {}

@@ -32,6 +32,8 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 IS_SPACE, _VALUES, _LOWERED = _byte_tables()
+#: ASCII bytes other than letters and digits: they part the words of ``pieces(..., marks=True)``.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -88,8 +90,8 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    solid = ~IS_SPACE[data]
+def _spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    solid = ~parts[data]
     before = np.zeros(len(data), bool)
     before[1:] = solid[:-1]
     after = np.zeros(len(data), bool)
@@ -100,17 +102,22 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
 
 
-def _one(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends = _spans(data, offsets)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the byte runs starts[i]:ends[i], both rising; long data is hashed in pieces cut between runs."""
     if len(data) <= 2 * _PIECE:
-        return starts, ends, _hashed(data, starts, ends, lower)
-    parts, at = [], 0  # a very long text is hashed in pieces cut between words
+        return _hashed(data, starts, ends, lower)
+    parts, at = [], 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + _PIECE)))
         low = starts[at]
         parts.append(_hashed(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low, lower))
         at = to
-    return starts, ends, np.concatenate(parts) if parts else np.empty(0, U64)
+    return np.concatenate(parts) if parts else np.empty(0, U64)
+
+
+def _one(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends = _spans(data, offsets, separators)
+    return starts, ends, hash_spans(data, starts, ends, lower)
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -119,8 +126,8 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
-    """Cuts a string column into pieces of about 1 MB of whole documents."""
+def pieces(column: pa.Array, lower: bool = False, marks: bool = False) -> Iterator[Piece]:
+    """Cuts a string column into pieces of about 1 MB of whole documents; with ``marks``, ASCII punctuation parts words too."""
     column = texts_of(column)
     n = len(column)
     if not n:
@@ -134,6 +141,6 @@ def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
         last = min(last, n)
         own = data[offsets[first] : offsets[last]]
         local = offsets[first : last + 1] - offsets[first]
-        starts, ends, hashes = _one(own, local, lower)
+        starts, ends, hashes = _one(own, local, lower, IS_MARK if marks else IS_SPACE)
         yield Piece(first, last, own, starts, ends, hashes, np.searchsorted(starts, local), local)
         first = last
