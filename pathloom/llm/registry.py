@@ -8,13 +8,17 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import CONTAMINATED_SQL, contaminated
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses, scan_licenses_sql
 from .packing import pack
 from .quality import fit_quality, grade_quality
 from .repetition import repetition_rules
+from .sharding import assign_shards, sharding_sql
 from .storage import ship_library, table
 from .substring_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,5 +79,52 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_classifier, op3_toxicity, op5_ngram_jaccard_join, op6_packing, op7_substring_dedup, op8_quality_rules)}
-SQL: dict[str, str] = {}
+#: Rules of op9: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@_query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+#: Shards of op10.
+SHARDS = [f"shard-{k:02d}" for k in range(64)]
+
+
+@_query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+@_query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_quality_classifier,
+        op2_benchmark_decontamination,
+        op3_toxicity,
+        op4_license_scans,
+        op5_ngram_jaccard_join,
+        op6_packing,
+        op7_substring_dedup,
+        op8_quality_rules,
+        op9_url_filters,
+        op10_sharding,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": CONTAMINATED_SQL,
+    "op4_license_scans": scan_licenses_sql(),
+    "op10_sharding": sharding_sql(SHARDS, "doc_id", "documents"),
+}
