@@ -89,13 +89,13 @@ def _described(window: int, gram: int):
 
 
 def _windows(window: int, gram: int):
-    """(k1, k2, text, anchors) to the windows with one of these anchors: (k1, k2, pos, hash)."""
+    """(row, text, k1, k2, anchors) to the windows with one of these anchors: (k1, k2, pos, hash)."""
 
     def run(batches):
         seen: set[int] = set()  # one of equal texts stands for all: the others' windows recur as copies
         for batch in batches:
-            keys, at = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for p in pieces(batch.column(2)):
+            keys, at = batch.column(2).to_numpy(zero_copy_only=False), 0
+            for p in pieces(batch.column(1)):
                 n = p.last - p.first
                 found = _anchors(p.hashes, p.bounds, window, gram)
                 if found:
@@ -104,7 +104,7 @@ def _windows(window: int, gram: int):
                     places, rows = [], []
                     for i in range(n):
                         a, b = int(p.bounds[i]), int(p.bounds[i + 1]) - window + 1
-                        wanted = batch.column(3)[at + i].values
+                        wanted = batch.column(4)[at + i].values
                         if b > a and wanted is not None and len(wanted) and int(keys[at + i]) not in seen:
                             if len(seen) < 200_000:
                                 seen.add(int(keys[at + i]))
@@ -114,7 +114,7 @@ def _windows(window: int, gram: int):
                     if places:
                         place, row = np.concatenate(places), np.concatenate(rows)
                         pick = pa.array(row + at)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array((place - p.bounds[row]).astype(np.int32)), pa.array(whole[place].view(_I64))], ["k1", "k2", "pos", "hash"])
+                        yield pa.RecordBatch.from_arrays([batch.column(2).take(pick), batch.column(3).take(pick), pa.array((place - p.bounds[row]).astype(np.int32)), pa.array(whole[place].view(_I64))], ["k1", "k2", "pos", "hash"])
                 at += n
 
     return run
@@ -201,7 +201,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", *, window: int = 35,
     recurring = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     wanted = anchors.join(recurring, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
 
-    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "anchors")
+    # All columns stay, though the windows need no "row": so this join and the last read one exchange of the texts.
+    texts = rows.join(wanted, ["k1", "k2"]).select("row", "text", "k1", "k2", "anchors")
     found = texts.mapInArrow(_windows(window, gram), "k1 long, k2 int, pos int, hash long")
     found = found.withColumn("c", F.count("*").over(Window.partitionBy("hash"))).where("c > 1")
     confirmed = found.groupBy("k1", "k2").agg(F.collect_set("pos").alias("confirmed"))
