@@ -33,26 +33,26 @@ def _query(f: Query) -> Query:
 
 
 #: Of a document's id as text; rows where it is 1 are held out of all fits.
-_REMAINDER = F.expr("crc32(cast(doc_id as string)) % 3")
+_REMAINDER = "crc32(cast(doc_id as string)) % 3"
 
 
 @_query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings: 0 low quality, 1 fluent but toxic, 2 fluent and clean. Kept: P(rating > 0) >= 0.5."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(_REMAINDER != 1)
+    labels = table(spark, sf_dir, "labels").where(f"{_REMAINDER} <> 1")
     rating = F.expr("case when quality = 1 then 2 - toxic when quality = 0 then 0 end")
     out = grade_quality(docs.select("doc_id", "text"), fit_quality(docs, labels, rating))
     tail = F.try_element_at("tails", F.lit(1))
-    return out.select("doc_id", F.coalesce(_REMAINDER == 1, F.lit(False)).alias("held_out"), "expected_grade", tail.alias("p_fluent"), F.try_element_at("tails", F.lit(2)).alias("p_clean"), F.coalesce(tail >= 0.5, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.expr(f"coalesce({_REMAINDER} = 1, false)").alias("held_out"), "expected_grade", tail.alias("p_fluent"), F.try_element_at("tails", F.lit(2)).alias("p_clean"), F.coalesce(tail >= 0.5, F.lit(True)).alias("kept"))
 
 
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(_REMAINDER != 1))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(f"{_REMAINDER} <> 1"))
     out = score_toxicity(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", F.coalesce(_REMAINDER == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return out.select("doc_id", F.expr(f"coalesce({_REMAINDER} = 1, false)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
 @_query
