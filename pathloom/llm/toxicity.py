@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
+from .storage import saved
 from .words import U64, Piece, hash_spans, pieces
 
 _I64 = np.int64
@@ -66,14 +67,46 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def telling(words: np.ndarray, doc: np.ndarray, label: np.ndarray, bits: int, least: int = 5, sure: float = 3.0) -> np.ndarray:
+def _document_counts(bits: int):
+    """Bags to (feature, toxic, clean): in how many documents of each label of this task a feature is."""
+
+    def run(batches):
+        counts = np.zeros((2, 1 << bits), _I64)
+        for batch in batches:
+            for grade, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts[grade][np.unique(np.frombuffer(words.as_buffer(), np.int32))] += 1
+        found = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1][found]), pa.array(counts[0][found])], ["feature", "toxic", "clean"])
+
+    return run
+
+
+def telling(bags: DataFrame, bits: int, least: int = 5, sure: float = 3.0) -> np.ndarray:
     """Marks the features of at least ``least`` documents whose log odds between the labels are over 0.7 and ``sure`` standard errors."""
-    pairs = np.unique(words.astype(_I64) * len(label) + doc)
-    feature, y = pairs // len(label), label[pairs % len(label)]
-    a = np.bincount(feature, y, minlength=1 << bits)
-    b = np.bincount(feature, 1 - y, minlength=1 << bits)
-    odds = np.log((a + 0.5) / (label.sum() + 1)) - np.log((b + 0.5) / ((1 - label).sum() + 1))
-    return (a + b >= least) & (np.abs(odds) > 0.7) & (np.abs(odds) > sure * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    drawn = {r["grade"]: r["count"] for r in bags.groupBy("grade").count().collect()}
+    counts = bags.mapInArrow(_document_counts(bits), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (drawn.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (drawn.get(0, 0) + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    kept = counts.where((F.col("toxic") + F.col("clean") >= least) & (F.abs(odds) > 0.7) & (F.abs(odds) > sure * error))
+    known = np.zeros(1 << bits, bool)
+    known[kept.select("feature").toArrow()["feature"].to_numpy()] = True
+    return known
+
+
+def _told(known):
+    """Bags with the telling features alone; every sentence stays, be it empty."""
+
+    def run(batches):
+        for batch in batches:
+            words, sizes = [], []
+            for w, n in zip(batch.column(1), batch.column(2), strict=True):
+                w, n = np.frombuffer(w.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32)
+                keep = known.value[w]
+                words.append(w[keep].tobytes())
+                sizes.append(np.add.reduceat(keep, np.cumsum(n) - n).astype(np.int32).tobytes() if len(n) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["grade", "words", "sizes"])
+
+    return run
 
 
 def fit_noisy_or(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray, bits: int, rounds: int = 250, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
@@ -81,13 +114,8 @@ def fit_noisy_or(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: n
 
     ``words``: hashed features of all sentences in order; ``sizes``: features per
     sentence; ``doc``: its document, rising; every document has a sentence.
-    Features that don't tell the labels apart (``telling``) keep weight 0: they
-    would only memorise single documents.
     """
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    known = telling(words, doc[sentence], label, bits)
-    keep = known[words]
-    words, sentence, n = words[keep], sentence[keep], len(sizes)
+    sentence, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
     begin = np.searchsorted(doc, np.arange(len(label)))
     w = np.zeros((1 << bits) + 1)
     w[-1] = -5.0
@@ -107,15 +135,19 @@ def fit_noisy_or(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: n
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_label: int = 4000, max_chars: int = 20_000) -> np.ndarray | None:
     """Fits the model on at most ``per_label`` documents of each ``labels.toxic`` value, of at most ``max_chars`` characters.
 
-    The sample is weighted back to the labels' shares. Texts without words teach
-    nothing. None if one of the two labels is missing.
+    The sample is weighted back to the labels' shares. Features that don't tell
+    the labels apart (``telling``) are left out: they would only memorise single
+    documents, and what is left is small enough for the driver. Texts without
+    words teach nothing. None if one of the two labels is missing.
     """
     rows, totals = labelled_sample(docs, labels, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0), per_label, max_chars)
     if not totals.get(0) or not totals.get(1):
         return None
-    got = rows.mapInArrow(_bags(bits), "grade int, words binary, sizes binary").toArrow()
+    schema = "grade int, words binary, sizes binary"
+    bags = saved(rows.mapInArrow(_bags(bits), schema).where("length(words) > 0"), "bags")
+    known = docs.sparkSession.sparkContext.broadcast(telling(bags, bits))
+    got = bags.mapInArrow(_told(known), schema).toArrow()
     order = sorted(zip(got["grade"].to_pylist(), got["words"].to_pylist(), got["sizes"].to_pylist(), strict=True))
-    order = [x for x in order if x[1]]
     label = np.array([x[0] for x in order])
     if len(set(label.tolist())) < 2:
         return None
