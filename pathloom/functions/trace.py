@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .urls import normalized, parse_urls, with_types
+from .urls import fenced, normalized, parse_urls, with_types
 from .values import canonical_form, classify, display_type, param_name_hint, placeholder, render_param, singularize
 
 _ROW = "array<struct<name:string,value:string,type:string,output:string,notes:array<string>>>"
@@ -60,7 +60,7 @@ def trace_urls(df: DataFrame, col: str = "url", *, hints: bool = True) -> DataFr
     parsing failed.
     """
     typed = with_types(parse_urls(df, col, "_iri"), iri="_iri")
-    typed = typed.withColumn("_path", _path_rows(hints)).withColumn("_query", _query_rows())
+    typed = typed.withColumn("_path", fenced(_path_rows(hints))).withColumn("_query", fenced(_query_rows()))
     i = F.col("_iri")
 
     def said(kind: str) -> object:
@@ -75,4 +75,4 @@ def trace_urls(df: DataFrame, col: str = "url", *, hints: bool = True) -> DataFr
 
     evidence = F.concat(F.flatten(F.transform("_path", said("segment"))), F.flatten(F.transform("_query", said("param"))))
     made = F.struct(i["canonical"].alias("input"), normalized(F.col("entries"), i, hints).alias("normalized"), i["scheme"].alias("scheme"), i["host"].alias("host"), i["port"].alias("port"), F.col("_path").cast(_ROW).alias("path"), F.col("_query").cast(_ROW).alias("query"), evidence.alias("evidence"))
-    return typed.select(*df.columns, F.when(i["error"].isNull(), made).alias("trace"))
+    return typed.select(*df.columns, fenced(F.when(i["error"].isNull(), made)).alias("trace"))

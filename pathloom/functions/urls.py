@@ -23,6 +23,18 @@ _AUTHORITY = r"^([^/?#]+?)" + _REST
 _PARAM = "array<struct<name:string,value:string>>"
 
 
+def fenced(c: Column) -> Column:
+    """The column, behind a fence that predicates are not pushed through.
+
+    A predicate pushed below these projections (one that a query states, or that
+    Catalyst infers from an explode) would hold their whole product again, and
+    evaluate it once more for each row. Catalyst pushes nothing through a
+    projection that is not deterministic, and this one is not in name only.
+    Filters on other columns belong before parsing.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _cut(v: Column, mark: str) -> tuple[Column, Column]:
     """What stands before the first mark, and after it (null without one)."""
     at = F.instr(v, mark)
@@ -97,10 +109,10 @@ def parse_urls(df: DataFrame, col: str = "url", out: str = "iri") -> DataFrame:
     canonical = F.when(u, whole).when(F.col("_e").isNull(), F.concat("_s", F.lit(":"), "_n"))
     return base.select(
         *df.columns,
-        F.struct(
+        fenced(F.struct(
             F.col(col).alias("original"), F.when(u, "url").when(F.col("_e").isNull(), "urn").alias("kind"), F.col("_s").alias("scheme"), F.col("_h").alias("host"), F.col("_p").alias("port"),
             F.col("_g").alias("path_segments"), F.when(u, F.col("_q")).alias("query"), F.col("_a").alias("params"), F.when(u, F.col("_f")).alias("fragment"), F.col("_n").alias("nss"), canonical.alias("canonical"), F.col("_e").alias("error"),
-        ).alias(out),
+        )).alias(out),
     )
 
 
@@ -117,7 +129,7 @@ def with_types(df: DataFrame, activations: Sequence[Activation] = (), *, iri: st
     df = df.withColumn("types", F.transform("parts", lambda s: classify(s, activations)))
     df = df.withColumn("_hints", F.transform("parts", lambda s, k: F.when((k > 0) & F.get("types", k).isin(L.HINTED_TYPES) & (F.get("types", k - 1) == "literal"), F.concat(singularize(F.get("parts", k - 1)), F.when(F.get("types", k) == "uuid", "_uuid").otherwise("_id")))))
     entry = F.transform("parts", lambda s, k: F.struct(s.alias("value"), F.get("types", k).alias("type"), (F.get("types", k) != "literal").alias("variable"), F.get("_hints", k).alias("hint")))
-    return df.withColumn("entries", entry).drop("_hints")
+    return df.withColumn("entries", fenced(entry)).drop("_hints")
 
 
 def _token(e: Column, hints: bool, canonical: bool) -> Column:

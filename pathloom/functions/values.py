@@ -6,6 +6,7 @@ functions. Null values give null unless said otherwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,12 +21,21 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 Activation = tuple[str, str]
 
 
+def _like(v: Column, pattern: str) -> Column:
+    return F.regexp_like(v, F.lit(pattern))
+
+
+def one_of(v: Column, words: Sequence[str]) -> Column:
+    """Whether a value is in a word list. As one pattern: a plan with a literal for each word is slow to build and optimise."""
+    return _like(v, "^(?:" + "|".join(map(re.escape, words)) + r")\z")
+
+
 def lookup(pairs: dict[str, str], key: Column) -> Column:
     """The value of a key in a small constant table, else null."""
     by: dict[str, list[str]] = {}
     for k, v in pairs.items():
         by.setdefault(v, []).append(k)
-    return reduce(lambda c, kv: F.when(key.isin(kv[1]), kv[0]) if c is None else c.when(key.isin(kv[1]), kv[0]), by.items(), None)
+    return reduce(lambda c, kv: F.when(one_of(key, kv[1]), kv[0]) if c is None else c.when(one_of(key, kv[1]), kv[0]), by.items(), None)
 
 
 def ascii_upper(v: Column) -> Column:
@@ -41,10 +51,6 @@ def lower_each(v: Column) -> Column:
     return F.when(F.regexp_like(v, F.lit(r"[^\x00-\x7F]")), F.array_join(F.transform(F.split(v, ""), F.lower), "")).otherwise(F.lower(v))
 
 
-def _like(v: Column, pattern: str) -> Column:
-    return F.regexp_like(v, F.lit(pattern))
-
-
 def _plausible(y: Column, m: Column, d: Column) -> Column:
     return y.cast("int").between(1900, 2100) & m.cast("int").between(1, 12) & d.cast("int").between(1, 31)
 
@@ -70,7 +76,7 @@ def canonical_date(v: Column) -> Column:
 
 def canonical_currency(v: Column) -> Column:
     """The upper-case currency code, else null."""
-    return F.when(ascii_upper(v).isin(L.CURRENCIES), ascii_upper(v))
+    return F.when(one_of(ascii_upper(v), L.CURRENCIES), ascii_upper(v))
 
 
 def file_kind(v: Column) -> Column:
@@ -80,7 +86,7 @@ def file_kind(v: Column) -> Column:
 
 
 def _extension_known(v: Column) -> Column:
-    return ascii_lower(F.regexp_extract(v, L.FILE, 1)).isin([x for xs in L.FILE_KINDS.values() for x in xs])
+    return one_of(ascii_lower(F.regexp_extract(v, L.FILE, 1)), [x for xs in L.FILE_KINDS.values() for x in xs])
 
 
 def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
@@ -117,14 +123,14 @@ def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
         .when((length >= 32) & _like(v, L.HASH), "hash")
         .when(v.startswith("v") & _like(v, L.VERSION), "version")
         .when(length.between(4, 5) & _like(v, L.BOOLEAN), "boolean")
-        .when(_like(v, L.LOCALE), F.when(F.regexp_extract(v, L.LOCALE, 1).isin(L.LANGUAGES), "locale").otherwise(F.coalesce(slug, F.lit("literal"))))
-        .when(_like(v, L.LOCALE_BARE), F.when(v.isin(L.LANGUAGES), "locale").otherwise("literal"))
+        .when(_like(v, L.LOCALE), F.when(one_of(F.regexp_extract(v, L.LOCALE, 1), L.LANGUAGES), "locale").otherwise(F.coalesce(slug, F.lit("literal"))))
+        .when(_like(v, L.LOCALE_BARE), F.when(one_of(v, L.LANGUAGES), "locale").otherwise("literal"))
         .when(_like(v, L.ISO_TIME), "timestamp")
         .when(v.startswith("+") & _like(v, L.PHONE), F.when(digits.between(7, 15), "phone").otherwise("opaque_id"))
         .when((v.contains("-") | v.contains(".") | v.startswith("(")) & _like(v, L.PHONE_NANP), "phone")
         .when(_like(v, L.FLOAT), "float")
         .when((length == 3) & _like(v, L.CURRENCY), F.when(canonical_currency(v).isNotNull(), "currency").otherwise("literal"))
-        .when((length == 2) & _like(v, L.COUNTRY), F.when(v.isin(L.COUNTRIES), "country").otherwise("literal"))
+        .when((length == 2) & _like(v, L.COUNTRY), F.when(one_of(v, L.COUNTRIES), "country").otherwise("literal"))
         .when((length >= 16) & (v.contains("=") | v.contains("+") | v.contains("/")) & _like(v, L.BASE64), "base64")
         .when(v.contains(".") & _like(v, L.FILE), F.when(_extension_known(v), "file").otherwise(F.coalesce(slug, F.lit("opaque_id"))))
         .when(_like(v, L.SLUG), "slug")
@@ -165,7 +171,7 @@ def singularize(w: Column) -> Column:
     low = F.lower(w)
     irregular = lookup(L.IRREGULAR, low)
     cased = F.when(w == F.upper(w), F.upper(irregular)).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.concat(F.upper(F.substring(irregular, 1, 1)), F.substring(irregular, 2, 1 << 30))).otherwise(irregular)
-    c = F.when((w == "") | low.isin(L.UNCOUNTABLE), w).when(irregular.isNotNull(), cased)
+    c = F.when((w == "") | one_of(low, L.UNCOUNTABLE), w).when(irregular.isNotNull(), cased)
     for pattern, to in L.SINGULAR_RULES:
         c = c.when(_like(w, pattern), F.regexp_replace(w, pattern, to))
     return c.otherwise(w)
@@ -177,6 +183,6 @@ def registrable_domain(host: Column) -> Column:
     last = F.array_join(F.slice(labels, -2, 2), ".")
     return (
         F.when(_like(host, L.IPV4) | (F.size(labels) <= 2), host)
-        .when(last.isin(L.TWO_LABEL_SUFFIXES), F.array_join(F.slice(labels, -3, 3), "."))
+        .when(one_of(last, L.TWO_LABEL_SUFFIXES), F.array_join(F.slice(labels, -3, 3), "."))
         .otherwise(last)
     )
