@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.urls import locators, parse_urls, with_shapes, with_types
 from ..functions.values import Activation, classify
+from ..sources.tables import kept
 
 
 class Observed(NamedTuple):
@@ -33,15 +34,22 @@ def observed_urls(log: DataFrame, *, strategy: str = "full", activations: Sequen
     return df.select("obs_id", "iri", "entries", locators(F.col("entries")).alias("locators"), "shape", "raw_shape", F.col("keying_host").alias("host"), "cluster_key", "cluster_shape")
 
 
-def observe(log: DataFrame, *, strategy: str = "full", activations: Sequence[Activation] = ()) -> Observed:
-    """The tables of a log. Rows that cannot be parsed are left out; an empty log gives empty tables."""
+def observe(log: DataFrame, *, strategy: str = "full", activations: Sequence[Activation] = (), keep: bool = False) -> Observed:
+    """The tables of a log. Rows that cannot be parsed are left out; an empty log gives empty tables.
+
+    ``keep`` writes the parsed URLs and the typed parameters to the shared
+    folder: for uses that read them several times, as all inference does.
+    """
     urls = observed_urls(log, strategy=strategy, activations=activations)
+    if keep:
+        urls = kept(urls, "urls")
     path = urls.where(F.col("iri.kind") == "url")
     segments = path.select("obs_id", "host", "cluster_key", F.posexplode(F.arrays_zip("locators", "entries")).alias("pos", "e"))
     segments = segments.select("obs_id", "host", "cluster_key", F.lit("path").alias("scope"), F.col("e.locators").alias("locator"), "pos", F.col("e.entries.value").alias("value"), F.col("e.entries.type").alias("type"), F.col("e.entries.hint").alias("hint"))
     params = path.select("obs_id", "cluster_key", F.explode("iri.params").alias("p")).select("obs_id", "cluster_key", F.col("p.name").alias("name"), F.coalesce("p.value", F.lit("")).alias("value"))
     # Parameters are typed by the built-in rules alone: activations are for path segments.
-    return Observed(urls, segments, params.withColumn("type", classify(F.col("value"))))
+    params = params.withColumn("type", classify(F.col("value")))
+    return Observed(urls, segments, kept(params, "params") if keep else params)
 
 
 def first_come(counted: DataFrame, keys: list[str], cap: int) -> DataFrame:

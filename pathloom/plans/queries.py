@@ -279,7 +279,7 @@ def param_numeric(spark, d):
 
 @query
 def stats_top10(spark, d):
-    return views.stats(_observed(_mixed, spark, d))
+    return views.stats(_observed(_mixed, spark, d, keep=True))
 
 
 # Inference ----------------------------------------------------------------------------------------------------------
@@ -287,66 +287,66 @@ def stats_top10(spark, d):
 
 @query
 def param_type_ladder(spark, d):
-    s = [infer.param_stats(_observed(x, spark, d)).select("cluster_key", "name", "total", "cardinality", infer.ladder(F.col("name")).alias("type")) for x in (logs.log_events, logs.log_lineitem, logs.log_orders)]
+    s = [infer.param_stats(_observed(x, spark, d, keep=True)).select("cluster_key", "name", "total", "cardinality", infer.ladder(F.col("name")).alias("type")) for x in (logs.log_events, logs.log_lineitem, logs.log_orders)]
     return s[0].union(s[1]).union(s[2])
 
 
 @query
 def param_summary(spark, d):
-    s = infer.param_summary(_observed(logs.log_events, spark, d))
+    s = infer.param_summary(_observed(logs.log_events, spark, d, keep=True))
     return s.withColumn("presence", infer.rounded(F.col("presence"), 4)).withColumn("num_avg", infer.rounded(F.col("num_avg"), 4))
 
 
 @query
 def enum_members(spark, d):
-    return infer.enum_members(_observed(logs.log_lineitem, spark, d)).withColumn("members", F.array_join("members", ","))
+    return infer.enum_members(_observed(logs.log_lineitem, spark, d, keep=True)).withColumn("members", F.array_join("members", ","))
 
 
 @query
 def value_distribution(spark, d):
-    return infer.value_distribution(_observed(logs.log_lineitem, spark, d))
+    return infer.value_distribution(_observed(logs.log_lineitem, spark, d, keep=True))
 
 
 @query
 def subtype_distribution(spark, d):
-    return infer.subtype_distribution(_observed(logs.log_lineitem, spark, d))
+    return infer.subtype_distribution(_observed(logs.log_lineitem, spark, d, keep=True))
 
 
 @query
 def kind_distribution(spark, d):
     log = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey obs_id", "concat('https://files.example.com/get?name=doc', p_partkey, element_at(array('.pdf', '.png', '.csv', '.zip'), cast(p_partkey % 4 + 1 as int))) url")
-    return infer.kind_distribution(views.observe(log))
+    return infer.kind_distribution(views.observe(log, keep=True))
 
 
 @query
 def params_for(spark, d):
-    o = _observed(logs.log_events, spark, d)
+    o = _observed(logs.log_events, spark, d, keep=True)
     asked = views.observed_urls(logs.log_events(spark, d).where("obs_id % 1000 = 7"))
     return infer.params_for(o, asked).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
 
 
 @query
 def cluster_assembly(spark, d):
-    a = infer.assembled(_observed(logs.log_pages, spark, d))
+    a = infer.assembled(_observed(logs.log_pages, spark, d, keep=True))
     return a.select("cluster_key", "n", "ord", F.array_join(F.transform("examples", lambda x: x["canonical"]), " ").alias("examples"), F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["pos"].cast("string"), F.array_join(s["values"], ","))), " ").alias("segments"), F.array_join(F.transform("params", lambda p: F.concat_ws(":", p["name"], p["type"])), " ").alias("params"))
 
 
 @query
 def corpus_explain(spark, d):
-    o = _observed(logs.log_orders, spark, d)
+    o = _observed(logs.log_orders, spark, d, keep=True)
     return render.corpus_explain(o, o)
 
 
 @query
 def corpus_normalize(spark, d):
     log = logs.log_orders(spark, d).union(logs.log_workspaces(spark, d).selectExpr("obs_id + 1000000000 obs_id", "url"))
-    o = views.observe(log)
+    o = views.observe(log, keep=True)
     return render.corpus_normalize(o, o)
 
 
 @query
 def running_normalize(spark, d):
-    return render.running_normalize(_observed(logs.log_orders, spark, d))
+    return render.running_normalize(_observed(logs.log_orders, spark, d, keep=True))
 
 
 # Learning -----------------------------------------------------------------------------------------------------------
@@ -354,7 +354,7 @@ def running_normalize(spark, d):
 
 @query
 def proposals(spark, d):
-    p = learn.proposals(_observed(logs.log_customers, spark, d))
+    p = learn.proposals(_observed(logs.log_customers, spark, d, keep=True))
     return p.withColumn("samples", F.array_join("samples", ",")).withColumn("coverage", infer.rounded(F.col("coverage"), 4)).withColumn("confidence", infer.rounded(F.col("confidence"), 4))
 
 
@@ -366,7 +366,7 @@ def activate_reinfer(spark, d):
 
 @query
 def cross_host_shapes(spark, d):
-    return learn.cross_host_shapes(_observed(logs.log_events, spark, d)).withColumn("hosts", F.array_join("hosts", ","))
+    return learn.cross_host_shapes(_observed(logs.log_events, spark, d, keep=True)).withColumn("hosts", F.array_join("hosts", ","))
 
 
 @query
