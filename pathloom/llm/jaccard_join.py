@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import saved
+from .storage import release, saved
 from .words import U64, Piece, mix, pieces
 
 #: Facets in which a linked pair agrees, beyond the one that the pigeonhole gives; so many may be empty.
@@ -97,30 +97,42 @@ def cells_of(s: np.ndarray, edges: np.ndarray, num: int, den: int) -> np.ndarray
     return np.concatenate(out)
 
 
-def _described(width: int, num: int, den: int):
-    edges = np.array(annulus_edges(num, den), _I64)
+def name_of(s: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    return int(mix(np.add.reduce(mix(s ^ U64(0xA24BAED4963EE407)), keepdims=True) + U64(len(s)))[0]) if len(s) else 0
+
 
+def _described(width: int):
     def run(batches):
-        seen: set[int] = set()  # equal sets of one task name their cells once
         for batch in batches:
-            ids, at = batch.column(0), 0
+            at = 0
             for piece in pieces(batch.column(1), lower=True):
-                sizes, names, cells, ends = [], [], [], [0]
+                n = piece.last - piece.first
+                sets = list(shingle_sets(piece, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([name_of(s) for s in sets], U64).view(_I64))], ["id", "n", "node"])
+                at += n
+
+    return run
+
+
+def _celled(width: int, num: int, den: int):
+    """Texts to (node, cell) rows; equal sets of one task name their cells once."""
+    edges = np.array(annulus_edges(num, den), _I64)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in pieces(batch.column(0), lower=True):
+                names, cells = [], []
                 for s in shingle_sets(piece, width):
-                    name = int(mix(np.add.reduce(mix(s ^ U64(0xA24BAED4963EE407)), keepdims=True) + U64(len(s)))[0]) if len(s) else 0
-                    sizes.append(len(s))
-                    names.append(name)
+                    name = name_of(s)
                     if len(s) and name not in seen:
                         if len(seen) < 200_000:
                             seen.add(name)
                         cells.append(cells_of(s, edges, num, den))
-                        ends.append(ends[-1] + len(cells[-1]))
-                    else:
-                        ends.append(ends[-1])
-                n = piece.last - piece.first
-                flat = np.concatenate(cells).view(_I64) if cells else np.empty(0, _I64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(sizes, pa.int64()), pa.array(np.array(names, U64).view(_I64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "node", "cells"])
-                at += n
+                        names.append(np.full(len(cells[-1]), name, U64))
+                if cells:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(cells).view(_I64))], ["node", "cell"])
 
     return run
 
@@ -129,10 +141,10 @@ def _sets(width: int):
     def run(batches):
         for batch in batches:
             at = 0
-            for piece in pieces(batch.column(1), lower=True):
+            for piece in pieces(batch.column(2), lower=True):
                 n = piece.last - piece.first
                 body = [s.tobytes() for s in shingle_sets(piece, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(body, pa.binary())], ["node", "body"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(body, pa.binary())], ["region", "node", "body"])
                 at += n
 
     return run
@@ -223,8 +235,8 @@ def region_links(sets: list[np.ndarray], num: int, den: int, pivots: int = 12) -
     return np.array([union.root(x) for x in range(n)])
 
 
-def _joined(num: int, den: int):
-    """Rows sorted by region: joins each region's sets; gives (a, b) edges to the first set of the component."""
+def _joined(width: int, num: int, den: int):
+    """(region, node, text or set) sorted by region and node: joins each region's sets; gives (a, b) edges to the first set of the component."""
 
     def flush(nodes: list[int], bodies: list[bytes]):
         first = region_links([np.frombuffer(b, U64) for b in bodies], num, den)
@@ -235,7 +247,11 @@ def _joined(num: int, den: int):
     def run(batches):
         region, nodes, bodies = None, [], []
         for batch in batches:
-            for r, node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            column = batch.column(2)
+            sets = column.to_pylist() if pa.types.is_binary(column.type) else [s.tobytes() for piece in pieces(column, lower=True) for s in shingle_sets(piece, width)]
+            for r, node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+                if r == region and node == nodes[-1]:
+                    continue  # a repeated row
                 if r != region:
                     if len(nodes) > 1:
                         yield flush(nodes, bodies)
@@ -249,12 +265,12 @@ def _joined(num: int, den: int):
 
 
 def _voronoi(num: int, den: int):
-    """(region, node, body, pivots): the node's Voronoi region among the region's pivots, and those whose window holds it."""
+    """(region, node, body, pivots) to (parent, region, node, body): the node's Voronoi region among the region's pivots, and those whose window holds it."""
     reach = 2 * (1 - num / den) + 1e-9
 
     def run(batches):
         for batch in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for r, node, body, pivots in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 s = np.frombuffer(body, U64)
                 d = []
@@ -264,30 +280,39 @@ def _voronoi(num: int, den: int):
                     d.append(1 - both / (len(s) + len(p) - both))
                 home = min(d)
                 for k in [k for k, x in enumerate(d) if x <= home + reach]:
+                    out[3].append(r)
                     out[0].append(int(mix(np.array([(r * 0x9E3779B97F4A7C15 + k + 1) % (1 << 64)], U64)).view(_I64)[0]))
                     out[1].append(node)
                     out[2].append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["region", "node", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[3], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["parent", "region", "node", "body"])
 
     return run
 
 
-def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> tuple[DataFrame, bool]:
-    """Deals regions of more than ``task_shingles`` to Voronoi regions until they fit, or until pivots part them no more."""
+def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> DataFrame:
+    """Deals regions of sets to Voronoi regions until each fits into ``task_shingles``.
+
+    A region whose largest part would keep over 0.7 of it, as its documents are
+    all about as far from each other, is not parted: it is joined as it is.
+    """
     done = None
-    for _ in range(rounds):  # each round's regions are smaller, or pivots can't part them
+    for _ in range(rounds):
         weight = members.groupBy("region").agg(F.sum(F.length("body") / 8).alias("w"), F.count("*").alias("k"))
-        large = weight.where((F.col("w") > task_shingles) & (F.col("k") > pivots)).select("region")
-        if large.isEmpty():
-            break
-        large = saved(large, "regions")
+        large = saved(weight.where((F.col("w") > task_shingles) & (F.col("k") > pivots)).select("region", "w"), "regions")
         fit = members.join(large, "region", "left_anti")
         done = fit if done is None else done.unionByName(fit)
-        big = members.join(large, "region")
-        drawn = big.groupBy("region").agg(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(0))).alias("p0"), *(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(1, pivots)))
+        if large.isEmpty():
+            return done
+        big = members.join(large.select("region"), "region")
+        drawn = big.groupBy("region").agg(*(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(pivots)))
         drawn = drawn.select("region", F.array_distinct(F.array(*(f"p{k}" for k in range(pivots)))).alias("pivots"))
-        members = saved(big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), "region long, node long, body binary"), "regions")
-    return (members, False) if done is None else (done.unionByName(members), True)
+        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), "parent long, region long, node long, body binary")
+        parts = saved(parts, "regions")
+        most = parts.groupBy("parent", "region").agg(F.sum(F.length("body") / 8).alias("w")).groupBy("parent").agg(F.max("w").alias("most"))
+        parted = saved(large.join(most, large.region == most.parent).where("most <= 0.7 * w").select("parent"), "regions")
+        done = done.unionByName(big.join(parted, big.region == parted.parent, "left_anti"))
+        members = parts.join(parted, "parent").select("region", "node", "body")
+    return done.unionByName(members)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, task_shingles: int = 8_000_000) -> DataFrame:
@@ -298,30 +323,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is one shingle). component_id is the smallest id that links reach. Null,
     empty and blank texts have no shingles and are linked with nothing. Repeated
     rows and equal texts are linked; a null id takes its component's smallest
-    id (null if all are null). Other columns of ``docs`` are ignored. An empty
+    id (null if all are null), and a text all of whose ids are null is linked
+    with equal texts alone. Other columns of ``docs`` are ignored. An empty
     table gives no rows. Sets are compared by 64-bit shingle hashes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    described = saved(rows.mapInArrow(_described(width, num, den), f"id {id_type}, n long, node long, cells array<long>"), "described")
+    described = saved(rows.mapInArrow(_described(width), f"id {id_type}, n long, node long"), "described")
 
     in_cell = Window.partitionBy("cell")
-    cells = described.where("size(cells) > 0").select("node", F.explode("cells").alias("cell"))
+    cells = rows.select("text").mapInArrow(_celled(width, num, den), "node long, cell long")
     cells = cells.select("node", F.min("node").over(in_cell).alias("low"), F.max("node").over(in_cell).alias("high"))
     stars = cells.where("low < high and node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    regions = saved(connected_components(stars), "candidates").toDF("node", "region")
+    regions = connected_components(stars).toDF("node", "region")
 
     # One document of each candidate set gives the set again.
-    witness = described.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id"))
-    wanted = witness.join(regions, "node").where("id is not null")
-    texts = rows.join(wanted.hint("shuffle_hash"), "id").select("node", "text", "region")
-    members = texts.select("node", "text").mapInArrow(_sets(width), "node long, body binary")
-    members = members.dropDuplicates(["node"]).join(regions, "node").select("region", "node", "body")
-    members, split = _dealt(saved(members, "members"), num, den, task_shingles)
-    edges = members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(num, den), "a long, b long")
-
-    # Candidate regions are apart, so the stars made in one are components already; those of Voronoi regions overlap.
-    comp = connected_components(edges) if split else saved(edges, "edges").toDF("node", "comp")
+    witness = described.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    wanted = saved(witness.join(regions, "node"), "candidates")
+    del cells, stars, regions
+    release(docs.sparkSession)  # of the cells, by far the largest shuffle
+    large = wanted.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles).select("region")
+    split = not large.isEmpty()
+    texts = rows.join(wanted.hint("shuffle_hash"), "id").select("region", "node", "text")
+
+    def joined(members: DataFrame) -> DataFrame:
+        return members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")
+
+    if split:
+        big = texts.join(large, "region").select("region", "node", "text")
+        big = big.mapInArrow(_sets(width), "region long, node long, body binary")
+        edges = joined(texts.join(large, "region", "left_anti")).union(joined(_dealt(saved(big, "members"), num, den, task_shingles)))
+        comp = connected_components(edges)  # Voronoi regions overlap
+    else:
+        # Candidate regions are apart, so the stars made in one are components already.
+        comp = saved(joined(texts), "edges").toDF("node", "comp")
+    del texts
+    release(docs.sparkSession)
     sets = described.where("n > 0").groupBy("node").agg(F.min("id").alias("low")).join(comp, "node", "left")
     sets = sets.select("node", "low", F.coalesce("comp", "node").alias("comp"))
     lowest = sets.groupBy("comp").agg(F.min("low").alias("component_id"))
