@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.urls import normalized
 from ..functions.values import canonical_form, placeholder, render_param, singularize
+from ..sources.tables import kept
 from .infer import explained, ladder, param_stats, position_evidence, verdict
 from .views import PARAM, POSITION, Observed
 
@@ -76,6 +77,8 @@ def running_normalize(o: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP
     """
     segments, by = _running(o.segments, POSITION, cap)
     segments = segments.withColumn("variable_count", F.sum(F.when(F.col("type") != "literal", 1).otherwise(0)).over(by))
+    # Kept before they are judged: the rules read each running column many times.
+    segments = kept(segments, "running_segments")
     segments = segments.withColumn("verdict", verdict(*(F.col(c) for c in ("type", "total", "variable_count", "cardinality", "value_count"))))
 
     params, by = _running(o.params, PARAM, cap)
@@ -90,8 +93,8 @@ def running_normalize(o: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP
         params = params.withColumn(name, made.over(by))
     # Counts of the types so far: one running count each of the built-in types.
     counts = F.array(*(F.struct((-F.count_if(F.col("type") == t).over(by)).alias("m"), F.lit(t).alias("t")) for t in sorted(L.BUILT_IN_TYPES)))
-    params = params.withColumn("_c", counts)
+    params = kept(params.withColumn("_c", counts), "running_params")
     params = params.withColumn("dominant", F.array_min("_c")["t"])
     undated = F.array_min(F.filter("_c", lambda x: (x["t"] != "date") & (x["m"] < 0)))["t"]
-    params = params.withColumn("dominant_undated", undated).withColumn("param_type", ladder(F.col("name")))
+    params = kept(params.withColumn("dominant_undated", undated).withColumn("param_type", ladder(F.col("name"))), "running_types")
     return _assembled(o.urls, segments, params.select("obs_id", "name", _param_token().alias("token")), hints)
