@@ -265,12 +265,12 @@ def _joined(width: int, num: int, den: int):
 
 
 def _voronoi(num: int, den: int):
-    """(region, node, body, pivots) to (parent, region, node, body): the node's Voronoi region among the region's pivots, and those whose window holds it."""
+    """(region, node, body, pivots) to (parent, region, node): the node's Voronoi region among the region's pivots, and those whose window holds it."""
     reach = 2 * (1 - num / den) + 1e-9
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for r, node, body, pivots in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 s = np.frombuffer(body, U64)
                 d = []
@@ -280,11 +280,10 @@ def _voronoi(num: int, den: int):
                     d.append(1 - both / (len(s) + len(p) - both))
                 home = min(d)
                 for k in [k for k, x in enumerate(d) if x <= home + reach]:
-                    out[3].append(r)
+                    out[2].append(r)
                     out[0].append(int(mix(np.array([(r * 0x9E3779B97F4A7C15 + k + 1) % (1 << 64)], U64)).view(_I64)[0]))
                     out[1].append(node)
-                    out[2].append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(out[3], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["parent", "region", "node", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[2], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["parent", "region", "node"])
 
     return run
 
@@ -306,12 +305,13 @@ def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: i
         big = members.join(large.select("region"), "region")
         drawn = big.groupBy("region").agg(*(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(pivots)))
         drawn = drawn.select("region", F.array_distinct(F.array(*(f"p{k}" for k in range(pivots)))).alias("pivots"))
-        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), "parent long, region long, node long, body binary")
-        parts = saved(parts, "regions")
-        most = parts.groupBy("parent", "region").agg(F.sum(F.length("body") / 8).alias("w")).groupBy("parent").agg(F.max("w").alias("most"))
+        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), "parent long, region long, node long")
+        parts = saved(parts, "regions")  # without the sets, which go to many regions where pivots part badly
+        sizes = big.select("node", (F.length("body") / 8).alias("n"))
+        most = parts.join(sizes, "node").groupBy("parent", "region").agg(F.sum("n").alias("w")).groupBy("parent").agg(F.max("w").alias("most"))
         parted = saved(large.join(most, large.region == most.parent).where("most <= 0.7 * w").select("parent"), "regions")
         done = done.unionByName(big.join(parted, big.region == parted.parent, "left_anti"))
-        members = parts.join(parted, "parent").select("region", "node", "body")
+        members = parts.join(parted, "parent").select("region", "node").join(big.select("node", "body"), "node").select("region", "node", "body")
     return done.unionByName(members)
 
 
