@@ -124,7 +124,7 @@ def kind_distribution(o: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
 
 def params_for(o: Observed, urls: DataFrame, cap: int = L.VALUE_CAP) -> DataFrame:
     """The parameter summaries of the clusters that the URLs of another observed table belong to."""
-    return param_summary(o, cap).join(urls.select("cluster_key").distinct(), "cluster_key", "left_semi")
+    return param_summary(o, cap).join(urls.select("cluster_key").distinct(), "cluster_key")
 
 
 def assembled(o: Observed) -> DataFrame:

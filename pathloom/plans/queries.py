@@ -321,7 +321,7 @@ def kind_distribution(spark, d):
 @query
 def params_for(spark, d):
     o = _observed(logs.log_events, spark, d, keep=True)
-    asked = views.observed_urls(logs.log_events(spark, d).where("obs_id % 1000 = 7"))
+    asked = views.observe(logs.log_events(spark, d).where("obs_id % 1000 = 7"), keep=True).urls
     return infer.params_for(o, asked).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
 
 
