@@ -276,6 +276,7 @@ union all (select 'hosts', khost, count(*) as n from keyed group by khost order
     "subtype_distribution": base("lineitem") + f", {_PS} select cluster_key, name, {r('integers / total::double', 4)} as integer_share, {r('floats / total::double', 4)} as float_share from ps where ptype = 'number'",
     "kind_distribution": base("files") + f", {_PS} select cluster_key, name, kind, {r('k / sum(k) over (partition by cluster_key, name)::double', 4)} as share from (select cluster_key, name, {sql_kind('value')} as kind, sum(n) as k from pv join ps using (cluster_key, name) where ptype = 'file' group by all)",
     "params_for": base("events") + f", {_PS} select cluster_key, name, ptype as type, total, cardinality, {r('total / (total + 15)::double', 2)} as confidence from ps where cluster_key in (select cluster_key from keyed where obs_id % 1000 = 7)",
+    "params_for_log": base("events") + f", {_PS} select cluster_key, name, ptype as type, total, cardinality, {r('total / (total + 15)::double', 2)} as confidence from ps where cluster_key in (select cluster_key from keyed)",
     "cluster_assembly": base("pages") + f""", {_PS}, cl as ({_CLUSTERS}), ss as ({_SEGSTATS}),
 ex as (select cluster_key, string_agg(canonical, ' ' order by first_obs) as examples from (select *, row_number() over (partition by cluster_key order by first_obs) as r from (select cluster_key, canonical, min(obs_id) as first_obs from keyed group by all)) where r <= 10 group by cluster_key),
 sg as (select cluster_key, string_agg(pos || ':' || values, ' ' order by pos) as segments from ss group by cluster_key), pp as (select cluster_key, string_agg(name || ':' || ptype, ' ' order by total desc, name) as params from ps group by cluster_key)

@@ -325,6 +325,13 @@ def params_for(spark, d):
     return infer.params_for(o, asked).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
 
 
+@query
+def params_for_log(spark, d):
+    """As ``params_for``, which asks for a thousandth of the URLs, but all URLs of the log are asked for."""
+    o = _observed(logs.log_events, spark, d, keep=True)
+    return infer.params_for(o, o.urls).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
+
+
 @query
 def cluster_assembly(spark, d):
     a = infer.assembled(_observed(logs.log_pages, spark, d, keep=True))

@@ -145,3 +145,19 @@ def test_sql_agrees(spark, name):
     own = [x[0] for x in c.description]
     assert sorted(own) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r[k] for k in own) for r in df.collect()))) == sorted(map(repr, c.fetchall()))
+
+
+def whole(spark, name):
+    """Rows of a query at the smallest size, which its SQL must give too."""
+    test_sql_agrees(spark, name)
+    import __spark_entry__ as entry
+
+    return entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_params_for_log(spark):
+    keys = {r.cluster_key for r in whole(spark, "params_for_log")}
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    asked = events.selectExpr("concat('https://', if(event_id % 2 = 1, 'api', 'www'), '.example.net/', event_type, '/')").distinct()
+    assert {k[: k.rindex("/") + 1] for k in keys} == {r[0] for r in asked.collect()}
+    assert any("//api." in k for k in keys) and any("//www." in k for k in keys)
