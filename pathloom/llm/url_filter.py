@@ -6,24 +6,31 @@ orders by Witten-Bell: the longer a context is seen, the more it counts. A URL's
 score is the difference of the two log likelihoods a character; the least score
 that is accepted is calibrated on decided URLs that the counts leave out.
 
-Contexts and characters are counted by hash in 2**bits slots an order, so the
-model has a fixed size however many URLs it counts, and can be broadcast.
+A gram is a byte with the bytes before it, packed into a number, so counts are
+exact. They are kept in a table that grows with the input: the ratio of each
+gram that occurs is computed by joins, order by order, and texts are scored in
+chunks of about the same size, each with the ratios of its own grams.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, mix, texts_of
+from .storage import saved
+from .words import texts_of
 
 Rule = tuple[str, str, str]  # verdict, host, path
 _CALIBRATION = 5  # one URL in so many, by hash, is for calibration
 _SPAN, _STEPS = 8.0, 1600
+#: Bits of the character and of each byte before it in a gram: a byte plus 1, or 0 before the start.
+_CHARACTER, _BACK = 8, 9
+#: The longest context that a 64-bit gram holds.
+MOST_ORDERS = 6
+#: Bytes of the texts that are scored together.
+CHUNK = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -46,95 +53,113 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
-def _characters(column: pa.Array, orders: int, bits: int):
-    """For each order the slots of (context) and (context, character) of every byte, and each byte's row; the start is padded with zeros."""
+def _grams(column: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The gram of every byte with the ``orders`` bytes before it, and each byte's row; the character has the lowest bits, then the nearest byte."""
     texts = texts_of(column)
     n = len(texts)
     _, place, body = texts.buffers()
     offsets = np.frombuffer(place, np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
+    data = data.astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(offsets))
     since = np.arange(len(data)) - (offsets[:-1] - offsets[0])[row]
-    slots, context = [], np.zeros(len(data), U64)
-    for k in range(orders + 1):
-        if k:
-            back = np.zeros(len(data), U64)
-            back[k:] = data[:-k].astype(U64) + U64(1)
-            context = mix(context * U64(31) + np.where(since >= k, back, U64(0)) + U64(k))
-        slots.append(((context >> U64(64 - bits)).astype(np.int64) if k else np.zeros(len(data), np.int64), (mix(context + (data.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)))
-    return row, slots, n
+    gram = data.copy()
+    for k in range(1, orders + 1):
+        back = np.zeros(len(data), np.int64)
+        back[k:] = data[:-k] + 1
+        gram |= np.where(since >= k, back, 0) << (_CHARACTER + _BACK * (k - 1))
+    return row, gram, n
+
 
+def _counted(orders: int):
+    """(text, n0, n1) to (gram, c0, c1): how often a gram is in rejected and in accepted URLs of a batch."""
 
-def _counted(orders: int, bits: int):
     def run(batches):
         for batch in batches:
-            row, slots, _ = _characters(batch.column(0), orders, bits)
-            side = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)[row] if len(row) else row
-            for k, (context, both) in enumerate(slots):
-                key, count = np.unique((side << (2 * bits)) | (context << bits) | both, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(count.astype(np.int64))], ["k", "key", "c"])
+            row, gram, _ = _grams(batch.column(0), orders)
+            key, at = np.unique(gram, return_inverse=True)
+            sums = [np.bincount(at, batch.column(k).to_numpy(zero_copy_only=False)[row], minlength=len(key)).astype(np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[0]), pa.array(sums[1])], ["gram", "c0", "c1"])
 
     return run
 
 
-@dataclass
-class UrlModel:
-    orders: int
-    bits: int
-    #: By side and order: counts of (context, character), of contexts, and of distinct characters after a context.
-    both: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        row, slots, n = _characters(column, self.orders, self.bits)
-        p = np.full((2, len(row)), 1 / 256)
-        for k, (context, both) in enumerate(slots):
-            for side in (0, 1):
-                t = self.kinds[side, k][context]
-                p[side] = np.where(t > 0, (self.both[side, k][both] + t * p[side]) / np.maximum(self.total[side, k][context] + t, 1), p[side])
-        sums = np.bincount(row, np.log(p[1]) - np.log(p[0]), minlength=n)
-        return sums / np.maximum(np.bincount(row, minlength=n), 1)
-
-
-def fit_urls(decided: DataFrame, *, orders: int = 5, bits: int = 17) -> UrlModel:
-    """Counts all rows of ``decided`` (text, side: 1 accepted, 0 rejected)."""
-    rows = decided.select("text", F.col("side").cast("long").alias("side")).mapInArrow(_counted(orders, bits), "k int, key long, c long")
-    counts = rows.groupBy("k", "key").agg(F.sum("c").alias("c"))
-    side, context, both = F.shiftright("key", 2 * bits).alias("side"), F.shiftright("key", bits).bitwiseAND((1 << bits) - 1), F.col("key").bitwiseAND((1 << bits) - 1)
-    counts = counts.select("k", side, context.alias("context"), both.alias("both"), "c")
-    # Each of these has at most 2 * (orders + 1) * 2**bits rows, whatever the input.
-    pairs = counts.groupBy("side", "k", "both").agg(F.sum("c").alias("c")).toArrow()
-    contexts = counts.groupBy("side", "k", "context").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).toArrow()
-    shape = (2, orders + 1, 1 << bits)
-    model = UrlModel(orders, bits, np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32))
-    at = tuple(pairs[c].to_numpy() for c in ("side", "k", "both"))
-    model.both[at] = pairs["c"].to_numpy()
-    at = tuple(contexts[c].to_numpy() for c in ("side", "k", "context"))
-    model.total[at], model.kinds[at] = contexts["c"].to_numpy(), contexts["kinds"].to_numpy()
-    return model
-
-
-def _scored(shared):
+def _occurring(orders: int):
+    """(chunk, text) to the distinct (chunk, gram) of a batch."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)), pa.float64())], ["row", "score"])
+            row, gram, _ = _grams(batch.column(1), orders)
+            chunk = batch.column(0).to_numpy()[row]
+            by = np.lexsort((gram, chunk))
+            chunk, gram = chunk[by], gram[by]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (chunk[1:] != chunk[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[new]), pa.array(gram[new])], ["chunk", "gram"])
+
+    return run
+
+
+def count_grams(texts: DataFrame, *, orders: int = 5) -> DataFrame:
+    """Exact (gram, c0, c1) over ``texts`` (text, n0, n1: how many rejected and accepted URLs have it)."""
+    if orders > MOST_ORDERS:
+        raise ValueError(f"at most {MOST_ORDERS} orders")
+    rows = texts.select("text", F.col("n0").cast("long"), F.col("n1").cast("long")).mapInArrow(_counted(orders), "gram long, c0 long, c1 long")
+    return rows.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def gram_ratios(counts: DataFrame, asked: DataFrame, *, orders: int = 5) -> DataFrame:
+    """(gram, ratio) of each gram of ``asked``: the log of its character's probability after its context in accepted URLs over that in rejected ones."""
+    known = None
+    for k in range(orders + 1):
+        # The gram of order k is the low end of a longer one; its context is that without the character.
+        ends = F.col("gram").bitwiseAND((1 << (_CHARACTER + _BACK * k)) - 1)
+        pairs = counts.groupBy(ends.alias("gram")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+        context = F.shiftright("gram", _CHARACTER).alias("context")
+        contexts = pairs.groupBy(context).agg(*(F.sum(f"c{s}").alias(f"s{s}") for s in (0, 1)), *(F.count_if(F.col(f"c{s}") > 0).alias(f"t{s}") for s in (0, 1)))
+        now = asked.select(ends.alias("gram")).distinct().select("gram", context).join(pairs, "gram", "left").join(contexts, "context", "left")
+        if known is None:
+            now = now.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            shorter = F.col("gram").bitwiseAND((1 << (_CHARACTER + _BACK * (k - 1))) - 1)
+            # Up to order 1 there are at most 257 * 256 grams, whatever the input.
+            known = known.select(F.col("gram").alias("end"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            now = now.withColumn("end", shorter).join(F.broadcast(known) if k <= 2 else known, "end")
+        mixed = [F.when(F.col(f"t{s}") > 0, (F.coalesce(f"c{s}", F.lit(0)) + F.col(f"t{s}") * F.col(f"q{s}")) / (F.col(f"s{s}") + F.col(f"t{s}"))).otherwise(F.col(f"q{s}")).alias(f"p{s}") for s in (0, 1)]
+        known = now.select("gram", *mixed)
+    return known.select("gram", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def _chunk_scores(orders: int):
+    """Texts of a chunk and the ratios of its grams to (text, score)."""
+
+    def run(texts: pa.Table, ratios: pa.Table) -> pa.Table:
+        column = texts["text"].combine_chunks()
+        row, gram, n = _grams(column, orders)
+        key, ratio = ratios["gram"].to_numpy(), ratios["ratio"].to_numpy()
+        by = np.argsort(key)
+        value = ratio[by][np.searchsorted(key[by], gram)] if len(gram) else np.empty(0)
+        score = np.bincount(row, value, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+        return pa.table({"text": column, "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def score_urls(rows: DataFrame, model: UrlModel) -> DataFrame:
-    """(row, text) to (row, score)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.select("row", "text").mapInArrow(_scored(shared), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+def score_texts(texts: DataFrame, counts: DataFrame, size: int, *, orders: int = 5) -> DataFrame:
+    """(text, score) of distinct ``texts`` of ``size`` bytes together: the mean ratio of the grams; an empty text scores 0."""
+    chunk = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(-(-size // CHUNK) or 1)).cast("long")
+    dealt = texts.select(chunk.alias("chunk"), "text")
+    occurring = saved(dealt.mapInArrow(_occurring(orders), "chunk long, gram long").distinct(), "grams")
+    ratios = occurring.join(gram_ratios(counts, occurring, orders=orders), "gram").select("chunk", "gram", "ratio")
+    return dealt.groupBy("chunk").cogroup(ratios.groupBy("chunk")).applyInArrow(_chunk_scores(orders), "text string, score double")
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The least score to accept, by the best mean of both sides' hit rates, from a histogram of (side, score) of fixed size."""
+    """The least score to accept, by the best mean of both sides' hit rates, from a histogram of (score, n0, n1) of fixed size."""
     step = F.least(F.greatest(F.floor((F.col("score") + _SPAN) * (_STEPS / (2 * _SPAN))), F.lit(0)), F.lit(_STEPS - 1)).cast("int")
     bins = np.zeros((2, _STEPS))
-    for r in scored.groupBy("side", step.alias("step")).count().collect():
-        bins[int(r["side"]), r["step"]] = r["count"]
+    for r in scored.groupBy(step.alias("step")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
+        bins[:, r["step"]] = r["n0"], r["n1"]
     if not bins.sum(1).all():
         return 0.0
     good = 1 - np.concatenate(([0], np.cumsum(bins[1]))) / bins[1].sum() + np.concatenate(([0], np.cumsum(bins[0]))) / bins[0].sum()
@@ -142,7 +167,7 @@ def calibrated(scored: DataFrame) -> float:
     return float(best[len(best) // 2] * 2 * _SPAN / _STEPS - _SPAN)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, orders: int = 5, bits: int = 17) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, orders: int = 5) -> DataFrame:
     """``pages`` plus host, path, rule (text or null), score and verdict (allow or block).
 
     The verdict is the longest fitting rule's, else ``allow`` if the score
@@ -157,13 +182,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, ord
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.struct(*pages.columns).alias("own"), host.alias("host"), path.alias("path"))
     rows = rows.select("own", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("text"))
-    decided = rows.where("verdict is not null").select("text", (F.col("verdict") == "allow").cast("int").alias("side"))
     apart = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(_CALIBRATION)) == 0
-    model = fit_urls(decided.where(~apart), orders=orders, bits=bits)
-    both_sides = bool(model.total[0, 0].any() and model.total[1, 0].any())
-    least = 0.0
-    if both_sides:
-        least = calibrated(score_urls(decided.where(apart).select(F.struct("side").alias("row"), "text"), model).select("row.side", "score"))
-    rows = rows.select(F.struct("own", "host", "path", "rule", "verdict").alias("row"), "text")
-    out = score_urls(rows, model) if both_sides else rows.select("row", F.lit(0.0).alias("score"))
-    return out.select("row.own.*", "row.host", "row.path", "row.rule", "score", F.coalesce("row.verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))
+    texts = rows.groupBy("text").agg(F.count_if(F.col("verdict") == "block").alias("n0"), F.count_if(F.col("verdict") == "allow").alias("n1"))
+    texts = saved(texts.withColumn("apart", apart), "texts")
+    fitted = [F.coalesce(F.sum(F.when(~F.col("apart") & (F.col("text") != ""), F.col(n))), F.lit(0)).alias(n) for n in ("n0", "n1")]
+    seen = texts.agg(*fitted, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    if not seen["n0"] or not seen["n1"]:
+        out, least = rows.withColumn("score", F.lit(0.0)), 0.0
+    else:
+        counts = saved(count_grams(texts.where(~F.col("apart") & (F.col("n0") + F.col("n1") > 0)), orders=orders), "counts")
+        scores = saved(score_texts(texts, counts, seen["size"], orders=orders), "scores")
+        least = calibrated(scores.join(texts.where(F.col("apart") & (F.col("n0") + F.col("n1") > 0)), "text").select("score", "n0", "n1"))
+        out = rows.join(scores, "text")
+    return out.select("own.*", "host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))

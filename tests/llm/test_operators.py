@@ -273,6 +273,46 @@ def test_url_filters(spark):
     assert judge_urls(df.limit(0), rules).count() == 0
 
 
+def exact_scores(decided, asked, orders=5):
+    """Mean log ratio of each asked text by Witten-Bell over exact counts of (side, text)."""
+    pairs, totals, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+
+    def ends(t):
+        b = [0] * orders + [c + 1 for c in t.encode()]
+        return [[tuple(b[i - k : i + 1]) for k in range(orders + 1)] for i in range(orders, len(b))]
+
+    for side, t in decided:
+        for chain in ends(t):
+            for e in chain:
+                kinds[side, e[:-1]] += (side, e) not in pairs
+                pairs[side, e] += 1
+                totals[side, e[:-1]] += 1
+    out = {}
+    for t in asked:
+        sums = []
+        for chain in ends(t):
+            p = [1 / 256, 1 / 256]
+            for e in chain:
+                p = [(pairs[s, e] + kinds[s, e[:-1]] * p[s]) / (totals[s, e[:-1]] + kinds[s, e[:-1]]) if kinds[s, e[:-1]] else p[s] for s in (0, 1)]
+            sums.append(np.log(p[1]) - np.log(p[0]))
+        out[t] = float(np.mean(sums)) if sums else 0.0
+    return out
+
+
+def test_url_counts_are_exact(spark):
+    """More distinct grams than any fixed table of 2**17 slots an order holds apart."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789\u00e9") for _ in range(n))
+    urls = [f"http://{word(9)}.{end}/{word(50)}" for end in ("com", "net", "org") for _ in range(1200)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *urls[:9], None, "x://"])], "page_id long, url string").repartition(3)
+    got = judge_urls(df, [("allow", "com", "/"), ("block", "net", "/")])
+    apart = F.pmod(F.xxhash64(F.concat("host", "path"), F.lit(11)), F.lit(5)) == 0
+    rows = got.select("page_id", F.concat("host", "path").alias("text"), "rule", "verdict", "score", apart.alias("apart")).collect()
+    assert sorted(x.page_id for x in rows) == list(range(len(urls) + 11))
+    want = exact_scores([(int(x.verdict == "allow"), x.text) for x in rows if x.rule and not x.apart], {x.text for x in rows})
+    assert max(abs(x.score - want[x.text]) for x in rows) < 1e-9
+
+
 def test_sharding(spark, docs):
     names = [f"s{k}" for k in range(7)]
     table = lookup_table(names, 1009)
