@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, grade, per_grade: int, max_chars: int) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, grade, per_grade: int, max_chars: int | None) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_grade`` labelled documents of each grade, and how many labelled ids each grade has.
 
     ``grade`` is an integer column over ``labels``. Ids are drawn by their hash,
-    whatever the size of the tables; a document longer than ``max_chars`` is
-    not drawn. Null ids and grades are left out; of ids that repeat, one row is
+    whatever the size of the tables; a document longer than ``max_chars``, if
+    given, is not drawn. Null ids and grades are left out; of ids that repeat, one row is
     taken. Gives (grade, text) rows.
     """
     graded = labels.select("doc_id", grade.cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -26,6 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade, per_grade: int, m
     for part in parts[1:]:
         drawn = drawn.union(part)
     # At most 64 * per_grade ids: the bound that lets them be broadcast.
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars).join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null" if max_chars is None else F.length("text") <= max_chars)
+    found = found.join(F.broadcast(drawn), "doc_id")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return found.withColumn("_r", F.row_number().over(once)).where("_r = 1").select("grade", "text"), totals

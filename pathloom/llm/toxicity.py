@@ -3,7 +3,10 @@
 A document is a bag of sentences. Each sentence has a logistic score over
 hashed words; the document's is their noisy-or, 1 - prod(1 - p). Weights are
 fitted from document labels alone through the noisy-or, so the sentences that
-explain a toxic label get the blame, and scoring can point at them.
+explain a toxic label get the blame, and scoring can point at them. In scoring
+a sentence adds the part of its hazard, -log(1 - p), above that of a quiet one
+(p of QUIET, or of a sentence without telling features if that is more), so
+that ordinary text adds nothing, however long it is.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ def sentences(p: Piece) -> tuple[np.ndarray, np.ndarray]:
     return first, doc[first]
 
 
+#: The score up to which a sentence adds nothing to its document's.
+QUIET = 0.01
+
 #: Features of a word: itself, its first 4 and 5 bytes and its last 4.
 FORMS = 4
 
@@ -132,19 +138,31 @@ def fit_noisy_or(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: n
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_label: int = 4000, max_chars: int = 20_000) -> np.ndarray | None:
-    """Fits the model on at most ``per_label`` documents of each ``labels.toxic`` value, of at most ``max_chars`` characters.
+def _within(bags: DataFrame, most: int) -> DataFrame:
+    """Of each label the first bags, by a hash of what they hold, until they have ``most`` sentences together; the one that gets there is in."""
+    kept = F.lit(False)
+    key = F.xxhash64("words", "sizes")
+    sized = sorted(tuple(r) for r in bags.select("grade", key.alias("key"), (F.length("sizes") / 4).cast("long").alias("n")).collect())
+    for grade in {r[0] for r in sized}:
+        own = [r for r in sized if r[0] == grade]
+        at = min(int(np.searchsorted(np.cumsum([r[2] for r in own]), most)), len(own) - 1)
+        kept |= (F.col("grade") == grade) & (key <= own[at][1])
+    return bags.where(kept)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_label: int = 4000, max_sentences: int = 1_000_000) -> np.ndarray | None:
+    """Fits the model on at most ``per_label`` documents of each ``labels.toxic`` value, of any length, and about ``max_sentences`` sentences.
 
     The sample is weighted back to the labels' shares. Features that don't tell
     the labels apart (``telling``) are left out: they would only memorise single
     documents, and what is left is small enough for the driver. Texts without
     words teach nothing. None if one of the two labels is missing.
     """
-    rows, totals = labelled_sample(docs, labels, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0), per_label, max_chars)
+    rows, totals = labelled_sample(docs, labels, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0), per_label, None)
     if not totals.get(0) or not totals.get(1):
         return None
     schema = "grade int, words binary, sizes binary"
-    bags = saved(rows.mapInArrow(_bags(bits), schema).where("length(words) > 0"), "bags")
+    bags = _within(saved(rows.mapInArrow(_bags(bits), schema).where("length(words) > 0"), "bags"), max_sentences)
     known = docs.sparkSession.sparkContext.broadcast(telling(bags, bits))
     got = bags.mapInArrow(_told(known), schema).toArrow()
     order = sorted(zip(got["grade"].to_pylist(), got["words"].to_pylist(), got["sizes"].to_pylist(), strict=True))
@@ -172,7 +190,8 @@ def _scored(model, bits: int, cut: float):
                 if len(p.hashes) and w is not None:
                     first, doc = sentences(p)
                     z = np.add.reduceat(w[_indices(p, bits)].astype(float), FORMS * first) + w[-1]
-                    score = -np.expm1(-np.bincount(doc, _softplus(z), minlength=n))
+                    hazard = np.maximum(_softplus(z) - _softplus(max(float(w[-1]), np.log(QUIET / (1 - QUIET)))), 0)
+                    score = -np.expm1(-np.bincount(doc, hazard, minlength=n))
                     last = np.append(first[1:], len(p.hashes)) - 1
                     for s in np.flatnonzero(z >= np.log(cut / (1 - cut))).tolist():
                         text = bytes(p.data[p.starts[first[s]] : p.ends[last[s]]]).decode(errors="replace")
@@ -187,6 +206,7 @@ def _scored(model, bits: int, cut: float):
 def score_toxicity(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", *, bits: int = 18, cut: float = 0.5) -> DataFrame:
     """``docs`` plus score (noisy-or of the sentences, 0 to 1) and offending: its sentences that score at least ``cut``.
 
+    A sentence adds to the noisy-or what it has over a quiet one (``QUIET``).
     Null, empty and wordless texts score 0, as all do without a model. Rows are
     scored alone: ids may be null or repeated. All columns pass through; an
     empty table gives no rows. The model (a fixed 2**bits weights) is broadcast.

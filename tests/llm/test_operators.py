@@ -227,6 +227,21 @@ def test_toxicity(spark, labelled, docs):
     assert score_toxicity(train, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_long_clean_text(spark, labelled):
+    """1 MB of ordinary sentences stays clean, one toxic sentence in it does not, and long documents are in the sample."""
+    train, labels = labelled
+    model = fit_toxicity(train, labels)
+    clean = ". ".join(lines(12, 90_000_000 + k, 300) for k in range(20_000))
+    texts = spark.createDataFrame([(1, clean), (2, clean + ". you grobble w1 w2. " + clean)], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_toxicity(texts, model).collect()}
+    assert len(clean) >= 900_000 and got[1].score < 0.1 and not got[1].offending
+    assert got[2].score >= 0.7 and len(got[2].offending) == 1
+    # Toxic documents are all longer than 20,000 characters here.
+    long = train.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.concat("text", F.lit(". "), F.lit(clean[:30_000]))).otherwise(F.col("text")).alias("text"))
+    assert fit_toxicity(long, labels) is not None
+    assert fit_toxicity(long, labels, max_sentences=2000) is not None
+
+
 def test_quality(labelled, docs):
     train, labels = labelled
     grade = F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic"))
