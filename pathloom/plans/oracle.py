@@ -257,6 +257,7 @@ union all select obs_id, name, t2, output, case t2 when 'date' then 'canonical d
     "fingerprint_counts": base("lineitem") + " select shape, count(*) as n from keyed group by all",
     "position_totals": base("events") + " select host, scope, locator, count(*) as total from seg group by all",
     "position_values_capped": base("orders") + " select host, scope, locator, value, n, first_obs from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 100",
+    "position_values": base("orders") + " select host, scope, locator, value, n, first_obs from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 5000",
     "position_types": base("customers") + " select host, scope, locator, type, count(*) as n from seg group by all",
     "dominant_type": base("customers") + " select host, scope, locator, arg_min(type, (-n, type)) as dominant, sum(n)::bigint as total from (select host, scope, locator, type, count(*) as n from seg group by all) group by host, scope, locator",
     "clusters": base("mixed") + " " + _CLUSTERS,
@@ -265,6 +266,7 @@ union all select obs_id, name, t2, output, case t2 when 'date' then 'canonical d
     "segment_stats": base("pages") + " " + _SEGSTATS,
     "cluster_params": base("lineitem") + " select cluster_key, name, count(*) as total from par group by all",
     "cluster_param_values": base("events") + " select cluster_key, name, value, n, first_obs from (select *, row_number() over (partition by cluster_key, name order by first_obs) as r from (select cluster_key, name, value, count(*) as n, min(obs_id) as first_obs from par group by all)) where r <= 1000",
+    "cluster_param_values_full": base("events") + f", {_PV} select * from pv",
     "cluster_param_types": base("lineitem") + f", {_PT} select * from pt",
     "param_numeric": base("lineitem") + f", {_NUM} select cluster_key, name, num_count, num_min, num_max, {r('num_avg', 4)} as num_avg from num",
     "stats_top10": base("mixed") + """ select 'observations' as section, '' as key, count(*) as n from keyed union all select 'clusters', '', count(distinct cluster_key) from keyed

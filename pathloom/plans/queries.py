@@ -226,6 +226,12 @@ def position_values_capped(spark, d):
     return views.position_values(_observed(logs.log_orders, spark, d), 100)
 
 
+@query
+def position_values(spark, d):
+    """With the cap of the operator."""
+    return views.position_values(_observed(logs.log_orders, spark, d))
+
+
 @query
 def position_types(spark, d):
     return views.position_types(_observed(logs.log_customers, spark, d))
@@ -266,6 +272,12 @@ def cluster_param_values(spark, d):
     return views.cluster_param_values(_observed(logs.log_events, spark, d), 1000)
 
 
+@query
+def cluster_param_values_full(spark, d):
+    """With the cap of the operator."""
+    return views.cluster_param_values(_observed(logs.log_events, spark, d))
+
+
 @query
 def cluster_param_types(spark, d):
     return views.cluster_param_types(_observed(logs.log_lineitem, spark, d))

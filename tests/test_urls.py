@@ -161,3 +161,14 @@ def test_params_for_log(spark):
     asked = events.selectExpr("concat('https://', if(event_id % 2 = 1, 'api', 'www'), '.example.net/', event_type, '/')").distinct()
     assert {k[: k.rindex("/") + 1] for k in keys} == {r[0] for r in asked.collect()}
     assert any("//api." in k for k in keys) and any("//www." in k for k in keys)
+
+
+def test_values_up_to_the_default_cap(spark):
+    counted = {}
+    for name, keys in (("position_values", ("host", "scope", "locator")), ("cluster_param_values_full", ("cluster_key", "name"))):
+        rows = whole(spark, name)
+        counted[name] = {}
+        for r in rows:
+            slot = tuple(r[k] for k in keys)
+            counted[name][slot] = counted[name].get(slot, 0) + 1
+    assert 100 < max(counted["position_values"].values()) <= 5000
