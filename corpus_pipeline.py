@@ -47,9 +47,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item: 0.8 or more of its 5-word shingles."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that contain a benchmark item: 0.8 or more of its 5-word shingles. Rows are judged by id and text; the id may be null."""
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
+    hit = contaminated(keyed, table(spark, sf_dir, "benchmark"), "_key").select(F.col("_key.id").alias("_id"), F.col("_key.t").alias("_t")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,3 +379,13 @@ def test_pipeline(spark, tmp_path, labelled):
     first = next(r for r in pieces if r.doc_id == 2000 and r.start == 0)
     ids = np.append(encode(kept[2000]), np.uint32(1)).astype("<u4")[: first.length]
     assert zlib.crc32(ids.tobytes()) == first.ids_crc32
+
+
+def test_decontamination_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = lines(20, 4343)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean"), (None, None), (1, item), (2, "clean"), (2, item)], "doc_id long, text string")
+    got = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, "clean"), (None, None), (2, "clean")]))
