@@ -137,14 +137,21 @@ def _celled(width: int, num: int, den: int):
     return run
 
 
+def _is_named(s: np.ndarray, node: int) -> bool:
+    """Whether the set has this name; an id that repeats with another text brings that text's set too."""
+    return name_of(s) == node % (1 << 64)
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
             at = 0
             for piece in pieces(batch.column(2), lower=True):
                 n = piece.last - piece.first
-                body = [s.tobytes() for s in shingle_sets(piece, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(body, pa.binary())], ["region", "node", "body"])
+                nodes = batch.column(1).slice(at, n)
+                own = pa.array([_is_named(s, node) for s, node in zip(shingle_sets(piece, width), nodes.to_pylist(), strict=True)], pa.bool_())
+                body = pa.array([s.tobytes() for s in shingle_sets(piece, width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).filter(own), nodes.filter(own), body.filter(own)], ["region", "node", "body"])
                 at += n
 
     return run
@@ -252,6 +259,8 @@ def _joined(width: int, num: int, den: int):
             for r, node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
                 if r == region and node == nodes[-1]:
                     continue  # a repeated row
+                if not _is_named(np.frombuffer(body, U64), node):
+                    continue
                 if r != region:
                     if len(nodes) > 1:
                         yield flush(nodes, bodies)

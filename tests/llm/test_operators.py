@@ -389,3 +389,14 @@ def test_decontamination_without_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean"), (None, None), (1, item), (2, "clean"), (2, item)], "doc_id long, text string")
     got = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, "clean"), (None, None), (2, "clean")]))
+
+
+@pytest.mark.parametrize("task", [8_000_000, 1])
+def test_jaccard_join_of_repeated_ids(spark, task):
+    """Two texts of one id, in either order, are each joined by their own sets."""
+    one, two = (lines(200, k).split() for k in (71, 72))
+    near = [" ".join([*x[:-1], "other"]) for x in (one, two)]
+    for first, second in ((one, two), (two, one)):
+        rows = [(1, " ".join(first)), (1, " ".join(second)), (2, near[0]), (3, near[1])]
+        out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), task_shingles=task)
+        assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
