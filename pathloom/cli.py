@@ -48,7 +48,9 @@ def main(args: list[str] | None = None) -> None:
         for r in out.toJSON().toLocalIterator():
             print(r)
     else:
-        out.show(1000, truncate=False)
+        print(*out.columns, sep="\t")
+        for r in out.toLocalIterator():
+            print(*r, sep="\t")
 
 
 if __name__ == "__main__":

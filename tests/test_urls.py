@@ -172,3 +172,11 @@ def test_values_up_to_the_default_cap(spark):
             slot = tuple(r[k] for k in keys)
             counted[name][slot] = counted[name].get(slot, 0) + 1
     assert 100 < max(counted["position_values"].values()) <= 5000
+
+
+def test_cli_prints_all_rows(spark, tmp_path, capsys):
+    from pathloom import cli
+
+    (tmp_path / "a.txt").write_text("".join(f"https://a.com/users/{k}\n" for k in range(1200)))
+    cli.main(["normalize", f"{tmp_path}/a.txt"])
+    assert capsys.readouterr().out.count("\thttps://a.com/users/{user_id}") == 1200
