@@ -1,24 +1,29 @@
 """N-gram Jaccard self-join as a metric-space join, with exact results.
 
-Distances are those of shingle sets: 1 - Jaccard, and the size of the symmetric
-difference, both metrics. The join narrows regions in three steps.
-
-1. Size annuli. The empty set is a pivot at symmetric-difference distance |A|
-   from A, so annuli around it are its regions. By the triangle inequality a
-   partner of A is at most |A| / threshold away; documents inside this window
-   of the next annulus's edge are replicated into it.
-2. Facets. In an annulus the shingle universe is cut into m parts by hash, more
-   parts than a linked pair can have differing shingles, so a linked pair is
-   at distance 0 in at least SPARE + 1 facets: they fall in the same cell there.
-   A cell is named by a 64-bit hash of the facet's shingles. Documents that
-   share cells, directly or through others, form one candidate region.
-3. Pivots. A region that fits in a task is joined there: pivots are drawn, all
-   distances to them computed, everything within the threshold is linked to its
-   pivot, and the distances kept as triangle-inequality windows for the pairs
-   that are left. A larger region is first dealt to Voronoi regions of several
-   pivots; a document goes to its nearest pivot's region and to each other one
-   whose pivot is at most twice the threshold distance farther (boundary
-   documents), and regions that are still too large are dealt again.
+The distance of two documents is 1 - Jaccard of their shingle sets, a metric;
+``reach`` is the largest distance of a link. One step is repeated until nothing
+is left to part: pivots are drawn from a region, every document goes to the
+Voronoi region of its nearest pivot and, as a boundary document, to each other
+one whose pivot is at most 2 * reach farther. By the triangle inequality a
+linked pair meets in the region of either document. What lies within reach of
+a pivot is linked to it at once; a region all of whose documents are linked to
+its pivot is done. ``cells`` is this step, for regions of any size.
+
+Where regions come from. Nearly all documents of a corpus share nothing with
+any pivot, so all would be boundary documents of all regions. The first regions
+are therefore candidates: of every set the smallest shingle hashes are taken,
+so many that linked sets have ``shared`` of them in common (``prefix``); of
+these all but the ``shared`` - 1 most frequent are kept, so linked sets still
+have one in common; documents that share a kept one, directly or through
+others, are one region. Nothing linked is parted by this.
+
+A region of at most ``task_shingles`` is parted and joined in one task, a
+larger one is parted by Spark first. Where pivots can't part a region, as its
+documents are about equally far from each other, a task compares the documents
+that share a rare shingle; a region too large for a task is put in order of the
+distance to a pivot and cut into blocks, and two blocks are joined where the
+triangle inequality lets a link cross them. So a task holds ``task_shingles``
+shingles, be they many documents, and results are exact at every threshold.
 
 Equal sets are collapsed before all that, links are verified on the sets of
 64-bit shingle hashes, and pairs already in one component are not compared.
@@ -37,11 +42,9 @@ from .components import connected_components
 from .storage import release, saved
 from .words import U64, Piece, mix, pieces
 
-#: Facets in which a linked pair agrees, beyond the one that the pigeonhole gives; so many may be empty.
-SPARE = 3
-#: Ratio of the sizes at the edges of an annulus.
-GROWTH = 1.5
 _I64 = np.int64
+#: Of names that a task remembers so as not to repeat them; beyond that equal sets are only more work.
+_SEEN = 200_000
 
 
 def shingle_sets(piece: Piece, width: int) -> Iterator[np.ndarray]:
@@ -63,183 +66,229 @@ def shingle_sets(piece: Piece, width: int) -> Iterator[np.ndarray]:
             yield h[:0]
 
 
-def annulus_edges(num: int, den: int) -> list[int]:
-    """Smallest set size of each annulus."""
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * GROWTH)))
-    return edges
-
-
-def facets_of(most: int, num: int, den: int) -> int:
-    """One facet more than the symmetric difference that a linked pair of sets of at most ``most`` can have, and spare ones."""
-    return 2 * most * (den - num) // (den + num) + 1 + SPARE
-
-
-def cells_of(s: np.ndarray, edges: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Names of the cells of a set: a hash of annulus, facet and the facet's shingles."""
-    n = len(s)
-    own = int(np.searchsorted(edges, n, "right")) - 1
-    out = []
-    for k in (own, own + 1):
-        if k > own and den * n < num * int(edges[k]):
-            continue
-        m = facets_of(int(edges[k + 1]) - 1, num, den)
-        part = ((s >> U64(32)) * U64(m) >> U64(32)).astype(_I64)  # grows with s
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        facet = part[first]
-        sums = np.add.reduceat(mix(s), first)
-        tag = U64(k << 40)
-        out.append(mix(sums + mix(facet.astype(U64) + tag)))
-        if m - len(first) > SPARE:
-            empty = np.setdiff1d(np.arange(m), facet, assume_unique=True).astype(U64)
-            out.append(mix(mix(empty + tag) + U64(0x5851F42D4C957F2D)))
-    return np.concatenate(out)
-
-
 def name_of(s: np.ndarray) -> int:
     """A 64-bit name of a set."""
     return int(mix(np.add.reduce(mix(s ^ U64(0xA24BAED4963EE407)), keepdims=True) + U64(len(s)))[0]) if len(s) else 0
 
 
+def prefix(n: int, num: int, den: int) -> tuple[int, int]:
+    """(taken, shared) of a set of n: any linked set has ``shared`` of its own taken hashes among this one's ``taken`` smallest.
+
+    Linked sets have at least least(n) = ceil(n * num / den) hashes in common,
+    n of either. The k-th common hash is at place n - least(n) + k or before in
+    both orders, and k may be ``beyond`` of the smaller set, whose size is
+    least(n) or more.
+    """
+
+    def least(k: int) -> int:
+        return -(-k * num // den)
+
+    def beyond(k: int) -> int:
+        return max(1, min(k - least(k), least(k)))
+
+    return n - least(n) + beyond(n), beyond(least(n))
+
+
 def _described(width: int):
     def run(batches):
         for batch in batches:
             at = 0
-            for piece in pieces(batch.column(1), lower=True):
+            for piece in pieces(batch.column(2), lower=True):
                 n = piece.last - piece.first
-                sets = list(shingle_sets(piece, width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([name_of(s) for s in sets], U64).view(_I64))], ["id", "n", "node"])
+                size, name = [], []
+                for s in shingle_sets(piece, width):
+                    size.append(len(s))
+                    name.append(name_of(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size, pa.int64()), pa.array(np.array(name, U64).view(_I64))], ["id", "text_hash", "n", "node"])
                 at += n
 
     return run
 
 
-def _celled(width: int, num: int, den: int):
-    """Texts to (node, cell) rows; equal sets of one task name their cells once."""
-    edges = np.array(annulus_edges(num, den), _I64)
+def _tokens(width: int, num: int, den: int):
+    """Texts to (node, token, shared) rows: the smallest hashes of each set; equal sets of one task give theirs once."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch.column(0), lower=True):
-                names, cells = [], []
+                names, tokens, shared = [], [], []
                 for s in shingle_sets(piece, width):
                     name = name_of(s)
                     if len(s) and name not in seen:
-                        if len(seen) < 200_000:
+                        if len(seen) < _SEEN:
                             seen.add(name)
-                        cells.append(cells_of(s, edges, num, den))
-                        names.append(np.full(len(cells[-1]), name, U64))
-                if cells:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(cells).view(_I64))], ["node", "cell"])
+                        taken, common = prefix(len(s), num, den)
+                        tokens.append(s[:taken])
+                        names.append(np.full(taken, name, U64))
+                        shared.append(np.full(taken, common, np.int32))
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(tokens).view(_I64)), pa.array(np.concatenate(shared))], ["node", "token", "shared"])
 
     return run
 
 
+def _candidates(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, region) of the sets that may be linked with another; linked sets are in one region."""
+    tokens = texts.mapInArrow(_tokens(width, num, den), "node long, token long, shared int")
+    common = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows"))
+    common = common.where("low < high").select("token", "rows")
+    held = tokens.join(common, "token").groupBy("node").agg(F.collect_set(F.struct("rows", "token")).alias("held"), F.max("shared").alias("shared"))
+    held = held.where("size(held) >= shared").select("node", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.expr("size(held) - shared + 1"))).alias("t"))
+    kept = saved(held.select("node", "t.token"), "kept")
+    ends = kept.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
+    stars = kept.join(ends, "token").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    return connected_components(stars).toDF("node", "region")
+
+
 def _is_named(s: np.ndarray, node: int) -> bool:
-    """Whether the set has this name; an id that repeats with another text brings that text's set too."""
+    """Whether the set has this name."""
     return name_of(s) == node % (1 << 64)
 
 
 def _sets(width: int):
+    """(region, node, text) to (region, node, body); a task gives a node's set once."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             at = 0
             for piece in pieces(batch.column(2), lower=True):
                 n = piece.last - piece.first
-                nodes = batch.column(1).slice(at, n)
-                own = pa.array([_is_named(s, node) for s, node in zip(shingle_sets(piece, width), nodes.to_pylist(), strict=True)], pa.bool_())
-                body = pa.array([s.tobytes() for s in shingle_sets(piece, width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).filter(own), nodes.filter(own), body.filter(own)], ["region", "node", "body"])
+                regions, nodes = batch.column(0).slice(at, n), batch.column(1).slice(at, n)
+                own, body = [], []
+                for s, node in zip(shingle_sets(piece, width), nodes.to_pylist(), strict=True):
+                    own.append(_is_named(s, node) and node not in seen)
+                    if own[-1]:
+                        body.append(s.tobytes())
+                        if len(seen) < _SEEN:
+                            seen.add(node)
+                own = pa.array(own, pa.bool_())
+                yield pa.RecordBatch.from_arrays([regions.filter(own), nodes.filter(own), pa.array(body, pa.binary())], ["region", "node", "body"])
                 at += n
 
     return run
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def region_links(sets: list[np.ndarray], num: int, den: int, pivots: int = 12) -> np.ndarray:
-    """For each set the first set of its component; sets link when den * intersection >= num * union.
-
-    Exact: pivots link what lies within the threshold of them and bound the
-    other distances from below; the pairs these windows leave are found by the
-    rarest shingles of each set (a linked pair shares one of them) and compared.
-    """
-    n = len(sets)
-    union = _Union(n)
-    size = np.array([len(s) for s in sets], _I64)
-    flat = np.concatenate(sets)
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    windows = []
-    roots = np.arange(n)
-    for _ in range(min(pivots, n)):
-        loose = np.flatnonzero(np.bincount(roots, minlength=n)[roots] == 1)
-        if len(loose) < 2 - bool(windows):
-            break
-        p = int(loose[len(loose) // 2])
-        at = np.minimum(np.searchsorted(sets[p], flat), size[p] - 1)
-        both = np.add.reduceat((sets[p][at] == flat).astype(_I64), start)
-        either = size + size[p] - both
-        windows.append(both / either)
-        for x in np.flatnonzero(den * both >= num * either).tolist():
-            union.join(p, x)
-        roots = np.array([union.root(x) for x in range(n)])
-        if roots[p] == p and np.bincount(roots, minlength=n)[p] == 1 and len(windows) >= 4 and len(loose) > n // 2:
-            break  # pivots link nothing here
-    if len(np.unique(roots)) == 1:
-        return roots
-    # A prefix of the rarest shingles: any two linked sets share one of them.
-    order, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(order), _I64)
-    rank[np.lexsort((order, count))] = np.arange(len(order))
-    owner = np.repeat(np.arange(n), size)
-    ranks = rank[inverse]
-    by = np.lexsort((ranks, owner))
-    place = np.arange(len(flat)) - np.repeat(start, size)
-    keep = place < np.repeat(size - -(-size * num // den) + 1, size)
-    token, who = ranks[by][keep], owner[by][keep]
-    by = np.argsort(token, kind="stable")
-    token, who = token[by], who[by]
-    cut = np.flatnonzero(np.diff(token, prepend=-1, append=-1))
-    reach = 1 - num / den + 1e-9
-    compared: set[int] = set()
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a < 2:
-            continue
-        group = who[a:b]
-        group = group[np.argsort(size[group], kind="stable")]
-        for i in range(len(group) - 1):
-            x, rest = int(group[i]), group[i + 1 :]
-            rest = rest[(roots[rest] != roots[x]) & (num * size[rest] <= den * size[x])]
-            for w in windows:
-                if not len(rest):
-                    break
-                rest = rest[np.abs(w[rest] - w[x]) <= reach]
-            for y in rest.tolist():
-                pair = min(x, y) * n + max(x, y)
-                if pair in compared or union.root(x) == union.root(y):
-                    continue
-                compared.add(pair)
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if den * both >= num * (len(sets[x]) + len(sets[y]) - both):
-                    union.join(x, y)
-                    roots = np.array([union.root(z) for z in range(n)]) if n <= 4096 else roots
-    return np.array([union.root(x) for x in range(n)])
+def distances(pivot: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """1 - Jaccard of the pivot and each of the sets that lie in ``flat`` from ``start``."""
+    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+    both = np.add.reduceat((pivot[at] == flat).astype(_I64), start)
+    return 1 - both / (size + len(pivot) - both)
+
+
+def cells(d: np.ndarray, reach: float) -> np.ndarray:
+    """Of distances by (pivot, document), which documents each pivot's Voronoi region holds, boundary documents included."""
+    return d <= d.min(0) + 2 * reach
+
+
+class Region:
+    """Sets of one task, and for each the first set of its component as far as links are known."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, pivots: int, leaf: int):
+        self.sets, self.num, self.den, self.pivots, self.leaf = sets, num, den, pivots, leaf
+        self.reach = 1 - num / den + 1e-9
+        self.size = np.array([len(s) for s in sets], _I64)
+        self.label = np.arange(len(sets))
+
+    def link(self, x: int, others: np.ndarray) -> None:
+        found = np.unique(self.label[np.append(others, x)])
+        if len(found) > 1:
+            self.label[np.isin(self.label, found)] = found[0]
+
+    def laid(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[members]
+        return np.concatenate([self.sets[k] for k in members.tolist()]), np.cumsum(size) - size
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that link with x."""
+        flat, start = self.laid(others)
+        at = np.minimum(np.searchsorted(self.sets[x], flat), len(self.sets[x]) - 1)
+        both = np.add.reduceat((self.sets[x][at] == flat).astype(_I64), start)
+        return others[self.den * both >= self.num * (self.size[others] + self.size[x] - both)]
+
+    def join(self) -> np.ndarray:
+        regions = [np.arange(len(self.sets))]
+        while regions:
+            members = regions.pop()
+            if len(np.unique(self.label[members])) < 2:
+                continue
+            if len(members) <= self.leaf:
+                for k in range(len(members) - 1):
+                    self.compare(int(members[k]), members[k + 1 :], None)
+                continue
+            d = self.measure(members)
+            within = cells(d, self.reach)
+            parts = [members[w] for w in within if len(np.unique(self.label[members[w]])) > 1]
+            held = [len(x) for x in parts]
+            if 2 * max(held, default=0) <= len(members) and 2 * sum(held) <= 3 * len(members):
+                regions += parts
+            else:
+                self.by_rare_shingles(members, d)
+        return self.label
+
+    def measure(self, members: np.ndarray) -> np.ndarray:
+        """Distances to pivots, each as far as can be from those before it; links what they reach."""
+        flat, start = self.laid(members)
+        rows: list[np.ndarray] = []
+        at = len(members) // 2
+        for _ in range(self.pivots):
+            pivot = int(members[at])
+            rows.append(distances(self.sets[pivot], flat, start, self.size[members]))
+            near = members[rows[-1] <= self.reach]
+            self.link(pivot, self.linked(pivot, near))
+            nearest = np.min(rows, 0)
+            at = int(np.argmax(nearest))
+            if nearest[at] <= self.reach:
+                break
+        return np.array(rows)
+
+    def compare(self, x: int, others: np.ndarray, least: np.ndarray | None) -> None:
+        """Links x with those of ``others`` that differ in component, if sizes and ``least`` differing shingles of each let them."""
+        size = self.size
+        others = others[(self.label[others] != self.label[x]) & (self.num * size[others] <= self.den * size[x]) & (self.num * size[x] <= self.den * size[others])]
+        if least is not None and len(others):
+            # A link allows (size + size) * (den - num) / (den + num) differing shingles.
+            others = others[(least[others] + least[x]) * (self.den + self.num) <= (size[others] + size[x]) * (self.den - self.num)]
+        if len(others):
+            self.link(x, self.linked(x, others))
+
+    def by_rare_shingles(self, members: np.ndarray, d: np.ndarray) -> None:
+        """Compares the members that share one of the rarest shingles of each; linked sets do."""
+        flat, _ = self.laid(members)
+        size = self.size[members]
+        tokens, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        del flat
+        rank = np.empty(len(tokens), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(tokens), dtype=np.int32)
+        owner = np.repeat(np.arange(len(members), dtype=np.int32), size)
+        alone = np.zeros(len(self.sets), _I64)  # shingles that no other member has
+        alone[members] = np.bincount(owner[count[place] == 1], minlength=len(members))
+        token = rank[place]
+        order = np.lexsort((token, owner))
+        rarest = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(size + 1 + (-size * self.num) // self.den, size)
+        token, owner = token[order][rarest], owner[order][rarest]
+        del place, order, rarest
+        by = np.argsort(token, kind="stable")
+        who = owner[by]
+        new = np.append(np.flatnonzero(np.diff(token[by], prepend=-1)), len(by))
+        group = np.empty(len(by), _I64)  # of each (member, token), the token's group
+        group[by] = np.repeat(np.arange(len(new) - 1), np.diff(new))
+        bounds = np.searchsorted(owner, np.arange(len(members) + 1))
+        for x in range(len(members)):
+            own = group[bounds[x] : bounds[x + 1]]
+            spans = [who[new[g] : new[g + 1]] for g in own.tolist() if new[g + 1] - new[g] > 1]
+            if not spans:
+                continue
+            others = np.unique(np.concatenate(spans))
+            others = others[others > x]
+            others = others[(np.abs(d[:, others] - d[:, x : x + 1]) <= self.reach).all(0)]
+            self.compare(int(members[x]), members[others], alone)
+
+
+def region_links(sets: list[np.ndarray], num: int, den: int, pivots: int = 8, leaf: int = 24) -> np.ndarray:
+    """For each set the first set of its component; sets link when den * intersection >= num * union. Exact."""
+    return Region(sets, num, den, pivots, leaf).join()
 
 
 def _joined(width: int, num: int, den: int):
@@ -251,12 +300,15 @@ def _joined(width: int, num: int, den: int):
         apart = np.flatnonzero(first != np.arange(len(first)))
         return pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[first[apart]])], ["a", "b"])
 
+    def bodies_of(column):
+        if pa.types.is_binary(column.type):
+            return (x.as_py() for x in column)
+        return (s.tobytes() for piece in pieces(column, lower=True) for s in shingle_sets(piece, width))
+
     def run(batches):
         region, nodes, bodies = None, [], []
         for batch in batches:
-            column = batch.column(2)
-            sets = column.to_pylist() if pa.types.is_binary(column.type) else [s.tobytes() for piece in pieces(column, lower=True) for s in shingle_sets(piece, width)]
-            for r, node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+            for r, node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies_of(batch.column(2)), strict=True):
                 if r == region and node == nodes[-1]:
                     continue  # a repeated row
                 if not _is_named(np.frombuffer(body, U64), node):
@@ -273,105 +325,142 @@ def _joined(width: int, num: int, den: int):
     return run
 
 
+_PARTS = "parent long, region long, node long, pivot long, n long, linked boolean, home boolean, far double, near boolean"
+
+
 def _voronoi(num: int, den: int):
-    """(region, node, body, pivots) to (parent, region, node): the node's Voronoi region among the region's pivots, and those whose window holds it."""
-    reach = 2 * (1 - num / den) + 1e-9
+    """(region, node, body, pivots) to _PARTS rows, one for each Voronoi region that holds the node.
+
+    linked: with the region's pivot; far, near: the distance to the first pivot, and whether it links.
+    """
+    reach = 1 - num / den + 1e-9
 
     def run(batches):
         for batch in batches:
-            out = [[], [], []]
+            out: list[tuple] = []
             for r, node, body, pivots in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 s = np.frombuffer(body, U64)
-                d = []
-                for p in pivots:
-                    p = np.frombuffer(p["body"], U64)
-                    both = len(np.intersect1d(s, p, assume_unique=True))
-                    d.append(1 - both / (len(s) + len(p) - both))
-                home = min(d)
-                for k in [k for k, x in enumerate(d) if x <= home + reach]:
-                    out[2].append(r)
-                    out[0].append(int(mix(np.array([(r * 0x9E3779B97F4A7C15 + k + 1) % (1 << 64)], U64)).view(_I64)[0]))
-                    out[1].append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(out[2], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["parent", "region", "node"])
+                both = np.array([len(np.intersect1d(s, np.frombuffer(p["body"], U64), assume_unique=True)) for p in pivots])
+                either = np.array([len(s) + len(p["body"]) // 8 for p in pivots]) - both
+                d, linked = 1 - both / either, den * both >= num * either
+                home = int(np.argmin(d))
+                for k in np.flatnonzero(cells(d[:, None], reach)[:, 0]).tolist():
+                    region = int(mix(np.array([(r * 0x9E3779B97F4A7C15 + k + 1) % (1 << 64)], U64)).view(_I64)[0])
+                    out.append((r, region, node, pivots[k]["node"], len(s), bool(linked[k]), k == home, float(d[0]), bool(linked[0])))
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.bool_()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [f.split()[0] for f in _PARTS.split(", ")])
 
     return run
 
 
-def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> DataFrame:
-    """Deals regions of sets to Voronoi regions until each fits into ``task_shingles``.
+def _blocks(parts: DataFrame, reach: float, block: int) -> DataFrame:
+    """(region, node): regions that pivots can't part, in pairs of blocks of about ``block`` shingles.
 
-    A region whose largest part would keep over 0.7 of it, as its documents are
-    all about as far from each other, is not parted: it is joined as it is.
+    Documents linked with the first pivot come first, all in order of their
+    distance to it. Two blocks of linked documents are in one component
+    already, and blocks farther apart than ``reach`` hold no link.
     """
-    done = None
-    for _ in range(rounds):
-        weight = members.groupBy("region").agg(F.sum(F.length("body") / 8).alias("w"), F.count("*").alias("k"))
-        large = saved(weight.where((F.col("w") > task_shingles) & (F.col("k") > pivots)).select("region", "w"), "regions")
-        fit = members.join(large, "region", "left_anti")
-        done = fit if done is None else done.unionByName(fit)
+    rows = parts.where("home").withColumn("step", F.floor(F.col("far") * 1024))
+    hist = rows.groupBy("parent", "near", "step").agg(F.sum("n").alias("w"))
+    before = Window.partitionBy("parent").orderBy(F.desc("near"), "step").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    even = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)
+    rows = rows.join(hist, ["parent", "near", "step"]).withColumn("block", F.floor((F.col("before") + even * F.col("w")) / block))
+    rows = saved(rows.select("parent", "node", "block", "far", "near"), "blocks")
+    sized = rows.groupBy("parent", "block").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.min("near").alias("closed"))
+    other = sized.toDF("parent", "block2", "low2", "high2", "closed2")
+    pairs = sized.join(other, "parent").where("block <= block2 and not (closed and closed2)")
+    pairs = pairs.where((F.col("low2") - F.col("high") <= reach) & (F.col("low") - F.col("high2") <= reach))
+    pairs = pairs.select("parent", F.xxhash64("parent", "block", "block2").alias("region"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return rows.join(pairs, ["parent", "block"]).select("region", "node")
+
+
+def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(regions of at most ``task_shingles``, links found with pivots) of regions of sets, by ``cells`` or, where these don't part one, by blocks."""
+    reach = 1 - num / den + 1e-9
+    done, links = [], []
+    held = members.select("node", "body")
+    for k in range(rounds + 1):
+        weight = members.groupBy("region").agg(F.sum(F.length("body") / 8).cast("long").alias("w"))
+        large = saved(weight.where(F.col("w") > task_shingles), "regions")
+        done.append(members.join(large, "region", "left_anti"))
         if large.isEmpty():
-            return done
-        big = members.join(large.select("region"), "region")
-        drawn = big.groupBy("region").agg(*(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(pivots)))
-        drawn = drawn.select("region", F.array_distinct(F.array(*(f"p{k}" for k in range(pivots)))).alias("pivots"))
-        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), "parent long, region long, node long")
-        parts = saved(parts, "regions")  # without the sets, which go to many regions where pivots part badly
-        sizes = big.select("node", (F.length("body") / 8).alias("n"))
-        most = parts.join(sizes, "node").groupBy("parent", "region").agg(F.sum("n").alias("w")).groupBy("parent").agg(F.max("w").alias("most"))
-        parted = saved(large.join(most, large.region == most.parent).where("most <= 0.7 * w").select("parent"), "regions")
-        done = done.unionByName(big.join(parted, big.region == parted.parent, "left_anti"))
-        members = parts.join(parted, "parent").select("region", "node").join(big.select("node", "body"), "node").select("region", "node", "body")
-    return done.unionByName(members)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, task_shingles: int = 8_000_000) -> DataFrame:
-    """One row per document: id, n_shingles (long), component_id.
-
-    Documents link when ``den * intersection >= num * union`` of their sets of
-    distinct ``width``-word shingles (A-Z lower-cased; a text with fewer words
-    is one shingle). component_id is the smallest id that links reach. Null,
-    empty and blank texts have no shingles and are linked with nothing. Repeated
-    rows and equal texts are linked; a null id takes its component's smallest
-    id (null if all are null), and a text all of whose ids are null is linked
-    with equal texts alone. Other columns of ``docs`` are ignored. An empty
-    table gives no rows. Sets are compared by 64-bit shingle hashes.
+            break
+        big = members.join(large, "region")
+        drawn = big.groupBy("region").agg(*(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(pivots)))
+        drawn = drawn.select("region", F.array_distinct(F.array(*(f"p{p}" for p in range(pivots)))).alias("pivots"))
+        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), _PARTS)
+        parts = saved(parts, "parts")  # without the sets, which go to many regions where pivots part badly
+        links.append(parts.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        open_ = parts.groupBy("parent", "region").agg(F.sum("n").alias("w"), F.min("linked").alias("closed")).where("not closed")
+        fit = open_.groupBy("parent").agg(F.max("w").alias("most"), F.sum("w").alias("all"))
+        fit = saved(large.join(fit, large.region == fit.parent).select("parent", F.expr(f"{k} < {rounds} and most <= 0.7 * w and all <= 2 * w").alias("parted")), "regions")
+        halves = _blocks(parts.join(fit.where("not parted"), "parent", "left_semi"), reach, task_shingles // 2)
+        done.append(halves.join(held, "node").select("region", "node", "body"))
+        inner = parts.join(open_.select("parent", "region"), ["parent", "region"], "left_semi").join(fit.where("parted"), "parent", "left_semi")
+        members = inner.select("region", "node").join(held, "node").select("region", "node", "body")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    found = links[0] if links else out.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for part in links[1:]:
+        found = found.unionByName(part)
+    return out, found
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, task_shingles: int = 2_000_000) -> DataFrame:
+    """(id, text_hash, n, comp) of each row: size of its set and the name of its component, null for a text without words.
+
+    text_hash is xxhash64 of the text as string. Rows, links, nulls and repeats
+    are those of ``jaccard_components``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    described = saved(rows.mapInArrow(_described(width), f"id {id_type}, n long, node long"), "described")
-
-    in_cell = Window.partitionBy("cell")
-    cells = rows.select("text").mapInArrow(_celled(width, num, den), "node long, cell long")
-    cells = cells.select("node", F.min("node").over(in_cell).alias("low"), F.max("node").over(in_cell).alias("high"))
-    stars = cells.where("low < high and node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    regions = connected_components(stars).toDF("node", "region")
+    described = saved(rows.mapInArrow(_described(width), f"id {id_type}, text_hash long, n long, node long"), "described")
+    regions = _candidates(rows.select("text"), width, num, den)
 
-    # One document of each candidate set gives the set again.
-    witness = described.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    # One row of each candidate set gives the set again, if possible one with an id.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("f")
+    witness = described.where("n > 0").groupBy("node").agg(first, F.min("n").alias("n")).select("node", "n", "f.id", "f.text_hash")
     wanted = saved(witness.join(regions, "node"), "candidates")
-    del cells, stars, regions
-    release(docs.sparkSession)  # of the cells, by far the largest shuffle
+    del regions
+    release(docs.sparkSession)  # of the tokens, by far the largest shuffle
     large = wanted.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles).select("region")
-    split = not large.isEmpty()
-    texts = rows.join(wanted.hint("shuffle_hash"), "id").select("region", "node", "text")
+    wanted_ids = wanted.select(F.col("id").alias("id2"), "text_hash", "region", "node").hint("shuffle_hash")
+    texts = rows.join(wanted_ids, (rows.id.eqNullSafe(F.col("id2"))) & (rows.text_hash == wanted_ids.text_hash)).select("region", "node", "text")
 
     def joined(members: DataFrame) -> DataFrame:
         return members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")
 
-    if split:
-        big = texts.join(large, "region").select("region", "node", "text")
-        big = big.mapInArrow(_sets(width), "region long, node long, body binary")
-        edges = joined(texts.join(large, "region", "left_anti")).union(joined(_dealt(saved(big, "members"), num, den, task_shingles)))
-        comp = connected_components(edges)  # Voronoi regions overlap
-    else:
+    if large.isEmpty():
         # Candidate regions are apart, so the stars made in one are components already.
         comp = saved(joined(texts), "edges").toDF("node", "comp")
+    else:
+        sets = texts.join(large, "region", "left_semi").mapInArrow(_sets(width), "region long, node long, body binary")
+        parts, links = _dealt(saved(sets, "members"), num, den, task_shingles)
+        comp = connected_components(joined(texts.join(large, "region", "left_anti")).union(joined(parts)).union(links))
     del texts
     release(docs.sparkSession)
-    sets = described.where("n > 0").groupBy("node").agg(F.min("id").alias("low")).join(comp, "node", "left")
-    sets = sets.select("node", "low", F.coalesce("comp", "node").alias("comp"))
-    lowest = sets.groupBy("comp").agg(F.min("low").alias("component_id"))
-    sets = sets.join(lowest, "comp").select("node", "component_id")
-    linked = described.where("n > 0").select("id", "n", "node").join(sets, "node").select("id", "n", "component_id")
-    alone = described.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    found = described.join(comp, "node", "left")
+    return found.select("id", "text_hash", "n", F.expr("case when n > 0 then coalesce(comp, node) end").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, task_shingles: int = 2_000_000) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles (long), component_id.
+
+    Rows link when ``den * intersection >= num * union`` of their sets of
+    distinct ``width``-word shingles (A-Z lower-cased; a text with fewer words
+    is one shingle). component_id is the smallest id that links reach. Null,
+    empty and blank texts have no shingles and are linked with nothing; their
+    component_id is their id. Equal texts are linked. A row is a document of
+    its own, whatever its id: ids that repeat with different texts are linked
+    by their texts alone, repeated rows give repeated results, and a null id
+    links like others and takes its component's smallest id (null if all are
+    null). Texts of any length are taken whole. Columns other than the two are
+    ignored. An empty table gives no rows. Sets are compared by 64-bit hashes.
+    """
+    rows = jaccard_classes(docs, id_col, text_col, width=width, num=num, den=den, task_shingles=task_shingles)
+    lowest = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    rows = rows.join(lowest, "comp", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

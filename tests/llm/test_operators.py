@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import words as W
 from pathloom.llm.components import connected_components
 from pathloom.llm.decontaminate import contaminated
-from pathloom.llm.jaccard_join import jaccard_components, region_links
+from pathloom.llm.jaccard_join import jaccard_components, prefix, region_links
 from pathloom.llm.licenses import RULES, SENTENCES, known_sentences, scan_licenses
 from pathloom.llm.packing import ByteBpe, SumOfSquares, pack
 from pathloom.llm.quality import fit_quality, grade_quality
@@ -106,23 +106,65 @@ def brute_components(rows, width, num, den):
     return sorted((-1 if d is None else d, len(sets[i]), low.get(root(i), -1)) for i, (d, *_) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "num", "den", "task"), [(3, 90, 100, 8_000_000), (5, 80, 100, 5_000)])
-def test_jaccard_join(docs, corpus, width, num, den, task):
+def bridged():
+    """Ids that repeat with other texts, a text without an id between two others, one line in half of all texts, and a chain of drifting copies."""
+    r = random.Random(8)
+    base = lines(120, 31).split()
+    drift = [list(base)]
+    for k in range(60):
+        drift.append(list(drift[-1]))
+        drift[-1][r.randrange(120)] = f"d{k}"
+    rows = [(i, " ".join(w)) for i, w in enumerate(drift)]
+    rows += [(5, lines(80, 41)), (5, lines(80, 42)), (700, lines(80, 41) + " more"), (701, lines(80, 42) + " more"), (5, lines(80, 42))]
+    near = lines(100, 43).split()
+    rows += [(710, " ".join(near)), (None, " ".join([*near[:97], "a1", "a2", "a3"])), (711, " ".join(["b1", "b2", "b3", *near[3:97], "a1", "a2", "a3"]))]
+    line = lines(40, 44)
+    rows += [(800 + k, f"{line} {lines(12, 4000 + k)}" + (" x" if k % 3 else "")) for k in range(60)]
+    rows += [(900 + k, f"{lines(12, 4000 + k)} {line}") for k in range(60)]
+    return [*rows, (None, lines(30, 45)), (None, lines(30, 45)), (None, None)]
+
+
+@pytest.mark.parametrize(("width", "num", "den", "task"), [(3, 90, 100, 8_000_000), (5, 80, 100, 5_000), (3, 50, 100, 400), (3, 30, 100, 10**6)])
+def test_jaccard_join(spark, docs, corpus, width, num, den, task):
     out = jaccard_components(docs, width=width, num=num, den=den, task_shingles=task)
     got = sorted(tuple(-1 if x is None else x for x in r) for r in out.collect())
     assert got == brute_components(corpus, width, num, den)
-
-
-def test_region_links():
+    rows = bridged()
+    other = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_components(other, width=width, num=num, den=den, task_shingles=task)
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in out.collect()) == brute_components(rows, width, num, den)
+
+
+def test_prefix():
+    """Linked sets share as many of their taken hashes as ``prefix`` says."""
+    r = np.random.RandomState(2)
+    for num in (30, 50, 67, 80, 90, 100):
+        for _ in range(300):
+            both, a, b = r.randint(1, 60), r.randint(0, 12), r.randint(0, 12)
+            if 100 * both < num * (both + a + b):
+                continue
+            order = r.permutation(both + a + b)
+            one, two = np.sort(order[: both + a]), np.sort(np.append(order[:both], order[both + a :]))
+            (take1, shared1), (take2, shared2) = prefix(len(one), num, 100), prefix(len(two), num, 100)
+            assert take1 <= len(one)
+            assert len(np.intersect1d(one[:take1], two[:take2])) >= max(shared1, shared2)
+
+
+@pytest.mark.parametrize("leaf", [2, 24])
+def test_region_links(leaf):
     r = np.random.RandomState(1)
-    base = np.unique(r.randint(0, 1 << 60, 300).astype(np.uint64))
-    sets = [np.unique(np.concatenate((base[r.rand(len(base)) > k / 200], r.randint(0, 1 << 60, k).astype(np.uint64)))) for k in range(40)]
-    got = region_links(sets, 80, 100)
-    for i in range(40):
+    sets = []
+    for _ in range(4):
+        base = np.unique(r.randint(0, 1 << 60, 300).astype(np.uint64))
+        sets += [np.unique(np.concatenate((base[r.rand(len(base)) > k / 200], r.randint(0, 1 << 60, k).astype(np.uint64)))) for k in range(40)]
+    got = region_links(sets, 80, 100, leaf=leaf)
+    up = np.arange(len(sets))
+    for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                assert got[i] == got[j]
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and up[i] != up[j]:
+                up[up == max(up[i], up[j])] = min(up[i], up[j])
+    assert got.tolist() == up.tolist()
 
 
 def test_packing(docs, corpus):
