@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.decontaminate import contaminated
-from pathloom.llm.jaccard_join import jaccard_components
+from pathloom.llm.jaccard_join import jaccard_classes
 from pathloom.llm.packing import pack
 from pathloom.llm.storage import saved, ship_library, table
 from pathloom.llm.substring_dedup import remove_repeats
@@ -28,13 +28,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a 5-word shingle Jaccard of 0.8 or more, one of each group stays: that with the smallest id.
 
-    An id that repeats stays once; documents without an id can't be told apart and stay.
+    Ids may be null or repeat: a row is judged by its text, rows with an id go
+    before those without, and of rows of one id and text one stays. Texts
+    without words are linked with nothing, so all of them stay, repeats too.
     """
     ship_library(spark)
-    groups = jaccard_components(docs, width=5, num=80, den=100)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = jaccard_classes(docs, width=5, num=80, den=100).select("n", "comp", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash").alias("row"))
+    first = rows.where("n > 0").groupBy("comp").agg(F.min("row").alias("row"))
+    stay = first.union(rows.where("n = 0").select(F.lit(None).cast("long").alias("comp"), "row").distinct())
+    stay = stay.select(F.xxhash64("row.id", "row.text_hash").alias("_key"), F.col("comp").isNull().alias("_all"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("string"))))
+    keyed = keyed.join(stay, "_key")
+    once = keyed.where("not _all").dropDuplicates(["_key"])
+    return once.unionByName(keyed.where("_all")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
