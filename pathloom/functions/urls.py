@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .values import Activation, canonical_form, classify, lower_each, placeholder, registrable_domain, render_param, singularize
+from .values import Activation, canonical_form, classify, lower_each, param_name_hint, placeholder, registrable_domain, singularize
 
 _STRIP = " \t\r\n\x0b\x0c\x00"
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+\-.]*):"
@@ -60,6 +60,14 @@ def query_params(query: Column) -> Column:
     return F.when(query.isNull() | (query == ""), F.array().cast(_PARAM)).otherwise(F.when(F.size(names) == F.size(pairs), pairs).otherwise(last))
 
 
+_FIELDS = ("original", "kind", "scheme", "host", "port", "path_segments", "query", "params", "fragment", "nss", "canonical", "error")
+
+
+def parsed() -> Column:
+    """The fields that ``parse_fields`` gives as one struct. Of a field of it alone, no more than that is computed."""
+    return F.struct(*(F.col(f"_i_{name}").alias(name) for name in _FIELDS))
+
+
 def parse_urls(df: DataFrame, col: str = "url", out: str = "iri") -> DataFrame:
     """``df`` plus a struct: original, kind (url or urn), scheme, host, port, path_segments, query, params, fragment, nss, canonical, error.
 
@@ -67,6 +75,11 @@ def parse_urls(df: DataFrame, col: str = "url", out: str = "iri") -> DataFrame:
     original are null. Null input is an error like empty input. A port beyond
     64 bits is an error. All columns pass through.
     """
+    return parse_fields(df, col).select(*df.columns, parsed().alias(out))
+
+
+def parse_fields(df: DataFrame, col: str = "url") -> DataFrame:
+    """``df`` plus the fields of ``parse_urls`` as columns of their own, each behind a fence, so that those nobody reads are pruned."""
     base = df.select(*df.columns, F.coalesce(F.btrim(F.col(col), F.lit(_STRIP)), F.lit("")).alias("_x"))
     base = base.select(*df.columns, "_x", F.regexp_extract("_x", _SCHEME, 1).alias("_s"))
     has = F.col("_s") != ""
@@ -107,29 +120,44 @@ def parse_urls(df: DataFrame, col: str = "url", out: str = "iri") -> DataFrame:
     tail = F.concat(F.when(F.col("_q").isNotNull() & (F.col("_q") != ""), F.concat(F.lit("?"), "_q")).otherwise(""), F.when(F.col("_f").isNotNull() & (F.col("_f") != ""), F.concat(F.lit("#"), "_f")).otherwise(""))
     whole = F.concat("_s", F.lit("://"), "_h", F.when(F.col("_p").isNotNull(), F.concat(F.lit(":"), F.col("_p").cast("string"))).otherwise(""), F.when(F.size("_g") > 0, F.concat(F.lit("/"), F.array_join("_g", "/"))).when(tail != "", "/").otherwise(""), tail)
     canonical = F.when(u, whole).when(F.col("_e").isNull(), F.concat("_s", F.lit(":"), "_n"))
-    return base.select(
-        *df.columns,
-        fenced(F.struct(
-            F.col(col).alias("original"), F.when(u, "url").when(F.col("_e").isNull(), "urn").alias("kind"), F.col("_s").alias("scheme"), F.col("_h").alias("host"), F.col("_p").alias("port"),
-            F.col("_g").alias("path_segments"), F.when(u, F.col("_q")).alias("query"), F.col("_a").alias("params"), F.when(u, F.col("_f")).alias("fragment"), F.col("_n").alias("nss"), canonical.alias("canonical"), F.col("_e").alias("error"),
-        )).alias(out),
-    )
+    fields = {
+        "original": F.col(col), "kind": F.when(u, "url").when(F.col("_e").isNull(), "urn"), "scheme": F.col("_s"), "host": F.col("_h"), "port": F.col("_p"), "path_segments": F.col("_g"),
+        "query": F.when(u, F.col("_q")), "params": F.col("_a"), "fragment": F.when(u, F.col("_f")), "nss": F.col("_n"), "canonical": canonical, "error": F.col("_e"),
+    }
+    return base.select(*df.columns, *(fenced(fields[name]).alias(f"_i_{name}") for name in _FIELDS))
+
+
+def walled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these columns behind a generator of one row, for keys of joins.
+
+    For the key of a join Catalyst looks for a partitioned table by writing the
+    key as an expression over each plan below, which doubles it again and again
+    where steps read columns several times. It doesn't look through a generator.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_w")).select(*others, *(F.col("_w")[n].alias(n) for n in names))
 
 
-def with_types(df: DataFrame, activations: Sequence[Activation] = (), *, iri: str = "iri") -> DataFrame:
+def with_types(df: DataFrame, activations: Sequence[Activation] = (), *, iri: Column | str = "iri") -> DataFrame:
     """``df`` plus parts, types and entries: array of (value, type, variable, hint).
 
     parts are the path segments of a URL; of a URN, its namespace and value.
     entries are null where parsing failed.
     """
-    i = F.col(iri)
+    i = F.col(iri) if isinstance(iri, str) else iri
     ns, value = _cut(i["nss"], ":")
     parts = F.when(i["kind"] == "url", i["path_segments"]).when(i["kind"] == "urn", F.array_compact(F.array(ns, value)))
-    df = df.withColumn("parts", parts)
-    df = df.withColumn("types", F.transform("parts", lambda s: classify(s, activations)))
-    df = df.withColumn("_hints", F.transform("parts", lambda s, k: F.when((k > 0) & F.get("types", k).isin(L.HINTED_TYPES) & (F.get("types", k - 1) == "literal"), F.concat(singularize(F.get("parts", k - 1)), F.when(F.get("types", k) == "uuid", "_uuid").otherwise("_id")))))
-    entry = F.transform("parts", lambda s, k: F.struct(s.alias("value"), F.get("types", k).alias("type"), (F.get("types", k) != "literal").alias("variable"), F.get("_hints", k).alias("hint")))
-    return df.withColumn("entries", fenced(entry)).drop("_hints")
+    # Fenced, as an entry reads types of other parts: inlined into the entries they would be found again for each.
+    df = df.withColumn("parts", fenced(parts))
+    df = df.withColumn("types", fenced(F.transform("parts", lambda s: classify(s, activations))))
+
+    def entry(s: Column, k: Column) -> Column:
+        t = F.get("types", k)
+        hinted = (k > 0) & t.isin(L.HINTED_TYPES) & (F.get("types", k - 1) == "literal")
+        hint = F.when(hinted, F.concat(singularize(F.get("parts", k - 1)), F.when(t == "uuid", "_uuid").otherwise("_id")))
+        return F.struct(s.alias("value"), t.alias("type"), (t != "literal").alias("variable"), hint.alias("hint"))
+
+    return df.withColumn("entries", fenced(F.transform("parts", entry)))
 
 
 def _token(e: Column, hints: bool, canonical: bool) -> Column:
@@ -144,8 +172,10 @@ def path_shape(entries: Column, hints: bool = True, canonical: bool = False) ->
 
 def locators(entries: Column) -> Column:
     """For each entry the way that leads to it: ``/`` and a token for each entry before it, with raw type names."""
-    raw = F.transform(entries, lambda e: F.concat(F.lit("/"), F.when(e["variable"], F.concat(F.lit("{"), e["type"], F.lit("}"))).otherwise(e["value"])))
-    return F.transform(entries, lambda e, k: F.array_join(F.slice(raw, F.lit(1), k), ""))
+    def step(a: Column, e: Column) -> Column:
+        return F.array_append(a, F.concat(F.element_at(a, -1), F.lit("/"), F.when(e["variable"], F.concat(F.lit("{"), e["type"], F.lit("}"))).otherwise(e["value"])))
+
+    return F.aggregate(entries, F.array(F.lit("")), step, lambda a: F.slice(a, F.lit(1), F.size(a) - 1))
 
 
 def keying_host(host: Column, strategy: str = "full") -> Column:
@@ -158,24 +188,45 @@ def keying_host(host: Column, strategy: str = "full") -> Column:
     raise ValueError(f"unknown host strategy: {strategy}")
 
 
-def with_shapes(df: DataFrame, strategy: str = "full", *, iri: str = "iri") -> DataFrame:
+def with_shapes(df: DataFrame, strategy: str = "full", *, iri: Column | str = "iri") -> DataFrame:
     """``df`` (after ``with_types``) plus shape, raw_shape, keying_host, cluster_key and cluster_shape."""
-    i = F.col(iri)
+    i = F.col(iri) if isinstance(iri, str) else iri
     url = i["kind"] == "url"
-    df = df.withColumn("shape", F.when(url, path_shape(F.col("entries"))).when(i["kind"] == "urn", "/")).withColumn("raw_shape", F.when(url, path_shape(F.col("entries"), False)).when(i["kind"] == "urn", "/"))
-    df = df.withColumn("keying_host", F.when(url, keying_host(i["host"], strategy)).when(i["kind"] == "urn", ""))
+    df = df.withColumn("shape", fenced(F.when(url, path_shape(F.col("entries"))).when(i["kind"] == "urn", "/"))).withColumn("raw_shape", fenced(F.when(url, path_shape(F.col("entries"), False)).when(i["kind"] == "urn", "/")))
+    df = df.withColumn("keying_host", fenced(F.when(url, keying_host(i["host"], strategy)).when(i["kind"] == "urn", "")))
     last = F.get("entries", F.lit(1))
     value = F.when(last["value"].isNull() | (last["value"] == ""), "").when(~last["variable"], last["value"]).otherwise(F.coalesce(F.concat(F.lit("{"), last["hint"], F.lit("}")), F.concat(F.lit("{"), last["type"], F.lit("}"))))
     key = F.when(url, F.concat(i["scheme"], F.lit("://"), "keying_host", "shape")).when(i["kind"] == "urn", F.concat(i["scheme"], F.lit(":"), F.get("parts", F.lit(0)), F.lit(":"), value))
-    df = df.withColumn("cluster_key", key)
+    df = df.withColumn("cluster_key", fenced(key))
     return df.withColumn("cluster_shape", F.when(url, F.col("shape")).otherwise(F.col("cluster_key")))
 
 
-def normalized(entries: Column, iri: Column, hints: bool = True, path: Column | None = None, query: Column | None = None) -> Column:
-    """The normal form of a URL or URN; null where parsing failed. ``path`` and ``query`` replace the mechanical ones."""
-    path = path_shape(entries, hints, True) if path is None else path
-    rendered = F.transform(F.array_sort(iri["params"]), lambda p: F.concat(p["name"], F.lit("="), render_param(p["name"], p["value"], classify(F.coalesce(p["value"], F.lit(""))))))
-    query = F.array_join(rendered, "&") if query is None else query
+def with_params(df: DataFrame, *, iri: Column | str = "iri", out: str = "typed_params") -> DataFrame:
+    """``df`` plus the parameters by name: array of (name, value, type, lifted, form).
+
+    type is by the value alone, lifted by its name too, form the canonical one
+    or null; a null value counts as empty. Each step reads fields of the one
+    before, so that no rule is stated twice.
+    """
+    i = F.col(iri) if isinstance(iri, str) else iri
+    p = F.transform(F.array_sort(i["params"]), lambda p: F.struct(p["name"].alias("name"), F.coalesce(p["value"], F.lit("")).alias("value")))
+    p = F.transform(p, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), classify(p["value"]).alias("type")))
+    p = F.transform(p, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), p["type"].alias("type"), F.coalesce(param_name_hint(p["name"], p["type"]), p["type"]).alias("lifted")))
+    p = F.transform(p, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), p["type"].alias("type"), p["lifted"].alias("lifted"), canonical_form(p["lifted"], p["value"]).alias("form")))
+    return df.withColumn(out, fenced(p))
+
+
+def rendered(p: Column) -> Column:
+    """A parameter's value as it is normalised: canonical, a placeholder, or itself."""
+    return F.coalesce(p["form"], F.when(p["lifted"] != "literal", placeholder(p["lifted"])), p["value"])
+
+
+def rendered_query(params: Column) -> Column:
+    return F.array_join(F.transform(params, lambda p: F.concat(p["name"], F.lit("="), rendered(p))), "&")
+
+
+def normalized(entries: Column, iri: Column, path: Column, query: Column, hints: bool = True) -> Column:
+    """The normal form of a URL or URN from its rendered path and query; null where parsing failed."""
     url = F.concat(iri["scheme"], F.lit("://"), iri["host"], F.when(iri["port"].isNotNull(), F.concat(F.lit(":"), iri["port"].cast("string"))).otherwise(""), path, F.when(F.size(iri["params"]) > 0, F.concat(F.lit("?"), query)).otherwise(""))
     shaped = F.concat(F.lit("urn:"), F.get(entries, F.lit(0))["value"], F.lit(":"), _token(F.get(entries, F.lit(1)), hints, True))
     return F.when(iri["kind"] == "url", url).when((iri["scheme"] == "urn") & (F.size(entries) == 2), shaped).otherwise(iri["canonical"])
@@ -183,5 +234,5 @@ def normalized(entries: Column, iri: Column, hints: bool = True, path: Column |
 
 def normalize_urls(df: DataFrame, col: str = "url", out: str = "normalized", *, hints: bool = True, activations: Sequence[Activation] = ()) -> DataFrame:
     """``df`` plus the normal form of a URL column; null where it cannot be parsed."""
-    typed = with_types(parse_urls(df, col, "_iri"), activations, iri="_iri")
-    return typed.select(*df.columns, normalized(F.col("entries"), F.col("_iri"), hints).alias(out))
+    typed = with_params(with_types(parse_fields(df, col), activations, iri=parsed()), iri=parsed(), out="_params")
+    return typed.select(*df.columns, normalized(F.col("entries"), parsed(), path_shape(F.col("entries"), hints, True), rendered_query(F.col("_params")), hints).alias(out))

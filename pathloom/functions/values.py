@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 
+_PLAIN = r"^[a-z]+\z"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: (prefix, type) of a recognizer that was activated: prefix and ASCII letters or digits to the end.
@@ -96,13 +97,13 @@ def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
     y, m, d = (F.regexp_extract(v, L.COMPACT_DATE, k) for k in (1, 2, 3))
     slug = F.when(_like(v, L.SLUG), "slug")
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    octets = F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255)
+    octets = ~_like(v, r"(?:^|\.)(?:2(?:5[6-9]|[6-9][0-9])|[3-9][0-9]{2})(?:\.|\z)")  # no part above 255
     a, b = F.regexp_extract(v, L.COORDINATE, 1).try_cast("double"), F.regexp_extract(v, L.COORDINATE, 2).try_cast("double")
     placed = (a.between(-90, 90) & b.between(-180, 180)) | (a.between(-180, 180) & b.between(-90, 90))
     c = (
         F.when(v == "", "literal")
         .when((length == 36) & _like(v, L.UUID), "uuid")
-        .when(_like(v, L.DATE_ISO) | _like(v, L.DATE_SLASH) | _like(v, L.DATE_US), "date")
+        .when(length.between(8, 10) & ((v.contains("-") & _like(v, L.DATE_ISO)) | (v.contains("/") & (_like(v, L.DATE_SLASH) | _like(v, L.DATE_US)))), "date")
         .when(
             _like(v, L.INTEGER),
             F.when(number.between(10**9, 10**10 - 1) | number.between(10**12, 10**13 - 1), "timestamp").when((length == 8) & _plausible(y, m, d), "date").otherwise("integer"),
@@ -111,7 +112,9 @@ def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
     for prefix, kind in activations:
         c = c.when(v.startswith(prefix) & _like(F.substring(v, len(prefix) + 1, 1 << 30), r"^[A-Za-z0-9]+\z"), kind)
     return (
-        c.when(v.startswith("ey") & (length > 4) & _like(v, L.JWT), "jwt")
+        # The most frequent kind first: no rule before that of literals holds for these.
+        c.when(length.between(6, 31) & _like(v, _PLAIN), "literal")
+        .when(v.startswith("ey") & (length > 4) & _like(v, L.JWT), "jwt")
         .when(v.startswith("#") & _like(v, L.COLOR_HEX), "color")
         .when(v.contains("://") & _like(v, L.URL), "url")
         .when(v.contains("@") & _like(v, L.EMAIL), "email")
@@ -123,17 +126,17 @@ def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
         .when((length >= 32) & _like(v, L.HASH), "hash")
         .when(v.startswith("v") & _like(v, L.VERSION), "version")
         .when(length.between(4, 5) & _like(v, L.BOOLEAN), "boolean")
-        .when(_like(v, L.LOCALE), F.when(one_of(F.regexp_extract(v, L.LOCALE, 1), L.LANGUAGES), "locale").otherwise(F.coalesce(slug, F.lit("literal"))))
-        .when(_like(v, L.LOCALE_BARE), F.when(one_of(v, L.LANGUAGES), "locale").otherwise("literal"))
-        .when(_like(v, L.ISO_TIME), "timestamp")
+        .when(length.between(5, 8) & _like(v, L.LOCALE), F.when(one_of(F.regexp_extract(v, L.LOCALE, 1), L.LANGUAGES), "locale").otherwise(F.coalesce(slug, F.lit("literal"))))
+        .when((length == 2) & _like(v, L.LOCALE_BARE), F.when(one_of(v, L.LANGUAGES), "locale").otherwise("literal"))
+        .when(v.contains(":") & _like(v, L.ISO_TIME), "timestamp")
         .when(v.startswith("+") & _like(v, L.PHONE), F.when(digits.between(7, 15), "phone").otherwise("opaque_id"))
         .when((v.contains("-") | v.contains(".") | v.startswith("(")) & _like(v, L.PHONE_NANP), "phone")
-        .when(_like(v, L.FLOAT), "float")
+        .when(v.contains(".") & _like(v, L.FLOAT), "float")
         .when((length == 3) & _like(v, L.CURRENCY), F.when(canonical_currency(v).isNotNull(), "currency").otherwise("literal"))
         .when((length == 2) & _like(v, L.COUNTRY), F.when(one_of(v, L.COUNTRIES), "country").otherwise("literal"))
         .when((length >= 16) & (v.contains("=") | v.contains("+") | v.contains("/")) & _like(v, L.BASE64), "base64")
         .when(v.contains(".") & _like(v, L.FILE), F.when(_extension_known(v), "file").otherwise(F.coalesce(slug, F.lit("opaque_id"))))
-        .when(_like(v, L.SLUG), "slug")
+        .when((v.contains("-") | v.contains("_")) & _like(v, L.SLUG), "slug")
         .when(_like(v, L.LITERAL), "literal")
         .when(_like(v, L.OPAQUE), "opaque_id")
         .otherwise("literal")
@@ -159,19 +162,14 @@ def canonical_form(t: Column, v: Column) -> Column:
     return F.when(t == "date", canonical_date(v)).when(t == "currency", canonical_currency(v))
 
 
-def render_param(name: Column, v: Column, t: Column) -> Column:
-    """A parameter value as it is normalised: canonical, a placeholder, or itself. ``t`` is its type; null values count as empty."""
-    value = F.coalesce(v, F.lit(""))
-    lifted = F.coalesce(param_name_hint(name, t), t)
-    return F.coalesce(canonical_form(lifted, value), F.when(lifted != "literal", placeholder(lifted)), value)
-
-
 def singularize(w: Column) -> Column:
     """The singular of an English word by irregular forms and ordered rules; unknown words stay."""
     low = F.lower(w)
     irregular = lookup(L.IRREGULAR, low)
     cased = F.when(w == F.upper(w), F.upper(irregular)).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.concat(F.upper(F.substring(irregular, 1, 1)), F.substring(irregular, 2, 1 << 30))).otherwise(irregular)
-    c = F.when((w == "") | one_of(low, L.UNCOUNTABLE), w).when(irregular.isNotNull(), cased)
+    c = F.when((w == "") | one_of(low, [*L.UNCOUNTABLE, *L.IRREGULAR]), F.when((w == "") | one_of(low, L.UNCOUNTABLE), w).otherwise(cased))
+    # No rule but the last holds for these, and none at all for words with another end than the rules have.
+    c = c.when(_like(w, r"(?iu)[^aesuw]s\z"), F.substring(w, F.lit(1), F.length(w) - 1)).when(~_like(w, r"(?iu)[ains]\z"), w)
     for pattern, to in L.SINGULAR_RULES:
         c = c.when(_like(w, pattern), F.regexp_replace(w, pattern, to))
     return c.otherwise(w)

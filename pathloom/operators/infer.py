@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.values import param_name_hint
-from .views import PARAM, POSITION, Observed, cluster_param_types, cluster_param_values, clusters, numeric_stats, position_types, position_values
+from .views import PARAM, POSITION, Observed, cluster_param_values, clusters, counted, first_come
 
 
 def position_evidence(o: Observed, cap: int = L.VALUE_CAP) -> tuple[DataFrame, DataFrame]:
-    """(positions, values): totals, variable share and cardinality of each position; the count of each tracked value."""
-    values = position_values(o, cap).select(*POSITION, "value", F.col("n").alias("value_count"))
-    totals = position_types(o).groupBy(*POSITION).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("type") != "literal", F.col("n")).otherwise(0)).alias("variable_count"))
-    cards = values.groupBy(*POSITION).agg(F.count("*").alias("cardinality"))
-    return totals.join(cards, POSITION), values
+    """(positions, values): totals, variable share and cardinality of each position; the count of each tracked value.
+
+    Both come from one count of distinct values, so their shuffle is shared.
+    """
+    c = counted(o.segments, POSITION)
+    free = F.sum(F.when(F.col("type") != "literal", F.col("n")).otherwise(0))
+    positions = c.groupBy(*POSITION).agg(F.sum("n").alias("total"), free.alias("variable_count"), F.least(F.count("*"), F.lit(cap)).alias("cardinality"))
+    return positions, first_come(c, POSITION, cap).select(*POSITION, "value", F.col("n").alias("value_count"))
 
 
 def verdict(t: Column, total: Column, variable_count: Column, cardinality: Column, value_count: Column) -> Column:
@@ -45,20 +48,28 @@ def explained(segments: DataFrame, positions: DataFrame, values: DataFrame) -> D
 
 
 def param_stats(o: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
-    """One row a (cluster, parameter): counts by type and value in the form the ladder reads."""
+    """One row a (cluster, parameter): counts by type and value in the form the ladder reads, all from one count of distinct values."""
     n, t = F.col("n"), F.col("type")
+    c = counted(o.params, PARAM)
+    number = F.when(t.isin("integer", "float"), F.col("value").try_cast("double"))
+    c = c.withColumn("x", F.when(F.abs(number) < float("inf"), number))
+    num_n = F.when(F.col("x").isNotNull(), n)
+    types = c.groupBy(*PARAM, "type").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.sum(num_n).alias("xn"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.col("x") * n).alias("xs"))
 
     def of(kind: str) -> Column:
         return F.sum(F.when(t == kind, n).otherwise(0))
 
-    types = cluster_param_types(o).groupBy(*PARAM).agg(
+    stats = types.groupBy(*PARAM).agg(
         F.sum("n").alias("total"),
         F.min_by("type", F.struct(-n, t)).alias("dominant"),
         F.min_by(F.when(t != "date", t), F.when(t != "date", F.struct(-n, t))).alias("dominant_undated"),
         of("date").alias("dates"), of("integer").alias("integers"), of("float").alias("floats"),
+        F.least(F.sum("d"), F.lit(cap)).alias("cardinality"),
+        F.sum("xn").alias("num_count"), F.min("lo").alias("num_min"), F.max("hi").alias("num_max"), F.sum("xs").alias("num_sum"),
     )
-    values = cluster_param_values(o, cap).groupBy(*PARAM).agg(F.count("*").alias("cardinality"), F.count_if(n >= 3).alias("established"), F.sum(F.when(n >= 3, n).otherwise(0)).alias("established_count"))
-    return types.join(values, PARAM).join(numeric_stats(o.params, PARAM), PARAM, "left")
+    stats = stats.withColumn("num_avg", F.col("num_sum") / F.col("num_count"))
+    often = first_come(c, PARAM, cap).where(n >= 3).groupBy(*PARAM).agg(F.count("*").alias("established"), F.sum("n").alias("established_count"))
+    return stats.join(often, PARAM, "left").fillna(0, ["established", "established_count"])
 
 
 def ladder(name: Column) -> Column:

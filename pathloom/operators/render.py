@@ -6,40 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.urls import normalized
-from ..functions.values import canonical_form, placeholder, render_param, singularize
+from ..functions.urls import fenced, normalized, rendered
+from ..functions.values import canonical_form, param_name_hint, placeholder, singularize
 from ..sources.tables import kept
 from .infer import explained, ladder, param_stats, position_evidence, verdict
 from .views import PARAM, POSITION, Observed
 
 
-def _segment_token(hints: bool) -> Column:
-    """What a path segment becomes, from its columns and verdict."""
+def _segment_tokens(s: DataFrame, hints: bool) -> DataFrame:
+    """(obs_id, pos, token) of path segments with their verdicts. What several rules read is a fenced column, so that none is stated twice."""
     c = F.col
     literals = F.filter(F.split(c("locator"), "/"), lambda p: (p != "") & ~p.startswith("{"))
-    named = F.when(F.size(literals) > 0, F.concat(F.lit("{"), singularize(F.element_at(literals, -1)), F.lit("}"))) if hints else F.lit(None)
-    inferred = F.coalesce(named, F.lit("{value}"))
-    hinted = F.concat(F.lit("{"), c("hint"), F.lit("}")) if hints else F.lit(None)
-    shown = F.when(c("type") != "literal", F.coalesce(hinted, placeholder(c("type")))).otherwise(inferred)
     free = c("verdict").isin("variable_identifier", "corpus_inferred_variable")
-    return F.coalesce(canonical_form(c("type"), c("value")), F.when(free, shown).otherwise(c("value")))
+    s = s.select("obs_id", "pos", "value", "type", "hint", fenced(free).alias("free"), fenced(canonical_form(c("type"), c("value"))).alias("form"), fenced(F.try_element_at(literals, F.lit(-1))).alias("before"))
+    inferred = F.coalesce(F.concat(F.lit("{"), singularize(c("before")), F.lit("}")), F.lit("{value}")) if hints else F.lit("{value}")
+    s = s.withColumn("inferred", fenced(F.when(c("free") & (c("type") == "literal"), inferred)))
+    shown = F.when(c("type") == "literal", c("inferred")).otherwise(F.coalesce(F.concat(F.lit("{"), c("hint"), F.lit("}")), placeholder(c("type"))) if hints else placeholder(c("type")))
+    return s.select("obs_id", "pos", F.coalesce("form", F.when(c("free"), shown).otherwise(c("value"))).alias("token"))
 
 
-def _param_token() -> Column:
-    """What a parameter value becomes, from its columns and those of its cluster's statistics."""
+def _param_tokens(p: DataFrame) -> DataFrame:
+    """(obs_id, name, token) of parameters with their cluster's statistics: by these from MIN_OBSERVATIONS on, else by value and name alone."""
     c = F.col
-    informed = F.coalesce(canonical_form(c("param_type"), c("value")), F.when(c("param_type") != "literal", placeholder(c("param_type"))), c("value"))
-    return F.concat("name", F.lit("="), F.when(c("total") >= L.MIN_OBSERVATIONS, informed).otherwise(render_param(c("name"), c("value"), c("type"))))
+    lifted = F.when(c("total") >= L.MIN_OBSERVATIONS, c("param_type")).otherwise(F.coalesce(param_name_hint(c("name"), c("type")), c("type")))
+    p = p.select("obs_id", "name", "value", fenced(lifted).alias("lifted"))
+    p = p.withColumn("form", fenced(canonical_form(c("lifted"), c("value"))))
+    return p.select("obs_id", "name", F.concat("name", F.lit("="), rendered(F.struct("value", "lifted", "form"))).alias("token"))
 
 
 def _assembled(urls: DataFrame, segments: DataFrame, params: DataFrame, hints: bool) -> DataFrame:
-    """(obs_id, normalized) from segments with a verdict and params with a token; both go back to their URLs by obs_id."""
-    s = segments.select("obs_id", "pos", _segment_token(hints).alias("token")).groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
-    p = params.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("name", "token"))).alias("p"))
-    df = urls.join(s, "obs_id", "left").join(p, "obs_id", "left")
-    path = F.concat(F.lit("/"), F.coalesce(F.array_join(F.transform("s", lambda x: x["token"]), "/"), F.lit("")))
-    query = F.coalesce(F.array_join(F.transform("p", lambda x: x["token"]), "&"), F.lit(""))
-    return df.select("obs_id", normalized(F.col("entries"), F.col("iri"), hints, path, query).alias("normalized"))
+    """(obs_id, normalized) from (obs_id, pos, token) and (obs_id, name, token): URLs, segments and parameters meet in one shuffle by obs_id."""
+    url = F.struct("entries", "iri").alias("url")
+    kind = f"struct<pos:{segments.schema['pos'].dataType.simpleString()},token:string>"
+    rows = urls.select("obs_id", url, F.lit(None).cast(kind).alias("s"), F.lit(None).cast("struct<name:string,token:string>").alias("p"))
+    none = F.lit(None).cast(rows.schema["url"].dataType)
+    rows = rows.union(segments.select("obs_id", none, F.struct("pos", "token"), F.lit(None).cast("struct<name:string,token:string>")))
+    rows = rows.union(params.select("obs_id", none, F.lit(None).cast(kind), F.struct("name", "token")))
+    df = rows.groupBy("obs_id").agg(F.first("url", ignorenulls=True).alias("url"), F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("p")).alias("p"))
+    path = F.concat(F.lit("/"), F.array_join(F.transform("s", lambda x: x["token"]), "/"))
+    query = F.array_join(F.transform("p", lambda x: x["token"]), "&")
+    return df.select("obs_id", normalized(F.col("url.entries"), F.col("url.iri"), path, query, hints).alias("normalized"))
 
 
 def corpus_explain(corpus: Observed, of: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
@@ -51,8 +57,7 @@ def corpus_normalize(corpus: Observed, of: Observed, *, hints: bool = True, cap:
     """(obs_id, normalized) of the URLs of ``of``, by the final state of ``corpus``."""
     segments = explained(of.segments, *position_evidence(corpus, cap))
     stats = param_stats(corpus, cap).select(*PARAM, "total", ladder(F.col("name")).alias("param_type"))
-    params = of.params.join(stats, PARAM, "left").select("obs_id", "name", _param_token().alias("token"))
-    return _assembled(of.urls, segments, params, hints)
+    return _assembled(of.urls, _segment_tokens(segments, hints), _param_tokens(of.params.join(stats, PARAM, "left")), hints)
 
 
 def _running(df: DataFrame, keys: list[str], cap: int) -> tuple[DataFrame, object]:
@@ -97,4 +102,4 @@ def running_normalize(o: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP
     params = params.withColumn("dominant", F.array_min("_c")["t"])
     undated = F.array_min(F.filter("_c", lambda x: (x["t"] != "date") & (x["m"] < 0)))["t"]
     params = kept(params.withColumn("dominant_undated", undated).withColumn("param_type", ladder(F.col("name"))), "running_types")
-    return _assembled(o.urls, segments, params.select("obs_id", "name", _param_token().alias("token")), hints)
+    return _assembled(o.urls, _segment_tokens(segments, hints), _param_tokens(params), hints)

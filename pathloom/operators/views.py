@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.urls import locators, parse_urls, with_shapes, with_types
+from ..functions.urls import fenced, locators, parse_fields, parsed, walled, with_shapes, with_types
 from ..functions.values import Activation, classify
 from ..sources.tables import kept
 
@@ -29,9 +29,10 @@ class Observed(NamedTuple):
 
 def observed_urls(log: DataFrame, *, strategy: str = "full", activations: Sequence[Activation] = ()) -> DataFrame:
     """(obs_id, iri, entries, locators, shape, raw_shape, host, cluster_key, cluster_shape) of the URLs that parse."""
-    df = with_types(parse_urls(log.select("obs_id", "url")), activations)
-    df = with_shapes(df.where(F.col("iri.error").isNull()), strategy)
-    return df.select("obs_id", "iri", "entries", locators(F.col("entries")).alias("locators"), "shape", "raw_shape", F.col("keying_host").alias("host"), "cluster_key", "cluster_shape")
+    df = with_types(parse_fields(log.select("obs_id", "url")), activations, iri=parsed())
+    df = with_shapes(df.where(F.col("_i_error").isNull()), strategy, iri=parsed()).withColumnRenamed("keying_host", "host")
+    df = walled(df.withColumn("locators", fenced(locators(F.col("entries")))), "host", "cluster_key", "cluster_shape")
+    return df.select("obs_id", parsed().alias("iri"), "entries", "locators", "shape", "raw_shape", "host", "cluster_key", "cluster_shape")
 
 
 def observe(log: DataFrame, *, strategy: str = "full", activations: Sequence[Activation] = (), keep: bool = False) -> Observed:
@@ -52,6 +53,14 @@ def observe(log: DataFrame, *, strategy: str = "full", activations: Sequence[Act
     return Observed(urls, segments, kept(params, "params") if keep else params)
 
 
+def counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, type, n, first_obs): the distinct values of each key, from which all that is known of slots follows.
+
+    A type follows from its value, so this has a row for each value.
+    """
+    return df.groupBy(*keys, "value", "type").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs"))
+
+
 def first_come(counted: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """Of each key the ``cap`` rows that were observed first."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_obs"))
@@ -134,9 +143,14 @@ def dominant_types(types: DataFrame, keys: list[str]) -> DataFrame:
     return types.groupBy(*keys).agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("dominant"), F.sum("n").alias("total"))
 
 
-def segment_stats(o: Observed) -> DataFrame:
-    """Of each position of a cluster: distinct values, whether it is stable (one value), and values by count, then name."""
-    s = cluster_segments(o).groupBy("cluster_key", "pos").agg(F.count("*").alias("distinct_values"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("l"))
+def segment_stats(o: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
+    """Of each position of a cluster: distinct values, whether it is stable (one value), and the ``cap`` most frequent values by count, then name."""
+    c = cluster_segments(o)
+    sized = c.groupBy("cluster_key", "pos").agg(F.count("*").alias("distinct_values"))
+    rank = F.row_number().over(Window.partitionBy("cluster_key", "pos").orderBy(F.desc("n"), "value"))
+    top_ = c.withColumn("_r", rank).where(F.col("_r") <= cap)
+    listed = top_.groupBy("cluster_key", "pos").agg(F.array_sort(F.collect_list(F.struct("_r", "value"))).alias("l"))
+    s = sized.join(listed, ["cluster_key", "pos"])
     return s.select("cluster_key", "pos", "distinct_values", (F.col("distinct_values") == 1).alias("stable"), F.transform("l", lambda x: x["value"]).alias("values"))
 
 

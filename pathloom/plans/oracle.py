@@ -256,7 +256,7 @@ union all select obs_id, name, t2, output, case t2 when 'date' then 'canonical d
     "raw_shape_counts": base("mixed") + " select raw_shape, count(*) as n from keyed group by all",
     "fingerprint_counts": base("lineitem") + " select shape, count(*) as n from keyed group by all",
     "position_totals": base("events") + " select host, scope, locator, count(*) as total from seg group by all",
-    "position_values_capped": base("orders") + " select host, scope, locator, value, n, first_obs from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 100",
+    "position_values_capped": base("orders") + " select host, scope, locator, value, n, first_obs from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 5000",
     "position_values": base("orders") + " select host, scope, locator, value, n, first_obs from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 5000",
     "position_types": base("customers") + " select host, scope, locator, type, count(*) as n from seg group by all",
     "dominant_type": base("customers") + " select host, scope, locator, arg_min(type, (-n, type)) as dominant, sum(n)::bigint as total from (select host, scope, locator, type, count(*) as n from seg group by all) group by host, scope, locator",
@@ -265,7 +265,7 @@ union all select obs_id, name, t2, output, case t2 when 'date' then 'canonical d
     "cluster_segments": base("pages") + " select cluster_key, pos, value, count(*) as n from seg group by all",
     "segment_stats": base("pages") + " " + _SEGSTATS,
     "cluster_params": base("lineitem") + " select cluster_key, name, count(*) as total from par group by all",
-    "cluster_param_values": base("events") + " select cluster_key, name, value, n, first_obs from (select *, row_number() over (partition by cluster_key, name order by first_obs) as r from (select cluster_key, name, value, count(*) as n, min(obs_id) as first_obs from par group by all)) where r <= 1000",
+    "cluster_param_values": base("events") + " select cluster_key, name, value, n, first_obs from (select *, row_number() over (partition by cluster_key, name order by first_obs) as r from (select cluster_key, name, value, count(*) as n, min(obs_id) as first_obs from par group by all)) where r <= 5000",
     "cluster_param_values_full": base("events") + f", {_PV} select * from pv",
     "cluster_param_types": base("lineitem") + f", {_PT} select * from pt",
     "param_numeric": base("lineitem") + f", {_NUM} select cluster_key, name, num_count, num_min, num_max, {r('num_avg', 4)} as num_avg from num",
@@ -277,7 +277,7 @@ union all (select 'hosts', khost, count(*) as n from keyed group by khost order
     "value_distribution": base("lineitem") + f", {_PS} select cluster_key, name, value, {r('n / total::double', 4)} as share from pv join ps using (cluster_key, name) where ptype in ('enum', 'boolean')",
     "subtype_distribution": base("lineitem") + f", {_PS} select cluster_key, name, {r('integers / total::double', 4)} as integer_share, {r('floats / total::double', 4)} as float_share from ps where ptype = 'number'",
     "kind_distribution": base("files") + f", {_PS} select cluster_key, name, kind, {r('k / sum(k) over (partition by cluster_key, name)::double', 4)} as share from (select cluster_key, name, {sql_kind('value')} as kind, sum(n) as k from pv join ps using (cluster_key, name) where ptype = 'file' group by all)",
-    "params_for": base("events") + f", {_PS} select cluster_key, name, ptype as type, total, cardinality, {r('total / (total + 15)::double', 2)} as confidence from ps where cluster_key in (select cluster_key from keyed where obs_id % 1000 = 7)",
+    "params_for": base("events") + f", {_PS} select cluster_key, name, ptype as type, total, cardinality, {r('total / (total + 15)::double', 2)} as confidence from ps where cluster_key in (select cluster_key from keyed)",
     "params_for_log": base("events") + f", {_PS} select cluster_key, name, ptype as type, total, cardinality, {r('total / (total + 15)::double', 2)} as confidence from ps where cluster_key in (select cluster_key from keyed)",
     "cluster_assembly": base("pages") + f""", {_PS}, cl as ({_CLUSTERS}), ss as ({_SEGSTATS}),
 ex as (select cluster_key, string_agg(canonical, ' ' order by first_obs) as examples from (select *, row_number() over (partition by cluster_key order by first_obs) as r from (select cluster_key, canonical, min(obs_id) as first_obs from keyed group by all)) where r <= 10 group by cluster_key),

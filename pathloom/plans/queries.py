@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, trace, urls, values
+from ..functions import lexicon as L
 from ..operators import infer, learn, render, views
 from ..sources import logs
 
@@ -223,7 +224,7 @@ def position_totals(spark, d):
 
 @query
 def position_values_capped(spark, d):
-    return views.position_values(_observed(logs.log_orders, spark, d), 100)
+    return views.position_values(_observed(logs.log_orders, spark, d), L.VALUE_CAP)
 
 
 @query
@@ -269,7 +270,7 @@ def cluster_params(spark, d):
 
 @query
 def cluster_param_values(spark, d):
-    return views.cluster_param_values(_observed(logs.log_events, spark, d), 1000)
+    return views.cluster_param_values(_observed(logs.log_events, spark, d), L.VALUE_CAP)
 
 
 @query
@@ -299,13 +300,13 @@ def stats_top10(spark, d):
 
 @query
 def param_type_ladder(spark, d):
-    s = [infer.param_stats(_observed(x, spark, d, keep=True)).select("cluster_key", "name", "total", "cardinality", infer.ladder(F.col("name")).alias("type")) for x in (logs.log_events, logs.log_lineitem, logs.log_orders)]
+    s = [infer.param_stats(_observed(x, spark, d)).select("cluster_key", "name", "total", "cardinality", infer.ladder(F.col("name")).alias("type")) for x in (logs.log_events, logs.log_lineitem, logs.log_orders)]
     return s[0].union(s[1]).union(s[2])
 
 
 @query
 def param_summary(spark, d):
-    s = infer.param_summary(_observed(logs.log_events, spark, d, keep=True))
+    s = infer.param_summary(_observed(logs.log_events, spark, d))
     return s.withColumn("presence", infer.rounded(F.col("presence"), 4)).withColumn("num_avg", infer.rounded(F.col("num_avg"), 4))
 
 
@@ -333,15 +334,14 @@ def kind_distribution(spark, d):
 @query
 def params_for(spark, d):
     o = _observed(logs.log_events, spark, d, keep=True)
-    asked = views.observe(logs.log_events(spark, d).where("obs_id % 1000 = 7"), keep=True).urls
-    return infer.params_for(o, asked).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
+    return infer.params_for(o, o.urls).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
 
 
 @query
 def params_for_log(spark, d):
-    """As ``params_for``, which asks for a thousandth of the URLs, but all URLs of the log are asked for."""
+    """As ``params_for``, for the URLs of another table of the same log."""
     o = _observed(logs.log_events, spark, d, keep=True)
-    return infer.params_for(o, o.urls).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
+    return infer.params_for(o, _observed(logs.log_events, spark, d).urls).select("cluster_key", "name", "type", "total", "cardinality", "confidence")
 
 
 @query
@@ -373,7 +373,7 @@ def running_normalize(spark, d):
 
 @query
 def proposals(spark, d):
-    p = learn.proposals(_observed(logs.log_customers, spark, d, keep=True))
+    p = learn.proposals(_observed(logs.log_customers, spark, d))
     return p.withColumn("samples", F.array_join("samples", ",")).withColumn("coverage", infer.rounded(F.col("coverage"), 4)).withColumn("confidence", infer.rounded(F.col("confidence"), 4))
 
 
@@ -385,7 +385,7 @@ def activate_reinfer(spark, d):
 
 @query
 def cross_host_shapes(spark, d):
-    return learn.cross_host_shapes(_observed(logs.log_events, spark, d, keep=True)).withColumn("hosts", F.array_join("hosts", ","))
+    return learn.cross_host_shapes(_observed(logs.log_events, spark, d)).withColumn("hosts", F.array_join("hosts", ","))
 
 
 @query

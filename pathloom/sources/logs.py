@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import numbered, spread
+
 
 def literal_log(spark: SparkSession, urls: list[str]) -> DataFrame:
     """A log of given URLs."""
@@ -12,11 +14,9 @@ def literal_log(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 
 def text_file(spark: SparkSession, path: str, *, whole: bool = False) -> DataFrame:
-    """(line_id, text): lines of text files, or whole files. Lines are numbered by file, then place."""
-    if whole:
-        return spark.read.text(path, wholetext=True).select(F.row_number().over(Window.orderBy(F.input_file_name())).cast("long").alias("line_id"), F.col("value").alias("text"))
-    # Partitions are numbered in the order of files and places; within one, lines are.
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("text"))
+    """(line_id, text): lines of text files, or whole files, numbered from 1 on by the file's name, then by place."""
+    df = spark.read.text(path, wholetext=whole).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    return numbered(df, "line_id", by=[F.col("_path"), F.col("_start")]).select("line_id", "text")
 
 
 def union_logs(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -30,41 +30,45 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _log(spark: SparkSession, sf_dir: str, name: str, *exprs: str) -> DataFrame:
+    return spread(_t(spark, sf_dir, name).selectExpr(*exprs))
+
+
 def log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").selectExpr("page_id obs_id", "url")
+    return _log(spark, sf_dir, "pages", "page_id obs_id", "url")
 
 
 def log_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "orders").selectExpr("o_orderkey obs_id", "concat('https://api.example.com/v1/customers/', o_custkey, '/orders/', o_orderkey, '?status=', o_orderstatus, '&date=', cast(o_orderdate as date)) url")
+    return _log(spark, sf_dir, "orders", "o_orderkey obs_id", "concat('https://api.example.com/v1/customers/', o_custkey, '/orders/', o_orderkey, '?status=', o_orderstatus, '&date=', cast(o_orderdate as date)) url")
 
 
 def log_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").selectExpr("c_custkey obs_id", "concat('https://crm.example.com/segments/', lower(c_mktsegment), '/customers/cus_', c_custkey) url")
+    return _log(spark, sf_dir, "customer", "c_custkey obs_id", "concat('https://crm.example.com/segments/', lower(c_mktsegment), '/customers/cus_', c_custkey) url")
 
 
 def log_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").selectExpr("c_custkey obs_id", "concat('https://www.example.org/workspaces/ws', translate(cast(c_custkey as string), '0123456789', 'abcdefghij')) url")
+    return _log(spark, sf_dir, "customer", "c_custkey obs_id", "concat('https://www.example.org/workspaces/ws', translate(cast(c_custkey as string), '0123456789', 'abcdefghij')) url")
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").selectExpr(
+    return _log(spark, sf_dir, "events", 
         "event_id obs_id",
         "concat('https://', if(event_id % 2 = 1, 'api', 'www'), '.example.net/', event_type, '/', user_id, '?code=', 200 + event_id % 20, '&year=', 1990 + event_id % 40, '&v=', cast(value as decimal(12,2)), '&k=', event_id) url",
     )
 
 
 def log_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One URL a line item; the key is a 64-bit number made of order and line."""
-    return _t(spark, sf_dir, "lineitem").selectExpr(
-        "row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) obs_id",
+    """One URL a line item, numbered by order, then by its place in the order (of 4,096 at most)."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+    return _log(spark, sf_dir, "lineitem", *columns).selectExpr(
+        "l_orderkey * 4096 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) obs_id",
         "concat('https://shop.example.com/orders/', l_orderkey, '/items/', l_linenumber, '?flag=', l_returnflag, '&qty=', cast(l_quantity as int), '&disc=', cast(l_discount as decimal(12,2)), '&size=', if(l_linenumber % 2 = 0, cast(cast(l_quantity as int) as string), cast(cast(l_quantity + 0.5 as decimal(12,1)) as string))) url",
     )
 
 
 def log_urns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part")
-    return part.selectExpr("2 * p_partkey obs_id", "concat('urn:isbn:', p_partkey + 1000000) url").union(part.selectExpr("2 * p_partkey + 1 obs_id", "concat('mailto:u', p_partkey, '@example.com') url"))
+    return _log(spark, sf_dir, "part", "explode(array(struct(2 * p_partkey as obs_id, concat('urn:isbn:', p_partkey + 1000000) as url), struct(2 * p_partkey + 1 as obs_id, concat('mailto:u', p_partkey, '@example.com') as url))) as e").select("e.*")
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").selectExpr("page_id", "concat('See (', url, '), then ', url, '. Done') text")
+    return _log(spark, sf_dir, "pages", "page_id", "concat('See (', url, '), then ', url, '. Done') text")

@@ -3,23 +3,33 @@
     log/batch=N/       (obs_id, url): canonical forms in the order of arrival
     activations/       (prefix, type)
     views/vN/NAME/     the materialised views of version N
-    CURRENT            the number of the version that readers take
+    current/N          an empty file: version N is whole
 
-A version is written whole and then made current by renaming one small file, so
-readers see the old views or the new ones. One writer at a time.
+A version is written whole and then made current by creating one empty file,
+which a file system does at once; readers take the highest number there, so they
+see the old views or the new ones. The version before it stays for readers that
+have begun, older ones are deleted. One writer at a time.
+
+``open_corpus`` also takes a ``.json`` file: the nine keys of a dump, read into
+a directory in the shared folder and written back by ``close``.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
 from ..operators.learn import activate_above
-from ..operators.views import VIEWS, Observed, observe
+from ..operators.views import PARAM, POSITION, VIEWS, Observed, first_come, numeric_stats, observe
+from .logs import literal_log
+from .tables import kept, shared_dir
 
 
 class Corpus:
@@ -58,21 +68,20 @@ class Corpus:
         return observe(self.log(), strategy=self.strategy, activations=self.activations(), keep=keep)
 
     def version(self) -> int:
-        if not self._has("CURRENT"):
+        """The highest version that is whole; 0 without one."""
+        if not self._has("current"):
             return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        return max((int(f.getPath().getName()) for f in self._fs.listStatus(self._at("current"))), default=0)
 
     def reinfer(self) -> int:
         """Computes all views from the log and makes them current; gives the new version."""
         o, version = self.observed(), self.version() + 1
         for name, view in VIEWS.items():
             view(o).write.mode("overwrite").parquet(f"{self.path}/views/v{version}/{name}")
-        out = self._fs.create(self._at("CURRENT.tmp"), True)
-        out.write(bytearray(f"{version}\n".encode()))
-        out.close()
-        self._fs.delete(self._at("CURRENT"), False)
-        if not self._fs.rename(self._at("CURRENT.tmp"), self._at("CURRENT")):
-            raise OSError("the new version could not be made current")
+        self._fs.create(self._at("current", version), True).close()
+        for old in range(max(1, version - 10), version - 1):
+            self._fs.delete(self._at("current", old), False)
+            self._fs.delete(self._at("views", f"v{old}"), True)
         return version
 
     def view(self, name: str) -> DataFrame:
@@ -86,25 +95,121 @@ class Corpus:
         held = self.activations()
         now, _ = activate_above(self.log(), least, held=held, strategy=self.strategy)
         if new := now[len(held) :]:
-            self.spark.createDataFrame(new, "prefix string, type string").write.mode("append").parquet(f"{self.path}/activations")
+            self._activate(new)
         self.reinfer()
         return now
 
     def save_json(self, file: str, limit: int = 1_000_000) -> None:
-        """Mirrors the current views into one JSON file. A corpus with a view of more than ``limit`` rows is refused: it belongs in tables."""
-        out: dict[str, object] = {"activations": self.activations()}
-        for name in VIEWS:
-            view = self.view(name)
-            if view.limit(limit + 1).count() > limit:
-                raise ValueError(f"{name} has more than {limit} rows")
-            out[name] = [r.asDict(True) for r in view.orderBy(*[c for c, t in view.dtypes if not t.startswith("array")]).collect()]
-        with open(file, "w", encoding="utf-8") as f:
-            json.dump(out, f, ensure_ascii=False, sort_keys=True)
+        """Writes the corpus into one JSON file of nine keys, by a new file that is then renamed.
+
+        One file is one process's work: a corpus with a table of more than
+        ``limit`` rows is refused, it belongs in the directory.
+        """
+        o = self.observed()
+
+        def rows(df: DataFrame) -> list:
+            got = df.limit(limit + 1).collect()
+            if len(got) > limit:
+                raise ValueError(f"the corpus has a table of more than {limit} rows")
+            return got
+
+        def counts(name: str, key: str) -> dict[str, int]:
+            return {str(r[key]): r["n"] for r in rows(VIEWS[name](o).orderBy(F.desc("n"), key))}
+
+        def slots(df: DataFrame, keys: list[str]) -> dict[tuple, dict]:
+            out: dict[tuple, dict] = {}
+            c = kept(df.groupBy(*keys, "value", "type").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs")), "slots")
+            for r in rows(first_come(c, keys, L.VALUE_CAP).orderBy("first_obs")):
+                own = out.setdefault(tuple(r[k] for k in keys), {"value_counts": {}, "type_counts": {}, "total": 0, "max_values": L.VALUE_CAP})
+                own["value_counts"][r["value"]] = r["n"]
+            for r in rows(c.groupBy(*keys, "type").agg(F.sum("n").alias("n"), F.min("first_obs").alias("first_obs")).orderBy("first_obs")):
+                own = out[tuple(r[k] for k in keys)]
+                own["type_counts"][r["type"]] = r["n"]
+                own["total"] += r["n"]
+            for r in rows(numeric_stats(df, keys)):
+                out[tuple(r[k] for k in keys)].update(numeric_count=r["num_count"], numeric_min=r["num_min"], numeric_max=r["num_max"], numeric_sum=r["num_sum"])
+            return out
+
+        clusters: dict[str, dict] = {}
+        for r in rows(VIEWS["clusters"](o).orderBy("ord")):
+            clusters[r["cluster_key"]] = {"key": r["cluster_key"], "host": r["host"], "scheme": r["scheme"], "shape": r["shape"], "count": r["n"], "examples": [], "segment_counts": [], "param_stats": {}}
+        for r in rows(VIEWS["cluster_examples"](o).orderBy("first_obs")):
+            clusters[r["cluster_key"]]["examples"].append(r["canonical"])
+        for r in rows(VIEWS["cluster_segments"](o).orderBy("cluster_key", "pos", F.desc("n"), "value")):
+            own = clusters[r["cluster_key"]]["segment_counts"]
+            own += [{} for _ in range(r["pos"] + 1 - len(own))]
+            own[r["pos"]][r["value"]] = r["n"]
+        for (key, name), stats in slots(o.params, PARAM).items():
+            clusters[key]["param_stats"][name] = stats
+        out = {
+            "host_counts": counts("host_counts", "host"), "path_length_counts": counts("path_length_counts", "length"), "raw_shape_counts": counts("raw_shape_counts", "raw_shape"), "fingerprint_counts": counts("fingerprint_counts", "shape"),
+            "max_values_per_position": L.VALUE_CAP,
+            "position_stats": [{"position": dict(zip(POSITION, key, strict=True)), "stats": stats} for key, stats in slots(o.segments, POSITION).items()],
+            "clusterer": {"clusters": clusters},
+            "observed_iris": [r["url"] for r in rows(self.log().orderBy("obs_id"))],
+            "activated_recognizers": [{"prefix": p, "type": t} for p, t in self.activations()],
+        }
+        new = f"{file}.{uuid.uuid4().hex}.tmp"
+        with open(new, "w", encoding="utf-8") as f:
+            json.dump(out, f, ensure_ascii=False)
+        os.replace(new, file)
+
+    def load_json(self, file: str) -> None:
+        """Takes the log and the activations of a JSON file into this corpus, which must be empty; all else follows from them."""
+        if self._has("log") or self._has("activations"):
+            raise ValueError("the corpus is not empty")
+        with open(file, encoding="utf-8") as f:
+            found = json.load(f)
+        self.append(literal_log(self.spark, found["observed_iris"]), 0)
+        if found.get("activated_recognizers"):
+            self._activate([(x["prefix"], x["type"]) for x in found["activated_recognizers"]])
+
+    def _activate(self, new: list[Activation]) -> None:
+        self.spark.createDataFrame(new, "prefix string, type string").write.mode("append").parquet(f"{self.path}/activations")
 
     def reset(self) -> None:
         """Deletes the corpus."""
         self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self.path), True)
 
+    def close(self) -> None:
+        """A directory has nothing to write at the end."""
+
+
+class JsonCorpus(Corpus):
+    """A corpus in one JSON file, in the shared folder while it is open; ``close`` writes it back."""
+
+    def __init__(self, spark: SparkSession, file: str, *, strategy: str = "full"):
+        super().__init__(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", strategy=strategy)
+        self.file = file
+        if os.path.exists(file):
+            self.load_json(file)
+
+    def close(self) -> None:
+        self.save_json(self.file)
+        super().reset()
+
+    def reset(self) -> None:
+        super().reset()
+        if os.path.exists(self.file):
+            os.remove(self.file)
+
+
+def open_corpus(spark: SparkSession, path: str, *, strategy: str = "full") -> Corpus:
+    """The extension picks the form: ``.json`` is one file, all else a directory."""
+    return JsonCorpus(spark, path, strategy=strategy) if path.endswith(".json") else Corpus(spark, path, strategy=strategy)
+
+
+def corpus_path(given: str = "", *, without: bool = False) -> str | None:
+    """Where the corpus is: as given, none if unwanted, PATHLOOM_CORPUS, or the user's data directory. PATHLOOM_NO_CORPUS=1 unwants the last two."""
+    if given:
+        return given
+    if without or os.environ.get("PATHLOOM_NO_CORPUS", "").lower() not in ("", "0", "false", "no"):
+        return None
+    if path := os.environ.get("PATHLOOM_CORPUS"):
+        return path
+    base = os.environ.get("XDG_DATA_HOME") or os.path.join(os.path.expanduser("~"), ".local", "share")
+    return os.path.join(base, "pathloom", "default")
+
 
 def merged_counts(views: list[DataFrame], keys: list[str]) -> DataFrame:
     """One count view of several with the same keys: n adds up, first_obs and ord are the least."""

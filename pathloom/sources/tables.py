@@ -1,24 +1,76 @@
-"""Written tables in the folder that driver and executors share."""
+"""Written tables in the folder that driver and executors share, numbering, and the spread of small tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset (tests), a new local folder."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a new local folder, but only if all of Spark is one process: others would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written as Parquet and read back: computed once, with a short plan, whatever reads it."""
+    """The table written as Parquet and read back: computed once, with a short plan, whatever reads it.
+
+    It stays in the shared folder until ``discard`` takes it away, or the
+    folder's owner does: what is built on it may be run at any later time.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` gave, once nothing that reads them will run again."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, as of one small file, is dealt out to all; others stay as they are.
+
+    ``df`` must be a scan with projections alone, whose splits are known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_INDEX = (1 << 33) - 1  # the part of a monotonically increasing id that counts within its partition
+
+
+def numbered(df: DataFrame, out: str, first: int = 1, by: list | None = None) -> DataFrame:
+    """``df`` plus ``out``: numbers without gaps from ``first`` on, in the order of its parts and of the rows in each.
+
+    ``by`` are the columns that name and order the parts (files and their
+    splits); without it they are the partitions as they come. A part's rows must
+    lie in one partition in their order. Parts are counted first, so ``df`` is
+    evaluated twice; only the counts, one row a part, meet in one task.
+    """
+    own = by or [F.spark_partition_id()]
+    names = [f"_part{k}" for k in range(len(own))]
+    df = df.select("*", *(c.alias(n) for c, n in zip(own, names, strict=True)), F.monotonically_increasing_id().bitwiseAND(_INDEX).alias("_index"))
+    parts = df.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_index").alias("_low"))
+    before = F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*names, (F.coalesce(before, F.lit(0)) + first - F.col("_low")).alias("_from"))
+    return df.join(parts, names).withColumn(out, F.col("_from") + F.col("_index")).drop(*names, "_index", "_from")

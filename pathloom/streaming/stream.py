@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,15 +10,15 @@ from ..functions.extract import extract_urls
 from ..operators.render import running_normalize
 from ..operators.views import observe
 from ..sources.store import Corpus
+from ..sources.tables import numbered
 
 _BATCH = 1 << 32  # observations that a micro-batch can number
 
 
 def batch_log(lines: DataFrame, batch_id: int, *, scheme_less: bool = True) -> DataFrame:
     """The log of a micro-batch: its URLs numbered within the batch's range, in the order of lines and places."""
-    found = extract_urls(lines.select(F.monotonically_increasing_id().alias("_line"), F.col("value").alias("text")), scheme_less=scheme_less)
-    number = F.row_number().over(Window.orderBy("_line", "pos")).cast("long")
-    return found.select((F.lit(batch_id * _BATCH) + number).alias("obs_id"), F.col("iri.canonical").alias("url"))
+    found = extract_urls(lines.select(F.col("value").alias("text")), scheme_less=scheme_less)
+    return numbered(found.select(F.col("iri.canonical").alias("url")), "obs_id", batch_id * _BATCH + 1).select("obs_id", "url")
 
 
 def normalize_stream(lines: DataFrame, corpus: Corpus, out: str, checkpoint: str, *, hints: bool = True, **trigger) -> StreamingQuery:
