@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard
 from .storage import saved
 
 #: Rays of a hub that one partition gets at a time.
@@ -50,7 +51,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rays = now.join(hubs, now.a == hubs.hub, "left").select("a", "b", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         centres = now.join(hubs, now.b == hubs.hub, "left").select("a", "b", F.col("b").alias("key"), F.expr("pmod(xxhash64(a), coalesce(parts, 1))").cast("int").alias("part"))
         both = rays.union(centres).repartition("key", "part").select("a", "b")
-        now = saved(both.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+        last, now = now, saved(both.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+        discard(last)
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("ray"), F.lit(0).alias("hub")), F.struct(F.col("b").alias("node"), F.lit(0).alias("ray"), F.lit(1).alias("hub")))).alias("e")).select("e.*")
         ends = ends.groupBy("node").agg(F.sum("ray").alias("rays"), F.max("hub").alias("hub"))
         if ends.where("rays > 1 or (rays = 1 and hub = 1)").isEmpty():

@@ -1,10 +1,15 @@
 """URL filters: host and path rules, and for the rest a character language-model ratio.
 
 Two variable-order Markov models of host and path are counted over all URLs
-that rules accept and reject. The probability of a character interpolates the
-orders by Witten-Bell: the longer a context is seen, the more it counts. A URL's
-score is the difference of the two log likelihoods a character; the least score
-that is accepted is calibrated on decided URLs that the counts leave out.
+that rules accept and reject, without the part of host and path that the rule
+fits: that part made the label, and would be all that is learnt. The
+probability of a character interpolates the orders by Witten-Bell: the longer a
+context is seen, the more it counts. Both models rest on one distribution of
+characters, that of all these URLs, so a character that one side lacks does not
+decide alone. A URL's score is the difference of the two log likelihoods a
+character; the least score that is accepted is calibrated on decided URLs that
+the counts leave out; of equally good ones it is that nearest to 0, where both
+models say the same.
 
 A gram is a byte with the bytes before it, packed into a number, so counts are
 exact. They are kept in a table that grows with the input: the ratio of each
@@ -29,6 +34,7 @@ _SPAN, _STEPS = 8.0, 1600
 _CHARACTER, _BACK = 8, 9
 #: The longest context that a 64-bit gram holds.
 MOST_ORDERS = 6
+_MADE = ("host", "path", "rule", "score", "verdict")
 #: Bytes of the texts that are scored together.
 CHUNK = 1 << 20
 
@@ -44,13 +50,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule text, verdict) of the longest rule whose host is the host or a parent of it and whose path begins the path; else nulls."""
+def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column, Column, Column]:
+    """(rule text, verdict) of the longest rule whose host is the host or a parent of it and whose path begins the path, and (host, path) without what it fits.
+
+    Of rules of one length the last in order of verdict, host and path counts.
+    Without a rule the first two are null and the others the host and path.
+    """
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    long = [F.lit(0), F.lit(0)]
     for kind, own, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == own) | host.endswith(f".{own}")) & path.startswith(prefix)
         text, verdict = F.when(fits, own + prefix).otherwise(text), F.when(fits, kind).otherwise(verdict)
-    return text, verdict
+        long = [F.when(fits, len(x)).otherwise(y) for x, y in zip((own, prefix), long, strict=True)]
+    return text, verdict, F.substring(host, F.lit(1), F.length(host) - long[0]), F.substring(path, long[1] + 1, F.length(path))
 
 
 def _grams(column: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -119,7 +131,8 @@ def gram_ratios(counts: DataFrame, asked: DataFrame, *, orders: int = 5) -> Data
         contexts = pairs.groupBy(context).agg(*(F.sum(f"c{s}").alias(f"s{s}") for s in (0, 1)), *(F.count_if(F.col(f"c{s}") > 0).alias(f"t{s}") for s in (0, 1)))
         now = asked.select(ends.alias("gram")).distinct().select("gram", context).join(pairs, "gram", "left").join(contexts, "context", "left")
         if known is None:
-            now = now.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+            all_ = F.coalesce(F.col("c0") + F.col("c1"), F.lit(0)) + 1
+            now = now.withColumn("q0", all_ / (F.coalesce(F.col("s0") + F.col("s1"), F.lit(0)) + 256)).withColumn("q1", F.col("q0"))
         else:
             shorter = F.col("gram").bitwiseAND((1 << (_CHARACTER + _BACK * (k - 1))) - 1)
             # Up to order 1 there are at most 257 * 256 grams, whatever the input.
@@ -155,7 +168,7 @@ def score_texts(texts: DataFrame, counts: DataFrame, size: int, *, orders: int =
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The least score to accept, by the best mean of both sides' hit rates, from a histogram of (score, n0, n1) of fixed size."""
+    """The least score to accept, by the best mean of both sides' hit rates, of equally good ones that nearest to 0, from a histogram of (score, n0, n1) of fixed size."""
     step = F.least(F.greatest(F.floor((F.col("score") + _SPAN) * (_STEPS / (2 * _SPAN))), F.lit(0)), F.lit(_STEPS - 1)).cast("int")
     bins = np.zeros((2, _STEPS))
     for r in scored.groupBy(step.alias("step")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
@@ -163,8 +176,8 @@ def calibrated(scored: DataFrame) -> float:
     if not bins.sum(1).all():
         return 0.0
     good = 1 - np.concatenate(([0], np.cumsum(bins[1]))) / bins[1].sum() + np.concatenate(([0], np.cumsum(bins[0]))) / bins[0].sum()
-    best = np.flatnonzero(good >= good.max() - 1e-12)
-    return float(best[len(best) // 2] * 2 * _SPAN / _STEPS - _SPAN)
+    best = np.flatnonzero(good >= good.max() - 1e-12) * 2 * _SPAN / _STEPS - _SPAN
+    return float(best[np.argmin(np.abs(best))])
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, orders: int = 5) -> DataFrame:
@@ -173,15 +186,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, ord
     The verdict is the longest fitting rule's, else ``allow`` if the score
     reaches the calibrated one. Null URLs and those without ``://`` have an
     empty host and path and score 0. Where the rules leave one side without
-    URLs there is nothing to compare: scores are 0 and all are allowed. Rows
-    are judged alone; ids may be null or repeated; all columns pass through; an
-    empty table gives no rows. Rules are compiled into the plan: keep them to
-    some hundreds.
+    URLs there is nothing to compare: scores are 0 and all are allowed. URLs of
+    any length are taken whole, the score of one a rule decides is that of what
+    the rule leaves of it. Rows are judged alone; ids may be null or repeated;
+    all columns pass through but those named like a new one, which it replaces;
+    an empty table gives no rows. Rules are compiled into the plan: keep them
+    to some hundreds.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.struct(*pages.columns).alias("own"), host.alias("host"), path.alias("path"))
-    rows = rows.select("own", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("text"))
+    rule, verdict, *rest = rule_of(F.col("_host"), F.col("_path"), rules)
+    own = [c for c in pages.columns if c not in _MADE]
+    rows = pages.select((F.struct(*own) if own else F.struct(F.lit(0).alias("_"))).alias("own"), host.alias("_host"), path.alias("_path"))
+    rows = rows.select("own", F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), verdict.alias("verdict"), F.concat(*rest).alias("text"))
     apart = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(_CALIBRATION)) == 0
     texts = rows.groupBy("text").agg(F.count_if(F.col("verdict") == "block").alias("n0"), F.count_if(F.col("verdict") == "allow").alias("n1"))
     texts = saved(texts.withColumn("apart", apart), "texts")
@@ -194,4 +210,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, ord
         scores = saved(score_texts(texts, counts, seen["size"], orders=orders), "scores")
         least = calibrated(scores.join(texts.where(F.col("apart") & (F.col("n0") + F.col("n1") > 0)), "text").select("score", "n0", "n1"))
         out = rows.join(scores, "text")
-    return out.select("own.*", "host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))
+    return out.select(*(F.col("own").getField(c).alias(c) for c in own), "host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))
