@@ -138,6 +138,11 @@ def walled(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.explode(F.array(F.struct(*names))).alias("_w")).select(*others, *(F.col("_w")[n].alias(n) for n in names))
 
 
+def host_of_url(url: Column) -> Column:
+    """The lower-cased host of a URL with a scheme, else null: for SQL, where ``parse_urls`` can't be called."""
+    return F.nullif(F.lower(F.regexp_extract(F.btrim(url, F.lit(_STRIP)), r"^(?!(?i:urn):)[a-zA-Z][a-zA-Z0-9+\-.]*://([^/?#:]+)", 1)), F.lit(""))
+
+
 def with_types(df: DataFrame, activations: Sequence[Activation] = (), *, iri: Column | str = "iri") -> DataFrame:
     """``df`` plus parts, types and entries: array of (value, type, variable, hint).
 

@@ -7,7 +7,7 @@ functions. Null values give null unless said otherwise.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,8 +18,8 @@ from . import lexicon as L
 _PLAIN = r"^[a-z]+\z"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: (prefix, type) of a recognizer that was activated: prefix and ASCII letters or digits to the end.
-Activation = tuple[str, str]
+#: A recognizer that was activated: (prefix, type), for the prefix and ASCII letters or digits to the end; or (predicate over a value, type).
+Activation = tuple[str | Callable[[Column], Column], str]
 
 
 def _like(v: Column, pattern: str) -> Column:
@@ -110,7 +110,8 @@ def classify(v: Column, activations: Sequence[Activation] = ()) -> Column:
         )
     )
     for prefix, kind in activations:
-        c = c.when(v.startswith(prefix) & _like(F.substring(v, len(prefix) + 1, 1 << 30), r"^[A-Za-z0-9]+\z"), kind)
+        fits = prefix(v) if callable(prefix) else v.startswith(prefix) & _like(F.substring(v, len(prefix) + 1, 1 << 30), r"^[A-Za-z0-9]+\z")
+        c = c.when(fits, kind)
     return (
         # The most frequent kind first: no rule before that of literals holds for these.
         c.when(length.between(6, 31) & _like(v, _PLAIN), "literal")

@@ -154,6 +154,13 @@ def segment_stats(o: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
     return s.select("cluster_key", "pos", "distinct_values", (F.col("distinct_values") == 1).alias("stable"), F.transform("l", lambda x: x["value"]).alias("values"))
 
 
+def explain_stable(o: Observed) -> DataFrame:
+    """(obs_id, pos, value, type, variable) of path segments: none is variable at a position of its cluster that has one value alone."""
+    ends = o.segments.groupBy("cluster_key", "pos").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    s = o.segments.join(ends, ["cluster_key", "pos"])
+    return s.select("obs_id", "pos", "value", "type", ((F.col("low") < F.col("high")) & (F.col("type") != "literal")).alias("variable"))
+
+
 def url_list(found: DataFrame) -> DataFrame:
     """(canonical, n) of extracted URLs (line_id, pos, iri): most frequent first, then as first seen."""
     c = found.groupBy(F.col("iri.canonical").alias("canonical")).agg(F.count("*").alias("n"), F.min(F.struct("line_id", "pos")).alias("first"))

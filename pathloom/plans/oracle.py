@@ -174,17 +174,19 @@ par as materialized (select p.obs_id, k.cluster_key, p.name, coalesce(p.value, '
 _PV = "pv as (select cluster_key, name, value, n, first_obs from (select *, row_number() over (partition by cluster_key, name order by first_obs) as r from (select cluster_key, name, value, count(*) as n, min(obs_id) as first_obs from par group by all)) where r <= 5000)"
 _PT = "pt as (select cluster_key, name, type, count(*) as n from par group by all)"
 _NUM = "num as (select cluster_key, name, count(x) as num_count, min(x) as num_min, max(x) as num_max, avg(x) as num_avg from (select cluster_key, name, try_cast(value as double) as x from par where type in ('integer', 'float')) where isfinite(x) group by all)"
-_PS = f"""{_PV}, {_PT}, {_NUM},
-pd as (select cluster_key, name, max(case when r = 1 then type end) as dominant, sum(n)::bigint as total, sum(case when type = 'date' then n else 0 end) as dates, sum(case when type = 'integer' then n else 0 end) as integers, sum(case when type = 'float' then n else 0 end) as floats, max(case when u = 1 and type <> 'date' then type end) as undated
-  from (select *, row_number() over (partition by cluster_key, name order by n desc, type) as r, row_number() over (partition by cluster_key, name order by type = 'date', n desc, type) as u from pt) group by all),
-pc as (select cluster_key, name, count(*) as cardinality, count(*) filter (n >= 3) as est, coalesce(sum(n) filter (n >= 3), 0) as estn from pv group by all),
-ps as (select pd.*, pc.cardinality, pc.est, pc.estn, num.num_count, num.num_min, num.num_max, num.num_avg, case
+#: The type of a parameter over the columns of ps.
+_LADDER = f"""case
   when dominant = 'integer' and num_count > 0 and cardinality between 2 and 150 and total >= 5 and num_min >= 1900 and num_max <= 2100 then 'year'
   when dominant = 'integer' and num_count > 0 and cardinality between 2 and 30 and total >= 5 and num_min >= 100 and num_max <= 599 then 'http_status'
   when dominant <> 'boolean' and total >= 20 and est between 2 and 10 and estn / total::double >= 0.9 then 'enum'
   when dominant = 'date' then case when dates / total::double >= 0.8 then 'date' else coalesce(undated, 'literal') end
   when dominant in ('integer', 'float') and integers / total::double < 0.8 and floats / total::double < 0.8 and (integers + floats) / total::double >= 0.8 then 'number'
-  else coalesce({sql_name_hint('name', 'dominant')}, case when dominant = 'literal' and cardinality >= 2 then 'string' else dominant end) end as ptype
+  else coalesce({sql_name_hint('name', 'dominant')}, case when dominant = 'literal' and cardinality >= 2 then 'string' else dominant end) end"""
+_PS = f"""{_PV}, {_PT}, {_NUM},
+pd as (select cluster_key, name, max(case when r = 1 then type end) as dominant, sum(n)::bigint as total, sum(case when type = 'date' then n else 0 end) as dates, sum(case when type = 'integer' then n else 0 end) as integers, sum(case when type = 'float' then n else 0 end) as floats, max(case when u = 1 and type <> 'date' then type end) as undated
+  from (select *, row_number() over (partition by cluster_key, name order by n desc, type) as r, row_number() over (partition by cluster_key, name order by type = 'date', n desc, type) as u from pt) group by all),
+pc as (select cluster_key, name, count(*) as cardinality, count(*) filter (n >= 3) as est, coalesce(sum(n) filter (n >= 3), 0) as estn from pv group by all),
+ps as (select pd.*, pc.cardinality, pc.est, pc.estn, num.num_count, num.num_min, num.num_max, num.num_avg, {_LADDER} as ptype
   from pd join pc using (cluster_key, name) left join num using (cluster_key, name))"""
 _EV = """posv as (select host, scope, locator, value, n as vc from (select *, row_number() over (partition by host, scope, locator order by first_obs) as r from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= 5000),
 post as (select host, scope, locator, count(*) as tot, count(*) filter (type <> 'literal') as var from seg group by all),
@@ -212,8 +214,28 @@ left join (select obs_id, string_agg(name || '=' || token, '&' order by name) as
 _INFORMED = f"""coalesce({_canon('type', 'value')}, case when verdict in ('variable_identifier', 'corpus_inferred_variable') then case when type <> 'literal' then coalesce('{{' || hint || '}}', {_place('type')})
   else coalesce('{{' || (select {sql_singular('w')} from (select list_filter(string_split(locator, '/'), lambda x: x <> '' and not starts_with(x, '{{'))[-1] as w) where w is not null) || '}}', '{{value}}') end end, value)"""
 _PARAM_INFORMED = f"case when total >= 5 then coalesce({_canon('ptype', 'value')}, case when ptype <> 'literal' then {_place('ptype')} end, value) else {_rendered('name', 'value', 'type')} end"
+def _running_params() -> str:
+    """Columns of ps for each parameter as it stood with its row, from running counts of values and of each type."""
+    def at(what: str, keep: str = "") -> str:
+        return f"{what}{f' filter ({keep})' if keep else ''} over (partition by cluster_key, name order by obs_id)"
+
+    counts = ", ".join(f"(-{at('count(*)', f'type = {_q(t)}')}, {_q(t)})" for t in sorted(L.BUILT_IN_TYPES))
+    finite = "case when type in ('integer', 'float') and isfinite(try_cast(value as double)) then try_cast(value as double) end"
+    return f"""r1 as (select *, row_number() over (partition by cluster_key, name, value order by obs_id) as seen, {finite} as x from par),
+r2 as (select *, {at("sum((seen = 1)::int)")} as d from r1),
+r3 as (select *, case when max(case when seen = 1 then d end) over (partition by cluster_key, name, value) <= 5000 then seen end as vc from r2),
+r4 as (select *, least(d, 5000) as cardinality, {at("count(*)")} as total, {at("count(*)", "vc = 3")} as est, coalesce({at("sum(case when vc = 3 then 3 else 1 end)", "vc >= 3")}, 0) as estn,
+  {at("count(x)")} as num_count, {at("min(x)")} as num_min, {at("max(x)")} as num_max, {at("count(*)", "type = 'date'")} as dates, {at("count(*)", "type = 'integer'")} as integers, {at("count(*)", "type = 'float'")} as floats, [{counts}] as cs from r3),
+r5 as (select *, list_min(cs)[2] as dominant, list_min(list_filter(cs, lambda c: c[1] < 0 and c[2] <> 'date'))[2] as undated from r4),
+rp as (select *, {_LADDER} as ptype from r5)"""
+
+
+_RUNNING = """s1 as (select *, count(*) over w as tot, count(*) filter (type <> 'literal') over w as var, row_number() over (partition by host, scope, locator, value order by obs_id) as seen from seg window w as (partition by host, scope, locator order by obs_id)),
+s2 as (select *, sum((seen = 1)::int) over (partition by host, scope, locator order by obs_id) as d from s1),
+s3 as (select *, least(d, 5000) as card, case when max(case when seen = 1 then d end) over (partition by host, scope, locator, value) <= 5000 then seen end as vc from s2),
+ev as (select *, coalesce(vc, 0) / tot::double as vf from s3)"""
 _CLUSTERS = "select cluster_key, min(khost) as host, min(scheme) as scheme, min(case when kind = 'url' then shape else cluster_key end) as shape, count(*) as n, min(obs_id) as ord from keyed group by cluster_key"
-_SEGSTATS = "select cluster_key, pos, count(*) as distinct_values, count(*) = 1 as stable, string_agg(value, ',' order by n desc, value) as values from (select cluster_key, pos, value, count(*) as n from seg group by all) group by cluster_key, pos"
+_SEGSTATS = "select cluster_key, pos, count(*) as distinct_values, count(*) = 1 as stable, string_agg(value, ',' order by n desc, value) filter (r <= 5000) as values from (select *, row_number() over (partition by cluster_key, pos order by n desc, value) as r from (select cluster_key, pos, value, count(*) as n from seg group by all)) group by cluster_key, pos"
 
 
 def r(x: str, k: int) -> str:
@@ -285,6 +307,8 @@ sg as (select cluster_key, string_agg(pos || ':' || values, ' ' order by pos) as
 select cluster_key, n, ord, examples, segments, params from cl left join ex using (cluster_key) left join sg using (cluster_key) left join pp using (cluster_key)""",
     "corpus_explain": base("orders") + f", {_EV} select obs_id, pos, value, type, {_verdict()} as verdict from ev",
     "corpus_normalize": base("orders_workspaces") + f", {_EV}, {_PS}, ve as (select *, {_verdict()} as verdict from ev), st as (select obs_id, pos, {_INFORMED} as token from ve), pa as (select par.obs_id, name, {_PARAM_INFORMED} as token from par join ps using (cluster_key, name)) " + _render("st", "pa"),
+    "running_normalize": base("orders") + f", {_RUNNING}, {_running_params()}, ve as (select *, {_verdict()} as verdict from ev), st as (select obs_id, pos, {_INFORMED} as token from ve), pa as (select obs_id, name, {_PARAM_INFORMED} as token from rp) " + _render("st", "pa"),
+    "explain_stability": base("pages") + f", ss as ({_SEGSTATS}) select s.obs_id, s.pos, s.value, s.type, not ss.stable and s.type <> 'literal' as variable from seg s join ss using (cluster_key, pos)",
     "proposals": base("customers") + f""", v as (select host, scope, locator, value, count(*) as n from seg group by all), t as (select host, scope, locator, arg_min(type, (-n, type)) as dominant, sum(n) as total from (select host, scope, locator, type, count(*) as n from seg group by all) group by all),
 c as (select regexp_extract(value, '^([a-z]+)_([A-Za-z0-9]+)\\z', 1) || '_' as prefix, v.*, t.total from v join t using (host, scope, locator) where dominant in ('slug', 'opaque_id') and regexp_matches(value, '^([a-z]+)_([A-Za-z0-9]+)\\z')),
 b as (select prefix, host, scope, locator, sum(n) as matching, max(total) as total from c group by all), p as (select prefix, sum(matching)::bigint as matching, sum(total)::bigint as observations, count(distinct host) as hosts from b group by prefix),

@@ -263,6 +263,11 @@ def segment_stats(spark, d):
     return views.segment_stats(_observed(logs.log_pages, spark, d)).withColumn("values", F.array_join("values", ","))
 
 
+@query
+def explain_stability(spark, d):
+    return views.explain_stable(_observed(logs.log_pages, spark, d))
+
+
 @query
 def cluster_params(spark, d):
     return views.cluster_params(_observed(logs.log_lineitem, spark, d))
