@@ -43,6 +43,8 @@ from .storage import release, saved
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
+#: Hundredths of a set that are taken at least: fewer don't tell copies from documents that share common words alone.
+TAKEN = 30
 #: Of names that a task remembers so as not to repeat them; beyond that equal sets are only more work.
 _SEEN = 200_000
 
@@ -84,7 +86,8 @@ def prefix(n: int, num: int, den: int) -> tuple[int, int]:
         return -(-k * num // den)
 
     def beyond(k: int) -> int:
-        return max(1, min(k - least(k), least(k)))
+        # As many as a linked set may lack, and so many that TAKEN of the set are taken in all: never fewer for larger sets.
+        return max(1, min(max(k * (den - num) // den, k * (TAKEN * den - 100 * (den - num)) // (100 * den)), least(k)))
 
     return n - least(n) + beyond(n), beyond(least(n))
 
@@ -376,37 +379,39 @@ def _blocks(parts: DataFrame, reach: float, block: int) -> DataFrame:
     return rows.join(pairs, ["parent", "block"]).select("region", "node")
 
 
-def _dealt(members: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(regions of at most ``task_shingles``, links found with pivots) of regions of sets, by ``cells`` or, where these don't part one, by blocks."""
+def _dealt(members: DataFrame, held: DataFrame, num: int, den: int, task_shingles: int, pivots: int = 8, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(regions of at most ``task_shingles``, links found with pivots) of regions (region, node, n), by ``cells`` or, where these don't part one, by blocks.
+
+    The sets, ``held`` (node, body), are joined to a round's large regions once,
+    and to the regions that come out.
+    """
     reach = 1 - num / den + 1e-9
     done, links = [], []
-    held = members.select("node", "body")
     for k in range(rounds + 1):
-        weight = members.groupBy("region").agg(F.sum(F.length("body") / 8).cast("long").alias("w"))
-        large = saved(weight.where(F.col("w") > task_shingles), "regions")
-        done.append(members.join(large, "region", "left_anti"))
+        large = saved(members.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles), "regions")
+        done.append(members.join(large, "region", "left_anti").select("region", "node"))
         if large.isEmpty():
             break
-        big = members.join(large, "region")
-        drawn = big.groupBy("region").agg(*(F.min_by(F.struct("node", "body"), F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(pivots)))
-        drawn = drawn.select("region", F.array_distinct(F.array(*(f"p{p}" for p in range(pivots)))).alias("pivots"))
-        parts = big.join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), _PARTS)
+        big = members.join(large.select("region"), "region", "left_semi")
+        drawn = big.groupBy("region").agg(*(F.min_by("node", F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(pivots)))
+        drawn = drawn.select("region", F.explode(F.array_distinct(F.array(*(f"p{p}" for p in range(pivots))))).alias("node"))
+        drawn = drawn.join(held, "node").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "body"))).alias("pivots"))
+        parts = big.select("region", "node").join(held, "node").join(drawn, "region").select("region", "node", "body", "pivots").mapInArrow(_voronoi(num, den), _PARTS)
         parts = saved(parts, "parts")  # without the sets, which go to many regions where pivots part badly
         links.append(parts.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         open_ = parts.groupBy("parent", "region").agg(F.sum("n").alias("w"), F.min("linked").alias("closed")).where("not closed")
         fit = open_.groupBy("parent").agg(F.max("w").alias("most"), F.sum("w").alias("all"))
-        fit = saved(large.join(fit, large.region == fit.parent).select("parent", F.expr(f"{k} < {rounds} and most <= 0.7 * w and all <= 2 * w").alias("parted")), "regions")
-        halves = _blocks(parts.join(fit.where("not parted"), "parent", "left_semi"), reach, task_shingles // 2)
-        done.append(halves.join(held, "node").select("region", "node", "body"))
+        fit = saved(large.join(fit, large.region == fit.parent).select("parent", F.expr(f"{k} < {rounds} and 2 * most <= w and 2 * all <= 3 * w").alias("parted")), "regions")
+        done.append(_blocks(parts.join(fit.where("not parted"), "parent", "left_semi"), reach, task_shingles // 2))
         inner = parts.join(open_.select("parent", "region"), ["parent", "region"], "left_semi").join(fit.where("parted"), "parent", "left_semi")
-        members = inner.select("region", "node").join(held, "node").select("region", "node", "body")
+        members = saved(inner.select("region", "node", "n"), "members")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     found = links[0] if links else out.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for part in links[1:]:
         found = found.unionByName(part)
-    return out, found
+    return out.join(held, "node").select("region", "node", "body"), found
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, task_shingles: int = 2_000_000) -> DataFrame:
@@ -438,7 +443,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = saved(joined(texts), "edges").toDF("node", "comp")
     else:
         sets = texts.join(large, "region", "left_semi").mapInArrow(_sets(width), "region long, node long, body binary")
-        parts, links = _dealt(saved(sets, "members"), num, den, task_shingles)
+        held = saved(sets.select("node", "body"), "sets")
+        parts, links = _dealt(wanted.join(large, "region", "left_semi").select("region", "node", "n"), held, num, den, task_shingles)
         comp = connected_components(joined(texts.join(large, "region", "left_anti")).union(joined(parts)).union(links))
     del texts
     release(docs.sparkSession)
