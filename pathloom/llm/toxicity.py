@@ -6,7 +6,10 @@ fitted from document labels alone through the noisy-or, so the sentences that
 explain a toxic label get the blame, and scoring can point at them. In scoring
 a sentence adds the part of its hazard, -log(1 - p), above that of a quiet one
 (p of QUIET, or of a sentence without telling features if that is more), so
-that ordinary text adds nothing, however long it is.
+that ordinary text adds nothing, however long it is. The scores of two models,
+each of the half of the labelled documents that the other learnt from, say
+which score parts the labels best; the odds of all scores are multiplied by one
+number so that it becomes 0.7.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .storage import saved
+from .storage import others_of, row_of, saved
 from .words import U64, Piece, hash_spans, pieces
 
 _I64 = np.int64
@@ -138,6 +141,43 @@ def fit_noisy_or(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: n
     return w
 
 
+#: The score that is to part the labels best, and how low the noisy-or that becomes it may be.
+CUT, LOWEST = 0.7, 0.25
+
+
+def document_scores(z: np.ndarray, doc: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """The noisy-or of each document from its sentences' logits, each less a quiet sentence's hazard."""
+    hazard = np.maximum(_softplus(z) - _softplus(max(bias, np.log(QUIET / (1 - QUIET)))), 0)
+    return -np.expm1(-np.bincount(doc, hazard, minlength=n))
+
+
+def _odds(p: float) -> float:
+    return p / (1 - p)
+
+
+def odds_factor(words: np.ndarray, sizes: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray, bits: int) -> float:
+    """What the odds of scores are multiplied by, so that the score of the best F1 on documents that a fit left out becomes CUT."""
+    n = len(label)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    score = np.zeros(n)
+    for half in (0, 1):
+        learn = np.arange(n) % 2 != half
+        if len(set(label[learn].tolist())) < 2:
+            return 1.0
+        own, place = learn[doc], np.cumsum(learn) - 1
+        w = fit_noisy_or(words[own[sentence]], sizes[own], place[doc[own]], label[learn], weight[learn], bits)
+        z = np.bincount(sentence, w[words], minlength=len(sizes)) + w[-1]
+        score[~learn] = document_scores(z, doc, n, float(w[-1]))[~learn]
+    by = np.argsort(-score, kind="stable")
+    score, y, weight = score[by], label[by], weight[by]
+    caught, wrong = np.cumsum(weight * y), np.cumsum(weight * (1 - y))
+    f1 = 2 * caught / (caught + wrong + (weight * y).sum())
+    f1[:-1][score[1:] == score[:-1]] = 0  # equal scores are on one side
+    best = int(np.argmax(f1))
+    between = (score[best] + (score[best + 1] if best + 1 < n else 0)) / 2
+    return _odds(CUT) / _odds(min(max(between, LOWEST), CUT))
+
+
 def _within(bags: DataFrame, most: int) -> DataFrame:
     """Of each label the first bags, by a hash of what they hold, until they have ``most`` sentences together; the one that gets there is in."""
     kept = F.lit(False)
@@ -156,7 +196,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_labe
     The sample is weighted back to the labels' shares. Features that don't tell
     the labels apart (``telling``) are left out: they would only memorise single
     documents, and what is left is small enough for the driver. Texts without
-    words teach nothing. None if one of the two labels is missing.
+    words teach nothing. None if one of the two labels is missing. The model is
+    a weight for each feature, the bias, and the factor of the odds of scores.
     """
     rows, totals = labelled_sample(docs, labels, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0), per_label, None)
     if not totals.get(0) or not totals.get(1):
@@ -175,7 +216,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_labe
     doc = np.repeat(np.arange(len(order)), [len(x) for x in each])
     drawn = np.bincount(label, minlength=2)
     share = np.array([totals[0], totals[1]]) / (totals[0] + totals[1]) / drawn
-    return fit_noisy_or(words, sizes, doc, label, share[label] * len(label), bits).astype(np.float32)
+    weight = share[label] * len(label)
+    return np.append(fit_noisy_or(words, sizes, doc, label, weight, bits), odds_factor(words, sizes, doc, label, weight, bits)).astype(np.float32)
 
 
 def _scored(model, bits: int, cut: float):
@@ -189,9 +231,10 @@ def _scored(model, bits: int, cut: float):
                 found: list[list[dict]] = [[] for _ in range(n)]
                 if len(p.hashes) and w is not None:
                     first, doc = sentences(p)
-                    z = np.add.reduceat(w[_indices(p, bits)].astype(float), FORMS * first) + w[-1]
-                    hazard = np.maximum(_softplus(z) - _softplus(max(float(w[-1]), np.log(QUIET / (1 - QUIET)))), 0)
-                    score = -np.expm1(-np.bincount(doc, hazard, minlength=n))
+                    bias, factor = float(w[-2]), float(w[-1])
+                    z = np.add.reduceat(w[_indices(p, bits)].astype(float), FORMS * first) + bias
+                    score = document_scores(z, doc, n, bias)
+                    score = factor * score / (1 - score + factor * score)
                     last = np.append(first[1:], len(p.hashes)) - 1
                     for s in np.flatnonzero(z >= np.log(cut / (1 - cut))).tolist():
                         text = bytes(p.data[p.starts[first[s]] : p.ends[last[s]]]).decode(errors="replace")
@@ -207,11 +250,14 @@ def score_toxicity(docs: DataFrame, model: np.ndarray | None, text_col: str = "t
     """``docs`` plus score (noisy-or of the sentences, 0 to 1) and offending: its sentences that score at least ``cut``.
 
     A sentence adds to the noisy-or what it has over a quiet one (``QUIET``).
-    Null, empty and wordless texts score 0, as all do without a model. Rows are
-    scored alone: ids may be null or repeated. All columns pass through; an
-    empty table gives no rows. The model (a fixed 2**bits weights) is broadcast.
+    Null, empty and wordless texts score 0, as all do without a model; texts of
+    any length are scored whole. Rows are scored alone: ids may be null or
+    repeated. All columns pass through but those named score or offending, which
+    are replaced; an empty table gives no rows. The model (a fixed 2**bits
+    weights) is broadcast.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    others = others_of(docs, "score", "offending")
+    rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_scored(shared, bits, cut), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<sentence:string,score:double>>")
-    return out.select("row.*", "score", "offending")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "score", "offending")
