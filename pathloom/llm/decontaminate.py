@@ -39,8 +39,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item
     distinct ``width``-word shingles (a shorter item is one shingle of all its
     words, looked for as such). It is contained when den * found >= num *
     item_shingles. Null, empty and wordless texts contain nothing and are in
-    nothing. Repeated rows give one result; a null id is a value like others.
-    Other columns are ignored. Shingles are compared by 64-bit hashes.
+    nothing; texts of any length are searched whole. Repeated rows give one
+    result; a null id is a value like others; of an id with several texts an
+    item's best find counts. Other columns are ignored; empty tables give no
+    rows. Shingles are compared by 64-bit hashes.
     """
     items = items.select(F.col(item_col).alias("item"), _word_hashes(F.col(text_col)).alias("wh")).where("size(wh) > 0")
     widths = sorted(r[0] for r in items.select(F.least(F.size("wh"), F.lit(width)).alias("m")).distinct().collect())
@@ -71,8 +73,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item
     for m, bound in sorted(bounds.items()):
         own = hashed.where(F.size("wh") >= m).select("id", "t", "wh", F.explode(F.sequence(F.lit(0), F.size("wh") - m)).alias("at"))
         own = own.withColumn("h", _shingle(F.col("at"), m)).where(F.col("h") <= bound["high"])
-        hits = own.join(_bounded(sketch.where(F.col("m") == m).select("item", "h"), sketch_rows), "h")
-        pairs = hits.groupBy("id", "t", "item").agg(F.first("wh").alias("wh"))
+        wanted = sketch.where(F.col("m") == m).select("item", "h")
+        if sketch_rows <= BROADCAST_ROWS:
+            pairs = own.join(F.broadcast(wanted), "h").groupBy("id", "t", "item").agg(F.first("wh").alias("wh"))
+        else:
+            # Hashes alone are shuffled; a document's words are fetched once it has an item to be verified.
+            pairs = own.select("id", "t", "h").join(wanted, "h").select(F.col("id").alias("id2"), F.col("t").alias("t2"), "item").distinct()
+            pairs = hashed.join(pairs, F.expr("id <=> id2 and t <=> t2")).select("id", "t", "item", "wh")
         pairs = pairs.join(_bounded(whole.where(F.col("m") == m).select("item", "set"), sketch_rows), "item")
         grams = F.transform(F.sequence(F.lit(0), F.size("wh") - m), lambda i: F.xxhash64(*(F.get(F.col("wh"), i + k) for k in range(m))))  # noqa: B023
         found.append(pairs.select("id", "t", "item", F.size("set").cast("long").alias("item_shingles"), F.size(F.array_intersect("set", grams)).cast("long").alias("found")))
