@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
+from .storage import others_of, row_of
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
@@ -155,14 +156,16 @@ def _graded(shared, bits: int):
 def grade_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", *, bits: int = 18) -> DataFrame:
     """``docs`` plus expected_grade (double) and tails: P(grade above the k-th grade) for each grade but the highest.
 
-    Null and empty texts are graded by their length feature alone. Without a
-    model both are null. Rows are graded alone: ids may be null or repeated. All
-    columns pass through; an empty table gives no rows. The model (a fixed
+    Null and empty texts are graded by their length feature alone, texts of any
+    length whole. Without a model both are null. Rows are graded alone: ids may
+    be null or repeated. All columns pass through but those named like a new
+    one, which are replaced; an empty table gives no rows. The model (a fixed
     2**bits weights) is broadcast.
     """
+    others = others_of(docs, "expected_grade", "tails")
     if model is None:
-        return docs.select("*", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+        return docs.select(*(F.col(f"`{c}`") for c in others), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
+    rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_graded(shared, bits), f"row {rows.schema['row'].dataType.simpleString()}, expected_grade double, tails array<double>")
-    return out.select("row.*", "expected_grade", "tails")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "expected_grade", "tails")

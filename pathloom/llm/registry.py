@@ -49,19 +49,22 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored for toxicity by a model of the labels that are not held out. Null and empty texts score 0; a null id is not held out; repeated rows score alike."""
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(f"{_REMAINDER} <> 1"))
     out = score_toxicity(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", F.expr(f"coalesce({_REMAINDER} = 1, false)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return out.select("doc_id", F.expr(f"coalesce({_REMAINDER} = 1, false)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.transform("offending", lambda x: x["sentence"]).alias("offending"))
 
 
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the set and component of every row, by 3-word shingles at 0.9. Nulls, empty texts and repeats: as ``jaccard_components`` says."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of 2,048 tokens. Null and empty texts are the end id alone; repeated rows and null ids are packed as rows of their own."""
     import public_tokenizers
 
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -70,12 +73,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without recurring runs of 35 words. Null and empty texts lose nothing; repeated rows are copies of each other."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition of every text and the verdict on it. Null and empty texts fail; repeated rows get equal results."""
     return repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
@@ -85,6 +90,7 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 @_query
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL. Null URLs and those without ``://`` have an empty host and path; ids may be null or repeated."""
     out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -95,16 +101,19 @@ SHARDS = [f"shard-{k:02d}" for k in range(64)]
 
 @_query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every id. Equal ids share a shard, null ones too."""
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
 @_query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item. Null and empty texts contain none; repeated rows give one result; a null id is a value like others."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @_query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents state. Null and empty texts give no row; repeated rows give one; a null id is a value like others."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 

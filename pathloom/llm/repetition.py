@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import others_of, row_of
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
@@ -123,13 +124,14 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", *, min_words: int
     positions), longest_repeat (words), base_failed (fewer than 50 words, or
     more than half are n_repeat_words) and kept: false if base_failed, if more
     than ``max_fraction`` of the words is covered, or if a repeat is longer than
-    ``max_repeat``. Null and empty texts have no words and fail. Rows are judged
-    alone, so repeated rows get equal results; ids are not used; all other
-    columns pass through; an empty table gives no rows.
+    ``max_repeat``. Null and empty texts have no words and fail; texts of any
+    length are judged whole. Rows are judged alone, so repeated rows get equal
+    results; ids are not used; all other columns pass through but those named
+    like a new one, which are replaced; an empty table gives no rows.
     """
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("row"), F.col(text_col).cast("string").alias("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
+    others = others_of(docs, text_col, *names, "spans", "base_failed", "kept")
+    rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", spans array<struct<start:long,end:long>>"
     out = rows.mapInArrow(_measured(min_words), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

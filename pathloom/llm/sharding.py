@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import others_of, row_of
+
 #: A prime; at 64 shards a shard has 1,024 slots or one more.
 TABLE_SIZE = 65_537
 
@@ -52,12 +54,14 @@ def assign_shards(docs: DataFrame, shards: list[str], key_col: str = "doc_id", *
 
     Equal keys share a shard, repeated rows and null keys too; no row moves for
     it: the broadcast table has ``size`` rows whatever the input. All columns
-    pass through, and an empty table gives no rows.
+    pass through, but those named slot or shard, which are replaced; keys may be
+    of any length, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))], "slot long, shard string")
-    row = docs.select(F.struct(*docs.columns).alias("row"), slot_of(F.col(key_col), size).alias("slot"))
-    return row.join(F.broadcast(table), "slot").select("row.*", "slot", "shard")
+    others = others_of(docs, "slot", "shard")
+    row = docs.select(row_of(others), slot_of(F.col(key_col), size).alias("slot"))
+    return row.join(F.broadcast(table), "slot").select(*(F.col("row").getField(c).alias(c) for c in others), "slot", "shard")
 
 
 def sharding_sql(shards: list[str], key: str, source: str, size: int = TABLE_SIZE) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import kept
 
@@ -15,6 +16,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return kept(df, name)
 
 
+def others_of(docs: DataFrame, *made: str) -> list[str]:
+    """Columns that pass through beside new ones: a column named like a new one, whatever its case, is replaced by it."""
+    new = {m.lower() for m in made}
+    return [c for c in docs.columns if c.lower() not in new]
+
+
+def row_of(columns: list[str]) -> Column:
+    """These columns as one struct; without any, a struct that holds nothing of the row."""
+    return (F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))).alias("row")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nobody holds any more: its cleaner waits for the driver's garbage collection."""
     gc.collect()

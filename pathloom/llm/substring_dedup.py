@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import others_of, row_of, saved
 from .words import U64, pieces, rolling, texts_of
 
 _I64 = np.int64
+#: Keys of texts that a task remembers, so as to describe equal ones once; beyond that they are only more work.
+_SEEN = 200_000
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -74,7 +76,7 @@ def _described(window: int, gram: int):
                     own = chosen[cut[i] : cut[i + 1]]
                     key = int(keys[at + i])
                     if len(own) and key not in seen:
-                        if len(seen) < 200_000:
+                        if len(seen) < _SEEN:
                             seen.add(key)
                         h = np.sort(grams[own])
                         lists.append(h[np.concatenate(([True, True], h[2:] != h[:-2]))[: len(h)]])  # each at most twice
@@ -106,7 +108,7 @@ def _windows(window: int, gram: int):
                         a, b = int(p.bounds[i]), int(p.bounds[i + 1]) - window + 1
                         wanted = batch.column(4)[at + i].values
                         if b > a and wanted is not None and len(wanted) and int(keys[at + i]) not in seen:
-                            if len(seen) < 200_000:
+                            if len(seen) < _SEEN:
                                 seen.add(int(keys[at + i]))
                             own = np.flatnonzero(np.isin(low[a:b], wanted.to_numpy(zero_copy_only=False).view(U64))) + a
                             places.append(own)
@@ -184,13 +186,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", *, window: int = 35,
     elsewhere, in any document, the same included; all occurrences go. spans
     are the removed runs as word positions (start, end), kept is what is left,
     joined by one space. Null, empty and short texts lose nothing (null counts
-    as empty). Repeated rows are copies of each other. Ids are not used, so they
-    may be null or repeated; all other columns pass through. An empty table
-    gives no rows.
+    as empty); texts of any length are searched whole. Repeated rows are copies
+    of each other, and of equal passages all go, whichever is first. Ids are not
+    used, so they may be null or repeated; all other columns pass through but
+    those named like a new one, which are replaced. An empty table gives no rows.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = others_of(docs, text_col, "n_words", "n_removed", "spans", "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("row"), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    rows = docs.select(row_of(others), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
     described = rows.select("k1", "k2", "text").mapInArrow(_described(window, gram), "k1 long, k2 int, n long, anchors array<long>")
     described = saved(described, "anchors")
     copies = described.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
