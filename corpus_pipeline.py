@@ -19,7 +19,11 @@ from pathloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity is 0.7 or more. The model learns from the labels of this stage's documents."""
+    """Drops documents whose toxicity is 0.7 or more. The model learns from the labels of this stage's documents.
+
+    Rows are judged alone, so ids may be null or repeat; null and empty texts
+    stay, as all do where labels of one kind are missing. An empty table gives none.
+    """
     ship_library(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 3 <> 1"))
     return score_toxicity(docs, model).where("score < 0.7").select(*docs.columns)
@@ -44,7 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 35 words or more that recur in any document; texts that lose nothing stay as they are."""
+    """Cuts passages of 35 words or more that recur in any document; texts that lose nothing stay as they are.
+
+    No row goes: null texts stay null, one that is cut whole becomes empty.
+    Repeated rows are copies of each other, so they are cut; ids are not used.
+    """
     ship_library(spark)
     out = remove_repeats(docs.withColumn("_text", F.col("text")))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text"))
@@ -53,14 +61,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item: 0.8 or more of its 5-word shingles. Rows are judged by id and text; the id may be null."""
+    """Drops documents that contain a benchmark item: 0.8 or more of its 5-word shingles.
+
+    Rows are judged by id and text, so ids may be null or repeat; repeated rows
+    go or stay together. Null and empty texts stay, as all do without items.
+    """
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
     hit = contaminated(keyed, table(spark, sf_dir, "benchmark"), "_key").select(F.col("_key.id").alias("_id"), F.col("_key.t").alias("_t")).distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what stays into sequences of 2048 tokens; one row per piece."""
+    """Packs what stays into sequences of 2048 tokens; one row per piece. Null and empty texts are the end id alone; each row is packed, whatever its id."""
     import public_tokenizers
 
     ship_library(spark)
