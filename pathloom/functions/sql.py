@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ def register(spark: SparkSession) -> list[str]:
     """Makes ``FUNCTIONS`` temporary SQL functions of the session; gives their names. They take and give strings; null gives null."""
     for name, (parameters, made) in FUNCTIONS.items():
         none = spark.createDataFrame([], ", ".join(f"{p} string" for p in parameters))
-        body = text_of(none.select(made(*map(F.col, parameters)).alias("x")))
+        given = reduce(and_, (F.col(p).isNotNull() for p in parameters))
+        body = text_of(none.select(F.when(given, made(*map(F.col, parameters))).alias("x")))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{p} STRING' for p in parameters)}) RETURNS STRING RETURN {body}")
     return list(FUNCTIONS)

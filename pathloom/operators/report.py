@@ -15,12 +15,16 @@ SHOWN = 3
 
 def number_text(x: Column) -> Column:
     """A whole number in all its digits, any other rounded to two decimals without a trailing zero; from 1e38 on, in scientific form."""
-    places = F.regexp_replace(F.round(x, 2).cast("decimal(38,2)").cast("string"), r"0\z", "")
+    places = F.regexp_replace((F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100).cast("decimal(38,2)").cast("string"), r"0\z", "")
     return F.when(F.abs(x) >= 1e35, x.cast("string")).when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(places)
 
 
 def _listed(df: DataFrame, name: str, order: list[str], shown: Column) -> DataFrame:
-    one = F.array_sort(F.collect_list(F.struct(*order, shown.alias("_v"))))
+    def compare(a: Column, b: Column) -> Column:  # by the order alone: maps have none
+        x, y = F.struct(*(a[c] for c in order)), F.struct(*(b[c] for c in order))
+        return F.when(x < y, -1).when(x == y, 0).otherwise(1)
+
+    one = F.array_sort(F.collect_list(F.struct(*order, shown.alias("_v"))), compare)
     return df.groupBy("cluster_key").agg(F.transform(one, lambda x: x["_v"]).alias(name))
 
 
