@@ -43,8 +43,6 @@ from .storage import release, saved
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
-#: Hundredths of a set that are taken at least: fewer don't tell copies from documents that share common words alone.
-TAKEN = 30
 #: Of names that a task remembers so as not to repeat them; beyond that equal sets are only more work.
 _SEEN = 200_000
 
@@ -86,8 +84,7 @@ def prefix(n: int, num: int, den: int) -> tuple[int, int]:
         return -(-k * num // den)
 
     def beyond(k: int) -> int:
-        # As many as a linked set may lack, and so many that TAKEN of the set are taken in all: never fewer for larger sets.
-        return max(1, min(max(k * (den - num) // den, k * (TAKEN * den - 100 * (den - num)) // (100 * den)), least(k)))
+        return max(1, min(k - least(k), least(k)))
 
     return n - least(n) + beyond(n), beyond(least(n))
 
@@ -328,13 +325,13 @@ def _joined(width: int, num: int, den: int):
     return run
 
 
-_PARTS = "parent long, region long, node long, pivot long, n long, linked boolean, home boolean, far double, near boolean"
+_PARTS = "parent long, region long, node long, pivot long, n long, linked boolean, home boolean, far array<double>"
 
 
 def _voronoi(num: int, den: int):
     """(region, node, body, pivots) to _PARTS rows, one for each Voronoi region that holds the node.
 
-    linked: with the region's pivot; far, near: the distance to the first pivot, and whether it links.
+    linked: with the region's pivot; far: with the nearest one, the distances to all pivots.
     """
     reach = 1 - num / den + 1e-9
 
@@ -349,8 +346,8 @@ def _voronoi(num: int, den: int):
                 home = int(np.argmin(d))
                 for k in np.flatnonzero(cells(d[:, None], reach)[:, 0]).tolist():
                     region = int(mix(np.array([(r * 0x9E3779B97F4A7C15 + k + 1) % (1 << 64)], U64)).view(_I64)[0])
-                    out.append((r, region, node, pivots[k]["node"], len(s), bool(linked[k]), k == home, float(d[0]), bool(linked[0])))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.bool_()]
+                    out.append((r, region, node, pivots[k]["node"], len(s), bool(linked[k]), k == home, d.tolist() if k == home else None))
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.list_(pa.float64())]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [f.split()[0] for f in _PARTS.split(", ")])
 
@@ -360,11 +357,16 @@ def _voronoi(num: int, den: int):
 def _blocks(parts: DataFrame, reach: float, block: int) -> DataFrame:
     """(region, node): regions that pivots can't part, in pairs of blocks of about ``block`` shingles.
 
-    Documents linked with the first pivot come first, all in order of their
-    distance to it. Two blocks of linked documents are in one component
+    Documents linked with the pivot of most links come first, all in order of
+    their distance to it. Two blocks of linked documents are in one component
     already, and blocks farther apart than ``reach`` hold no link.
     """
-    rows = parts.where("home").withColumn("step", F.floor(F.col("far") * 1024))
+    rows = parts.where("home").select("parent", "node", "n", "far")
+    sure = reach - 2e-9  # within this, a distance is a link however it was rounded
+    linked = rows.select("parent", F.posexplode("far").alias("k", "d")).groupBy("parent", "k").agg(F.count_if(F.col("d") <= sure).alias("c"))
+    best = linked.groupBy("parent").agg(F.max_by("k", F.struct("c", "k")).alias("k"))
+    rows = rows.join(best, "parent").select("parent", "node", "n", F.get("far", F.col("k")).alias("far"))
+    rows = rows.withColumn("near", F.col("far") <= sure).withColumn("step", F.floor(F.col("far") * 1024))
     hist = rows.groupBy("parent", "near", "step").agg(F.sum("n").alias("w"))
     before = Window.partitionBy("parent").orderBy(F.desc("near"), "step").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
@@ -434,6 +436,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = wanted.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles).select("region")
     wanted_ids = wanted.select(F.col("id").alias("id2"), "text_hash", "region", "node").hint("shuffle_hash")
     texts = rows.join(wanted_ids, (rows.id.eqNullSafe(F.col("id2"))) & (rows.text_hash == wanted_ids.text_hash)).select("region", "node", "text")
+    texts = saved(texts, "texts")  # read once or twice, but all texts are shuffled once
+    release(docs.sparkSession)
 
     def joined(members: DataFrame) -> DataFrame:
         return members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")
