@@ -1,5 +1,7 @@
 """Command line: ``python -m pathloom.cli [options] [input]``; ``cluster [file]`` lists clusters however few there are.
 
+``parse``, ``normalize``, ``explain`` or ``stats`` before the input prints the rows of that table, parted by tabs.
+
 The input is a URL, a text file, or standard input. Without a section (-n -c -p
 -e) a URL is parsed and normalised, and a text's URLs are listed, or clustered
 if there are ten or more. Output streams: nothing is held whole in the driver.
@@ -18,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.extract import extract_urls
-from .functions.trace import trace_urls
-from .functions.urls import parse_urls
+from .functions.trace import explain_urls, trace_urls
+from .functions.urls import normalize_urls, parse_urls
 from .operators.learn import cross_host_shapes, proposals
 from .operators.render import corpus_normalize
 from .operators.report import cluster_json, cluster_lines
@@ -211,6 +213,20 @@ def _shared_lines(o: Observed, a: argparse.Namespace) -> Iterator[str]:
         yield f"no cross-host shapes ({n} cluster{'s' * (n != 1)} scanned)"
 
 
+#: What a word before the input makes of its log.
+TABLES = {
+    "parse": lambda log: parse_urls(log).select("obs_id", "iri.*"),
+    "normalize": normalize_urls,
+    "explain": explain_urls,
+    "stats": lambda log: stats(observe(log, keep=True)),
+}
+
+
+def _table_lines(df: DataFrame) -> Iterator[str]:
+    yield "\t".join(df.columns)
+    yield from ("\t".join(map(str, r)) for r in df.toLocalIterator())
+
+
 def lines(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     """The lines that a command prints."""
     path = corpus_path(a.corpus, without=a.no_corpus)
@@ -220,6 +236,9 @@ def lines(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
         yield f"reset corpus at {path}"
         return
     args = list(a.input)
+    if len(args) == 2 and args[0] in TABLES:
+        yield from _table_lines(TABLES[args[0]](read_log(spark, args[1], scheme_less=not a.no_scheme_less)))
+        return
     listed = args[:1] == ["cluster"]
     args = args[listed:]
     corpus = open_corpus(spark, path, strategy=a.host) if path else None

@@ -312,7 +312,7 @@ select cluster_key, n, ord, examples, segments, params from cl left join ex usin
     "proposals": base("customers") + f""", v as (select host, scope, locator, value, count(*) as n from seg group by all), t as (select host, scope, locator, arg_min(type, (-n, type)) as dominant, sum(n) as total from (select host, scope, locator, type, count(*) as n from seg group by all) group by all),
 c as (select regexp_extract(value, '^([a-z]+)_([A-Za-z0-9]+)\\z', 1) || '_' as prefix, v.*, t.total from v join t using (host, scope, locator) where dominant in ('slug', 'opaque_id') and regexp_matches(value, '^([a-z]+)_([A-Za-z0-9]+)\\z')),
 b as (select prefix, host, scope, locator, sum(n) as matching, max(total) as total from c group by all), p as (select prefix, sum(matching)::bigint as matching, sum(total)::bigint as observations, count(distinct host) as hosts from b group by prefix),
-s as (select prefix, string_agg(value, ',' order by value) as samples from (select distinct prefix, value, dense_rank() over (partition by prefix order by value) as r from c) where r <= 5 group by prefix)
+s as (select prefix, string_agg(value, ',' order by value) as samples from (select prefix, value, row_number() over (partition by prefix order by value) as r from c) where r <= 5 group by prefix)
 select prefix, rtrim(prefix, '_') as type, matching, observations, hosts, {r('matching / observations::double', 4)} as coverage, {r('least(1.0, matching / observations::double + 0.05 * (hosts - 1))', 4)} as confidence, samples from p join s using (prefix) where matching >= 20 and matching / observations::double >= 0.7""",
     "activate_reinfer": base("customers", activations=(("cus_", "cus"),)) + " select shape, count(*) as n from keyed group by all",
     "cross_host_shapes": base("events") + " select shape, string_agg(distinct khost, ',' order by khost) as hosts, count(distinct khost) as n_hosts, count(*) as observations from keyed where khost <> '' group by shape having count(distinct khost) >= 2",
