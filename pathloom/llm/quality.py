@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .storage import others_of, row_of
+from .storage import fields_of, named, others_of, row_and, row_of
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
@@ -164,8 +164,8 @@ def grade_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "
     """
     others = others_of(docs, "expected_grade", "tails")
     if model is None:
-        return docs.select(*(F.col(f"`{c}`") for c in others), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
+        return docs.select(*map(named, others), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
     rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_graded(shared, bits), f"row {rows.schema['row'].dataType.simpleString()}, expected_grade double, tails array<double>")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "expected_grade", "tails")
+    out = rows.mapInArrow(_graded(shared, bits), row_and(rows, "expected_grade double, tails array<double>"))
+    return out.select(*fields_of(others), "expected_grade", "tails")

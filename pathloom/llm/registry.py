@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster, clusters_sql
 from .decontaminate import CONTAMINATED_SQL, contaminated
+from .hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
+from .html_extract import extract_text, fit_extraction
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses, scan_licenses_sql
 from .packing import pack
@@ -117,6 +120,26 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null and empty pages have an empty text; ids and URLs may be null or repeated."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages, fit_extraction(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 50, among all rows. Rows with nulls or components that are not finite take no part."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+@_query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 finite components; others give no row. Null ids stay, repeated ones are vectors of their own."""
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -130,10 +153,15 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_url_filters,
         op10_sharding,
+        op11_html_extraction,
+        op12_hard_negative_mining,
+        op13_centroid_clustering,
     )
 }
 SQL: dict[str, str] = {
     "op2_benchmark_decontamination": CONTAMINATED_SQL,
     "op4_license_scans": scan_licenses_sql(),
     "op10_sharding": sharding_sql(SHARDS, "doc_id", "documents"),
+    "op12_hard_negative_mining": HARD_NEGATIVES_SQL,
+    "op13_centroid_clustering": clusters_sql(),
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import others_of, row_of
+from .storage import fields_of, others_of, row_and, row_of
 from .words import U64, Piece, mix, pieces
 
 _I64 = np.int64
@@ -132,8 +132,8 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", *, min_words: int
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
     others = others_of(docs, text_col, *names, "spans", "base_failed", "kept")
     rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", spans array<struct<start:long,end:long>>"
+    schema = row_and(rows, ", ".join(f"{x} long" for x in names) + ", spans array<struct<start:long,end:long>>")
     out = rows.mapInArrow(_measured(min_words), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.col("covered_words") <= max_fraction * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in others), *names, "spans", failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return out.select(*fields_of(others), *names, "spans", failed.alias("base_failed"), (~failed & fine).alias("kept"))

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import others_of, row_of
+from .storage import fields_of, others_of, row_of
 
 #: A prime; at 64 shards a shard has 1,024 slots or one more.
 TABLE_SIZE = 65_537
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: list[str], key_col: str = "doc_id", *
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))], "slot long, shard string")
     others = others_of(docs, "slot", "shard")
     row = docs.select(row_of(others), slot_of(F.col(key_col), size).alias("slot"))
-    return row.join(F.broadcast(table), "slot").select(*(F.col("row").getField(c).alias(c) for c in others), "slot", "shard")
+    return row.join(F.broadcast(table), "slot").select(*fields_of(others), "slot", "shard")
 
 
 def sharding_sql(shards: list[str], key: str, source: str, size: int = TABLE_SIZE) -> str:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.tables import kept
 
@@ -22,9 +23,24 @@ def others_of(docs: DataFrame, *made: str) -> list[str]:
     return [c for c in docs.columns if c.lower() not in new]
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def row_of(columns: list[str]) -> Column:
     """These columns as one struct; without any, a struct that holds nothing of the row."""
-    return (F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))).alias("row")
+    return (F.struct(*map(named, columns)) if columns else F.struct(F.lit(0).alias("_"))).alias("row")
+
+
+def fields_of(columns: list[str]) -> list[Column]:
+    """The columns that ``row_of`` has put together, each under its name."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
+def row_and(rows: DataFrame, ddl: str) -> StructType:
+    """The schema of a table that carries the struct ``row`` of ``rows`` beside new columns."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(ddl)])
 
 
 def release(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import others_of, row_of, saved
+from .storage import fields_of, others_of, row_and, row_of, saved
 from .words import U64, pieces, rolling, texts_of
 
 _I64 = np.int64
@@ -212,6 +212,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", *, window: int = 35,
 
     known = copies.where("copies > 1").join(confirmed, ["k1", "k2"], "full_outer").select("k1", "k2", "copies", "confirmed")
     joined = rows.join(known, ["k1", "k2"], "left").select("row", "text", "copies", "confirmed")
-    row_type = rows.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_located(window), f"row {row_type}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "n_words", "n_removed", "spans", "kept")
+    out = joined.mapInArrow(_located(window), row_and(rows, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"))
+    return out.select(*fields_of(others), "n_words", "n_removed", "spans", "kept")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .storage import others_of, row_of, saved
+from .storage import fields_of, others_of, row_and, row_of, saved
 from .words import U64, Piece, hash_spans, pieces
 
 _I64 = np.int64
@@ -259,5 +259,5 @@ def score_toxicity(docs: DataFrame, model: np.ndarray | None, text_col: str = "t
     others = others_of(docs, "score", "offending")
     rows = docs.select(row_of(others), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_scored(shared, bits, cut), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<sentence:string,score:double>>")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "score", "offending")
+    out = rows.mapInArrow(_scored(shared, bits, cut), row_and(rows, "score double, offending array<struct<sentence:string,score:double>>"))
+    return out.select(*fields_of(others), "score", "offending")
