@@ -5,6 +5,12 @@
 The input is a URL, a text file, or standard input. Without a section (-n -c -p
 -e) a URL is parsed and normalised, and a text's URLs are listed, or clustered
 if there are ten or more. Output streams: nothing is held whole in the driver.
+Standard input is taken in chunks of what has arrived: each is committed (to the
+corpus, or to one that is gone afterwards), and with a section its URLs are
+printed before the next is read.
+
+Exit codes: 1 for a wrong option, file or corpus, 2 for input that is no URL,
+141, without a word, when nobody reads the output any more.
 """
 
 from __future__ import annotations
@@ -12,9 +18,11 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import select
 import sys
-import tempfile
+import uuid
 from collections.abc import Iterator
+from importlib.metadata import PackageNotFoundError, version
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +35,35 @@ from .operators.render import corpus_normalize
 from .operators.report import cluster_json, cluster_lines
 from .operators.views import Observed, observe, stats, url_list
 from .sources.logs import literal_log, text_file
-from .sources.store import Corpus, corpus_path, open_corpus
-from .sources.tables import kept
+from .sources.files import Folder
+from .sources.store import Commit, Corpus, corpus_path, open_corpus
+from .sources.tables import kept, shared_dir
 
 #: So many URLs are clustered rather than listed.
 LARGE = 10
 SECTIONS = ("parse", "canonical", "normalize", "explain")
+#: Bytes of standard input that are taken at once, and seconds that a shorter chunk waits for more.
+CHUNK, WAIT = 1 << 26, 0.2
+
+
+class Failure(Exception):
+    """What ends a command: a message and the exit code."""
+
+    def __init__(self, message: str, code: int = 1):
+        super().__init__(message)
+        self.code = code
+
+
+def release() -> str:
+    try:
+        return version("pathloom")
+    except PackageNotFoundError:
+        return "0.3.0"
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pathloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("-V", "--version", action="version", version=f"%(prog)s {release()}")
     p.add_argument("input", nargs="*", help="a URL, a file, or - for standard input; before it, cluster")
     for short, name, text in (("-n", "normalize", "shape: variable parts become placeholders"), ("-c", "canonical", "clean form"), ("-p", "parse", "parsed fields"), ("-e", "explain", "trace with notes")):
         p.add_argument(short, f"--{name}", action="append_const", dest="sections", const=name, help=text)
@@ -56,9 +83,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def read_log(spark: SparkSession, source: str, *, scheme_less: bool = True) -> DataFrame:
-    """The log of a URL, or of the URLs of a text file in the order of its lines."""
-    if "://" in source or not os.path.exists(source):
+def read_log(spark: SparkSession, source: str, *, scheme_less: bool = True, file: bool = False) -> DataFrame:
+    """The log of a URL, or of the URLs of a text file in the order of its lines; ``file``: it is a file, wherever it is."""
+    if not file and ("://" in source or not os.path.exists(source)):
         return literal_log(spark, [source])
     found = extract_urls(text_file(spark, source), scheme_less=scheme_less)
     # A line holds less than 2**29 URLs: a string has less than 2**31 bytes, and a URL with what parts it from the next seven.
@@ -77,14 +104,13 @@ def _fields(i: Column) -> Column:
     ))
 
 
-def sections(log: DataFrame, names: list[str], *, hints: bool = True, strategy: str = "full", corpus: Observed | None = None) -> DataFrame:
-    """(obs_id, and a JSON column for each section) of a log, in order; with a corpus the normal form is informed by it."""
+def sections(log: DataFrame, names: list[str], *, hints: bool = True, informed: DataFrame | None = None) -> DataFrame:
+    """(obs_id, and a JSON column for each section) of a log, in order; the normal form is that of ``informed`` (obs_id, normalized), if given."""
     t = trace_urls(parse_urls(log), hints=hints).where("iri.error is null")
     made = {"parse": _fields(F.col("iri")), "canonical": F.to_json(F.struct(F.col("iri.canonical").alias("v"))), "explain": F.to_json(F.col("trace").dropFields("evidence"))}
     df = t.select("obs_id", F.col("trace.normalized").alias("_n"), *(made[n].alias(n) for n in names if n != "normalize"))
     if "normalize" in names:
-        if corpus is not None:
-            informed = corpus_normalize(corpus, observe(log, strategy=strategy, keep=True), hints=hints)
+        if informed is not None:
             df = df.drop("_n").join(informed.withColumnRenamed("normalized", "_n"), "obs_id")
         df = df.withColumn("normalize", F.to_json(F.struct(F.col("_n").alias("v"))))
     return df.select("obs_id", *names).orderBy("obs_id")
@@ -227,6 +253,49 @@ def _table_lines(df: DataFrame) -> Iterator[str]:
     yield from ("\t".join(map(str, r)) for r in df.toLocalIterator())
 
 
+def stdin_chunks() -> Iterator[bytes]:
+    """Whole lines of standard input: what has arrived when it pauses, and at most about CHUNK bytes."""
+    source, held, size = sys.stdin.buffer, [], 0
+    try:
+        fd = sys.stdin.fileno()
+    except (OSError, ValueError):
+        fd = None
+    while True:
+        if fd is not None and size and not select.select([fd], [], [], WAIT)[0]:
+            data, paused = b"", True
+        else:
+            data, paused = (source.read(1 << 20) if fd is None else os.read(fd, 1 << 20)), False
+            if not data:
+                break
+            held.append(data)
+            size += len(data)
+        if paused or size >= CHUNK:
+            text = b"".join(held)
+            cut = text.rfind(b"\n") + 1
+            if cut:
+                yield text[:cut]
+            held = [text[cut:]] if cut < len(text) else []
+            size = len(text) - cut if cut else 0  # a line that has no end yet waits for more
+    if held:
+        yield b"".join(held)
+
+
+def stdin_commits(spark: SparkSession, corpus: Corpus, *, scheme_less: bool = True) -> Iterator[Commit]:
+    """Commits standard input chunk by chunk; a chunk's text lies in the shared folder, where executors see it, until it is committed."""
+    at = Folder(spark, shared_dir(spark))
+    for chunk in stdin_chunks():
+        name = f"stdin-{uuid.uuid4().hex}.txt"
+        at.write(chunk, name)
+        try:
+            yield corpus.append(read_log(spark, f"{at.path}/{name}", scheme_less=scheme_less, file=True))
+        finally:
+            at.delete(name)
+
+
+def _of(corpus: Corpus, commit: Commit) -> DataFrame:
+    return corpus.log(since=commit.number - 1, upto=commit.number)
+
+
 def lines(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     """The lines that a command prints."""
     path = corpus_path(a.corpus, without=a.no_corpus)
@@ -245,7 +314,7 @@ def lines(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     report = a.stats or a.reinfer or a.propose_recognizers or a.cross_host_shapes
     if report and not args:
         if corpus is None:
-            raise SystemExit("missing argument <--corpus>")
+            raise Failure("missing argument <--corpus>")
         if a.reinfer:
             n, before = corpus.log().count(), corpus.observed().urls.select("cluster_key").distinct().count() if not corpus.version() else corpus.view("clusters").count()
             corpus.reinfer()
@@ -258,43 +327,84 @@ def lines(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
         corpus.close()
         return
     source = args[0] if args else "-"
-    if source == "-":
-        with tempfile.NamedTemporaryFile("wb", suffix=".txt", delete=False) as f:
-            while chunk := sys.stdin.buffer.read(1 << 20):
-                f.write(chunk)
-        source = f.name
+    scratch = Corpus(spark, f"{shared_dir(spark)}/stdin-{uuid.uuid4().hex}", strategy=a.host) if source == "-" and corpus is None else None
+    try:
+        yield from (_stdin_lines(spark, a, corpus, corpus or scratch, listed) if source == "-" else _source_lines(spark, a, corpus, source, listed))
+    finally:
+        if scratch is not None:
+            scratch.reset()
+    if corpus is not None:
+        corpus.close()
+
+
+def _whole_lines(log: DataFrame, o: Observed, a: argparse.Namespace, listed: bool) -> Iterator[str]:
+    if a.stats:
+        yield from _stats_lines(o, a)
+    elif listed or log.limit(LARGE).count() >= LARGE:
+        yield from _cluster_lines(o, a)
+    else:
+        yield from _list_lines(log, a)
+
+
+def _stdin_lines(spark: SparkSession, a: argparse.Namespace, corpus: Corpus | None, to: Corpus, listed: bool) -> Iterator[str]:
+    names, array, first, before = list(dict.fromkeys(a.sections or [])), a.json and not a.ndjson, True, to.last_commit().number
+    for commit in stdin_commits(spark, to, scheme_less=not a.no_scheme_less):
+        if not names:
+            continue
+        # Rendered once committed; with a corpus each URL as the corpus stood when it had arrived.
+        informed = kept(to.normalized_at(commit, hints=not a.no_hints), "informed") if corpus is not None and "normalize" in names else None
+        shown = sections(_of(to, commit), names, hints=not a.no_hints, informed=informed)
+        for line in _section_lines(shown, names, a, False):
+            if array:  # one array over all chunks
+                line = line.removesuffix("]") if line in ("]", "[]") else line
+                line = ("," if not first and line.startswith("[") else "") + (line[1:] if not first and line.startswith("[") else line)
+                if line in ("", ","):
+                    continue
+                first = False
+            yield line
+    if names:
+        if array:
+            yield "[]" if first else "]"
+        return
+    log = to.log(since=before)
+    yield from _whole_lines(log, to.observed(), a, listed)
+
+
+def _source_lines(spark: SparkSession, a: argparse.Namespace, corpus: Corpus | None, source: str, listed: bool) -> Iterator[str]:
     single = "://" in source or not os.path.exists(source)
-    if single and listed:
-        raise SystemExit(f"no such file: {source}")
+    if single and (listed or source.startswith(("/", "./", "../"))):
+        raise Failure(f"no such file: {source}")
     log = read_log(spark, source, scheme_less=not a.no_scheme_less)
+    if single and parse_urls(log).where("iri.error is null").isEmpty():
+        raise Failure(f"cannot parse: {source}", 2)
     o = None
     if corpus is not None:
-        last = corpus.log().agg(F.coalesce(F.max("obs_id"), F.lit(0))).first()[0]
-        log = kept(log.withColumn("obs_id", F.col("obs_id") + last), "log")
-        corpus.append(log, last)
+        log = kept(_of(corpus, corpus.append(log)), "log")
         o = corpus.observed()
-    if single and parse_urls(log).where("iri.error is null").isEmpty():
-        raise SystemExit(f"cannot parse: {source}")
     if a.sections or single:
         names = list(dict.fromkeys(a.sections or ["parse", "normalize"]))
-        yield from _section_lines(sections(log, names, hints=not a.no_hints, strategy=a.host, corpus=o), names, a, single)
+        informed = corpus_normalize(o, observe(log, strategy=a.host, keep=True), hints=not a.no_hints) if o is not None and "normalize" in names else None
+        yield from _section_lines(sections(log, names, hints=not a.no_hints, informed=informed), names, a, single)
     else:
-        o = o or observe(log, strategy=a.host, keep=True)
-        if a.stats:
-            yield from _stats_lines(o, a)
-        elif listed or log.limit(LARGE).count() >= LARGE:
-            yield from _cluster_lines(o, a)
-        else:
-            yield from _list_lines(log, a)
-    if corpus is not None:
-        corpus.close()
+        yield from _whole_lines(log, o or observe(log, strategy=a.host, keep=True), a, listed)
 
 
 def main(args: list[str] | None = None) -> None:
-    a = parser().parse_args(args)
+    try:
+        a = parser().parse_args(args)
+    except SystemExit as e:
+        raise SystemExit(1 if e.code else 0) from None  # 2 is for input that is no URL
     spark = SparkSession.builder.appName("pathloom").getOrCreate()
-    for line in lines(spark, a):
-        print(line)
+    try:
+        for line in lines(spark, a):
+            print(line, flush=True)
+    except BrokenPipeError:
+        sys.stdout = open(os.devnull, "w")  # nothing is written to the closed pipe at exit
+        raise SystemExit(141) from None
+    except Failure as e:
+        code = "parse_error" if e.code == 2 else "file_not_found" if str(e).startswith("no such file") else "option_error"
+        print(json.dumps({"error": {"code": code, "message": str(e)}}) if a.json or a.ndjson else f"pathloom: {e}", file=sys.stderr)
+        raise SystemExit(e.code) from None
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -10,7 +10,8 @@ from ..functions.urls import fenced, normalized, rendered
 from ..functions.values import canonical_form, param_name_hint, placeholder, singularize
 from ..sources.tables import kept
 from .infer import explained, ladder, param_stats, position_evidence, verdict
-from .views import PARAM, POSITION, Observed
+from .running import RunningState, advance
+from .views import PARAM, Observed
 
 
 def _segment_tokens(s: DataFrame, hints: bool) -> DataFrame:
@@ -60,46 +61,18 @@ def corpus_normalize(corpus: Observed, of: Observed, *, hints: bool = True, cap:
     return _assembled(of.urls, _segment_tokens(segments, hints), _param_tokens(of.params.join(stats, PARAM, "left")), hints)
 
 
-def _running(df: DataFrame, keys: list[str], cap: int) -> tuple[DataFrame, object]:
-    """``df`` with the columns of running evidence, and the window of all rows of a key up to and with this one."""
-    by = Window.partitionBy(*keys).orderBy("obs_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*keys, "value").orderBy("obs_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("seen", F.count("*").over(same))
-    distinct = F.sum(F.when(F.col("seen") == 1, 1).otherwise(0)).over(by)
-    df = df.withColumn("total", F.count("*").over(by)).withColumn("_d", distinct)
-    # A value is tracked if it was among the first ``cap`` distinct ones.
-    place = F.max(F.when(F.col("seen") == 1, F.col("_d"))).over(same)
-    df = df.withColumn("_place", place).withColumn("cardinality", F.least("_d", F.lit(cap)))
-    return df.withColumn("value_count", F.when(F.col("_place") <= cap, F.col("seen"))).drop("_d", "_place"), by
-
-
-def running_normalize(o: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP) -> DataFrame:
-    """(obs_id, normalized) of every URL by the corpus as it stood when the URL had just been observed.
-
-    A URL touches a position or a parameter once at most, so obs_id orders each
-    window fully. Parameters are rendered by the running counts of each type and
-    value; established values (three times or more) are counted as they come.
-    """
-    segments, by = _running(o.segments, POSITION, cap)
-    segments = segments.withColumn("variable_count", F.sum(F.when(F.col("type") != "literal", 1).otherwise(0)).over(by))
+def running_normalize(o: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP, ranges: int = 0) -> DataFrame:
+    """(obs_id, normalized) of every URL by the corpus as it stood when the URL had just been observed."""
+    return carried_normalize(o, None, hints=hints, cap=cap, ranges=ranges)[0]
+
+
+def carried_normalize(o: Observed, state: RunningState | None, *, hints: bool = True, cap: int = L.VALUE_CAP, ranges: int = 0) -> tuple[DataFrame, RunningState]:
+    """(obs_id, normalized) of the URLs of ``o``, which follow those that ``state`` knows; and what is known of their slots after them."""
+    segments, params, touched = advance(o, state, cap=cap, ranges=ranges)
     # Kept before they are judged: the rules read each running column many times.
     segments = kept(segments, "running_segments")
     segments = segments.withColumn("verdict", verdict(*(F.col(c) for c in ("type", "total", "variable_count", "cardinality", "value_count"))))
-
-    params, by = _running(o.params, PARAM, cap)
-    number = F.when(F.col("type").isin("integer", "float"), F.col("value").try_cast("double"))
-    params = params.withColumn("_x", F.when(F.abs(number) < float("inf"), number))
-    established = F.when(F.col("value_count") == 3, 1).otherwise(0)
-    more = F.when(F.col("value_count") == 3, 3).when(F.col("value_count") > 3, 1).otherwise(0)
-    for name, made in {
-        "num_count": F.count("_x"), "num_min": F.min("_x"), "num_max": F.max("_x"), "established": F.sum(established), "established_count": F.sum(more),
-        "dates": F.count_if(F.col("type") == "date"), "integers": F.count_if(F.col("type") == "integer"), "floats": F.count_if(F.col("type") == "float"),
-    }.items():
-        params = params.withColumn(name, made.over(by))
-    # Counts of the types so far: one running count each of the built-in types.
-    counts = F.array(*(F.struct((-F.count_if(F.col("type") == t).over(by)).alias("m"), F.lit(t).alias("t")) for t in sorted(L.BUILT_IN_TYPES)))
-    params = kept(params.withColumn("_c", counts), "running_params")
-    params = params.withColumn("dominant", F.array_min("_c")["t"])
+    params = kept(params, "running_params").withColumn("dominant", F.array_min("_c")["t"])
     undated = F.array_min(F.filter("_c", lambda x: (x["t"] != "date") & (x["m"] < 0)))["t"]
     params = kept(params.withColumn("dominant_undated", undated).withColumn("param_type", ladder(F.col("name"))), "running_types")
-    return _assembled(o.urls, _segment_tokens(segments, hints), _param_tokens(params), hints)
+    return _assembled(o.urls, _segment_tokens(segments, hints), _param_tokens(params), hints), touched

@@ -61,8 +61,19 @@ def counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "value", "type").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs"))
 
 
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def first_come(counted: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """Of each key the ``cap`` rows that were observed first."""
+    """Of each key the ``cap`` rows that were observed first.
+
+    Each task keeps its own first ``cap`` of a key before the exchange, so of a
+    key with very many values as many times ``cap`` meet as there are tasks.
+    Spark plans that up to a setting, which is raised to ``cap`` if need be.
+    """
+    conf = counted.sparkSession.conf
+    if int(conf.get(_LIMIT, "1000")) < cap:
+        conf.set(_LIMIT, str(cap))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_obs"))
     return counted.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
 
@@ -183,6 +194,65 @@ def stats(o: Observed, k: int = 10) -> DataFrame:
     return out
 
 
+class Merge(NamedTuple):
+    """How rows of a view from two parts of a log become one: the keys of a row, and of which keys the first ``cap`` rows stay (0: all)."""
+
+    keys: list[str]
+    of: list[str] = []
+    cap: int = 0
+
+
+#: Numbers of views that add up; of all others the least is taken.
+SUMS = ("n", "total")
+MERGES: dict[str, Merge] = {
+    "host_counts": Merge(["host"]), "path_length_counts": Merge(["length"]), "raw_shape_counts": Merge(["raw_shape"]), "fingerprint_counts": Merge(["shape"]),
+    "position_totals": Merge(POSITION), "position_values": Merge([*POSITION, "value"], POSITION, L.VALUE_CAP), "position_types": Merge([*POSITION, "type"]),
+    "clusters": Merge(["cluster_key"]), "cluster_examples": Merge(["cluster_key", "canonical"], ["cluster_key"], L.EXAMPLE_CAP), "cluster_segments": Merge(["cluster_key", "pos", "value"]),
+    "cluster_params": Merge(PARAM), "cluster_param_values": Merge([*PARAM, "value"], PARAM, L.VALUE_CAP), "cluster_param_types": Merge([*PARAM, "type"]),
+}
+
+
+def _sets(df: DataFrame, names: list[str], sets: dict[str, list[str]], *made) -> dict[str, DataFrame]:
+    """One aggregation by several sets of keys, kept, and of each set its rows."""
+    every = kept(df.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *names).agg(F.grouping_id().alias("_set"), *made), "sets")
+    number = {k: sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in keys) for k, keys in sets.items()}
+    return {k: every.where(F.col("_set") == number[k]).select(*keys, *(c for c in every.columns if c not in names and c != "_set")) for k, keys in sets.items()}
+
+
+def all_views(o: Observed, *, capped: bool = True) -> dict[str, DataFrame]:
+    """All views from one aggregation of each table of ``o``, by grouping sets. Those of ``capped=False`` have all values, to be merged with others."""
+    n, first = F.count("*").alias("n"), F.min("obs_id").alias("first_obs")
+    own = [F.min("_host").alias("host_"), F.min("_scheme").alias("scheme_"), F.min("_shape").alias("shape_")]
+    urls = o.urls.select("obs_id", "host", F.size("iri.path_segments").cast("long").alias("length"), "raw_shape", "shape", "cluster_key", F.col("iri.canonical").alias("canonical"), F.col("host").alias("_host"), F.col("iri.scheme").alias("_scheme"), F.col("cluster_shape").alias("_shape"))
+    u = _sets(urls, ["host", "length", "raw_shape", "shape", "cluster_key", "canonical"], {"host_counts": ["host"], "path_length_counts": ["length"], "raw_shape_counts": ["raw_shape"], "fingerprint_counts": ["shape"], "clusters": ["cluster_key"], "cluster_examples": ["cluster_key", "canonical"]}, n, first, *own)
+    out = {k: u[k].select(*MERGES[k].keys, "n") for k in ("host_counts", "path_length_counts", "raw_shape_counts", "fingerprint_counts")}
+    out["clusters"] = u["clusters"].select("cluster_key", F.col("host_").alias("host"), F.col("scheme_").alias("scheme"), F.col("shape_").alias("shape"), "n", F.col("first_obs").alias("ord"))
+    out["cluster_examples"] = u["cluster_examples"].select("cluster_key", "canonical", "first_obs")
+    # The distinct values of slots are counted once; the sets of coarser keys add them up.
+    n, first = F.sum("n").alias("n"), F.min("first_obs").alias("first_obs")
+    s = counted(o.segments, [*POSITION, "cluster_key", "pos"])
+    s = _sets(s, [*POSITION, "cluster_key", "pos", "value", "type"], {k: MERGES[k].keys for k in ("position_totals", "position_values", "position_types", "cluster_segments")}, n, first)
+    p = _sets(counted(o.params, PARAM), [*PARAM, "value", "type"], {k: MERGES[k].keys for k in ("cluster_params", "cluster_param_values", "cluster_param_types")}, n, first)
+    for k, df in {**s, **p}.items():
+        total = k in ("position_totals", "cluster_params")
+        out[k] = df.select(*MERGES[k].keys, F.col("n").alias("total" if total else "n"), *(["first_obs"] if MERGES[k].cap else []))
+    out = {k: first_come(df, MERGES[k].of, MERGES[k].cap) if capped and MERGES[k].cap else df for k, df in out.items()}
+    return {k: out[k] if k in out else view(o) for k, view in VIEWS.items()}
+
+
+def merged_view(name: str, base: DataFrame, later: DataFrame) -> DataFrame:
+    """A view of a log from that of its beginning and that, not capped, of what came after.
+
+    What came later is observed later, so a value that the beginning's cap has
+    left out stays out, and one that was within keeps its count: the result is
+    the view of the whole log, caps included.
+    """
+    m = MERGES[name]
+    made = [(F.sum if c in SUMS else F.min)(c).alias(c) for c in base.columns if c not in m.keys]
+    out = base.unionByName(later).groupBy(*m.keys).agg(*made)
+    return first_come(out, m.of, m.cap) if m.cap else out
+
+
 #: Views by name; add to it to materialise more.
 VIEWS: dict[str, Callable[[Observed], DataFrame]] = {
     f.__name__: f

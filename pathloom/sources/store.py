@@ -1,14 +1,18 @@
-"""A corpus kept in a directory: an append-only log, activations, and versioned views.
-
-    log/batch=N/       (obs_id, url): canonical forms in the order of arrival
-    activations/       (prefix, type)
-    views/vN/NAME/     the materialised views of version N
-    current/N          an empty file: version N is whole
-
-A version is written whole and then made current by creating one empty file,
-which a file system does at once; readers take the highest number there, so they
-see the old views or the new ones. The version before it stays for readers that
-have begun, older ones are deleted. One writer at a time.
+"""A corpus kept in a directory: an append-only log, activations, versioned views and the state of running evidence.
+
+    log/part=P/          (n, url): canonical forms of one append in the order of arrival
+    commits/N            says which part is the N-th, and the obs_id it starts with
+    activations/         (prefix, type)
+    views/V/NAME/        the materialised views
+    current/N            says which views are version N, and what commit they hold
+    states/S/TABLE/      what running evidence knows of slots that some commits touched
+    running/N            says which of these make up the state after commit N
+
+What a process writes counts once a small file names it. Such a file is created
+whole, under the next number, and creation fails if that number is taken; then
+the next one is tried. So any number of processes may append, read and compute
+views of one corpus at a time: the commits give them one order, a reader sees
+those up to the last one when it began, and what is never named is never read.
 
 ``open_corpus`` also takes a ``.json`` file: the nine keys of a dump, read into
 a directory in the shared folder and written back by ``close``.
@@ -19,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +32,26 @@ from ..functions import lexicon as L
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
 from ..operators.learn import activate_above
-from ..operators.views import PARAM, POSITION, VIEWS, Observed, first_come, numeric_stats, observe
+from ..operators.render import carried_normalize
+from ..operators.running import STATE_KEYS, RunningState, merged_state
+from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, first_come, merged_view, numeric_stats, observe
+from .files import Folder
 from .logs import literal_log
-from .tables import kept, shared_dir
+from .tables import discard, kept, ranked, shared_dir
+
+_COMMIT = "number long, part string, first long, n long, writer string, batch long"
+#: The list of so many commits is broadcast (some 10 MB); a longer one is joined by shuffle.
+MOST_BROADCAST = 100_000
+#: A state is made of so many parts at most, then they are written as one.
+MOST_PARTS = 8
+
+
+class Commit(NamedTuple):
+    """The ``number``-th append: its observations are ``first`` to ``first + n - 1``."""
+
+    number: int
+    first: int
+    n: int
 
 
 class Corpus:
@@ -37,58 +59,185 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, path: str, *, strategy: str = "full"):
         self.spark, self.path, self.strategy = spark, path.rstrip("/"), strategy
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.path)
 
-    def _at(self, *parts: object):
-        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *map(str, parts)]))
+    def _last(self) -> dict:
+        """The last commit; before the first one, a commit of nothing."""
+        names = self.folder.names("commits")
+        return json.loads(self.folder.read("commits", names[-1])) if names else {"number": 0, "first": 1, "n": 0, "writers": {}}
 
-    def _has(self, *parts: object) -> bool:
-        return self._fs.exists(self._at(*parts))
+    def last_commit(self) -> Commit:
+        last = self._last()
+        return Commit(last["number"], last["first"], last["n"])
 
-    def append(self, log: DataFrame, batch: int) -> None:
-        """Adds the URLs of ``log`` that parse, in order; a batch number that is there already is replaced, so a retry adds nothing twice."""
-        parsed = parse_urls(log.select("obs_id", "url")).where("iri.error is null").select("obs_id", F.col("iri.canonical").alias("url"))
-        parsed.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(_COMMIT).json(f"{self.path}/commits")
+
+    def append(self, log: DataFrame, batch: int | None = None, *, writer: str = "") -> Commit:
+        """Adds the URLs of ``log`` that parse, in the order of its obs_id, after all that the corpus holds; the store numbers them.
 
-    def log(self, after: int | None = None) -> DataFrame:
-        """(obs_id, url) of the log, or of what came after an observation; the predicate reaches the scan."""
-        if not self._has("log"):
+        A writer that may repeat itself gives its own name and numbers its batches
+        upwards: one that is there already is not added again, and its commit is given.
+        """
+        def there(last: dict) -> Commit | None:
+            if batch is None or batch > last["writers"].get(writer, -1):
+                return None
+            found = self._commits().where((F.col("writer") == writer) & (F.col("batch") == batch)).first()
+            if found is None:
+                raise ValueError(f"writer {writer!r} is beyond batch {batch}, which it left out")
+            return Commit(found["number"], found["first"], found["n"])
+
+        if done := there(self._last()):
+            return done
+        parsed = parse_urls(log.select("obs_id", "url")).where("iri.error is null").select("obs_id", F.col("iri.canonical").alias("url"))
+        rows, n, held = ranked(parsed, "n", "obs_id", first=0)
+        part = uuid.uuid4().hex
+        if n:
+            rows.select("n", "url").write.parquet(f"{self.path}/log/part={part}")
+        discard(held)
+        while True:
+            last = self._last()
+            if done := there(last):
+                self.folder.delete("log", f"part={part}")
+                return done
+            made = {"number": last["number"] + 1, "part": part, "first": last["first"] + last["n"], "n": n, "writer": writer, "batch": batch, "writers": {**last["writers"], **({writer: batch} if batch is not None else {})}}
+            if self.folder.create(json.dumps(made), "commits", f"{made['number']:019d}"):
+                return Commit(made["number"], made["first"], n)
+
+    def log(self, after: int | None = None, *, since: int = 0, upto: int | None = None) -> DataFrame:
+        """(obs_id, url) of the log as it stands, or of what came after an observation, or of the commits after ``since`` and up to ``upto``."""
+        last = self.last_commit()
+        upto = last.number if upto is None else upto
+        if upto <= since:
+            return self.spark.createDataFrame([], "obs_id long, url string")
+        commits = self._commits().where((F.col("n") > 0) & (F.col("number") > since) & (F.col("number") <= upto))
+        if after is not None:
+            commits = commits.where(F.col("first") + F.col("n") > after + 1)
+        if not self.folder.has("log"):  # commits of nothing alone
             return self.spark.createDataFrame([], "obs_id long, url string")
-        log = self.spark.read.schema("obs_id long, url string, batch int").parquet(f"{self.path}/log").select("obs_id", "url")
-        return log if after is None else log.where(F.col("obs_id") > after)
+        # Parts are folders, so those of other commits are not read.
+        commits = commits.select("part", "first")
+        rows = self.spark.read.schema("n long, url string, part string").parquet(f"{self.path}/log")
+        rows = rows.join(F.broadcast(commits) if upto <= MOST_BROADCAST else commits, "part").select((F.col("first") + F.col("n")).alias("obs_id"), "url")
+        return rows if after is None else rows.where(F.col("obs_id") > after)
 
     def activations(self) -> list[Activation]:
-        if not self._has("activations"):
+        if not self.folder.has("activations"):
             return []
         rows = self.spark.read.parquet(f"{self.path}/activations").select("prefix", "type").distinct().orderBy("prefix", "type").collect()
         return [(r["prefix"], r["type"]) for r in rows]
 
-    def observed(self, *, keep: bool = True) -> Observed:
-        return observe(self.log(), strategy=self.strategy, activations=self.activations(), keep=keep)
+    def observed(self, *, keep: bool = True, since: int = 0, upto: int | None = None) -> Observed:
+        return observe(self.log(since=since, upto=upto), strategy=self.strategy, activations=self.activations(), keep=keep)
+
+    def _about(self) -> list:
+        """What a view or state depends on besides the log."""
+        return [self.strategy, *map(list, self.activations())]
+
+    def _current(self) -> dict:
+        names = self.folder.names("current")
+        return {"version": int(names[-1]), **json.loads(self.folder.read("current", names[-1]))} if names else {"version": 0, "commit": 0, "about": None}
 
     def version(self) -> int:
-        """The highest version that is whole; 0 without one."""
-        if not self._has("current"):
-            return 0
-        return max((int(f.getPath().getName()) for f in self._fs.listStatus(self._at("current"))), default=0)
+        """The highest version of views; 0 without one."""
+        return self._current()["version"]
+
+    def _publish(self, views: dict[str, DataFrame], commit: int, about: list) -> int:
+        """Writes views and makes them the next version, unless a later commit's are there."""
+        name = uuid.uuid4().hex
+        for view, df in views.items():
+            df.write.parquet(f"{self.path}/views/{name}/{view}")
+        while True:
+            now = self._current()
+            if now["commit"] > commit and now["about"] == about:
+                self.folder.delete("views", name)
+                return now["version"]
+            version = now["version"] + 1
+            if self.folder.create(json.dumps({"views": name, "commit": commit, "about": about}), "current", f"{version:019d}"):
+                break
+        # The version before stays for readers that have begun.
+        for old in self.folder.names("current")[:-2]:
+            gone = json.loads(self.folder.read("current", old))["views"]
+            self.folder.delete("current", old)
+            self.folder.delete("views", gone)
+        return version
 
     def reinfer(self) -> int:
-        """Computes all views from the log and makes them current; gives the new version."""
-        o, version = self.observed(), self.version() + 1
-        for name, view in VIEWS.items():
-            view(o).write.mode("overwrite").parquet(f"{self.path}/views/v{version}/{name}")
-        self._fs.create(self._at("current", version), True).close()
-        for old in range(max(1, version - 10), version - 1):
-            self._fs.delete(self._at("current", old), False)
-            self._fs.delete(self._at("views", f"v{old}"), True)
-        return version
+        """Computes all views from the log and makes them current; gives their version."""
+        commit, about = self.last_commit().number, self._about()
+        return self._publish(all_views(self.observed(upto=commit)), commit, about)
+
+    def refresh(self) -> int:
+        """Brings the views up to the last commit: those of the commits since the current version are merged into it.
+
+        What a view takes from its table alone is merged; views that were added to
+        VIEWS, and all where strategy or activations have changed, are computed anew.
+        """
+        now, commit, about = self._current(), self.last_commit().number, self._about()
+        if now["about"] != about or not self._views_of(now):
+            return self.reinfer()
+        if now["commit"] == commit:
+            return now["version"]
+        later = all_views(self.observed(since=now["commit"], upto=commit), capped=False)
+        whole = self.observed(upto=commit) if set(VIEWS) - set(MERGES) else None
+        views = {k: merged_view(k, self.spark.read.parquet(f"{self.path}/views/{now['views']}/{k}"), later[k]) if k in MERGES else VIEWS[k](whole) for k in VIEWS}
+        return self._publish(views, commit, about)
+
+    def _views_of(self, now: dict) -> bool:
+        return bool(now["version"]) and set(VIEWS) <= set(self.folder.names("views", now["views"]))
 
     def view(self, name: str) -> DataFrame:
         """A view of the current version."""
         if name not in VIEWS:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.path}/views/v{self.version()}/{name}")
+        return self.spark.read.parquet(f"{self.path}/views/{self._current()['views']}/{name}")
+
+    def _state(self, parts: list[str]) -> RunningState | None:
+        """The state that parts make up: of each key what the last part says."""
+        if not parts:
+            return None
+        out = []
+        for name, keys in STATE_KEYS.items():
+            every = [self.spark.read.parquet(f"{self.path}/states/{p}/{name}").withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+            df = every[0]
+            for more in every[1:]:
+                df = df.unionByName(more)
+            others = [c for c in df.columns if c not in (*keys, "_part")]
+            if len(parts) > 1:
+                df = df.groupBy(*keys).agg(F.max_by(F.struct(*others), "_part").alias("_s")).select(*keys, *(F.col("_s")[c].alias(c) for c in others))
+            out.append(df.select(*keys, *others))
+        return RunningState(*out)
+
+    def normalized_at(self, commit: Commit, *, hints: bool = True) -> DataFrame:
+        """(obs_id, normalized) of a commit's URLs, each by the corpus as it stood when it had just been observed.
+
+        Evidence is carried on from the last state that was stored before the
+        commit, through what other writers have committed since, and stored again
+        under the commit's number: the cost is that of the new observations and of
+        the slots that they touch, not of the log. Where strategy or activations have
+        changed there is no such state, and the log is read from its beginning.
+        """
+        about = self._about()
+        base: dict = {"number": 0, "parts": [], "old": []}
+        for name in reversed(self.folder.names("running")):
+            found = json.loads(self.folder.read("running", name))
+            if int(name) < commit.number and found["about"] == about:
+                base = {"number": int(name), **found}
+                break
+        state = self._state(base["parts"])
+        out, touched = carried_normalize(self.observed(since=base["number"], upto=commit.number), state, hints=hints)
+        name = uuid.uuid4().hex
+        whole = len(base["parts"]) + 1 > MOST_PARTS
+        for table, df in zip(STATE_KEYS, merged_state(state, touched) if whole else touched, strict=True):
+            df.write.parquet(f"{self.path}/states/{name}/{table}")
+        made = {"parts": [name] if whole else [*base["parts"], name], "old": base["parts"] if whole else base["old"], "about": about}
+        if self.folder.create(json.dumps(made), "running", f"{commit.number:019d}") and whole:
+            for old in base["old"]:  # of the last but one that was written as one
+                self.folder.delete("states", old)
+            for n in self.folder.names("running"):
+                if int(n) < commit.number - 4 * MOST_PARTS:
+                    self.folder.delete("running", n)
+        return out.where(F.col("obs_id").between(commit.first, commit.first + commit.n - 1))
 
     def activate_above(self, least: float) -> list[Activation]:
         """Activates proposals of at least that confidence and recomputes the views."""
@@ -156,11 +305,11 @@ class Corpus:
 
     def load_json(self, file: str) -> None:
         """Takes the log and the activations of a JSON file into this corpus, which must be empty; all else follows from them."""
-        if self._has("log") or self._has("activations"):
+        if self.last_commit().number or self.folder.has("activations"):
             raise ValueError("the corpus is not empty")
         with open(file, encoding="utf-8") as f:
             found = json.load(f)
-        self.append(literal_log(self.spark, found["observed_iris"]), 0)
+        self.append(literal_log(self.spark, found["observed_iris"]))
         if found.get("activated_recognizers"):
             self._activate([(x["prefix"], x["type"]) for x in found["activated_recognizers"]])
 
@@ -169,7 +318,7 @@ class Corpus:
 
     def reset(self) -> None:
         """Deletes the corpus."""
-        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self.path), True)
+        self.folder.delete()
 
     def close(self) -> None:
         """A directory has nothing to write at the end."""
@@ -209,12 +358,3 @@ def corpus_path(given: str = "", *, without: bool = False) -> str | None:
         return path
     base = os.environ.get("XDG_DATA_HOME") or os.path.join(os.path.expanduser("~"), ".local", "share")
     return os.path.join(base, "pathloom", "default")
-
-
-def merged_counts(views: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One count view of several with the same keys: n adds up, first_obs and ord are the least."""
-    out = views[0]
-    for v in views[1:]:
-        out = out.unionByName(v)
-    made = [F.sum(c).alias(c) if c in ("n", "total") else F.min(c).alias(c) for c in out.columns if c not in keys]
-    return out.groupBy(*keys).agg(*made)

@@ -65,7 +65,8 @@ def numbered(df: DataFrame, out: str, first: int = 1, by: list | None = None) ->
     ``by`` are the columns that name and order the parts (files and their
     splits); without it they are the partitions as they come. A part's rows must
     lie in one partition in their order. Parts are counted first, so ``df`` is
-    evaluated twice; only the counts, one row a part, meet in one task.
+    evaluated twice and must split alike both times, as a scan does; ``ranked``
+    is for others. Only the counts, one row a part, meet in one task.
     """
     own = by or [F.spark_partition_id()]
     names = [f"_part{k}" for k in range(len(own))]
@@ -74,3 +75,23 @@ def numbered(df: DataFrame, out: str, first: int = 1, by: list | None = None) ->
     before = F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(*names, (F.coalesce(before, F.lit(0)) + first - F.col("_low")).alias("_from"))
     return df.join(parts, names).withColumn(out, F.col("_from") + F.col("_index")).drop(*names, "_index", "_from")
+
+
+def ranked(df: DataFrame, out: str, *order: str, first: int = 1) -> tuple[DataFrame, int, DataFrame]:
+    """(``df`` plus ``out``: numbers without gaps from ``first`` on in that order; how many rows; the kept table below).
+
+    Rows are sorted over all tasks and kept once with their places, so that the
+    numbers are the same whenever they are read. ``discard`` the last when done.
+    """
+    place = F.monotonically_increasing_id()
+    held = kept(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.bitwiseAND(_INDEX).alias("_index")), "ranked")
+    # One row a partition of the sort: the size of the cluster, not of the table.
+    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total + first))
+        total += n
+    if not total:
+        return held.withColumn(out, F.col("_index")).drop("_part", "_index"), 0, held
+    start = df.sparkSession.createDataFrame(before, "_part int, _from long")
+    return held.join(F.broadcast(start), "_part").withColumn(out, F.col("_from") + F.col("_index")).drop("_part", "_index", "_from"), total, held

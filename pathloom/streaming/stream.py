@@ -7,32 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.extract import extract_urls
-from ..operators.render import running_normalize
-from ..operators.views import observe
 from ..sources.store import Corpus
-from ..sources.tables import numbered
 
-_BATCH = 1 << 32  # observations that a micro-batch can number
 
-
-def batch_log(lines: DataFrame, batch_id: int, *, scheme_less: bool = True) -> DataFrame:
-    """The log of a micro-batch: its URLs numbered within the batch's range, in the order of lines and places."""
-    found = extract_urls(lines.select(F.col("value").alias("text")), scheme_less=scheme_less)
-    return numbered(found.select(F.col("iri.canonical").alias("url")), "obs_id", batch_id * _BATCH + 1).select("obs_id", "url")
+def batch_log(lines: DataFrame, *, scheme_less: bool = True) -> DataFrame:
+    """The log of a micro-batch: its URLs in the order of lines and places."""
+    found = extract_urls(lines.select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("text")), scheme_less=scheme_less)
+    return found.select(F.struct("line_id", "pos").alias("obs_id"), F.col("iri.canonical").alias("url"))
 
 
 def normalize_stream(lines: DataFrame, corpus: Corpus, out: str, checkpoint: str, *, hints: bool = True, **trigger) -> StreamingQuery:
     """Starts a query from a stream of ``value`` lines to Parquet (obs_id, normalized) under ``out``.
 
-    Each micro-batch is appended to the corpus's log under its number, and then
-    rendered from the log as it stands; activations are read again each time. A
-    batch that is retried replaces what it wrote, so each line counts once.
+    Each micro-batch is committed to the corpus, which numbers its URLs, and
+    rendered with evidence carried on from the state after the batch before;
+    activations are read again each time. The checkpoint names the writer: a
+    batch that is retried finds its commit and renders it again, so each line
+    counts once, and any number of streams and other writers may share a corpus.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        corpus.append(batch_log(batch, batch_id), batch_id)
-        o = observe(corpus.log(), strategy=corpus.strategy, activations=corpus.activations(), keep=True)
-        done = running_normalize(o, hints=hints).where(F.col("obs_id") > batch_id * _BATCH)
-        done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        commit = corpus.append(batch_log(batch), batch_id, writer=f"stream {checkpoint}")
+        corpus.normalized_at(commit, hints=hints).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

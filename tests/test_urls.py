@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import extract, trace, urls, values
 from pathloom.operators import infer, learn, render, views
 from pathloom.sources.logs import literal_log
-from pathloom.sources.store import Corpus, merged_counts
+from pathloom.sources.store import Corpus
 
 TYPES = {
     "": "literal", "users": "literal", "123": "integer", "1700000000": "timestamp", "1700000000000": "timestamp", "20240115": "date", "20241515": "integer", "2024-99-99": "date",
@@ -103,7 +103,7 @@ def test_learning_and_store(spark, tmp_path):
     shared = learn.cross_host_shapes(c.observed()).first()
     assert (shared.shape, shared.n_hosts, shared.observations) == ("/customers/{cus}", 2, 60)
     c.save_json(f"{tmp_path}/corpus.json")
-    two = merged_counts([c.view("host_counts"), c.view("host_counts")], ["host"])
+    two = views.merged_view("host_counts", c.view("host_counts"), c.view("host_counts"))
     assert dict(two.collect()) == {"h0.com": 60, "h1.com": 60}
     c.reset()
     assert c.version() == 0
