@@ -38,6 +38,17 @@ def fields_of(columns: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in columns]
 
 
+def numbered_columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator makes, and by each column's name that one: for steps that give all columns back."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named_again(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``numbered_columns`` under their own names."""
+    return docs.select(*(F.col(c).alias(name) for name, c in names.items()))
+
+
 def row_and(rows: DataFrame, ddl: str) -> StructType:
     """The schema of a table that carries the struct ``row`` of ``rows`` beside new columns."""
     return StructType([rows.schema["row"], *StructType.fromDDL(ddl)])

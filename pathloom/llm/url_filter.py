@@ -1,9 +1,11 @@
 """URL filters: host and path rules, and for the rest a character language-model ratio.
 
 Two variable-order Markov models of host and path are counted over all URLs
-that rules accept and reject, without the part of host and path that the rule
-fits: that part made the label, and would be all that is learnt. The
-probability of a character interpolates the orders by Witten-Bell: the longer a
+that rules accept and reject. Of every URL, counted or scored, the parts that
+rules tell apart are left out, the same for all: as many last labels of the host
+as the shortest rule's host has, and as many first segments of the path as the
+longest rule's path has. They made the labels, and would be all that is learnt.
+The probability of a character interpolates the orders by Witten-Bell: the longer a
 context is seen, the more it counts. Both models rest on one distribution of
 characters, that of all these URLs, so a character that one side lacks does not
 decide alone. A URL's score is the difference of the two log likelihoods a
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import fields_of, others_of, row_of, saved
 from .words import texts_of
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -34,7 +36,6 @@ _SPAN, _STEPS = 8.0, 1600
 _CHARACTER, _BACK = 8, 9
 #: The longest context that a 64-bit gram holds.
 MOST_ORDERS = 6
-_MADE = ("host", "path", "rule", "score", "verdict")
 #: Bytes of the texts that are scored together.
 CHUNK = 1 << 20
 
@@ -50,19 +51,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column, Column, Column]:
-    """(rule text, verdict) of the longest rule whose host is the host or a parent of it and whose path begins the path, and (host, path) without what it fits.
+def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
+    """(rule text, verdict) of the longest rule whose host is the host or a parent of it and whose path begins the path; else nulls.
 
     Of rules of one length the last in order of verdict, host and path counts.
-    Without a rule the first two are null and the others the host and path.
     """
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    long = [F.lit(0), F.lit(0)]
     for kind, own, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((host == own) | host.endswith(f".{own}")) & path.startswith(prefix)
         text, verdict = F.when(fits, own + prefix).otherwise(text), F.when(fits, kind).otherwise(verdict)
-        long = [F.when(fits, len(x)).otherwise(y) for x, y in zip((own, prefix), long, strict=True)]
-    return text, verdict, F.substring(host, F.lit(1), F.length(host) - long[0]), F.substring(path, long[1] + 1, F.length(path))
+    return text, verdict
+
+
+def read_of(host: Column, path: Column, rules: list[Rule]) -> Column:
+    """What the models read of a URL: host and path without the parts that rules tell apart."""
+    labels = min((own.count(".") + 1 for _, own, _ in rules), default=0)
+    segments = max((len([x for x in prefix.split("/") if x]) for _, _, prefix in rules), default=0)
+    kept_host = F.regexp_replace(host, r"(?:(?:^|\.)[^.]*){%d}\z" % labels, "") if labels else host
+    return F.concat(kept_host, F.lit("/"), F.regexp_replace(path, r"^/*(?:[^/]*/+|[^/]*\z){0,%d}" % segments, ""))
 
 
 def _grams(column: pa.Array, orders: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -187,17 +193,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, ord
     reaches the calibrated one. Null URLs and those without ``://`` have an
     empty host and path and score 0. Where the rules leave one side without
     URLs there is nothing to compare: scores are 0 and all are allowed. URLs of
-    any length are taken whole, the score of one a rule decides is that of what
-    the rule leaves of it. Rows are judged alone; ids may be null or repeated;
+    any length are taken whole. Rows are judged alone; ids may be null or repeated;
     all columns pass through but those named like a new one, which it replaces;
     an empty table gives no rows. Rules are compiled into the plan: keep them
     to some hundreds.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rule, verdict, *rest = rule_of(F.col("_host"), F.col("_path"), rules)
-    own = [c for c in pages.columns if c not in _MADE]
-    rows = pages.select((F.struct(*own) if own else F.struct(F.lit(0).alias("_"))).alias("own"), host.alias("_host"), path.alias("_path"))
-    rows = rows.select("own", F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), verdict.alias("verdict"), F.concat(*rest).alias("text"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    others = others_of(pages, "host", "path", "rule", "score", "verdict")
+    rows = pages.select(row_of(others), host.alias("host"), path.alias("path"))
+    rows = rows.select("row", "host", "path", rule.alias("rule"), verdict.alias("verdict"), read_of(F.col("host"), F.col("path"), rules).alias("text"))
     apart = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(_CALIBRATION)) == 0
     texts = rows.groupBy("text").agg(F.count_if(F.col("verdict") == "block").alias("n0"), F.count_if(F.col("verdict") == "allow").alias("n1"))
     texts = saved(texts.withColumn("apart", apart), "texts")
@@ -210,4 +215,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", *, ord
         scores = saved(score_texts(texts, counts, seen["size"], orders=orders), "scores")
         least = calibrated(scores.join(texts.where(F.col("apart") & (F.col("n0") + F.col("n1") > 0)), "text").select("score", "n0", "n1"))
         out = rows.join(scores, "text")
-    return out.select(*(F.col("own").getField(c).alias(c) for c in own), "host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))
+    return out.select(*fields_of(others), "host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"))

@@ -370,9 +370,9 @@ def test_url_filters(spark):
     assert got[6][2:] == (None, "allow") and got[7][2:] == (None, "block")
     assert judge_urls(df.limit(0), rules).count() == 0
     # Columns named like new ones are replaced, long and repeated URLs judged, and one side alone compares nothing.
-    clash = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 100_000, "old", 5.0), (1, "http://b.org/y", "old", 5.0), (None, None, None, None)], "page_id long, url string, host string, score double")
+    clash = spark.createDataFrame([(1, "http://a.net/es/" + "x" * 100_000, "old", 5.0, 1, 2), (1, "http://b.org/y", "old", 5.0, 1, 2), (None, None, None, None, None, None)], "page_id long, url string, Host string, score double, `a.b` int, _host int")
     out = judge_urls(clash, rules)
-    assert out.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"]
+    assert out.columns == ["page_id", "url", "a.b", "_host", "host", "path", "rule", "score", "verdict"]
     assert sorted((r.host, r.verdict, r.score) for r in out.collect()) == [("", "allow", 0.0), ("a.net", "block", 0.0), ("b.org", "allow", 0.0)]
 
 
@@ -421,8 +421,8 @@ def test_url_counts_are_exact(spark):
     urls = [f"http://{word(9)}.{end}/{word(50)}" for end in ("com", "net", "org") for _ in range(1200)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *urls[:9], None, "x://"])], "page_id long, url string").repartition(3)
     got = judge_urls(df, [("allow", "com", "/"), ("block", "net", "/")])
-    # What a rule fits is no part of what is learnt: here the last label and the first slash.
-    text = F.when(F.col("rule").isNull(), F.concat("host", "path")).otherwise(F.concat(F.expr("substring(host, 1, length(host) - 3)"), F.expr("substring(path, 2)")))
+    # The same part of every URL is learnt and scored: here all but the last label, the path after its first slash.
+    text = F.concat(F.substring_index("host", ".", 1), F.lit("/"), F.expr("substring(path, 2)"))
     apart = F.pmod(F.xxhash64(text, F.lit(11)), F.lit(5)) == 0
     rows = got.select("page_id", text.alias("text"), "rule", "verdict", "score", apart.alias("apart")).collect()
     assert sorted(x.page_id for x in rows) == list(range(len(urls) + 11))
