@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and gives the documents that stay, with
 the columns of documents; the last gives packed pieces. ``run`` writes what a
 stage gives as Parquet into the shared folder and hands the reread table on.
+All columns come back from each but the last, whatever else they are named.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.decontaminate import contaminated
 from pathloom.llm.jaccard_join import jaccard_classes
 from pathloom.llm.packing import pack
-from pathloom.llm.storage import saved, ship_library, table
+from pathloom.llm.storage import named_again, numbered_columns, saved, ship_library, table
 from pathloom.llm.substring_dedup import remove_repeats
 from pathloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -26,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_library(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 3 <> 1"))
-    return score_toxicity(docs, model).where("score < 0.7").select(*docs.columns)
+    rows, names = numbered_columns(docs)
+    return named_again(score_toxicity(rows, model, names["text"]).where("score < 0.7"), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = rows.where("n > 0").groupBy("comp").agg(F.min("row").alias("row"))
     stay = first.union(rows.where("n = 0").select(F.lit(None).cast("long").alias("comp"), "row").distinct())
     stay = stay.select(F.xxhash64("row.id", "row.text_hash").alias("_key"), F.col("comp").isNull().alias("_all"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("string"))))
+    docs, names = numbered_columns(docs)
+    keyed = docs.withColumn("_key", F.xxhash64(names["doc_id"], F.xxhash64(F.col(names["text"]).cast("string"))))
     keyed = keyed.join(stay, "_key")
     once = keyed.where("not _all").dropDuplicates(["_key"])
-    return once.unionByName(keyed.where("_all")).select(*docs.columns)
+    return named_again(once.unionByName(keyed.where("_all")), names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +57,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows are copies of each other, so they are cut; ids are not used.
     """
     ship_library(spark)
-    out = remove_repeats(docs.withColumn("_text", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    docs, names = numbered_columns(docs)
+    text, size = names["text"], names["n_chars"]
+    out = remove_repeats(docs.withColumn("_text", F.col(text)), text)
+    cut = F.col("n_removed") > 0
+    out = out.withColumn(text, F.when(cut, F.col("kept")).otherwise(F.col("_text"))).withColumn(size, F.when(cut, F.length("kept").cast("long")).otherwise(F.col(size)))
+    return named_again(out, names)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +71,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Rows are judged by id and text, so ids may be null or repeat; repeated rows
     go or stay together. Null and empty texts stay, as all do without items.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")))
+    rows, names = numbered_columns(docs)
+    doc, text = names["doc_id"], names["text"]
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("_key"), "text")
     hit = contaminated(keyed, table(spark, sf_dir, "benchmark"), "_key").select(F.col("_key.id").alias("_id"), F.col("_key.t").alias("_t")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti").select(*docs.columns)
+    return named_again(rows.join(hit, F.col(doc).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left_anti"), names)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
