@@ -31,7 +31,6 @@ from .functions.extract import extract_urls
 from .functions.trace import explain_urls, trace_urls
 from .functions.urls import normalize_urls, parse_urls
 from .operators.learn import cross_host_shapes, proposals
-from .operators.render import corpus_normalize
 from .operators.report import cluster_json, cluster_lines
 from .operators.views import Observed, observe, stats, url_list
 from .sources.logs import literal_log, text_file
@@ -377,16 +376,17 @@ def _source_lines(spark: SparkSession, a: argparse.Namespace, corpus: Corpus | N
     log = read_log(spark, source, scheme_less=not a.no_scheme_less)
     if single and parse_urls(log).where("iri.error is null").isEmpty():
         raise Failure(f"cannot parse: {source}", 2)
-    o = None
     if corpus is not None:
         log = kept(_of(corpus, corpus.append(log)), "log")
-        o = corpus.observed()
     if a.sections or single:
         names = list(dict.fromkeys(a.sections or ["parse", "normalize"]))
-        informed = corpus_normalize(o, observe(log, strategy=a.host, keep=True), hints=not a.no_hints) if o is not None and "normalize" in names else None
+        informed = None
+        if corpus is not None and "normalize" in names:
+            corpus.refresh()
+            informed = corpus.normalized(observe(log, strategy=a.host, activations=corpus.activations(), keep=True), hints=not a.no_hints)
         yield from _section_lines(sections(log, names, hints=not a.no_hints, informed=informed), names, a, single)
     else:
-        yield from _whole_lines(log, o or observe(log, strategy=a.host, keep=True), a, listed)
+        yield from _whole_lines(log, corpus.observed() if corpus is not None else observe(log, strategy=a.host, keep=True), a, listed)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,38 @@ def param_stats(o: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
     return stats.join(often, PARAM, "left").fillna(0, ["established", "established_count"])
 
 
+class Evidence(NamedTuple):
+    """What explanations and normal forms ask of a corpus: a row a position, a row a tracked value, a row a parameter."""
+
+    positions: DataFrame
+    values: DataFrame
+    params: DataFrame
+
+
+def evidence(o: Observed, cap: int = L.VALUE_CAP) -> Evidence:
+    """The evidence of a log."""
+    return Evidence(*position_evidence(o, cap), param_stats(o, cap))
+
+
+def evidence_of(views: dict[str, DataFrame]) -> Evidence:
+    """The same from the materialised views, which are much smaller than the log."""
+    free = F.sum(F.when(F.col("type") != "literal", F.col("n")).otherwise(0))
+    positions = views["position_types"].groupBy(*POSITION).agg(F.sum("n").alias("total"), free.alias("variable_count"))
+    tracked = views["position_values"].groupBy(*POSITION).agg(F.count("*").alias("cardinality"))
+    values = views["position_values"].select(*POSITION, "value", F.col("n").alias("value_count"))
+    n, t = F.col("n"), F.col("type")
+    params = views["cluster_param_types"].groupBy(*PARAM).agg(
+        F.sum("n").alias("total"),
+        F.min_by("type", F.struct(-n, t)).alias("dominant"),
+        F.min_by(F.when(t != "date", t), F.when(t != "date", F.struct(-n, t))).alias("dominant_undated"),
+        *(F.sum(F.when(t == kind, n).otherwise(0)).alias(name) for kind, name in (("date", "dates"), ("integer", "integers"), ("float", "floats"))),
+    )
+    often = F.when(n >= 3, n)
+    known = views["cluster_param_values"].groupBy(*PARAM).agg(F.count("*").alias("cardinality"), F.count(often).alias("established"), F.coalesce(F.sum(often), F.lit(0)).alias("established_count"))
+    numbers = views["cluster_param_numeric"].withColumn("num_avg", F.col("num_sum") / F.col("num_count"))
+    return Evidence(positions.join(tracked, POSITION), values, params.join(known, PARAM).join(numbers, PARAM, "left"))
+
+
 def ladder(name: Column) -> Column:
     """The type of a parameter over columns of ``param_stats``."""
     c = F.col

@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions.urls import fenced, normalized, rendered
 from ..functions.values import canonical_form, param_name_hint, placeholder, singularize
 from ..sources.tables import kept
-from .infer import explained, ladder, param_stats, position_evidence, verdict
+from .infer import Evidence, evidence, explained, ladder, verdict
 from .running import RunningState, advance
 from .views import PARAM, Observed
 
@@ -49,15 +49,17 @@ def _assembled(urls: DataFrame, segments: DataFrame, params: DataFrame, hints: b
     return df.select("obs_id", normalized(F.col("url.entries"), F.col("url.iri"), path, query, hints).alias("normalized"))
 
 
-def corpus_explain(corpus: Observed, of: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
+def corpus_explain(corpus: Observed | Evidence, of: Observed, cap: int = L.VALUE_CAP) -> DataFrame:
     """(obs_id, pos, value, type, verdict) of the segments of ``of``, by the final state of ``corpus``."""
-    return explained(of.segments, *position_evidence(corpus, cap)).select("obs_id", "pos", "value", "type", "verdict")
+    known = corpus if isinstance(corpus, Evidence) else evidence(corpus, cap)
+    return explained(of.segments, known.positions, known.values).select("obs_id", "pos", "value", "type", "verdict")
 
 
-def corpus_normalize(corpus: Observed, of: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP) -> DataFrame:
+def corpus_normalize(corpus: Observed | Evidence, of: Observed, *, hints: bool = True, cap: int = L.VALUE_CAP) -> DataFrame:
     """(obs_id, normalized) of the URLs of ``of``, by the final state of ``corpus``."""
-    segments = explained(of.segments, *position_evidence(corpus, cap))
-    stats = param_stats(corpus, cap).select(*PARAM, "total", ladder(F.col("name")).alias("param_type"))
+    known = corpus if isinstance(corpus, Evidence) else evidence(corpus, cap)
+    segments = explained(of.segments, known.positions, known.values)
+    stats = known.params.select(*PARAM, "total", ladder(F.col("name")).alias("param_type"))
     return _assembled(of.urls, _segment_tokens(segments, hints), _param_tokens(of.params.join(stats, PARAM, "left")), hints)
 
 

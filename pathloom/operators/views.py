@@ -79,7 +79,9 @@ def first_come(counted: DataFrame, keys: list[str], cap: int) -> DataFrame:
 
 
 def _values(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    return first_come(df.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs")), keys, cap)
+    """Values with their counts; of each key the first ``cap``, all if that is 0."""
+    c = df.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs"))
+    return first_come(c, keys, cap) if cap else c
 
 
 def host_counts(o: Observed) -> DataFrame:
@@ -149,6 +151,11 @@ def numeric_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("x").alias("num_count"), F.min("x").alias("num_min"), F.max("x").alias("num_max"), F.sum("x").alias("num_sum"), F.avg("x").alias("num_avg"))
 
 
+def cluster_param_numeric(o: Observed) -> DataFrame:
+    """What is known of a parameter's numbers, in parts that merge."""
+    return numeric_stats(o.params, PARAM).drop("num_avg")
+
+
 def dominant_types(types: DataFrame, keys: list[str]) -> DataFrame:
     """The most frequent type of each key; of equals the smallest name."""
     return types.groupBy(*keys).agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("dominant"), F.sum("n").alias("total"))
@@ -202,13 +209,14 @@ class Merge(NamedTuple):
     cap: int = 0
 
 
-#: Numbers of views that add up; of all others the least is taken.
-SUMS = ("n", "total")
+#: Numbers of views that add up, and those of which the greatest is taken; of all others it is the least.
+SUMS, MOST = ("n", "total", "num_count", "num_sum"), ("num_max",)
 MERGES: dict[str, Merge] = {
     "host_counts": Merge(["host"]), "path_length_counts": Merge(["length"]), "raw_shape_counts": Merge(["raw_shape"]), "fingerprint_counts": Merge(["shape"]),
     "position_totals": Merge(POSITION), "position_values": Merge([*POSITION, "value"], POSITION, L.VALUE_CAP), "position_types": Merge([*POSITION, "type"]),
     "clusters": Merge(["cluster_key"]), "cluster_examples": Merge(["cluster_key", "canonical"], ["cluster_key"], L.EXAMPLE_CAP), "cluster_segments": Merge(["cluster_key", "pos", "value"]),
     "cluster_params": Merge(PARAM), "cluster_param_values": Merge([*PARAM, "value"], PARAM, L.VALUE_CAP), "cluster_param_types": Merge([*PARAM, "type"]),
+    "cluster_param_numeric": Merge(PARAM),
 }
 
 
@@ -220,7 +228,7 @@ def _sets(df: DataFrame, names: list[str], sets: dict[str, list[str]], *made) ->
 
 
 def all_views(o: Observed, *, capped: bool = True) -> dict[str, DataFrame]:
-    """All views from one aggregation of each table of ``o``, by grouping sets. Those of ``capped=False`` have all values, to be merged with others."""
+    """All views from one aggregation of each table of ``o``, by grouping sets, but for that of numbers, which has one of its own. Those of ``capped=False`` have all values, to be merged with others."""
     n, first = F.count("*").alias("n"), F.min("obs_id").alias("first_obs")
     own = [F.min("_host").alias("host_"), F.min("_scheme").alias("scheme_"), F.min("_shape").alias("shape_")]
     urls = o.urls.select("obs_id", "host", F.size("iri.path_segments").cast("long").alias("length"), "raw_shape", "shape", "cluster_key", F.col("iri.canonical").alias("canonical"), F.col("host").alias("_host"), F.col("iri.scheme").alias("_scheme"), F.col("cluster_shape").alias("_shape"))
@@ -248,7 +256,7 @@ def merged_view(name: str, base: DataFrame, later: DataFrame) -> DataFrame:
     the view of the whole log, caps included.
     """
     m = MERGES[name]
-    made = [(F.sum if c in SUMS else F.min)(c).alias(c) for c in base.columns if c not in m.keys]
+    made = [(F.sum if c in SUMS else F.max if c in MOST else F.min)(c).alias(c) for c in base.columns if c not in m.keys]
     out = base.unionByName(later).groupBy(*m.keys).agg(*made)
     return first_come(out, m.of, m.cap) if m.cap else out
 
@@ -256,5 +264,5 @@ def merged_view(name: str, base: DataFrame, later: DataFrame) -> DataFrame:
 #: Views by name; add to it to materialise more.
 VIEWS: dict[str, Callable[[Observed], DataFrame]] = {
     f.__name__: f
-    for f in (host_counts, path_length_counts, raw_shape_counts, fingerprint_counts, position_totals, position_values, position_types, clusters, cluster_examples, cluster_segments, cluster_params, cluster_param_values, cluster_param_types)
+    for f in (host_counts, path_length_counts, raw_shape_counts, fingerprint_counts, position_totals, position_values, position_types, clusters, cluster_examples, cluster_segments, cluster_params, cluster_param_values, cluster_param_types, cluster_param_numeric)
 }

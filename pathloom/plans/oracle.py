@@ -320,3 +320,28 @@ select prefix, rtrim(prefix, '_') as type, matching, observations, hosts, {r('ma
     "host_strategy_none": base("pages", "none") + " " + _CLUSTERS,
     "union_of_logs": base("pages_orders") + " select khost as host, count(*) as n from keyed group by all",
 }
+SQL["running_normalize_carried"] = SQL["running_normalize"]
+
+
+def _all_views() -> str:
+    first = "row_number() over (partition by {0} order by first_obs) as r"
+    views = {
+        "host_counts": ("select khost, count(*) as n from keyed group by all", "n"),
+        "path_length_counts": ("select length, count(*) as n from keyed group by all", "n"),
+        "raw_shape_counts": ("select raw_shape, count(*) as n from keyed group by all", "n"),
+        "fingerprint_counts": ("select shape, count(*) as n from keyed group by all", "n"),
+        "position_totals": ("select host, scope, locator, count(*) as n from seg group by all", "n"),
+        "position_values": (f"select n from (select *, {first.format('host, scope, locator')} from (select host, scope, locator, value, count(*) as n, min(obs_id) as first_obs from seg group by all)) where r <= {L.VALUE_CAP}", "n"),
+        "position_types": ("select host, scope, locator, type, count(*) as n from seg group by all", "n"),
+        "clusters": ("select cluster_key, count(*) as n from keyed group by all", "n"),
+        "cluster_examples": (f"select first_obs from (select *, {first.format('cluster_key')} from (select cluster_key, canonical, min(obs_id) as first_obs from keyed group by all)) where r <= {L.EXAMPLE_CAP}", "first_obs"),
+        "cluster_segments": ("select cluster_key, pos, value, count(*) as n from seg group by all", "n"),
+        "cluster_params": ("select cluster_key, name, count(*) as n from par group by all", "n"),
+        "cluster_param_values": (f"select n from (select *, {first.format('cluster_key, name')} from (select cluster_key, name, value, count(*) as n, min(obs_id) as first_obs from par group by all)) where r <= {L.VALUE_CAP}", "n"),
+        "cluster_param_types": ("select cluster_key, name, type, count(*) as n from par group by all", "n"),
+        "cluster_param_numeric": ("select num_count as n from num", "n"),
+    }
+    return base("events") + f", {_NUM} " + " union all ".join(f"select '{k}' as view, count(*) as n_rows, coalesce(sum({n}), 0)::bigint as total from ({q})" for k, (q, n) in views.items())
+
+
+SQL["merged_views"] = _all_views()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, trace, urls, values
 from ..functions import lexicon as L
-from ..operators import infer, learn, render, views
+from ..operators import infer, learn, render, running, views
 from ..sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,9 +222,18 @@ def position_totals(spark, d):
     return views.position_totals(_observed(logs.log_events, spark, d))
 
 
+def _parts(log, n: int) -> list[DataFrame]:
+    """A log in ``n`` parts, by obs_id."""
+    ends = log.agg(F.min("obs_id").alias("low"), F.max("obs_id").alias("high")).first()
+    wide = (ends["high"] - ends["low"]) // n + 1
+    return [log.where(F.floor((F.col("obs_id") - ends["low"]) / wide) == k) for k in range(n)]
+
+
 @query
 def position_values_capped(spark, d):
-    return views.position_values(_observed(logs.log_orders, spark, d), L.VALUE_CAP)
+    """Merged from the view of the log's first half and what came after."""
+    first, later = (views.observe(part) for part in _parts(logs.log_orders(spark, d), 2))
+    return views.merged_view("position_values", views.position_values(first), views.position_values(later, 0))
 
 
 @query
@@ -280,8 +289,8 @@ def cluster_param_values(spark, d):
 
 @query
 def cluster_param_values_full(spark, d):
-    """With the cap of the operator."""
-    return views.cluster_param_values(_observed(logs.log_events, spark, d))
+    """From the one aggregation that gives all views of parameters."""
+    return views.all_views(_observed(logs.log_events, spark, d, keep=True))["cluster_param_values"]
 
 
 @query
@@ -373,6 +382,32 @@ def running_normalize(spark, d):
     return render.running_normalize(_observed(logs.log_orders, spark, d, keep=True))
 
 
+@query
+def running_normalize_carried(spark, d):
+    """As ``running_normalize``, in three batches, each from the state that the one before has left."""
+    out, state = None, None
+    for part in _parts(logs.log_orders(spark, d), 3):
+        done, touched = render.carried_normalize(views.observe(part, keep=True), state)
+        state = running.merged_state(state, touched)
+        out = done if out is None else out.union(done)
+    return out
+
+
+@query
+def merged_views(spark, d):
+    """(view, n_rows, total) of all views of the event log, merged from those of its first two thirds and of the rest."""
+    first, second, later = _parts(logs.log_events(spark, d), 3)
+    base = views.all_views(views.observe(first.union(second), keep=True))
+    more = views.all_views(views.observe(later, keep=True), capped=False)
+    out = None
+    for name in base:
+        v = views.merged_view(name, base[name], more[name])
+        number = next(c for c in ("n", "total", "num_count", "first_obs") if c in v.columns)
+        one = v.agg(F.lit(name).alias("view"), F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).alias("total"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 # Learning -----------------------------------------------------------------------------------------------------------
 
 

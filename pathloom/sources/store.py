@@ -4,6 +4,7 @@
     commits/N            says which part is the N-th, and the obs_id it starts with
     activations/         (prefix, type)
     views/V/NAME/        the materialised views
+    views/V/known_NAME/  the evidence that follows from them, in buckets by position or cluster, sorted by key
     current/N            says which views are version N, and what commit they hold
     states/S/TABLE/      what running evidence knows of slots that some commits touched
     running/N            says which of these make up the state after commit N
@@ -25,14 +26,15 @@ import os
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
+from ..operators.infer import Evidence, evidence_of, ladder
 from ..operators.learn import activate_above
-from ..operators.render import carried_normalize
+from ..operators.render import carried_normalize, corpus_normalize
 from ..operators.running import STATE_KEYS, RunningState, merged_state
 from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, first_come, merged_view, numeric_stats, observe
 from .files import Folder
@@ -46,6 +48,19 @@ MOST_BROADCAST = 100_000
 MOST_PARTS = 8
 
 
+#: Evidence is cut into so many buckets at most, and into one for so many tracked values.
+BUCKETS, BUCKET_VALUES = 4096, 50_000
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    # Values share the bucket of their position, parameters that of their cluster.
+    return F.pmod(F.xxhash64(*[k for k in keys if k not in ("value", "name")]), F.lit(buckets)).cast("int")
+
+
+def _keyed(known: Evidence) -> dict[str, tuple[DataFrame, list[str]]]:
+    return {"positions": (known.positions, POSITION), "values": (known.values, [*POSITION, "value"]), "params": (known.params, PARAM)}
+
+
 class Commit(NamedTuple):
     """The ``number``-th append: its observations are ``first`` to ``first + n - 1``."""
 
@@ -147,13 +162,18 @@ class Corpus:
         name = uuid.uuid4().hex
         for view, df in views.items():
             df.write.parquet(f"{self.path}/views/{name}/{view}")
+        known = evidence_of({k: self.spark.read.parquet(f"{self.path}/views/{name}/{k}") for k in VIEWS})
+        buckets = max(1, min(BUCKETS, known.values.count() // BUCKET_VALUES))
+        for table, (df, keys) in _keyed(known).items():
+            placed = df.withColumn("bucket", _bucket(keys, buckets))
+            placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(f"{self.path}/views/{name}/known_{table}")
         while True:
             now = self._current()
             if now["commit"] > commit and now["about"] == about:
                 self.folder.delete("views", name)
                 return now["version"]
             version = now["version"] + 1
-            if self.folder.create(json.dumps({"views": name, "commit": commit, "about": about}), "current", f"{version:019d}"):
+            if self.folder.create(json.dumps({"views": name, "commit": commit, "about": about, "buckets": buckets}), "current", f"{version:019d}"):
                 break
         # The version before stays for readers that have begun.
         for old in self.folder.names("current")[:-2]:
@@ -184,6 +204,7 @@ class Corpus:
         return self._publish(views, commit, about)
 
     def _views_of(self, now: dict) -> bool:
+        """Whether a version has all views."""
         return bool(now["version"]) and set(VIEWS) <= set(self.folder.names("views", now["views"]))
 
     def view(self, name: str) -> DataFrame:
@@ -192,6 +213,28 @@ class Corpus:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.path}/views/{self._current()['views']}/{name}")
 
+    def known_of(self, of: Observed) -> Evidence:
+        """What the current views know of the slots of ``of``: only the buckets that hold these are read."""
+        now = self._current()
+        if not now["version"]:
+            raise ValueError("the corpus has no views yet")
+        out = []
+        for table, asked in (("positions", of.segments), ("values", of.segments), ("params", of.params)):
+            keys = POSITION if asked is of.segments else PARAM
+            wanted = asked.select(*keys).distinct()
+            at = [r[0] for r in wanted.select(_bucket(keys, now["buckets"]).alias("b")).distinct().collect()]  # BUCKETS at most
+            df = self.spark.read.parquet(f"{self.path}/views/{now['views']}/known_{table}").where(F.col("bucket").isin(at)).drop("bucket")
+            out.append(df.join(wanted, keys, "left_semi"))
+        return Evidence(*out)
+
+    def normalized(self, of: Observed, *, hints: bool = True) -> DataFrame:
+        """(obs_id, normalized) of the URLs of ``of`` by the current views."""
+        return corpus_normalize(self.known_of(of), of, hints=hints)
+
+    def params_for(self, of: Observed) -> DataFrame:
+        """(cluster_key, name, type, total, cardinality) of the parameters that the URLs of ``of`` have, by the current views."""
+        return self.known_of(of).params.select(*PARAM, ladder(F.col("name")).alias("type"), "total", "cardinality")
+
     def _state(self, parts: list[str]) -> RunningState | None:
         """The state that parts make up: of each key what the last part says."""
         if not parts:

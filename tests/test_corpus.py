@@ -130,6 +130,28 @@ def test_refreshed_views_are_those_of_the_whole_log(spark, tmp_path, monkeypatch
     c.refresh()
 
 
+def test_evidence_of_views_and_point_lookups(spark, tmp_path, monkeypatch):
+    from pathloom.operators import infer
+    from pathloom.sources import store
+
+    monkeypatch.setattr(store, "BUCKET_VALUES", 4)
+    log = literal_log(spark, some_urls(250, 6))
+    o = views.observe(log, keep=True)
+    want, got = infer.evidence(o), infer.evidence_of(views.all_views(o))
+    for a, b in zip(want, got, strict=True):
+        assert sorted(a.columns) == sorted(b.columns) and rows(a) == rows(b.select(*a.columns))
+    c = Corpus(spark, str(tmp_path / "c"))
+    c.append(log)
+    c.refresh()
+    of = views.observe(literal_log(spark, ["https://a.com/users/7?status=open", "https://new.org/x/1", "urn:isbn:1"]), keep=True)
+    assert rows(c.normalized(of)) == rows(render.corpus_normalize(o, of))
+    assert {(r.name, r.type) for r in c.params_for(of).collect()} == {(r.name, r.type) for r in infer.param_summary(o).join(of.params, ["cluster_key", "name"], "left_semi").collect()}
+    assert c._current()["buckets"] > 10
+    plan = c.known_of(of).values._jdf.queryExecution().executedPlan().toString()
+    at = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in at and 0 < at.count(",") + 1 <= 5  # of three positions
+
+
 @pytest.mark.parametrize("cap", [5000, 4])
 def test_evidence_is_the_same_however_the_log_is_cut(spark, cap):
     urls = some_urls(260, 3)
