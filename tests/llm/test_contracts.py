@@ -169,6 +169,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert out("benchmark_decontamination", docs) == sorted(x for x in own if not x[1].startswith(item))
     packed = stage["packing"](spark, docs, str(tmp_path)).collect()
     assert sum(r.length for r in packed if r.start == 0 and r.doc_tokens == 1) == 4
+    made = ["score", "offending", "kept", "N_Words", "n_removed", "spans", "_key", "_all", "_id", "_t", "_text", "row", "a.b", "c1", "comp"]
+    wide = docs.select("*", *(F.concat(F.lit("own "), F.coalesce("text", F.lit(""))).alias(c) for c in made))
+    for k, name in enumerate([*stage][:-1]):
+        got = stage[name](spark, wide, str(tmp_path))
+        assert got.columns == wide.columns
+        got.write.parquet(f"{tmp_path}/wide{k}")
+        kept = spark.read.parquet(f"{tmp_path}/wide{k}")
+        for r in kept.collect():
+            own = {r[c] for c in made}
+            assert len(own) == 1 and (name == "substring_dedup" or own == {"own " + (r.text or "")})
+        assert sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in kept.collect()) == out(name, docs)
     none = docs.limit(0)
     for name in stage:
         assert stage[name](spark, none, str(tmp_path)).count() == 0
