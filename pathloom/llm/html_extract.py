@@ -158,7 +158,10 @@ def fit_extraction(pages: DataFrame, html_col: str = "html", *, sample: int = 20
     landmark, so that text and links must tell as well. Its words fill the layouts.
     """
     html = F.col(html_col).cast("string")
-    rows = pages.select(html.alias("html")).where(F.length("html") <= max_chars).orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    rows = pages.select(html.alias("html")).where(F.length("html") <= max_chars).select(F.xxhash64("html").alias("h"), "html")
+    # Hashes are drawn first, so that tasks don't send pages that others outdo; of equal pages one is taken.
+    drawn = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = rows.where(F.col("h") <= drawn[-1]).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if drawn else []
     learned, words = [], []
     for r in rows:
         words += [w for b in blocks_of(r["html"]) for w in b.text.split()[:50]][:400]
