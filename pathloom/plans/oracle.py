@@ -46,7 +46,9 @@ def sql_date(v: str) -> str:
     return "case " + " ".join([made(L.DATE_ISO, 1, 2, 3), made(L.DATE_SLASH, 1, 2, 3), made(L.DATE_US, 3, 1, 2), made(L.COMPACT_DATE, 1, 2, 3)]) + " end"
 
 
-def sql_type(v: str, activations: tuple[tuple[str, str], ...] = ()) -> str:
+def sql_type(v: str, activations: tuple[tuple[str, str], ...] = (), learned: str = "") -> str:
+    """``learned`` is a table (prefix, type) of activations."""
+    word = _g(v, r"^([a-z]+_)[A-Za-z0-9]+\z", 1)
     slug_or = f"case when {_m(v, L.SLUG)} then 'slug' else "
     n = f"try_cast({v} as bigint)"
     exts = [x for xs in L.FILE_KINDS.values() for x in xs]
@@ -58,6 +60,7 @@ def sql_type(v: str, activations: tuple[tuple[str, str], ...] = ()) -> str:
         (f"{_m(v, L.COMPACT_DATE)} and {sql_plausible(f'substr({v}, 1, 4)', f'substr({v}, 5, 2)', f'substr({v}, 7, 2)')}", "'date'"),
         (_m(v, L.INTEGER), "'integer'"),
         *((_m(v, "^" + p + r"[A-Za-z0-9]+\z"), _q(t)) for p, t in activations),
+        *([(f"{word} in (select prefix from {learned})", f"(select max(type) from {learned} where prefix = {word})")] if learned else []),
         (_m(v, L.JWT), "'jwt'"),
         (_m(v, L.COLOR_HEX), "'color'"),
         (_m(v, L.URL), "'url'"),
@@ -143,11 +146,40 @@ LOGS["orders_workspaces"] = f"{LOGS['orders']} union all select obs_id + 1000000
 LOGS["pages_orders"] = f"{LOGS['pages']} union all select obs_id + (select max(page_id) from pages), url from ({LOGS['orders']})"
 
 
-def base(log: str, strategy: str = "full", activations: tuple[tuple[str, str], ...] = ()) -> str:
+_RAW = {  # texts in which URLs are found; after each boundary at most one starts, and goes to the next
+    "text": r"""case page_id % 12 when 0 then 'See (' || url || '), then ' || url || '. Done' when 1 then '<' || url || '>' when 2 then 'x' || url when 3 then url || '!!? or ' || url || ').'
+when 4 then '[' || url || '](' || url || '/a)' when 5 then upper(substr(url, 1, 4)) || substr(url, 5) when 6 then chr(8220) || url || chr(8221) || chr(12304) || url || chr(12305) when 7 then 'visit ' || regexp_replace(url, '^[a-z]+://', '') || '; bye'
+when 8 then 'user@' || regexp_replace(url, '^[a-z]+://', '') when 9 then 'urn:isbn:' || page_id || '; mailto:a@b.com ' || url || '/(a)b)}]' when 10 then null else 'a_' || url || ' ' || url || ':' || chr(9) || url || '...' end""",
+    "start": rf"(?:^|[^A-Za-z0-9_/.@])((?i:{'|'.join(L.EXTRACT_SCHEMES)})://.+|urn:[a-zA-Z0-9][a-zA-Z0-9\-]{{0,30}}:.+|(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{{0,61}}[a-zA-Z0-9])?\.)+(?i:{'|'.join(L.EXTRACT_TLDS)})/.+)$",
+}
+
+
+def _found() -> str:
+    """(page_id, pos, url) of the odd texts: cut at boundaries, then trimmed step by step, more often than any text needs."""
+    marks = "[" + "".join("\\" + c if c in "\\]^-" else c for c in L.EXTRACT_TRAILING) + "]+$"
+    edges = r"[ \t\r\n\x0B\x0C" + "".join("\\" + c if c in "\\]^-[" else c for c in L.EXTRACT_BOUNDARIES) + "]+"
+    v = "url"
+    steps = f"select page_id, i, regexp_extract(x, {_q(_RAW['start'])}, 1) as url from (select page_id, i, xs[i] as x from (select page_id, regexp_split_to_array({_RAW['text']}, {_q(edges)}) as xs from pages) as c, unnest(range(1, len(xs) + 1)) as g(i))"
+    for _ in range(5):
+        steps = f"select page_id, i, regexp_replace(url, {_q(marks)}, '') as url from ({steps})"
+        for a, b in ("()", "[]", "{}"):
+            steps = f"select page_id, i, case when ends_with({v}, '{b}') and len({v}) - len(replace({v}, '{b}', '')) > len({v}) - len(replace({v}, '{a}', '')) then substr({v}, 1, len({v}) - 1) else {v} end as url from ({steps})"
+    return f"select page_id, row_number() over (partition by page_id order by i) - 1 as pos, url from ({steps}) where url <> ''"
+
+
+LOGS["odd"] = f"select page_id * 64 + pos as obs_id, case when regexp_matches(url, '^(?:[a-zA-Z]+://|urn:)') then url else 'https://' || url end as url from ({_found()})"
+LOGS["pages_repeats"] = f"select obs_id * 2 as obs_id, url from ({LOGS['pages']}) union all select o_orderkey * 2 + 1, 'https://api.example.com/o?a=' || o_orderkey % 7 || '&b&a=' || o_orderkey % 5 || '&=' || o_orderkey || '&c=&b=' || o_orderstatus || case when o_orderkey % 3 = 0 then '&a' else '' end || '&&d=x=' || o_orderkey % 2 from orders"
+_BROKEN = r"""select p_partkey * 4 + 2 as obs_id, trim(case p_partkey % 7 when 0 then ' https://a' || p_partkey || '.com:8080/x ' || chr(9) when 1 then '  ' when 2 then case when p_partkey % 2 = 0 then 'urn:' else 'URN:' end when 3 then 'h' || p_partkey || ':' when 4 then 'word' || p_partkey
+  when 5 then 'http://' || case when p_partkey % 2 = 0 then ':80/x' else '/y' end else 'https://b.com:' || p_partkey || '99999999999999999999/' end, ' ' || chr(9)) as t from part"""
+_ERRORS = rf"""select obs_id, case when t = '' then 'input is empty' when regexp_matches(t, '^(?i:urn):$') then 'urn without content' when regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.\-]*:$') then 'scheme without content'
+  when not regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') then 'neither a scheme nor a host' when regexp_matches(t, '^[a-zA-Z]+://(?:[/?#]|$)') then 'no authority' when regexp_matches(t, '^[a-zA-Z]+://[^/?#:]+:[0-9]') and try_cast(regexp_extract(t, '^[a-zA-Z]+://[^/?#:]+:([0-9]+)', 1) as bigint) is null then 'invalid port' end as error, t from ({_BROKEN})"""
+
+
+def base(log: str, strategy: str = "full", activations: tuple[tuple[str, str], ...] = (), learned: str = "") -> str:
     """CTEs log, iri, seg (with type, hint, tokens and locator), par, obs of a log whose URLs have an authority or are opaque."""
     host = {"full": "host", "registrable": sql_registrable("host"), "none": "''"}[strategy]
     return rf"""
-with recursive log as materialized ({LOGS[log]}),
+with recursive {f"learned as materialized ({learned})," if learned else ""} log as materialized ({LOGS[log]}),
 cut as (select obs_id, url, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+\-.]*):', 1)) as scheme, substr(url, strpos(url, ':') + 1) as rest from log),
 auth as (select obs_id, scheme, rest, case when starts_with(rest, '//') then 'url' else 'urn' end as kind, regexp_extract(rest, '^//([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?', ['host', 'port', 'path', 'query', 'fragment']) as a, contains(rest, '#') as hashed, contains(rest, '?') as asked from cut),
 iri as materialized (select obs_id, kind, scheme, case when kind = 'url' then lower(a.host) else '' end as host,
@@ -158,7 +190,7 @@ canon as (select *, case when kind = 'urn' then scheme || ':' || nss else scheme
   || case when coalesce(query, '') <> '' then '?' || query else '' end || case when coalesce(fragment, '') <> '' then '#' || fragment else '' end end as canonical from iri),
 parts as (select obs_id, kind, scheme, host, case when kind = 'url' then segs when strpos(nss, ':') > 0 then [split_part(nss, ':', 1), substr(nss, strpos(nss, ':') + 1)] else [nss] end as ps from iri),
 part as (select obs_id, kind, (i - 1)::int as pos, ps[i] as value from parts, unnest(range(1, len(ps) + 1)) as g(i)),
-kinds as materialized (select value, {sql_type('value', activations)} as type from (select distinct value from part)),
+kinds as materialized (select value, {sql_type('value', activations, 'learned' if learned else '')} as type from (select distinct value from part)),
 near as (select obs_id, kind, pos, value, type, lag(value) over w as pv, lag(type) over w as pt from part join kinds using (value) window w as (partition by obs_id order by pos)),
 hinted as (select *, case when type in {_in(L.HINTED_TYPES)} and pt = 'literal' then {sql_singular('pv')} || case when type = 'uuid' then '_uuid' else '_id' end end as hint from near),
 tok as materialized (select *, case when type = 'literal' then value else coalesce('{{' || hint || '}}', {_place('type')}) end as hinted_token, case when type = 'literal' then value else {_place('type')} end as raw_token, case when type = 'literal' then value else '{{' || type || '}}' end as way from hinted),
@@ -244,11 +276,12 @@ def r(x: str, k: int) -> str:
 
 SQL: dict[str, str] = {
     "routes": base("pages") + " select khost as host, shape, count(*) as n from keyed group by all",
-    "parse_fields": base("mixed") + " select obs_id, kind, scheme, host, port, len(segs)::bigint as n_segments, fragment, nss, cast(null as varchar) as error from iri",
+    "parse_fields": f"select * from ({base('mixed')} select obs_id, kind, scheme, host, port, len(segs)::bigint as n_segments, fragment, nss, cast(null as varchar) as error from iri)"
+    + f" union all select obs_id, case when error is null then 'url' end, case when error is null then regexp_extract(t, '^[a-z]+') end, case when error is null then regexp_extract(t, '^[a-z]+://([^/?#]+?)(?::[0-9]+)?/', 1) end, case when error is null then try_cast(regexp_extract(t, '[^/]:([0-9]+)/', 1) as bigint) end, case when error is null then 1 end, null, null, error from ({_ERRORS})",
     "canonical": base("mixed") + " select obs_id, canonical from canon",
     "distinct_identifiers": base("mixed") + " select canonical, count(*) as n from canon group by all",
     "path_segments": base("pages") + " select obs_id, pos, value from part",
-    "query_params": base("pages") + " select obs_id, name, value from pairs where name <> ''",
+    "query_params": base("pages_repeats") + " select obs_id, name, value from (select *, row_number() over (partition by obs_id, name order by i desc) as r from (select obs_id, i, split_part(xs[i], '=', 1) as name, case when contains(xs[i], '=') then substr(xs[i], strpos(xs[i], '=') + 1) end as value from (select obs_id, string_split(query, '&') as xs from iri where kind = 'url' and coalesce(query, '') <> '') as q, unnest(range(1, len(xs) + 1)) as g(i)) where name <> '') where r = 1",
     "classify_segments": f"select value, type, type <> 'literal' as variable, {_display('type')} as display from (select value, {sql_type('value')} as type from ("
     + " union ".join(f"({base(x)} select value from seg)" for x in ("pages", "orders", "customers"))
     + "))",
@@ -270,9 +303,9 @@ outp as (select *, coalesce(form, case when t2 <> 'literal' then {_place('t2')}
 select obs_id, name, t2 as type, output, 'param-name hint (`' || name || '=`) lifted ' || type || ' → ' || lift as note from outp where lift is not null
 union all select obs_id, name, t2, output, case t2 when 'date' then 'canonical date' else 'currency upcase' end || ' (' || value || ' → ' || form || ')' from outp where form is not null and form <> value""",
     "trace_evidence": base("orders") + f" select obs_id, 'segment' as subject_kind, pos::varchar as subject, 'classifier' as source, type from seg union all select obs_id, 'param', name, 'classifier', coalesce({sql_name_hint('name', 'type')}, type) from par",
-    "extract_urls": base("pages") + " select obs_id as page_id, p::int as pos, canonical from canon, unnest([0, 1]) as g(p)",
-    "extract_strings": base("pages") + " select obs_id as page_id, canonical as urls from canon",
-    "url_list": base("pages") + " select canonical, 2 * count(*) as n from canon group by all",
+    "extract_urls": base("odd") + " select obs_id // 64 as page_id, (obs_id % 64)::int as pos, canonical from canon",
+    "extract_strings": base("odd") + " select page_id, string_agg(canonical, ' ' order by p) as urls from (select obs_id // 64 as page_id, canonical, min(obs_id) as p from canon group by all) group by page_id",
+    "url_list": base("odd") + " select canonical, count(*) as n from canon group by all",
     "host_counts": base("mixed") + " select khost as host, count(*) as n from keyed group by all",
     "path_length_counts": base("mixed") + " select length::bigint as length, count(*) as n from keyed group by all",
     "raw_shape_counts": base("mixed") + " select raw_shape, count(*) as n from keyed group by all",
@@ -314,12 +347,13 @@ c as (select regexp_extract(value, '^([a-z]+)_([A-Za-z0-9]+)\\z', 1) || '_' as p
 b as (select prefix, host, scope, locator, sum(n) as matching, max(total) as total from c group by all), p as (select prefix, sum(matching)::bigint as matching, sum(total)::bigint as observations, count(distinct host) as hosts from b group by prefix),
 s as (select prefix, string_agg(value, ',' order by value) as samples from (select prefix, value, row_number() over (partition by prefix order by value) as r from c) where r <= 5 group by prefix)
 select prefix, rtrim(prefix, '_') as type, matching, observations, hosts, {r('matching / observations::double', 4)} as coverage, {r('least(1.0, matching / observations::double + 0.05 * (hosts - 1))', 4)} as confidence, samples from p join s using (prefix) where matching >= 20 and matching / observations::double >= 0.7""",
-    "activate_reinfer": base("customers", activations=(("cus_", "cus"),)) + " select shape, count(*) as n from keyed group by all",
     "cross_host_shapes": base("events") + " select shape, string_agg(distinct khost, ',' order by khost) as hosts, count(distinct khost) as n_hosts, count(*) as observations from keyed where khost <> '' group by shape having count(distinct khost) >= 2",
     "host_strategy_registrable": base("events", "registrable") + " " + _CLUSTERS,
     "host_strategy_none": base("pages", "none") + " " + _CLUSTERS,
     "union_of_logs": base("pages_orders") + " select khost as host, count(*) as n from keyed group by all",
 }
+# Which prefixes are activated is decided by the proposals.
+SQL["activate_reinfer"] = base("customers", learned=f"select prefix, type from ({SQL['proposals']}) where confidence >= 0.9") + " select shape, count(*) as n from keyed group by all"
 SQL["running_normalize_carried"] = SQL["running_normalize"]
 
 
@@ -345,3 +379,10 @@ def _all_views() -> str:
 
 
 SQL["merged_views"] = _all_views()
+SQL["corpus_log"] = f"""with b as ({_ERRORS}), a as ({base('pages')} select obs_id * 2 as obs_id, canonical as url from canon)
+select row_number() over (order by obs_id) as obs_id, url from (select * from a union all select (obs_id - 2) // 2 + 1, t from b where error is null)"""
+SQL["corpus_views"] = base("events") + " select cluster_key, pos, value, count(*) as n from seg group by all"
+SQL["corpus_lookup"] = f"select canonical as url, normalized from ({SQL['corpus_normalize'].replace(LOGS['orders_workspaces'], LOGS['orders'])}) join ({base('orders')} select obs_id, canonical from canon) using (obs_id)"
+_OWN_PORTS = " or ".join(f"(s = '{k}' and p = {v})" for k, v in L.DEFAULT_PORTS.items())
+SQL["hosts_and_ports"] = f"""select obs_id, s as scheme, h as host, case when not ({_OWN_PORTS}) then p end as port, s || '://' || h || case when not ({_OWN_PORTS}) then ':' || p else '' end || '/A/' || obs_id as canonical from (
+select p_partkey as obs_id, ['http', 'https', 'ftp', 'ws', 'wss'][p_partkey % 5 + 1] as s, ['shop.example.com', 'm\u00fcnchen.de', '\u0142\u00f3d\u017a.pl', '\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444', '\u4f8b\u3048.jp', 'localhost'][p_partkey % 6 + 1] as h, cast([80, 443, 21, 8080, 80, 0][(p_partkey % 36) // 6 + 1] as bigint) as p from part)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..functions import extract, trace, urls, values
 from ..functions import lexicon as L
 from ..operators import infer, learn, render, running, views
 from ..sources import logs
+from ..sources.store import Corpus
+from ..sources.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +48,8 @@ query(routes)
 
 @query
 def parse_fields(spark, d):
-    p = urls.parse_urls(_mixed(spark, d))
+    broken = logs.log_broken(spark, d).select((F.col("obs_id") * 4 + 2).alias("obs_id"), "url")
+    p = urls.parse_urls(_mixed(spark, d).union(broken))
     return p.select("obs_id", "iri.kind", "iri.scheme", "iri.host", "iri.port", F.size("iri.path_segments").cast("long").alias("n_segments"), "iri.fragment", "iri.nss", "iri.error")
 
 
@@ -68,7 +72,7 @@ def path_segments(spark, d):
 
 @query
 def query_params(spark, d):
-    p = urls.parse_urls(logs.log_pages(spark, d))
+    p = urls.parse_urls(logs.log_pages(spark, d).select((F.col("obs_id") * 2).alias("obs_id"), "url").union(logs.log_repeats(spark, d).select((F.col("obs_id") * 2 + 1).alias("obs_id"), "url")))
     return p.select("obs_id", F.explode("iri.params").alias("p")).select("obs_id", "p.name", "p.value")
 
 
@@ -181,17 +185,17 @@ def trace_evidence(spark, d):
 
 @query
 def extract_urls(spark, d):
-    return extract.extract_urls(logs.text_pages(spark, d)).select("page_id", "pos", "iri.canonical")
+    return extract.extract_urls(logs.text_odd(spark, d)).select("page_id", "pos", "iri.canonical")
 
 
 @query
 def extract_strings(spark, d):
-    return extract.extract_strings(logs.text_pages(spark, d)).select("page_id", F.array_join("urls", " ").alias("urls"))
+    return extract.extract_strings(logs.text_odd(spark, d)).select("page_id", F.array_join("urls", " ").alias("urls"))
 
 
 @query
 def url_list(spark, d):
-    return views.url_list(extract.extract_urls(logs.text_pages(spark, d)).withColumnRenamed("page_id", "line_id"))
+    return views.url_list(extract.extract_urls(logs.text_odd(spark, d)).withColumnRenamed("page_id", "line_id"))
 
 
 # Views --------------------------------------------------------------------------------------------------------------
@@ -408,6 +412,46 @@ def merged_views(spark, d):
     return out
 
 
+def _corpus(spark, log: DataFrame, parts: int = 2) -> Corpus:
+    """A corpus in the shared folder that a log has been appended to in parts."""
+    c = Corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    for part in _parts(log, parts):
+        c.append(part)
+    return c
+
+
+@query
+def corpus_log(spark, d):
+    """(obs_id, url) of a log as a corpus gives it back after three appends: numbered without gaps, without what can't be parsed."""
+    log = logs.log_pages(spark, d).select((F.col("obs_id") * 2).alias("obs_id"), "url").union(logs.log_broken(spark, d).select((F.col("obs_id") * 2 + 1).alias("obs_id"), "url"))
+    return _corpus(spark, log, 3).log()
+
+
+@query
+def corpus_views(spark, d):
+    """A view of a corpus that was brought up to date after each of two appends."""
+    c = Corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    for part in _parts(logs.log_events(spark, d), 2):
+        c.append(part)
+        c.refresh()
+    return c.view("cluster_segments")
+
+
+@query
+def corpus_lookup(spark, d):
+    """Normal forms of all page URLs by the stored evidence of the corpus that they make up."""
+    c = _corpus(spark, logs.log_orders(spark, d))
+    c.refresh()
+    return c.normalized(c.observed()).join(c.log(), "obs_id").select("url", "normalized")
+
+
+@query
+def hosts_and_ports(spark, d):
+    """Hosts in lower case, whatever their script; ports that are the scheme's own go; white space around a URL too."""
+    p = urls.parse_urls(logs.log_hosts(spark, d))
+    return p.select("obs_id", "iri.scheme", "iri.host", "iri.port", "iri.canonical")
+
+
 # Learning -----------------------------------------------------------------------------------------------------------
 
 

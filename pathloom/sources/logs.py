@@ -70,5 +70,31 @@ def log_urns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir, "part", "explode(array(struct(2 * p_partkey as obs_id, concat('urn:isbn:', p_partkey + 1000000) as url), struct(2 * p_partkey + 1 as obs_id, concat('mailto:u', p_partkey, '@example.com') as url))) as e").select("e.*")
 
 
-def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir, "pages", "page_id", "concat('See (', url, '), then ', url, '. Done') text")
+def log_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs whose parameters repeat, lack a value or a name."""
+    return _log(spark, sf_dir, "orders", "o_orderkey obs_id", "concat('https://api.example.com/o?a=', o_orderkey % 7, '&b&a=', o_orderkey % 5, '&=', o_orderkey, '&c=&b=', o_orderstatus, if(o_orderkey % 3 = 0, '&a', ''), '&&d=x=', o_orderkey % 2) url")
+
+
+def log_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are no URLs, each in its own way, with white space around some, and one in seven that is."""
+    return _log(
+        spark, sf_dir, "part", "p_partkey obs_id",
+        "case p_partkey % 7 when 0 then concat(' https://a', p_partkey, '.com:8080/x \t') when 1 then '  ' when 2 then if(p_partkey % 2 = 0, 'urn:', 'URN:') when 3 then concat('h', p_partkey, ':') when 4 then concat('word', p_partkey) when 5 then concat('http://', if(p_partkey % 2 = 0, ':80/x', '/y')) else concat('https://b.com:', p_partkey, '99999999999999999999/') end url",
+    )
+
+
+def text_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs of pages in texts of many kinds: bracketed, quoted, glued to words, without a scheme, followed by punctuation."""
+    rest = "regexp_replace(url, '^[a-z]+://', '')"
+    return _log(
+        spark, sf_dir, "pages", "page_id",
+        f"""case page_id % 12 when 0 then concat('See (', url, '), then ', url, '. Done') when 1 then concat('<', url, '>') when 2 then concat('x', url) when 3 then concat(url, '!!? or ', url, ').')
+        when 4 then concat('[', url, '](', url, '/a)') when 5 then concat(upper(substring(url, 1, 4)), substring(url, 5)) when 6 then concat('\u201c', url, '\u201d\u3010', url, '\u3011') when 7 then concat('visit ', {rest}, '; bye')
+        when 8 then concat('user@', {rest}) when 9 then concat('urn:isbn:', page_id, '; mailto:a@b.com ', url, '/(a)b)}}]') when 10 then null else concat('a_', url, ' ', url, ':\t', url, '...') end text""",
+    )
+
+
+def log_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with hosts in many scripts and cases, default and other ports, and white space around them."""
+    parts = "element_at(array('http', 'https', 'ftp', 'ws', 'WSS'), int(p_partkey % 5 + 1)), '://', element_at(array('Shop.EXAMPLE.com', 'M\u00dcNCHEN.de', '\u0141\u00d3D\u0179.pl', '\u041f\u0420\u0418\u041c\u0415\u0420.\u0420\u0424', '\u4f8b\u3048.jp', 'LOCALHOST'), int(p_partkey % 6 + 1)), ':', element_at(array('80', '443', '21', '8080', '080', '0'), int(p_partkey % 36 div 6 + 1))"
+    return _log(spark, sf_dir, "part", "p_partkey obs_id", f"concat(' \t', {parts}, '/A/', p_partkey, ' ') url")
