@@ -1,4 +1,9 @@
-"""The value functions under SQL names: temporary functions that Catalyst inlines, so no Python runs for them."""
+"""SQL functions: temporary ones that Catalyst inlines, so no Python runs for them.
+
+Functions of values (``FUNCTIONS``) are expressions. Those that take several steps
+(``TABLES``) are table functions, to be joined LATERAL: the parts of a URL, its
+segments and parameters with their types, and the URLs of a text.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lexicon as L
 from . import values
-from .urls import host_of_url
+from .extract import candidate_pattern
+from .urls import AUTHORITY, HOSTISH, SCHEME, STRIP, host_of_url
 
 #: Function name to (parameters, expression over columns of these names).
 FUNCTIONS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
@@ -26,6 +33,55 @@ FUNCTIONS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
 }
 
 
+def _q(text: str) -> str:
+    """A SQL string."""
+    return "'" + "".join(f"\\u{ord(c):04x}" if c in "'\\\"" or ord(c) < 32 or ord(c) > 126 else c for c in text) + "'"
+
+
+def _cut(column: str, mark: str, before: str, after: str) -> str:
+    """What stands before the first mark, and after it (null without one)."""
+    at = f"instr({column}, '{mark}')"
+    return f"if({at} > 0, substring({column}, 1, {at} - 1), {column}) AS {before}, if({at} > 0, substring({column}, {at} + 1), NULL) AS {after}"
+
+
+def _parts() -> str:
+    own = " OR ".join(f"s = '{k}' AND port = {v}" for k, v in L.DEFAULT_PORTS.items())
+    step = f"SELECT coalesce(btrim(u, {_q(STRIP)}), '') AS x"
+    step = f"SELECT x, nullif(lower(regexp_extract(x, {_q(SCHEME)}, 1)), '') AS s FROM ({step})"
+    step = f"SELECT x, s, substring(x, length(s) + 2) AS r FROM ({step})"
+    step = f"SELECT *, CASE WHEN startswith(r, '//') AND s <> 'urn' THEN substring(r, 3) WHEN s IS NULL AND x RLIKE {_q(HOSTISH)} THEN x END AS b FROM ({step})"
+    step = f"SELECT *, if(b RLIKE {_q(HOSTISH)}, {_q(HOSTISH)}, {_q(AUTHORITY)}) AS pattern FROM ({step})"
+    step = f"SELECT *, array_join(transform(split(regexp_extract(b, pattern, 1), ''), c -> lower(c)), '') AS h, regexp_extract(b, pattern, 2) AS p, regexp_extract(b, pattern, 3) AS t FROM ({step})"
+    step = f"""SELECT *, try_cast(nullif(p, '') AS BIGINT) AS port, {_cut("t", "#", "t1", "f")}, CASE WHEN x = '' THEN 'input is empty' WHEN s = 'urn' AND r = '' THEN 'urn without content' WHEN s IS NOT NULL AND r = '' THEN 'scheme without content'
+      WHEN s IS NULL AND b IS NULL THEN 'neither a scheme nor a host' WHEN b IS NOT NULL AND h = '' THEN 'no authority' WHEN p <> '' AND try_cast(p AS BIGINT) IS NULL THEN 'invalid port' END AS e FROM ({step})"""
+    step = f"""SELECT e, r, h, port, f, e IS NULL AND b IS NOT NULL AS au, if(e IS NULL, coalesce(s, 'https'), NULL) AS s, {_cut("t1", "?", "path", "q")} FROM ({step})"""
+    step = f"""SELECT *, filter(split(if(au, coalesce(path, ''), ''), '/'), x -> x <> '' AND x <> '.') AS g0, if(au AND NOT coalesce({own}, false), port, NULL) AS p,
+      filter(transform(split(if(au, coalesce(q, ''), ''), '&'), x -> named_struct('name', if(instr(x, '=') > 0, substring(x, 1, instr(x, '=') - 1), x), 'value', if(instr(x, '=') > 0, substring(x, instr(x, '=') + 1), NULL))), x -> x.name <> '') AS a0 FROM ({step})"""
+    step = f"""SELECT *, aggregate(g0, cast(array() AS ARRAY<STRING>), (a, x) -> if(x = '..', slice(a, 1, greatest(size(a) - 1, 0)), array_append(a, x))) AS g,
+      transform(array_distinct(transform(a0, x -> x.name)), n -> named_struct('name', n, 'value', element_at(filter(a0, x -> x.name = n), -1).value)) AS a,
+      concat(if(coalesce(q, '') <> '', concat('?', q), ''), if(coalesce(f, '') <> '', concat('#', f), '')) AS tail FROM ({step})"""
+    return f"""SELECT if(e IS NULL, if(au, 'url', 'urn'), NULL), s, if(e IS NULL, if(au, h, ''), NULL), p, if(e IS NULL, g, NULL), if(au, q, NULL), if(e IS NULL, a, NULL), if(au, f, NULL), if(e IS NULL AND NOT au, r, NULL),
+      CASE WHEN au THEN concat(s, '://', h, coalesce(concat(':', p), ''), CASE WHEN size(g) > 0 THEN concat('/', array_join(g, '/')) WHEN tail <> '' THEN '/' ELSE '' END, tail) WHEN e IS NULL THEN concat(s, ':', r) END, e FROM ({step})"""
+
+
+def _found() -> str:
+    marks = _q("[" + "".join(f"\\{c}" for c in L.EXTRACT_TRAILING) + "]+\\z")
+    step = f"regexp_replace(v, {marks}, '')"
+    for a, b in ("()", "[]", "{}"):
+        step = f"aggregate(array({step}), '', (_, w) -> if(endswith(w, '{b}') AND length(replace(w, '{b}', '')) < length(replace(w, '{a}', '')), substring(w, 1, length(w) - 1), w))"
+    trimmed = f"aggregate(sequence(0, length(raw)), raw, (v, _) -> {step})"
+    return f"SELECT pos, canonical FROM (SELECT pos, {trimmed} AS url FROM (SELECT posexplode(regexp_extract_all(text, {_q(candidate_pattern())}, 0)) AS (pos, raw))), LATERAL url_parts(url) WHERE error IS NULL"
+
+
+#: Table function to (parameter, columns, body). Later ones use earlier ones.
+TABLES: dict[str, tuple[str, str, Callable[[], str]]] = {
+    "url_parts": ("u", "kind STRING, scheme STRING, host STRING, port BIGINT, path_segments ARRAY<STRING>, query STRING, params ARRAY<STRUCT<name: STRING, value: STRING>>, fragment STRING, nss STRING, canonical STRING, error STRING", _parts),
+    "url_segments": ("u", "pos INT, value STRING, type STRING", lambda: "SELECT pos, value, url_value_type(value) FROM (SELECT posexplode(path_segments) AS (pos, value) FROM url_parts(u) WHERE kind = 'url')"),
+    "url_params": ("u", "name STRING, value STRING, type STRING", lambda: "SELECT x.name, x.value, url_value_type(coalesce(x.value, '')) FROM (SELECT explode(params) AS x FROM url_parts(u) WHERE kind = 'url')"),
+    "url_found": ("text", "pos INT, url STRING", _found),
+}
+
+
 def text_of(df: DataFrame) -> str:
     """SQL of the only column of a projection, as Spark analysed it."""
     return df._jdf.queryExecution().analyzed().expressions().apply(0).child().sql()
@@ -38,4 +94,7 @@ def register(spark: SparkSession) -> list[str]:
         given = reduce(and_, (F.col(p).isNotNull() for p in parameters))
         body = text_of(none.select(F.when(given, made(*map(F.col, parameters))).alias("x")))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{p} STRING' for p in parameters)}) RETURNS STRING RETURN {body}")
-    return list(FUNCTIONS)
+    for name, (parameter, columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameter} STRING) RETURNS TABLE({columns}) RETURN {body()}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION url_canonical(u STRING) RETURNS STRING RETURN (SELECT canonical FROM url_parts(u))")
+    return [*FUNCTIONS, *TABLES, "url_canonical"]

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 from .values import Activation, canonical_form, classify, lower_each, param_name_hint, placeholder, registrable_domain, singularize
 
-_STRIP = " \t\r\n\x0b\x0c\x00"
-_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+\-.]*):"
+STRIP = " \t\r\n\x0b\x0c\x00"
+SCHEME = r"^([a-zA-Z][a-zA-Z0-9+\-.]*):"
 _REST = r"(?::([0-9]+))?([/?#](?d:.*))?\z"
-_HOSTISH = r"^([^/?#: \t\r\n\x0B\f]+\.[^/?#: \t\r\n\x0B\f]+|localhost)" + _REST
-_AUTHORITY = r"^([^/?#]+?)" + _REST
+HOSTISH = r"^([^/?#: \t\r\n\x0B\f]+\.[^/?#: \t\r\n\x0B\f]+|localhost)" + _REST
+AUTHORITY = r"^([^/?#]+?)" + _REST
 _PARAM = "array<struct<name:string,value:string>>"
 
 
@@ -80,16 +80,16 @@ def parse_urls(df: DataFrame, col: str = "url", out: str = "iri") -> DataFrame:
 
 def parse_fields(df: DataFrame, col: str = "url") -> DataFrame:
     """``df`` plus the fields of ``parse_urls`` as columns of their own, each behind a fence, so that those nobody reads are pruned."""
-    base = df.select(*df.columns, F.coalesce(F.btrim(F.col(col), F.lit(_STRIP)), F.lit("")).alias("_x"))
-    base = base.select(*df.columns, "_x", F.regexp_extract("_x", _SCHEME, 1).alias("_s"))
+    base = df.select(*df.columns, F.coalesce(F.btrim(F.col(col), F.lit(STRIP)), F.lit("")).alias("_x"))
+    base = base.select(*df.columns, "_x", F.regexp_extract("_x", SCHEME, 1).alias("_s"))
     has = F.col("_s") != ""
     rest = F.substring("_x", F.length("_s") + 2, F.length("_x"))
     base = base.select(*df.columns, "_x", F.when(has, F.lower("_s")).alias("_s"), F.when(has, rest).alias("_r"))
     slashed = F.col("_r").startswith("//") & (F.col("_s") != "urn")
-    body = F.when(slashed, F.substring("_r", F.lit(3), F.length("_r"))).when(F.col("_s").isNull() & F.regexp_like("_x", F.lit(_HOSTISH)), F.col("_x"))
+    body = F.when(slashed, F.substring("_r", F.lit(3), F.length("_r"))).when(F.col("_s").isNull() & F.regexp_like("_x", F.lit(HOSTISH)), F.col("_x"))
     base = base.select(*df.columns, "_x", "_s", "_r", body.alias("_b"))
-    pattern = [F.regexp_extract("_b", p, k) for k in (1, 2, 3) for p in (_HOSTISH, _AUTHORITY)]
-    hostish = F.regexp_like("_b", F.lit(_HOSTISH))
+    pattern = [F.regexp_extract("_b", p, k) for k in (1, 2, 3) for p in (HOSTISH, AUTHORITY)]
+    hostish = F.regexp_like("_b", F.lit(HOSTISH))
     pick = [F.when(hostish, pattern[2 * k]).otherwise(pattern[2 * k + 1]) for k in range(3)]
     base = base.select(*df.columns, "_x", "_s", "_r", "_b", lower_each(pick[0]).alias("_h"), pick[1].alias("_p"), pick[2].alias("_t"))
     error = (
@@ -140,7 +140,7 @@ def walled(df: DataFrame, *names: str) -> DataFrame:
 
 def host_of_url(url: Column) -> Column:
     """The lower-cased host of a URL with a scheme, else null: for SQL, where ``parse_urls`` can't be called."""
-    return F.nullif(F.lower(F.regexp_extract(F.btrim(url, F.lit(_STRIP)), r"^(?!(?i:urn):)[a-zA-Z][a-zA-Z0-9+\-.]*://([^/?#:]+)", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(F.btrim(url, F.lit(STRIP)), r"^(?!(?i:urn):)[a-zA-Z][a-zA-Z0-9+\-.]*://([^/?#:]+)", 1)), F.lit(""))
 
 
 def with_types(df: DataFrame, activations: Sequence[Activation] = (), *, iri: Column | str = "iri") -> DataFrame:

@@ -274,10 +274,12 @@ def r(x: str, k: int) -> str:
     return f"floor(({x}) * 1e{k} + 0.5) / 1e{k}"
 
 
+#: Fields of ``parse_fields`` of the texts that mostly are no URLs.
+_BROKEN_FIELDS = f"select obs_id, case when error is null then 'url' end, case when error is null then regexp_extract(t, '^[a-z]+') end, case when error is null then regexp_extract(t, '^[a-z]+://([^/?#]+?)(?::[0-9]+)?/', 1) end, case when error is null then try_cast(regexp_extract(t, '[^/]:([0-9]+)/', 1) as bigint) end, case when error is null then 1 end, null, null, error from ({_ERRORS})"
 SQL: dict[str, str] = {
     "routes": base("pages") + " select khost as host, shape, count(*) as n from keyed group by all",
     "parse_fields": f"select * from ({base('mixed')} select obs_id, kind, scheme, host, port, len(segs)::bigint as n_segments, fragment, nss, cast(null as varchar) as error from iri)"
-    + f" union all select obs_id, case when error is null then 'url' end, case when error is null then regexp_extract(t, '^[a-z]+') end, case when error is null then regexp_extract(t, '^[a-z]+://([^/?#]+?)(?::[0-9]+)?/', 1) end, case when error is null then try_cast(regexp_extract(t, '[^/]:([0-9]+)/', 1) as bigint) end, case when error is null then 1 end, null, null, error from ({_ERRORS})",
+    + f" union all {_BROKEN_FIELDS}",
     "canonical": base("mixed") + " select obs_id, canonical from canon",
     "distinct_identifiers": base("mixed") + " select canonical, count(*) as n from canon group by all",
     "path_segments": base("pages") + " select obs_id, pos, value from part",
@@ -386,3 +388,9 @@ SQL["corpus_lookup"] = f"select canonical as url, normalized from ({SQL['corpus_
 _OWN_PORTS = " or ".join(f"(s = '{k}' and p = {v})" for k, v in L.DEFAULT_PORTS.items())
 SQL["hosts_and_ports"] = f"""select obs_id, s as scheme, h as host, case when not ({_OWN_PORTS}) then p end as port, s || '://' || h || case when not ({_OWN_PORTS}) then ':' || p else '' end || '/A/' || obs_id as canonical from (
 select p_partkey as obs_id, ['http', 'https', 'ftp', 'ws', 'wss'][p_partkey % 5 + 1] as s, ['shop.example.com', 'm\u00fcnchen.de', '\u0142\u00f3d\u017a.pl', '\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444', '\u4f8b\u3048.jp', 'localhost'][p_partkey % 6 + 1] as h, cast([80, 443, 21, 8080, 80, 0][(p_partkey % 36) // 6 + 1] as bigint) as p from part)"""
+SQL["sql_segments"] = f"""{base('pages')}, pair as (select *, {sql_type("coalesce(value, '')")} as type from ({SQL['query_params'].replace(LOGS['pages_repeats'], LOGS['pages'])}) as q)
+select obs_id, pos, null as name, value, type from seg union all select obs_id, null, name, value, type from pair"""
+SQL["sql_extraction"] = SQL["extract_urls"]
+SQL["sql_parts"] = f"""select * from ({base('mixed')} select obs_id, kind, scheme, host, port, canonical, null as error from canon)
+union all select obs_id, kind, scheme, host, port, case when error is null then scheme || '://' || host || coalesce(':' || port, '') || regexp_extract(t, '^[a-z]+://[^/]*(/.*)$', 1) end, error from ({_BROKEN_FIELDS.replace(" from (", ", t from (", 1)}) as p(obs_id, kind, scheme, host, port, n, f, s, error, t)
+union all select obs_id * 4 + 3, 'url', scheme, host, port, canonical, null from ({SQL['hosts_and_ports']})"""

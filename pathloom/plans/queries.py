@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, trace, urls, values
+from ..functions import extract, sql, trace, urls, values
 from ..functions import lexicon as L
 from ..operators import infer, learn, render, running, views
 from ..sources import logs
@@ -445,6 +445,29 @@ def corpus_lookup(spark, d):
     return c.normalized(c.observed()).join(c.log(), "obs_id").select("url", "normalized")
 
 
+@query
+def sql_segments(spark, d):
+    """Segments and parameters of the page log in SQL text alone."""
+    sql.register(spark)
+    return spark.sql("SELECT l.obs_id, s.pos, CAST(NULL AS STRING) AS name, s.value, s.type FROM {log} l, LATERAL url_segments(l.url) s UNION ALL SELECT l.obs_id, NULL, p.name, p.value, p.type FROM {log} l, LATERAL url_params(l.url) p", log=logs.log_pages(spark, d))
+
+
+@query
+def sql_extraction(spark, d):
+    """URLs of odd texts in SQL text alone."""
+    sql.register(spark)
+    return spark.sql("SELECT t.page_id, f.pos, f.url AS canonical FROM {texts} t, LATERAL url_found(t.text) f", texts=logs.text_odd(spark, d))
+
+
+@query
+def sql_parts(spark, d):
+    """Canonical forms and failures in SQL text alone."""
+    sql.register(spark)
+    broken = logs.log_broken(spark, d).select((F.col("obs_id") * 4 + 2).alias("obs_id"), "url")
+    hosts = logs.log_hosts(spark, d).select((F.col("obs_id") * 4 + 3).alias("obs_id"), "url")
+    return spark.sql("SELECT l.obs_id, p.kind, p.scheme, p.host, p.port, p.canonical, p.error FROM {log} l, LATERAL url_parts(l.url) p", log=_mixed(spark, d).union(broken).union(hosts))
+
+
 @query
 def hosts_and_ports(spark, d):
     """Hosts in lower case, whatever their script; ports that are the scheme's own go; white space around a URL too."""

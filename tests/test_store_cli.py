@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pathloom import cli
 from pathloom.functions import sql
+from pathloom.functions.extract import extract_urls
+from pathloom.functions.urls import parse_urls
 from pathloom.functions.values import classify
 from pathloom.operators import report, views
 from pathloom.sources import logs, store
@@ -93,6 +95,15 @@ def test_sql_functions(spark):
     assert "url_value_type" in sql.register(spark)
     r = spark.sql("select url_value_type('2024-01-02') t, url_singular('categories') s, url_param_type('email', 'bob') p, url_registrable_domain('a.b.co.uk') d, url_host('HTTPS://Foo.com:80/x') h, url_value_type(null) n").first()
     assert tuple(r) == ("date", "category", "email", "b.co.uk", "foo.com", None)
+    texts = ["HTTPS://Foo.com:443/a/../b?x&x=1&x=2#y", "see foo.com/users/7, then (http://a.com/x_(y)).", "urn:isbn:1", "no url", "", None, "'\"\\"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = spark.sql("SELECT k, url_canonical(t) c FROM {df}", df=df)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, parse_urls(df, "t").select("k", F.col("iri.canonical").alias("c")).collect()))
+    got = spark.sql("SELECT k, p.* FROM {df}, LATERAL url_parts(t) p", df=df)
+    want = parse_urls(df, "t").select("k", "iri.*").drop("original").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    got = spark.sql("SELECT k, f.pos, f.url FROM {df}, LATERAL url_found(t) f", df=df)
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in extract_urls(df, "t").select("k", "pos", "iri.canonical").collect())
 
 
 def test_recognizers_by_predicate(spark):
