@@ -21,7 +21,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import fields_of, others_of, row_and, row_of, saved
@@ -170,7 +170,7 @@ def _located(window: int):
                     out[0].append(b - a)
                     out[1].append(int(covered.sum()))
                     out[2].append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)])
-                    out[3].append(b" ".join(words).decode())
+                    out[3].append(b" ".join(words).decode(errors="replace"))
                 spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], spans), pa.array(out[3], pa.string())], ["row", "n_words", "n_removed", "spans", "kept"])
                 at += n
@@ -185,8 +185,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", *, window: int = 35,
     goes if a run of ``window`` words of its document that covers it also starts
     elsewhere, in any document, the same included; all occurrences go. spans
     are the removed runs as word positions (start, end), kept is what is left,
-    joined by one space. Null, empty and short texts lose nothing (null counts
-    as empty); texts of any length are searched whole. Repeated rows are copies
+    joined by one space; bytes that are no UTF-8 become U+FFFD. Null, empty and
+    short texts lose nothing (null counts as empty); texts of any length are searched whole. Repeated rows are copies
     of each other, and of equal passages all go, whichever is first. Ids are not
     used, so they may be null or repeated; all other columns pass through but
     those named like a new one, which are replaced. An empty table gives no rows.
@@ -207,7 +207,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", *, window: int = 35,
     # All columns stay, though the windows need no "row": so this join and the last read one exchange of the texts.
     texts = rows.join(wanted, ["k1", "k2"]).select("row", "text", "k1", "k2", "anchors")
     found = texts.mapInArrow(_windows(window, gram), "k1 long, k2 int, pos int, hash long")
-    found = found.withColumn("c", F.count("*").over(Window.partitionBy("hash"))).where("c > 1")
+    # Counted on the map side first, and written: between two plain tables Spark splits a common window's rows over tasks.
+    found = saved(found, "windows")
+    again = saved(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "again")
+    found = found.join(again, "hash", "left_semi")
     confirmed = found.groupBy("k1", "k2").agg(F.collect_set("pos").alias("confirmed"))
 
     known = copies.where("copies > 1").join(confirmed, ["k1", "k2"], "full_outer").select("k1", "k2", "copies", "confirmed")
