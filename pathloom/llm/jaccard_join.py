@@ -182,10 +182,21 @@ def cells(d: np.ndarray, reach: float) -> np.ndarray:
     return d <= d.min(0) + 2 * reach
 
 
+#: A set within this distance of a pivot needs no pivot of its own: farther ones are in other clusters.
+NEAR = 0.5
+#: Pivots of one step at most; what they leave unparted is parted by the next.
+MOST_PIVOTS = 128
+
+
 class Region:
-    """Sets of one task, and for each the first set of its component as far as links are known."""
+    """Sets of one task, and for each the first set of its component as far as links are known.
+
+    ``parted``, ``direct`` and ``rare`` count the sets that a step parted by pivots,
+    compared with each other, or compared where they share a rare shingle.
+    """
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int, pivots: int, leaf: int):
+        self.parted = self.direct = self.rare = 0
         self.sets, self.num, self.den, self.pivots, self.leaf = sets, num, den, pivots, leaf
         self.reach = 1 - num / den + 1e-9
         self.size = np.array([len(s) for s in sets], _I64)
@@ -214,32 +225,48 @@ class Region:
             if len(np.unique(self.label[members])) < 2:
                 continue
             if len(members) <= self.leaf:
+                self.direct += len(members)
                 for k in range(len(members) - 1):
                     self.compare(int(members[k]), members[k + 1 :], None)
                 continue
             d = self.measure(members)
             within = cells(d, self.reach)
-            parts = [members[w] for w in within if len(np.unique(self.label[members[w]])) > 1]
+            parts = [members[w] for w in self.outer(within) if len(np.unique(self.label[members[w]])) > 1]
             held = [len(x) for x in parts]
             if 2 * max(held, default=0) <= len(members) and 2 * sum(held) <= 3 * len(members):
+                self.parted += len(members)
                 regions += parts
             else:
+                self.rare += len(members)
                 self.by_rare_shingles(members, d)
         return self.label
 
+    @staticmethod
+    def outer(within: np.ndarray) -> list[np.ndarray]:
+        """The cells without those that lie in another: its join has their links too."""
+        out: list[np.ndarray] = []
+        for w in within[np.argsort(-within.sum(1), kind="stable")]:
+            if not any((v | w == v).all() for v in out):
+                out.append(w)
+        return out
+
     def measure(self, members: np.ndarray) -> np.ndarray:
-        """Distances to pivots, each as far as can be from those before it; links what they reach."""
+        """Distances to pivots, each as far as can be from those before it; links what they reach.
+
+        There are as many as it takes until all members are near one, so in
+        proportion to the clusters of the region, but no more than it has leaves.
+        """
         flat, start = self.laid(members)
         rows: list[np.ndarray] = []
         at = len(members) // 2
-        for _ in range(self.pivots):
+        for _ in range(min(MOST_PIVOTS, max(self.pivots, len(members) // self.leaf))):
             pivot = int(members[at])
             rows.append(distances(self.sets[pivot], flat, start, self.size[members]))
             near = members[rows[-1] <= self.reach]
             self.link(pivot, self.linked(pivot, near))
             nearest = np.min(rows, 0)
             at = int(np.argmax(nearest))
-            if nearest[at] <= self.reach:
+            if nearest[at] <= NEAR:
                 break
         return np.array(rows)
 
