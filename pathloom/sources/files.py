@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +37,25 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, data: bytes, *parts: object) -> None:
+    def blocks(self, *parts: object) -> Iterator[bytes]:
+        """The bytes of a file, some at a time."""
+        stream = self._fs.open(self._at(*parts))
+        try:
+            while block := bytes(stream.readNBytes(1 << 20)):
+                yield block
+        finally:
+            stream.close()
+
+    def write_blocks(self, blocks: Iterable[bytes], *parts: object) -> None:
         """Writes a file that others know nothing of yet."""
         stream = self._fs.create(self._at(*parts), False)
-        for at in range(0, len(data), 1 << 20):
-            stream.write(bytearray(data[at : at + (1 << 20)]))
+        for block in blocks:
+            stream.write(bytearray(block))
         stream.close()
 
+    def write(self, data: bytes, *parts: object) -> None:
+        self.write_blocks((data[at : at + (1 << 20)] for at in range(0, len(data), 1 << 20)), *parts)
+
     def create(self, text: str, *parts: object) -> bool:
         """Creates a file with its whole content at once; False, and nothing is changed, if it is there already.
 

@@ -29,17 +29,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as L
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
 from ..operators.infer import Evidence, evidence_of, ladder
 from ..operators.learn import activate_above
 from ..operators.render import carried_normalize, corpus_normalize
 from ..operators.running import STATE_KEYS, RunningState, merged_state
-from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, first_come, merged_view, numeric_stats, observe
+from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, merged_view, observe
+from . import dump
 from .files import Folder
-from .logs import literal_log
-from .tables import discard, kept, ranked, shared_dir
+from .tables import discard, ranked, shared_dir
 
 _COMMIT = "number long, part string, first long, n long, writer string, batch long"
 #: The list of so many commits is broadcast (some 10 MB); a longer one is joined by shuffle.
@@ -291,70 +290,19 @@ class Corpus:
         self.reinfer()
         return now
 
-    def save_json(self, file: str, limit: int = 1_000_000) -> None:
-        """Writes the corpus into one JSON file of nine keys, by a new file that is then renamed.
-
-        One file is one process's work: a corpus with a table of more than
-        ``limit`` rows is refused, it belongs in the directory.
-        """
-        o = self.observed()
-
-        def rows(df: DataFrame) -> list:
-            got = df.limit(limit + 1).collect()
-            if len(got) > limit:
-                raise ValueError(f"the corpus has a table of more than {limit} rows")
-            return got
-
-        def counts(name: str, key: str) -> dict[str, int]:
-            return {str(r[key]): r["n"] for r in rows(VIEWS[name](o).orderBy(F.desc("n"), key))}
-
-        def slots(df: DataFrame, keys: list[str]) -> dict[tuple, dict]:
-            out: dict[tuple, dict] = {}
-            c = kept(df.groupBy(*keys, "value", "type").agg(F.count("*").alias("n"), F.min("obs_id").alias("first_obs")), "slots")
-            for r in rows(first_come(c, keys, L.VALUE_CAP).orderBy("first_obs")):
-                own = out.setdefault(tuple(r[k] for k in keys), {"value_counts": {}, "type_counts": {}, "total": 0, "max_values": L.VALUE_CAP})
-                own["value_counts"][r["value"]] = r["n"]
-            for r in rows(c.groupBy(*keys, "type").agg(F.sum("n").alias("n"), F.min("first_obs").alias("first_obs")).orderBy("first_obs")):
-                own = out[tuple(r[k] for k in keys)]
-                own["type_counts"][r["type"]] = r["n"]
-                own["total"] += r["n"]
-            for r in rows(numeric_stats(df, keys)):
-                out[tuple(r[k] for k in keys)].update(numeric_count=r["num_count"], numeric_min=r["num_min"], numeric_max=r["num_max"], numeric_sum=r["num_sum"])
-            return out
-
-        clusters: dict[str, dict] = {}
-        for r in rows(VIEWS["clusters"](o).orderBy("ord")):
-            clusters[r["cluster_key"]] = {"key": r["cluster_key"], "host": r["host"], "scheme": r["scheme"], "shape": r["shape"], "count": r["n"], "examples": [], "segment_counts": [], "param_stats": {}}
-        for r in rows(VIEWS["cluster_examples"](o).orderBy("first_obs")):
-            clusters[r["cluster_key"]]["examples"].append(r["canonical"])
-        for r in rows(VIEWS["cluster_segments"](o).orderBy("cluster_key", "pos", F.desc("n"), "value")):
-            own = clusters[r["cluster_key"]]["segment_counts"]
-            own += [{} for _ in range(r["pos"] + 1 - len(own))]
-            own[r["pos"]][r["value"]] = r["n"]
-        for (key, name), stats in slots(o.params, PARAM).items():
-            clusters[key]["param_stats"][name] = stats
-        out = {
-            "host_counts": counts("host_counts", "host"), "path_length_counts": counts("path_length_counts", "length"), "raw_shape_counts": counts("raw_shape_counts", "raw_shape"), "fingerprint_counts": counts("fingerprint_counts", "shape"),
-            "max_values_per_position": L.VALUE_CAP,
-            "position_stats": [{"position": dict(zip(POSITION, key, strict=True)), "stats": stats} for key, stats in slots(o.segments, POSITION).items()],
-            "clusterer": {"clusters": clusters},
-            "observed_iris": [r["url"] for r in rows(self.log().orderBy("obs_id"))],
-            "activated_recognizers": [{"prefix": p, "type": t} for p, t in self.activations()],
-        }
-        new = f"{file}.{uuid.uuid4().hex}.tmp"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump(out, f, ensure_ascii=False)
-        os.replace(new, file)
+    def save_json(self, file: str) -> None:
+        """Writes the corpus into one JSON file of nine keys, as ``dump`` does it."""
+        commit = self.last_commit().number
+        dump.save(file, self.observed(upto=commit), self.log(upto=commit), self.activations())
 
     def load_json(self, file: str) -> None:
         """Takes the log and the activations of a JSON file into this corpus, which must be empty; all else follows from them."""
         if self.last_commit().number or self.folder.has("activations"):
             raise ValueError("the corpus is not empty")
-        with open(file, encoding="utf-8") as f:
-            found = json.load(f)
-        self.append(literal_log(self.spark, found["observed_iris"]))
-        if found.get("activated_recognizers"):
-            self._activate([(x["prefix"], x["type"]) for x in found["activated_recognizers"]])
+        log, activations = dump.load(self.spark, file)
+        self.append(log)
+        if activations:
+            self._activate(activations)
 
     def _activate(self, new: list[Activation]) -> None:
         self.spark.createDataFrame(new, "prefix string, type string").write.mode("append").parquet(f"{self.path}/activations")

@@ -224,6 +224,35 @@ def test_streams_and_other_writers_share_a_corpus(spark, tmp_path, monkeypatch):
     assert len(json.loads(c.folder.read("running", c.folder.names("running")[-1]))["parts"]) <= 2
 
 
+def test_json_round_trip(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"))
+    odd = ['https://a.com/x"y\\z/\u00fc?q="', "https://a.com/p?z=1&a=2&m=x", "urn:isbn:5"]
+    urls = odd + some_urls(150, 8)
+    c.append(literal_log(spark, urls))
+    c._activate([("cus_", "cus")])
+    file = str(tmp_path / "c.json")
+    c.save_json(file)
+    made = json.loads((tmp_path / "c.json").read_text())
+    stored = [r.url for r in c.log().orderBy("obs_id").collect()]
+    assert made["observed_iris"] == stored and made["activated_recognizers"] == [{"prefix": "cus_", "type": "cus"}]
+    o = c.observed()
+    clusters = made["clusterer"]["clusters"]
+    assert {k: v["count"] for k, v in clusters.items()} == {r.cluster_key: r.n for r in views.clusters(o).collect()}
+    assert list(clusters) == [r.cluster_key for r in views.clusters(o).orderBy("ord").collect()]
+    got = {(k, p, v): n for k, x in clusters.items() for p, values in enumerate(x["segment_counts"]) for v, n in values.items()}
+    assert got == {(r.cluster_key, r.pos, r.value): r.n for r in views.cluster_segments(o).collect()}
+    got = {(k, name, v): n for k, x in clusters.items() for name, s in x["param_stats"].items() for v, n in s["value_counts"].items()}
+    assert got == {(r.cluster_key, r.name, r.value): r.n for r in views.cluster_param_values(o).collect()}
+    again = Corpus(spark, str(tmp_path / "again"))
+    again.load_json(file)
+    assert [r.url for r in again.log().orderBy("obs_id").collect()] == stored and again.activations() == [("cus_", "cus")]
+    with pytest.raises(ValueError, match="not empty"):
+        again.load_json(file)
+    empty = Corpus(spark, str(tmp_path / "empty"))
+    empty.save_json(file)
+    assert json.loads((tmp_path / "c.json").read_text())["observed_iris"] == []
+
+
 def run(spark, *args):
     return list(cli.lines(spark, cli.parser().parse_args([*args])))
 
