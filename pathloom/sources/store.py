@@ -38,7 +38,7 @@ from ..operators.running import STATE_KEYS, RunningState, merged_state
 from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, merged_view, observe
 from . import dump
 from .files import Folder
-from .tables import discard, ranked, shared_dir
+from .tables import discard, ranked, scratch, shared_dir
 
 _COMMIT = "number long, part string, first long, n long, writer string, batch long"
 #: The list of so many commits is broadcast (some 10 MB); a longer one is joined by shuffle.
@@ -184,7 +184,8 @@ class Corpus:
     def reinfer(self) -> int:
         """Computes all views from the log and makes them current; gives their version."""
         commit, about = self.last_commit().number, self._about()
-        return self._publish(all_views(self.observed(upto=commit)), commit, about)
+        with scratch():
+            return self._publish(all_views(self.observed(upto=commit)), commit, about)
 
     def refresh(self) -> int:
         """Brings the views up to the last commit: those of the commits since the current version are merged into it.
@@ -197,10 +198,11 @@ class Corpus:
             return self.reinfer()
         if now["commit"] == commit:
             return now["version"]
-        later = all_views(self.observed(since=now["commit"], upto=commit), capped=False)
-        whole = self.observed(upto=commit) if set(VIEWS) - set(MERGES) else None
-        views = {k: merged_view(k, self.spark.read.parquet(f"{self.path}/views/{now['views']}/{k}"), later[k]) if k in MERGES else VIEWS[k](whole) for k in VIEWS}
-        return self._publish(views, commit, about)
+        with scratch():
+            later = all_views(self.observed(since=now["commit"], upto=commit), capped=False)
+            whole = self.observed(upto=commit) if set(VIEWS) - set(MERGES) else None
+            views = {k: merged_view(k, self.spark.read.parquet(f"{self.path}/views/{now['views']}/{k}"), later[k]) if k in MERGES else VIEWS[k](whole) for k in VIEWS}
+            return self._publish(views, commit, about)
 
     def _views_of(self, now: dict) -> bool:
         """Whether a version has all views."""
@@ -293,7 +295,8 @@ class Corpus:
     def save_json(self, file: str) -> None:
         """Writes the corpus into one JSON file of nine keys, as ``dump`` does it."""
         commit = self.last_commit().number
-        dump.save(file, self.observed(upto=commit), self.log(upto=commit), self.activations())
+        with scratch():
+            dump.save(file, self.observed(upto=commit), self.log(upto=commit), self.activations())
 
     def load_json(self, file: str) -> None:
         """Takes the log and the activations of a JSON file into this corpus, which must be empty; all else follows from them."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_within = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Discards at its end the tables that this thread has kept within it: for steps that write all their results themselves."""
+    outer, _within.tables = getattr(_within, "tables", None), []
+    try:
+        yield
+    finally:
+        own, _within.tables = _within.tables, outer
+        discard(*own)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +50,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    if (own := getattr(_within, "tables", None)) is not None:
+        own.append(out)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.extract import extract_urls
 from ..sources.store import Corpus
+from ..sources.tables import scratch
 
 
 def batch_log(lines: DataFrame, *, scheme_less: bool = True) -> DataFrame:
@@ -27,7 +28,8 @@ def normalize_stream(lines: DataFrame, corpus: Corpus, out: str, checkpoint: str
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        commit = corpus.append(batch_log(batch), batch_id, writer=f"stream {checkpoint}")
-        corpus.normalized_at(commit, hints=hints).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch():
+            commit = corpus.append(batch_log(batch), batch_id, writer=f"stream {checkpoint}")
+            corpus.normalized_at(commit, hints=hints).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

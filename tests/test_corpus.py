@@ -194,6 +194,7 @@ def test_streams_and_other_writers_share_a_corpus(spark, tmp_path, monkeypatch):
     urls = some_urls(60, 5)
     c = Corpus(spark, f"file://{tmp_path}/c")
     c.append(literal_log(spark, urls[:20]))
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
     (tmp_path / "in").mkdir()
     want_after = 20
     for k in range(3):
@@ -206,6 +207,8 @@ def test_streams_and_other_writers_share_a_corpus(spark, tmp_path, monkeypatch):
             urls[30:30] = urls[30:33]  # as the corpus has it now
             want_after += 3
     log = c.log().orderBy("obs_id").collect()
+    left = {x.split("-")[0] for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before}
+    assert not left  # a batch leaves nothing behind
     assert len(log) == 53 and [r.obs_id for r in log] == list(range(1, 54))
     want = {r.obs_id: r.normalized for r in render.running_normalize(c.observed()).collect()}
     got = {r.obs_id: r.normalized for r in spark.read.parquet(f"{tmp_path}/out").collect()}
