@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
@@ -220,11 +221,14 @@ class Corpus:
         if not now["version"]:
             raise ValueError("the corpus has no views yet")
         out = []
+        # Evidence of nothing has no bucket that would tell its columns: they are those that would be made now.
+        kinds = evidence_of({k: self.spark.read.parquet(f"{self.path}/views/{now['views']}/{k}") for k in VIEWS})
         for table, asked in (("positions", of.segments), ("values", of.segments), ("params", of.params)):
             keys = POSITION if asked is of.segments else PARAM
             wanted = asked.select(*keys).distinct()
             at = [r[0] for r in wanted.select(_bucket(keys, now["buckets"]).alias("b")).distinct().collect()]  # BUCKETS at most
-            df = self.spark.read.parquet(f"{self.path}/views/{now['views']}/known_{table}").where(F.col("bucket").isin(at)).drop("bucket")
+            schema = StructType([*getattr(kinds, table).schema, StructField("bucket", IntegerType())])
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/views/{now['views']}/known_{table}").where(F.col("bucket").isin(at)).drop("bucket")
             out.append(df.join(wanted, keys, "left_semi"))
         return Evidence(*out)
 
