@@ -47,7 +47,7 @@ def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
     types = c.groupBy(*keys, "type").agg(F.sum("n").alias("n"), F.min("first_obs").alias("first_obs"))
     entry = F.struct("first_obs", F.struct(F.col("type").alias("value"), "n").alias("e"))
     types = types.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("types"), F.sum("n").alias("total"), F.min("first_obs").alias("first_obs"))
-    numbers = numeric_stats(df, keys)
+    numbers = numeric_stats(c, keys)
     s = values.join(types, keys).join(numbers, keys, "left")
     number = F.when(F.col("num_count").isNotNull(), F.concat(F.lit(","), F.regexp_extract(F.to_json(F.struct(F.col("num_count").alias("numeric_count"), F.col("num_min").alias("numeric_min"), F.col("num_max").alias("numeric_max"), F.col("num_sum").alias("numeric_sum"))), r"^\{(.*)\}\z", 1))).otherwise("")
     stats = F.concat(F.lit('{"value_counts":'), _object(F.col("values")), F.lit(',"type_counts":'), _object(F.col("types")), F.lit(',"total":'), F.col("total").cast("string"), F.lit(f',"max_values":{L.VALUE_CAP}'), number, F.lit("}"))

@@ -25,3 +25,21 @@ def test_proposals_count_tracked_values(spark, many_customers, name):
     assert got == sorted(map(repr, c.fetchall()))
     if name == "proposals":
         assert [r.matching for r in df.collect()] == [10000]
+
+
+def test_distributions_write_counts_alone(spark, tmp_path, monkeypatch):
+    """What is known of parameters comes from their distinct values: no URL and no row of a parameter is written."""
+    from pathloom.operators import infer, views
+    from pathloom.sources.logs import literal_log
+
+    names = []
+    for module in (infer, views):
+        own = module.kept
+        monkeypatch.setattr(module, "kept", lambda df, name, own=own: names.append((name, df.count())) or own(df, name))
+    duckdb.execute(f"copy (select i as l_orderkey, 1 as l_linenumber, 1 as l_partkey, 1 as l_suppkey, 1.0::double as l_quantity, 1.0::double as l_extendedprice, 0.5::double as l_discount, if(i % 2 = 0, 'A', 'B') as l_returnflag, date '2024-01-01' as l_shipdate from range(50) r(i)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    rows = entry.queries()["value_distribution"](spark, str(tmp_path)).collect()
+    assert {(r.name, r.value, r.share) for r in rows} >= {("flag", "A", 0.5), ("flag", "B", 0.5)}
+    assert names == [("counted", 5)]
+    o = views.observe(literal_log(spark, ["https://a.com/?x=1", "https://a.com/?x=1", "https://a.com/?x=2.5"]))
+    n = views.cluster_param_numeric(o).first()
+    assert (n.num_count, n.num_min, n.num_max, n.num_sum) == (3, 1.0, 2.5, 4.5)
