@@ -80,18 +80,17 @@ class ByteBpe:
     Ordinary texts go through ``tiktoken`` over the file's own vocabulary in
     merge order, which gives the same ids several times faster (tested on all
     documents of a table); a text that holds an added token's string goes
-    through ``tokenizers`` itself.
+    through ``tokenizers`` itself, which a task loads with the first of these.
     """
 
     def __init__(self, path: str, pattern: str):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         self.added = [x["content"] for x in spec["added_tokens"]]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -100,6 +99,10 @@ class ByteBpe:
 
     def __call__(self, text: str) -> np.ndarray:
         if any(x in text for x in self.added):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 

@@ -43,3 +43,14 @@ def test_distributions_write_counts_alone(spark, tmp_path, monkeypatch):
     o = views.observe(literal_log(spark, ["https://a.com/?x=1", "https://a.com/?x=1", "https://a.com/?x=2.5"]))
     n = views.cluster_param_numeric(o).first()
     assert (n.num_count, n.num_min, n.num_max, n.num_sum) == (3, 1.0, 2.5, 4.5)
+
+
+def test_packing_loads_the_second_tokenizer_when_needed():
+    import public_tokenizers
+
+    from pathloom.llm.packing import ByteBpe
+
+    b = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    plain = b("hello world").tolist()
+    assert plain and b.slow is None
+    assert b(f"hello world{b.added[0]}").tolist()[: len(plain)] == plain and b.slow is not None
