@@ -54,3 +54,28 @@ def test_packing_loads_the_second_tokenizer_when_needed():
     plain = b("hello world").tolist()
     assert plain and b.slow is None
     assert b(f"hello world{b.added[0]}").tolist()[: len(plain)] == plain and b.slow is not None
+
+
+def test_views_hash_what_they_group(spark, monkeypatch):
+    """No view sorts the rows of a task to aggregate them, and a parameter's values are counted once for all views."""
+    from pathloom.operators import views
+    from pathloom.sources.logs import literal_log
+
+    plans, own = {}, views.kept
+    monkeypatch.setattr(views, "kept", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    o = views.observe(literal_log(spark, ["https://a.com/u/1?x=1", "https://a.com/u/2?x=2.5", "urn:isbn:1"]), keep=True)
+    every = views.all_views(o)
+    assert len(plans["sets"]) == 3 and len(plans["counted"]) == 1
+    assert not [p for p in plans["sets"] if "SortAggregate" in p]
+    assert "SortAggregate" not in views.clusters(o)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, every["clusters"].collect())) == sorted(map(tuple, views.clusters(o).select(every["clusters"].columns).collect()))
+    assert sorted(map(tuple, every["cluster_param_numeric"].collect())) == sorted(map(tuple, views.cluster_param_numeric(o).collect()))
+
+
+def test_scans_give_tasks_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    from pathloom.sources import tables
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(tables, "ROWS", 100)
+    dealt = tables.spread(spark.read.parquet(f"{tmp_path}/t"))
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000
