@@ -79,3 +79,17 @@ def test_scans_give_tasks_a_bounded_number_of_rows(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(tables, "ROWS", 100)
     dealt = tables.spread(spark.read.parquet(f"{tmp_path}/t"))
     assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000
+
+
+def test_evidence_parses_a_log_once(spark):
+    """Totals and first values of slots read other columns, so Spark doesn't share their shuffle: the counts are kept."""
+    from pathloom.operators import infer, views
+    from pathloom.sources.logs import literal_log
+
+    o = views.observe(literal_log(spark, ["https://a.com/u/1?x=1", "https://a.com/u/2?x=1", "https://a.com/u/2?x=b"]))
+    p, (positions, values) = infer.param_stats(o), infer.position_evidence(o)
+    for df in (p, positions, values):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "counted-" in plan and "regexp_extract" not in plan
+    assert [(r.total, r.cardinality, r.established) for r in p.collect()] == [(3, 2, 0)]
+    assert sorted((r.locator, r.value, r.value_count) for r in values.collect()) == [("", "u", 3), ("/u", "1", 1), ("/u", "2", 2)]
