@@ -93,3 +93,18 @@ def test_evidence_parses_a_log_once(spark):
         assert "counted-" in plan and "regexp_extract" not in plan
     assert [(r.total, r.cardinality, r.established) for r in p.collect()] == [(3, 2, 0)]
     assert sorted((r.locator, r.value, r.value_count) for r in values.collect()) == [("", "u", 3), ("/u", "1", 1), ("/u", "2", 2)]
+
+
+def test_sql_functions_state_a_step_once(spark):
+    """The plan of a table function grows with its steps, not with their product; a text's trimming takes as many steps as there are characters to trim."""
+    from pathloom.functions import sql
+
+    sql.register(spark)
+    log = spark.createDataFrame([("http://B.com:80/x/../y?a=1#f",), ("HTTPS://MÜNCHEN.de/a",), (None,)], "url string")
+    df = spark.sql("SELECT p.canonical, p.error FROM {log} l, LATERAL url_parts(l.url) p", log=log)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 20
+    assert sorted(df.collect(), key=str) == [("http://b.com/y?a=1#f", None), ("https://münchen.de/a", None), (None, "input is empty")]
+    texts = spark.createDataFrame([("(see http://a.com/x_(y)]).'), https://b.org/z!?.",)], "text string")
+    df = spark.sql("SELECT f.url FROM {texts} t, LATERAL url_found(t.text) f", texts=texts)
+    assert "sequence(0, length(raw))" not in sql._found()
+    assert [r.url for r in df.orderBy("pos").collect()] == ["http://a.com/x_(y)", "https://b.org/z"]
