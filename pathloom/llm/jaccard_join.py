@@ -105,8 +105,8 @@ def _described(width: int):
     return run
 
 
-def _tokens(width: int, num: int, den: int):
-    """Texts to (node, token, shared) rows: the smallest hashes of each set; equal sets of one task give theirs once."""
+def _tokens(width: int, num: int, den: int, slice_: int = 0, slices: int = 1):
+    """Texts to (node, token, shared) rows: the smallest hashes of each set, of which those of one slice; equal sets of one task give theirs once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -119,21 +119,34 @@ def _tokens(width: int, num: int, den: int):
                         if len(seen) < _SEEN:
                             seen.add(name)
                         taken, common = prefix(len(s), num, den)
-                        tokens.append(s[:taken])
-                        names.append(np.full(taken, name, U64))
-                        shared.append(np.full(taken, common, np.int32))
+                        own = s[:taken]
+                        own = own[own % U64(slices) == U64(slice_)]
+                        tokens.append(own)
+                        names.append(np.full(len(own), name, U64))
+                        shared.append(np.full(len(own), common, np.int32))
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(tokens).view(_I64)), pa.array(np.concatenate(shared))], ["node", "token", "shared"])
 
     return run
 
 
+#: Passes over the texts, each of which shuffles its slice of their hashes, or of them, alone: these shuffles take most of the disk.
+SLICES = 2
+
+
 def _candidates(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, region) of the sets that may be linked with another; linked sets are in one region."""
-    tokens = texts.mapInArrow(_tokens(width, num, den), "node long, token long, shared int")
-    common = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows"))
-    common = common.where("low < high").select("token", "rows")
-    held = tokens.join(common, "token").groupBy("node").agg(F.collect_set(F.struct("rows", "token")).alias("held"), F.max("shared").alias("shared"))
+    found = None
+    for k in range(SLICES):
+        tokens = texts.mapInArrow(_tokens(width, num, den, k, SLICES), "node long, token long, shared int")
+        # Counted where they lie: tokens are shuffled once, and only those of two sets or more are written.
+        by = Window.partitionBy("token")
+        common = tokens.select("*", F.min("node").over(by).alias("low"), F.max("node").over(by).alias("high"), F.count("*").over(by).alias("rows"))
+        common = saved(common.where("low < high").select("node", "token", "shared", "rows"), "common")
+        found = common if found is None else found.unionByName(common)
+        del tokens
+        release(texts.sparkSession)  # of the slice, before the next is shuffled
+    held = found.groupBy("node").agg(F.collect_set(F.struct("rows", "token")).alias("held"), F.max("shared").alias("shared"))
     held = held.where("size(held) >= shared").select("node", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.expr("size(held) - shared + 1"))).alias("t"))
     kept = saved(held.select("node", "t.token"), "kept")
     ends = kept.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
@@ -462,9 +475,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(docs.sparkSession)  # of the tokens, by far the largest shuffle
     large = wanted.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles).select("region")
     wanted_ids = wanted.select(F.col("id").alias("id2"), "text_hash", "region", "node").hint("shuffle_hash")
-    texts = rows.join(wanted_ids, (rows.id.eqNullSafe(F.col("id2"))) & (rows.text_hash == wanted_ids.text_hash)).select("region", "node", "text")
-    texts = saved(texts, "texts")  # read once or twice, but all texts are shuffled once
-    release(docs.sparkSession)
+    texts = None
+    for k in range(SLICES):
+        some = rows.where(F.pmod("text_hash", F.lit(SLICES)) == k)
+        some = some.join(wanted_ids, (some.id.eqNullSafe(F.col("id2"))) & (some.text_hash == wanted_ids.text_hash)).select("region", "node", "text")
+        some = saved(some, "texts")  # read once or twice, but all texts are shuffled once
+        texts = some if texts is None else texts.unionByName(some)
+        release(docs.sparkSession)
 
     def joined(members: DataFrame) -> DataFrame:
         return members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")

@@ -108,3 +108,20 @@ def test_sql_functions_state_a_step_once(spark):
     df = spark.sql("SELECT f.url FROM {texts} t, LATERAL url_found(t.text) f", texts=texts)
     assert "sequence(0, length(raw))" not in sql._found()
     assert [r.url for r in df.orderBy("pos").collect()] == ["http://a.com/x_(y)", "https://b.org/z"]
+
+
+def test_jaccard_join_shuffles_by_slices(spark, monkeypatch):
+    """Neither all tokens nor all texts lie in one shuffle; the components are those of one slice."""
+    from pathloom.llm import jaccard_join as j
+
+    texts = [(k, " ".join(f"w{(k // 3) * 50 + x}" for x in range(40)) + (" end" if k % 3 == 1 else "")) for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    names, got = [], []
+    one = j.saved
+    monkeypatch.setattr(j, "saved", lambda df, name: (names.append(name), one(df, name))[1])
+    for slices in (1, 3):
+        monkeypatch.setattr(j, "SLICES", slices)
+        names.clear()
+        got.append(sorted(map(tuple, j.jaccard_components(docs).collect())))
+        assert names.count("common") == names.count("texts") == slices
+    assert got[0] == got[1] == sorted((k, 0 if k > 59 else 39 if k % 3 == 1 else 38, k if k > 59 else k - k % 3) for k in range(62))
