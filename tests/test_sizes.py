@@ -125,3 +125,47 @@ def test_jaccard_join_shuffles_by_slices(spark, monkeypatch):
         got.append(sorted(map(tuple, j.jaccard_components(docs).collect())))
         assert names.count("common") == names.count("texts") == slices
     assert got[0] == got[1] == sorted((k, 0 if k > 59 else 39 if k % 3 == 1 else 38, k if k > 59 else k - k % 3) for k in range(62))
+
+
+def test_running_evidence_counts_what_is_asked(spark, monkeypatch):
+    """Positions of identifiers alone get no running counts, parameters no window for types that they never have; what is carried on is the same."""
+    from pathloom.operators import render, running, views
+    from pathloom.sources.logs import literal_log
+
+    held, own = {}, running.kept
+    monkeypatch.setattr(running, "kept", lambda df, name: held.setdefault(name, []).append(df) or own(df, name))
+    o = views.observe(literal_log(spark, [f"https://a.com/users/{k}?on=2024-01-0{k}" for k in range(1, 6)]), keep=True)
+    got = render.running_normalize(o)
+    assert {r.locator for r in held["ranged"][0].collect()} == {""}
+    assert [c for c in held["scanned"][1].columns if c.startswith("n_")] == ["n_date"]
+    assert not {"running_segments", "running_params", "running_types", "counted"} & set(held)
+    assert {r.normalized for r in got.collect()} == {f"https://a.com/users/{{user_id}}?on=2024-01-0{k}" for k in range(1, 6)}
+    _, touched = render.carried_normalize(o, None)
+    assert sorted((r.locator, r.value, r.seen) for r in touched.position_values.collect()) == [("", "users", 5), *(("/users", str(k), 1) for k in range(1, 6))]
+
+
+def test_ranges_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from pathloom.operators import running, views
+    from pathloom.sources.logs import literal_log
+
+    monkeypatch.setattr(running, "ROWS", 5)
+    o = views.observe(literal_log(spark, [f"https://a.com/{k}" for k in range(60)]))
+    seen = o.urls.select(running._range_of(o.urls)).groupBy("_r").count().collect()
+    assert [r["count"] for r in seen] == [5] * 12
+
+
+def test_normal_forms_move_what_a_corpus_changes(spark, monkeypatch):
+    """Evidence is counted for positions that are asked for; segments that look as their type says aren't shuffled."""
+    from pathloom.operators import infer, render, views
+    from pathloom.sources.logs import literal_log
+
+    held, own = [], infer.kept
+    monkeypatch.setattr(infer, "kept", lambda df, name: held.append(df) or own(df, name))
+    moved, made = [], render._assembled
+    monkeypatch.setattr(render, "_assembled", lambda urls, segments, params, hints: moved.append(segments) or made(urls, segments, params, hints))
+    names = "ann bob cid dan eve fay gus hal ivy joe".split()
+    o = views.observe(literal_log(spark, [f"https://a.com/v1/users/{n}?q={k}" for k, n in enumerate(names)] + ["https://a.com/n/7", "urn:isbn:5"]), keep=True)
+    got = {r.normalized for r in render.corpus_normalize(o, o).collect()}
+    assert got == {"https://a.com/v1/users/{user}?q={integer}", "https://a.com/n/{n_id}", "urn:isbn:{isbn_id}"}
+    assert {r.locator for r in held[0].collect()} == {"", "/{version}", "/{version}/users"}
+    assert {(r.pos, r.token) for r in moved[0].collect()} == {(0, "v1"), (2, "{user}")}
