@@ -32,14 +32,14 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.urls import parse_urls
 from ..functions.values import Activation
-from ..operators.infer import Evidence, evidence_of, ladder
+from ..operators.infer import Evidence, evidence_of, ladder, undecided
 from ..operators.learn import activate_above
 from ..operators.render import carried_normalize, corpus_normalize
 from ..operators.running import STATE_KEYS, RunningState, merged_state
 from ..operators.views import MERGES, PARAM, POSITION, VIEWS, Observed, all_views, merged_view, observe
 from . import dump
 from .files import Folder
-from .tables import discard, ranked, scratch, shared_dir
+from .tables import discard, kept, ranked, scratch, shared_dir
 
 _COMMIT = "number long, part string, first long, n long, writer string, batch long"
 #: The list of so many commits is broadcast (some 10 MB); a longer one is joined by shuffle.
@@ -182,11 +182,16 @@ class Corpus:
             self.folder.delete("views", gone)
         return version
 
-    def reinfer(self) -> int:
-        """Computes all views from the log and makes them current; gives their version."""
-        commit, about = self.last_commit().number, self._about()
+    def reinfer(self, of: Observed | None = None, upto: int | None = None) -> int:
+        """Computes all views from the log and makes them current; gives their version.
+
+        ``of`` is what ``observed`` gave of all commits up to ``upto``, for a caller who has it: then the log isn't parsed again.
+        """
+        if (of is None) != (upto is None):
+            raise ValueError("of and upto go together")
+        commit, about = self.last_commit().number if upto is None else upto, self._about()
         with scratch():
-            return self._publish(all_views(self.observed(upto=commit)), commit, about)
+            return self._publish(all_views(self.observed(upto=commit) if of is None else of), commit, about)
 
     def refresh(self) -> int:
         """Brings the views up to the last commit: those of the commits since the current version are merged into it.
@@ -223,9 +228,10 @@ class Corpus:
         out = []
         # Evidence of nothing has no bucket that would tell its columns: they are those that would be made now.
         kinds = evidence_of({k: self.spark.read.parquet(f"{self.path}/views/{now['views']}/{k}") for k in VIEWS})
-        for table, asked in (("positions", of.segments), ("values", of.segments), ("params", of.params)):
-            keys = POSITION if asked is of.segments else PARAM
-            wanted = asked.select(*keys).distinct()
+        # Slots are asked for once, then looked up.
+        slots = {tuple(keys): kept(asked.select(*keys).distinct(), "wanted") for asked, keys in ((of.segments, POSITION), (of.params, PARAM))}
+        for table, keys in (("positions", POSITION), ("values", POSITION), ("params", PARAM)):
+            wanted = slots[tuple(keys)]
             at = [r[0] for r in wanted.select(_bucket(keys, now["buckets"]).alias("b")).distinct().collect()]  # BUCKETS at most
             schema = StructType([*getattr(kinds, table).schema, StructField("bucket", IntegerType())])
             df = self.spark.read.schema(schema).parquet(f"{self.path}/views/{now['views']}/known_{table}").where(F.col("bucket").isin(at)).drop("bucket")
@@ -234,7 +240,8 @@ class Corpus:
 
     def normalized(self, of: Observed, *, hints: bool = True) -> DataFrame:
         """(obs_id, normalized) of the URLs of ``of`` by the current views."""
-        return corpus_normalize(self.known_of(of), of, hints=hints)
+        asked = of._replace(segments=of.segments.where(undecided(F.col("type"))))
+        return corpus_normalize(self.known_of(asked), of, hints=hints)
 
     def params_for(self, of: Observed) -> DataFrame:
         """(cluster_key, name, type, total, cardinality) of the parameters that the URLs of ``of`` have, by the current views."""

@@ -169,3 +169,15 @@ def test_normal_forms_move_what_a_corpus_changes(spark, monkeypatch):
     assert got == {"https://a.com/v1/users/{user}?q={integer}", "https://a.com/n/{n_id}", "urn:isbn:{isbn_id}"}
     assert {r.locator for r in held[0].collect()} == {"", "/{version}", "/{version}/users"}
     assert {(r.pos, r.token) for r in moved[0].collect()} == {(0, "v1"), (2, "{user}")}
+
+
+def test_lookup_parses_a_corpus_once(spark, monkeypatch, tmp_path):
+    """The views and the forms that follow from them come from one table of parsed URLs."""
+    from pathloom.sources import store
+
+    made, own = [], store.observe
+    monkeypatch.setattr(store, "observe", lambda log, **options: made.append(1) or own(log, **options))
+    duckdb.execute(f"copy (select i as o_orderkey, i % 7 as o_custkey, 'O' as o_orderstatus, date '2024-01-01' as o_orderdate from range(30) r(i)) to '{tmp_path}/orders.parquet' (format parquet)")
+    rows = entry.queries()["corpus_lookup"](spark, str(tmp_path)).collect()
+    assert len(made) == 1
+    assert {r.normalized for r in rows} == {"https://api.example.com/v1/customers/{customer_id}/orders/{order_id}?date=2024-01-01&status=O"} and len(rows) == 30
