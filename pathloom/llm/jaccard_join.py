@@ -11,11 +11,17 @@ its pivot is done. ``cells`` is this step, for regions of any size.
 
 Where regions come from. Nearly all documents of a corpus share nothing with
 any pivot, so all would be boundary documents of all regions. The first regions
-are therefore candidates: of every set the smallest shingle hashes are taken,
-so many that linked sets have ``shared`` of them in common (``prefix``); of
-these all but the ``shared`` - 1 most frequent are kept, so linked sets still
-have one in common; documents that share a kept one, directly or through
-others, are one region. Nothing linked is parted by this.
+are therefore candidates: every set gets tokens, so many that linked sets have
+``shared`` of them in common; of these all but the ``shared`` - 1 most frequent
+are kept, so linked sets still have one in common; documents that share a kept
+one, directly or through others, are one region. Nothing linked is parted by this.
+
+A token is a part of a set: the shingles whose hashes lie in one of a number of
+equal ranges, more ranges than linked sets have differing shingles (``Parts``).
+Single shingles recur by chance, the more the larger a corpus is, and would tie
+most of it into one region; parts of several shingles recur in copies. Where a
+link allows so many differing shingles that parts would have less than
+``PART`` of them, tokens are a set's smallest hashes (``prefix``).
 
 A region of at most ``task_shingles`` is parted and joined in one task, a
 larger one is parted by Spark first. Where pivots can't part a region, as its
@@ -32,6 +38,8 @@ Equal sets are collapsed before all that, links are verified on the sets of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +97,85 @@ def prefix(n: int, num: int, den: int) -> tuple[int, int]:
     return n - least(n) + beyond(n), beyond(least(n))
 
 
+#: Shingles that the parts of the largest sets of a class have on average, at least.
+PART = 3
+
+
+class Parts(NamedTuple):
+    """The parts of sets that meet in one class of sizes.
+
+    Sets of a class and those of the class below that may link with them meet
+    in it. ``edges`` are the bounds of the ranges of hashes, ``salts`` tell parts
+    of equal shingles apart. ``most`` is the largest size, ``spare`` the number of
+    small parts that a set may leave out: small by their own size, so that equal
+    parts are left out of both sets, or of the one that leaves out more.
+    """
+
+    most: int
+    spare: int
+    edges: np.ndarray
+    salts: np.ndarray
+
+    def tokens(self, s: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Names of the parts of ``s``; sums: of its mixed hashes, from 0 on."""
+        at = np.append(np.searchsorted(s, self.edges), len(s))
+        out = mix(sums[at[1:]] - sums[at[:-1]] + self.salts)
+        if self.spare:
+            size = np.diff(at)
+            out = out[size >= np.partition(size, self.spare)[self.spare]]
+        return out
+
+    def shared(self, n: int, num: int, den: int) -> int:
+        """How many tokens a set of ``n`` has in common with any linked one that it meets here; 0 if it can link with none but equal ones.
+
+        Linked sets differ in (n + m) * (den - num) / (den + num) shingles at
+        most, and as many parts; m, the size of the other, is n * den / num at most.
+        """
+        differ = (n + min(self.most, n * den // num)) * (den - num) // (den + num)
+        return len(self.salts) - differ - self.spare if differ else 0
+
+
+def in_parts(num: int, den: int) -> bool:
+    """Whether links allow so few differing shingles that sets are cut into parts."""
+    return den + num >= 2 * PART * (den - num)
+
+
+def classes(n: int, num: int, den: int) -> list[tuple[int, Parts]]:
+    """(0 or 1, class): the class of sets of ``n``, and the next one where they may link with sets of it."""
+    low, k = 1, 0
+    while (high := low + max(1, 3 * low // 7)) <= n:
+        low, k = high, k + 1
+    out = [(0, _class(k, high - 1, num, den))]
+    if n * den // num >= high:  # less than the end of the next class: den / num is 7 / 5 at most
+        out.append((1, _class(k + 1, high + max(1, 3 * high // 7) - 1, num, den)))
+    return out
+
+
+@cache
+def _class(k: int, most: int, num: int, den: int) -> Parts:
+    differ = 2 * most * (den - num) // (den + num)
+    slack = differ // 8 + 1
+    n = differ + 1 + slack
+    edges = np.array([(i << 64) // n for i in range(n)], U64)
+    return Parts(most, slack // 2, edges, mix(np.arange(n, dtype=U64) + U64(k << 40)))
+
+
+def tokens_of(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(need, tokens) of a set that is not empty, at most one pair for each class where it may link.
+
+    ``need`` // 2 is ``shared``; ``need`` % 2 tells a set's two classes apart.
+    """
+    if not in_parts(num, den):
+        taken, shared = prefix(len(s), num, den)
+        yield 2 * shared, s[:taken]
+        return
+    sums = np.zeros(len(s) + 1, U64)
+    np.cumsum(mix(s), out=sums[1:])
+    for up, parts in classes(len(s), num, den):
+        if shared := parts.shared(len(s), num, den):
+            yield 2 * shared + up, parts.tokens(s, sums)
+
+
 def _described(width: int):
     def run(batches):
         for batch in batches:
@@ -106,31 +193,30 @@ def _described(width: int):
 
 
 def _tokens(width: int, num: int, den: int, slice_: int = 0, slices: int = 1):
-    """Texts to (node, token, shared) rows: the smallest hashes of each set, of which those of one slice; equal sets of one task give theirs once."""
+    """Texts to (node, token, need) rows: the tokens of each set, of which those of one slice; equal sets of one task give theirs once."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch.column(0), lower=True):
-                names, tokens, shared = [], [], []
+                names, tokens, needs = [], [], []
                 for s in shingle_sets(piece, width):
                     name = name_of(s)
                     if len(s) and name not in seen:
                         if len(seen) < _SEEN:
                             seen.add(name)
-                        taken, common = prefix(len(s), num, den)
-                        own = s[:taken]
-                        own = own[own % U64(slices) == U64(slice_)]
-                        tokens.append(own)
-                        names.append(np.full(len(own), name, U64))
-                        shared.append(np.full(len(own), common, np.int32))
+                        for need, own in tokens_of(s, num, den):
+                            own = own[own % U64(slices) == U64(slice_)]
+                            tokens.append(own)
+                            names.append(np.full(len(own), name, U64))
+                            needs.append(np.full(len(own), need, np.int32))
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(tokens).view(_I64)), pa.array(np.concatenate(shared))], ["node", "token", "shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(_I64)), pa.array(np.concatenate(tokens).view(_I64)), pa.array(np.concatenate(needs))], ["node", "token", "need"])
 
     return run
 
 
-#: Passes over the texts, each of which shuffles its slice of their hashes, or of them, alone: these shuffles take most of the disk.
+#: Passes over the texts, each of which shuffles its slice of their tokens, or of them, alone: these shuffles take most of the disk.
 SLICES = 2
 
 
@@ -138,15 +224,15 @@ def _candidates(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, region) of the sets that may be linked with another; linked sets are in one region."""
     found = None
     for k in range(SLICES):
-        tokens = texts.mapInArrow(_tokens(width, num, den, k, SLICES), "node long, token long, shared int")
+        tokens = texts.mapInArrow(_tokens(width, num, den, k, SLICES), "node long, token long, need int")
         # Counted where they lie: tokens are shuffled once, and only those of two sets or more are written.
         by = Window.partitionBy("token")
         common = tokens.select("*", F.min("node").over(by).alias("low"), F.max("node").over(by).alias("high"), F.count("*").over(by).alias("rows"))
-        common = saved(common.where("low < high").select("node", "token", "shared", "rows"), "common")
+        common = saved(common.where("low < high").select("node", "token", "need", "rows"), "common")
         found = common if found is None else found.unionByName(common)
         del tokens
         release(texts.sparkSession)  # of the slice, before the next is shuffled
-    held = found.groupBy("node").agg(F.collect_set(F.struct("rows", "token")).alias("held"), F.max("shared").alias("shared"))
+    held = found.groupBy("node", "need").agg(F.collect_set(F.struct("rows", "token")).alias("held")).withColumn("shared", F.expr("cast(need div 2 as int)"))
     held = held.where("size(held) >= shared").select("node", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.expr("size(held) - shared + 1"))).alias("t"))
     kept = saved(held.select("node", "t.token"), "kept")
     ends = kept.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
@@ -484,7 +570,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(docs.sparkSession)
 
     def joined(members: DataFrame) -> DataFrame:
-        return members.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")
+        # By a hash of the region: Spark takes a union of joins by region as dealt by it and drops a second deal,
+        # but then merges the partitions of each of its sides alone, which parts regions.
+        return members.repartition(F.xxhash64("region")).sortWithinPartitions("region", "node").mapInArrow(_joined(width, num, den), "a long, b long")
 
     if large.isEmpty():
         # Candidate regions are apart, so the stars made in one are components already.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import words as W
 from pathloom.llm.components import connected_components
 from pathloom.llm.decontaminate import contaminated
-from pathloom.llm.jaccard_join import jaccard_components, prefix, region_links
+from pathloom.llm.jaccard_join import _candidates, in_parts, jaccard_components, prefix, region_links, tokens_of
 from pathloom.llm.licenses import RULES, SENTENCES, known_sentences, scan_licenses
 from pathloom.llm.packing import ByteBpe, SumOfSquares, pack
 from pathloom.llm.quality import fit_quality, grade_quality
@@ -150,6 +150,60 @@ def test_prefix():
             assert len(np.intersect1d(one[:take1], two[:take2])) >= max(shared1, shared2)
 
 
+def test_jaccard_join_keeps_regions_together(spark):
+    """Links in small regions beside a large one, where tables are too large to be broadcast and partitions are merged."""
+    r = random.Random(12)
+    base = [[f"w{r.randrange(4000)}" for _ in range(120)] for _ in range(40)]
+    rows = [(k + 100 * j, " ".join([*x[: 119 - j], f"e{j}"])) for k, x in enumerate(base) for j in range(30 if k == 0 else 2)]
+    adaptive = "spark.sql.adaptive."
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", f"{adaptive}enabled": "true", f"{adaptive}advisoryPartitionSizeInBytes": "6k"}
+    conf |= {f"{adaptive}coalescePartitions.parallelismFirst": "false", f"{adaptive}coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), task_shingles=1000)
+        got = sorted(tuple(x) for x in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_components(rows, 3, 90, 100)
+
+
+def test_tokens_of_linked_sets():
+    """Linked sets, those of the most differing shingles and of sizes at the bounds of classes too, share as many tokens in one class as either needs."""
+    r = np.random.RandomState(5)
+    tried = 0
+    for num in (72, 80, 90, 97):
+        assert in_parts(num, 100)
+        for k in range(1500):
+            both = k // 4 + 1 if k < 800 else r.randint(1, 6000)
+            most = both * (100 - num) // num  # differing shingles of a link
+            a = r.choice([0, most // 2, most, r.randint(0, most + 1)])
+            b = r.choice([0, most - a])
+            hashes = r.randint(0, 1 << 63, both + a + b).astype(np.uint64) * np.uint64(2)
+            if k % 3 == 0:  # dense ranges, so that many parts are empty
+                hashes >>= np.uint64(r.randint(1, 9))
+            one, two = np.unique(hashes[: both + a]), np.unique(np.append(hashes[:both], hashes[both + a :]))
+            shared = len(np.intersect1d(one, two))
+            if len(one) == len(two) == shared or 100 * shared < num * (len(one) + len(two) - shared):
+                continue
+            tried += 1
+            found = [(n1 // 2, n2 // 2, len(np.intersect1d(t1, t2))) for n1, t1 in tokens_of(one, num, 100) for n2, t2 in tokens_of(two, num, 100)]
+            assert any(c >= max(n1, n2) > 0 for n1, n2, c in found), (num, both, a, b)
+    assert tried > 2000
+
+
+def test_common_words_tie_no_regions(spark):
+    """Where all shingles recur by chance, only copies are candidates of each other: texts tied by chance were one region that grew with the corpus."""
+    r = random.Random(11)
+    own = [[r.choice("abcdefgh") for _ in range(r.randrange(60, 300))] for _ in range(300)]
+    near = [[*x[:-1], "z"] for x in own[:20]]
+    texts = spark.createDataFrame([(" ".join(x),) for x in own + near], "text string")
+    regions = [r[0] for r in _candidates(texts, 3, 90, 100).groupBy("region").count().select("count").collect()]
+    assert regions == [2] * 20
+
+
 @pytest.mark.parametrize("leaf", [2, 24])
 def test_region_links(leaf):
     r = np.random.RandomState(1)
